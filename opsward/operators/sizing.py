@@ -1,0 +1,20 @@
+"""Broadcast only behind a checked size bound; beyond it the normal shuffle join applies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Config-sized sides (rule files, domains, FK graphs, per-partition offsets).
+MAX_BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when the side has at most ``max_rows`` rows.
+
+    The count runs on the small side only (a rule file, a domain table), never on
+    the fact side.  Above the bound the DataFrame is returned unhinted and
+    Catalyst/AQE pick a shuffle join.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
