@@ -91,6 +91,20 @@ def divert_cascade(tables: dict[str, DataFrame], order: list[str],
     return diverted
 
 
+def pending_set(catalog: DataFrame, refs: DataFrame, limit: int = 50) -> DataFrame:
+    """Flagged tables ∪ flagged parents having flagged children; first ``limit`` by (schema, name).
+
+    ``catalog``: tabschema, tabname, pending; ``refs``: tabschema, tabname (child),
+    reftabschema, reftabname (parent).  The second branch is a subset of the first
+    but is kept, as in the original statement; the order is made total by name.
+    """
+    flagged = catalog.where(F.col("pending")).select("tabschema", "tabname")
+    flagged_children = refs.join(flagged, ["tabschema", "tabname"], "left_semi").select(
+        F.col("reftabschema").alias("tabschema"), F.col("reftabname").alias("tabname"))
+    parents = flagged.join(flagged_children, ["tabschema", "tabname"], "left_semi")
+    return flagged.unionByName(parents).distinct().orderBy("tabschema", "tabname").limit(limit)
+
+
 def closure(spark: SparkSession, start: DataFrame, edges: DataFrame, max_rounds: int = 500,
             node: str = "name", child: str = "child", parent: str = "parent") -> DataFrame:
     """All nodes reachable from ``start`` along child->parent edges, with their BFS depth.

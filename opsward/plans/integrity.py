@@ -131,13 +131,7 @@ SELECT tabschema, tabname FROM (
 ORDER BY tabschema, tabname LIMIT 50""")
 def q_pending_tables(spark, sf):
     """Flagged tables ∪ flagged parents of flagged children; first 50 by (schema, name)."""
-    cat = _catalog(spark, sf)
-    flagged = cat.where("pending").select("tabschema", "tabname")
-    refs = _references(spark, sf)
-    flagged_children = refs.join(flagged, ["tabschema", "tabname"], "left_semi").select(
-        F.col("reftabschema").alias("tabschema"), F.col("reftabname").alias("tabname"))
-    parents = flagged.join(flagged_children, ["tabschema", "tabname"], "left_semi")
-    return flagged.unionByName(parents).distinct().orderBy("tabschema", "tabname").limit(50)
+    return ig.pending_set(_catalog(spark, sf), _references(spark, sf), 50)
 
 
 @register("fk_closure", with_sql(CATALOG_SQL) + """,
