@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import durable
 from .sizing import bounded_broadcast
 
 
@@ -19,10 +20,17 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column_name, value, n) for every column value; partial aggregation keeps hot values cheap."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-                                for c in cols]))
-    return df.select(pairs.alias("p")).groupBy("p.column_name", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    """(column_name, value, n) for every column value.
+
+    One typed aggregation per column (columnar read of that column only, partial
+    aggregation before the shuffle); values become text only after reduction.
+    """
+    out = None
+    for c in cols:
+        vc = (df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+                .select(F.lit(c).alias("column_name"), F.col("_v").cast("string").alias("value"), "n"))
+        out = vc if out is None else out.unionByName(vc)
+    return out
 
 
 def column_profile(df: DataFrame, cols: list[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -77,7 +85,7 @@ def split_in_chunks(spark: SparkSession, df: DataFrame, order_cols: list[str], n
     ranged = df.repartitionByRange(n_ranges, *order_cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order_cols)
     # materialised once so the range boundaries (sampled) are the same for rows and sizes
-    local = ranged.withColumn("_lrn", F.row_number().over(w)).checkpoint(eager=True)
+    local = durable(ranged.withColumn("_lrn", F.row_number().over(w)))
     sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"),

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sizing import bounded_broadcast
+from pyspark import StorageLevel
+
+from .lineage import durable
 
 
 def fk_violations(child: DataFrame, parent: DataFrame, child_keys: list[str], parent_keys: list[str]) -> DataFrame:
@@ -109,21 +111,25 @@ def closure(spark: SparkSession, start: DataFrame, edges: DataFrame, max_rounds:
             node: str = "name", child: str = "child", parent: str = "parent") -> DataFrame:
     """All nodes reachable from ``start`` along child->parent edges, with their BFS depth.
 
-    Frontier iteration: each round joins only the new frontier with the edges and
-    anti-joins what is already reached; lineage is cut with a reliable
-    checkpoint every round; only the frontier *count* reaches the driver.
+    Frontier iteration: each round joins only the new frontier with the (cached)
+    edges and anti-joins what is already reached.  Every frontier is cut from its
+    lineage with a durable checkpoint, so ``reached`` is a union of checkpointed
+    pieces; only the frontier's emptiness reaches the driver.
     """
-    reached = start.select(F.col(node).alias("name")).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier = reached
-    e = edges.select(F.col(child).alias("name"), F.col(parent).alias("next")).distinct()
+    # hash-partitioned once by the join key and cached: later rounds only shuffle the frontier
+    e = (edges.select(F.col(child).alias("name"), F.col(parent).alias("next")).distinct()
+         .repartition("name").persist(StorageLevel.MEMORY_AND_DISK))
+    frontier = durable(start.select(F.col(node).alias("name")).distinct().withColumn("depth", F.lit(0)))
+    reached = frontier
     for r in range(1, max_rounds + 1):
-        nxt = (frontier.join(e, "name").select(F.col("next").alias("name")).distinct()
-               .join(reached.select("name"), "name", "left_anti")
-               .withColumn("depth", F.lit(r))).checkpoint()
+        nxt = durable(frontier.join(e, "name").select(F.col("next").alias("name")).distinct()
+                      .join(reached.select("name"), "name", "left_anti")
+                      .withColumn("depth", F.lit(r)))
         if nxt.isEmpty():
             break
-        reached = reached.unionByName(nxt).checkpoint()
+        reached = reached.unionByName(nxt)
         frontier = nxt
+    e.unpersist()
     return reached
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import optional_source
+from .lineage import durable
 
 
 def dedupe_latest(df: DataFrame, keys: list[str], seq_col: str) -> DataFrame:
@@ -71,7 +72,7 @@ def upsert_into_path(spark: SparkSession, path: str, source: DataFrame, keys: li
     touched = source.select(*partition_cols).distinct()
     # semi-join on the partition columns -> dynamic partition pruning of the target scan
     target = existing.join(touched, partition_cols, "left_semi") if partition_cols else existing
-    merged = upsert(target, source, keys, seq_col, guard=guard).checkpoint(eager=True)
+    merged = durable(upsert(target, source, keys, seq_col, guard=guard))
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_cols).format(fmt).save(path))
     return source.count()

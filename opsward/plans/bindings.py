@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..sources.text import read_lines, write_lines
-from ..session import scratch_path
+from ..session import materialized
 from ..functions.time import lit_ts
 
 AS_OF_EVENTS = dt.datetime(2024, 1, 31, 0, 0, 0)
@@ -147,10 +147,11 @@ def _nation_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def threshold_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Render the rule file (header + per-nation lines) to shared storage and read it back."""
-    header = spark.createDataFrame([(i + 1, s) for i, s in enumerate(THRESHOLD_HEADER)], "line_no int, line string")
-    lines = header.unionByName(_nation_rule_lines(spark, sf).select(F.col("line_no").cast("int"), "line"))
-    path = write_lines(lines, scratch_path(spark, "rules-threshold"))
-    return read_lines(spark, path)
+    def build(path):
+        header = spark.createDataFrame([(i + 1, s) for i, s in enumerate(THRESHOLD_HEADER)], "line_no int, line string")
+        lines = header.unionByName(_nation_rule_lines(spark, sf).select(F.col("line_no").cast("int"), "line"))
+        write_lines(lines, path)
+    return read_lines(spark, materialized(spark, f"rules-threshold:{sf}", build))
 
 
 def _values_sql(rows: list[tuple]) -> str:

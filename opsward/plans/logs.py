@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import logs as lg
-from ..session import scratch_path
+from ..session import materialized
 from ..sources.logs import read_log, render_record, write_log
 from ..sources.tables import table
 from .bindings import AS_OF_EVENTS_SQL, as_of_events, with_sql
@@ -38,10 +38,11 @@ def _records(spark, sf):
 
 
 def parsed_window(spark, sf):
-    recs = _records(spark, sf)
-    path = write_log(recs.select(render_record(F.col("ts"), F.col("level"), F.col("rid"), F.col("instance"),
-                                               F.col("db"), F.col("message")).alias("record")),
-                     scratch_path(spark, "diaglog"))
+    def build(path):
+        recs = _records(spark, sf)
+        write_log(recs.select(render_record(F.col("ts"), F.col("level"), F.col("rid"), F.col("instance"),
+                                            F.col("db"), F.col("message")).alias("record")), path)
+    path = materialized(spark, f"diaglog:{sf}", build)
     return lg.last_days(read_log(spark, path), "ts", as_of_events(), WINDOW_DAYS)
 
 

@@ -51,3 +51,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/opsward-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def materialized(spark: SparkSession, key: str, build) -> str:
+    """Path of a derived input file set (rendered rule file, rendered log), written once per
+    application: ``build(path)`` writes it the first time, later calls reuse it."""
+    k = (spark.sparkContext.applicationId, key)
+    path = _MATERIALIZED.get(k)
+    if path is None:
+        path = scratch_path(spark, "mat")
+        build(path)
+        _MATERIALIZED[k] = path
+    return path
