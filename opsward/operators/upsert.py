@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import optional_source
@@ -66,13 +66,25 @@ def merge_last_seen(target: DataFrame, source: DataFrame, keys: list[str], ts_co
 
 
 def upsert_into_path(spark: SparkSession, path: str, source: DataFrame, keys: list[str], seq_col: str | None,
-                     partition_cols: list[str], guard: str = "source_wins", fmt: str = "parquet") -> int:
-    """Apply a batch to a partitioned table on shared storage; returns rows in the batch."""
+                     partition_cols: list[str], guard: str = "source_wins", fmt: str = "parquet") -> dict:
+    """Apply a batch to a partitioned table on shared storage.
+
+    Returns the row counters of the load (rows written to the touched partitions,
+    of which from this batch), gathered with ``DataFrame.observe`` on the write
+    itself — no extra pass over the data.
+    """
     existing = optional_source(spark, path, source.schema, fmt)
     touched = source.select(*partition_cols).distinct()
     # semi-join on the partition columns -> dynamic partition pruning of the target scan
     target = existing.join(touched, partition_cols, "left_semi") if partition_cols else existing
-    merged = durable(upsert(target, source, keys, seq_col, guard=guard))
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    mark = "_from_batch"
+    merged = durable(upsert(target.withColumn(mark, F.lit(False)), source.withColumn(mark, F.lit(True)),
+                            keys, seq_col, guard=guard))
+    # counters observed on the write itself (a plain batch action, also inside foreachBatch)
+    obs = Observation("upsert_written")
+    (merged.observe(obs, F.count(F.lit(1)).alias("rows_written"),
+                    F.count(F.when(F.col(mark), 1)).alias("rows_from_batch"))
+        .drop(mark)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_cols).format(fmt).save(path))
-    return source.count()
+    return dict(obs.get)

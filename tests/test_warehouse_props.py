@@ -61,7 +61,8 @@ def test_upsert_into_path_touches_only_batch_partitions(spark):
     dedupe_latest(ev, keys, "event_id").write.partitionBy("event_type").parquet(path)
     before = rows(spark.read.parquet(path).where("event_type <> 'click'").select("event_id"))
     newer = ev.where("event_type = 'click'").withColumn("event_id", F.col("event_id") + 10_000_000)
-    upsert_into_path(spark, path, newer, keys, "event_id", ["event_type"])
+    m = upsert_into_path(spark, path, newer, keys, "event_id", ["event_type"])
+    assert m["rows_written"] == m["rows_from_batch"] > 0
     after = spark.read.parquet(path)
     assert rows(after.where("event_type <> 'click'").select("event_id")) == before
     assert after.where("event_type = 'click'").agg(F.min("event_id")).first()[0] >= 10_000_000
