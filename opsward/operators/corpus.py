@@ -127,3 +127,12 @@ def reconcile(manifest: DataFrame, catalog: DataFrame, key: str, alt_prefix: str
                F.when(F.col("c_path").startswith(alt_prefix), F.lit("alternate_folder")).otherwise(F.lit("path_mismatch"))),
         F.when(F.col("c_token").isNotNull() & (F.col("c_token") != F.col("token")), F.lit("token_mismatch")))
     return j.select(key, F.explode(F.filter(findings, lambda x: x.isNotNull())).alias("finding"))
+
+
+def write_objects(lines: DataFrame, path: str, chunk_lines: int = 4096) -> str:
+    """One DDL text per object, laid out ``<kind>/<schema>/`` (partitioned output, one row per object)."""
+    text = block_text(lines, chunk_lines)
+    schema, name = object_name(F.col("begin.b_text"))
+    (text.select(F.col("begin.b_kind").alias("object_type"), schema.alias("object_schema"), name.alias("object_name"), "ddl")
+         .write.mode("overwrite").partitionBy("object_type", "object_schema").parquet(path))
+    return path

@@ -151,3 +151,10 @@ def resolve_prefix(truncated: DataFrame, catalog: DataFrame, schema_col: str, na
         F.col("_s").alias(schema_col), F.col("_p").alias(trunc_col), "n_matches",
         F.when(F.col("n_matches") == 0, "none").when(F.col("n_matches") == 1, "unique").otherwise("ambiguous").alias("resolution"),
         F.when(F.col("n_matches") == 1, F.col("_first")).alias("resolved"))
+
+
+def export_exceptions(exceptions: DataFrame, path: str) -> str:
+    """Exception rows as delimited files (header, ISO timestamps) on shared storage."""
+    (exceptions.write.mode("overwrite").option("header", True)
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+    return path

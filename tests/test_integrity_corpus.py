@@ -125,3 +125,23 @@ def test_sql_refs_and_missing_fixture(spark):
     assert rows(refs.select("table_ref")) == [("S1.T1",), ("T2",), ("T3",)]
     cat = spark.createDataFrame([("S1", "T1"), ("S1", "T2"), ("S2", "T2"), ("S1", "T3")], "schema string, name string")
     assert rows(cp.missing_objects(refs, cat, ["S1", "S2"])) == [("S2", "T3")]
+
+
+def test_write_objects_partitioned(spark):
+    from opsward.session import scratch_path
+    lines = spark.createDataFrame([("f", i + 1, s) for i, s in enumerate(SCRIPT)], "file string, line_no int, line string")
+    path = cp.write_objects(lines, scratch_path(spark, "t-objects"))
+    back = spark.read.parquet(path)
+    got = rows(back.select("object_type", "object_schema", "object_name", "ddl"))
+    assert got == [("TABLE", "S1", "T1", 'CREATE TABLE "S1"."T1" (\n  A INT );'),
+                   ("VIEW", "UNQUAL", "V2", "CREATE OR REPLACE VIEW V2 AS SELECT 1")]
+
+
+def test_export_exceptions_roundtrip(spark):
+    from opsward.session import scratch_path
+    child = spark.createDataFrame([(1, 60.0), (2, 3.0)], "k long, q double")
+    tagged = ig.tag_violations(child, checks=[("ck", F.col("q") <= 50)])
+    _, exc = ig.divert(tagged, lit_ts(dt.datetime(2024, 1, 31)))
+    path = ig.export_exceptions(exc, scratch_path(spark, "t-exc"))
+    back = spark.read.schema("k long, q double, n1_timestamp timestamp_ntz, n2_info string").option("header", True).csv(path)
+    assert rows(back) == [(1, 60.0, dt.datetime(2024, 1, 31), "ck")]
