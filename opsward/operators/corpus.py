@@ -92,18 +92,23 @@ def block_text(lines: DataFrame, chunk_lines: int = 4096) -> DataFrame:
 
 SKIP_STATEMENTS = r"^\s*(OPEN|CLOSE|WHENEVER|FETCH|STOP)\b"
 CUT_KEYWORDS = r"\b(SELECT|WHERE|ORDER|GROUP|ON|HAVING|UNION|LEFT|RIGHT|INNER|OUTER|FULL|CROSS)\b"
+_ALL_CUTS = r"\b(SELECT|FROM|JOIN|WHERE|ORDER|GROUP|ON|HAVING|UNION|LEFT|RIGHT|INNER|OUTER|FULL|CROSS)\b"
 
 
 def table_refs(stmts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Table names after FROM / JOIN (comma lists, first token of each item), distinct per statement."""
+    """Table names after FROM / JOIN (comma lists, first token of each item), distinct per statement.
+
+    One regex pass cuts the text before every keyword; FROM/JOIN segments are
+    exploded (codegen-friendly Generate, no higher-order functions).
+    """
     s = F.upper(F.regexp_replace(F.col(text_col), r"\s+", " "))
-    marked = F.regexp_replace(F.regexp_replace(s, r"\b(FROM|JOIN)\b", "|@"), CUT_KEYWORDS, "|")
-    segs = F.filter(F.split(marked, r"\|"), lambda x: x.startswith("@"))
-    items = F.flatten(F.transform(segs, lambda seg: F.transform(
-        F.split(F.substring(seg, 2, 1 << 30), ","), lambda t: F.split_part(F.trim(t), F.lit(" "), F.lit(1)))))
-    return (stmts.where(~s.rlike(SKIP_STATEMENTS))
-            .select(F.col(id_col), F.explode(F.filter(items, lambda x: x != "")).alias("table_ref"))
-            .distinct())
+    cut = F.regexp_replace(s, _ALL_CUTS, "|$1")
+    segs = (stmts.where(~s.rlike(SKIP_STATEMENTS))
+            .select(F.col(id_col), F.explode(F.split(cut, r"\|")).alias("seg"))
+            .where(F.col("seg").startswith("FROM") | F.col("seg").startswith("JOIN")))
+    items = segs.select(id_col, F.explode(F.split(F.substring("seg", 5, 1 << 30), ",")).alias("it"))
+    tok = F.split_part(F.trim(F.col("it")), F.lit(" "), F.lit(1))
+    return items.select(id_col, tok.alias("table_ref")).where(F.col("table_ref") != "").distinct()
 
 
 def missing_objects(refs: DataFrame, catalog: DataFrame, schemas: list[str],
@@ -134,5 +139,6 @@ def write_objects(lines: DataFrame, path: str, chunk_lines: int = 4096) -> str:
     text = block_text(lines, chunk_lines)
     schema, name = object_name(F.col("begin.b_text"))
     (text.select(F.col("begin.b_kind").alias("object_type"), schema.alias("object_schema"), name.alias("object_name"), "ddl")
+         .hint("rebalance", "object_type", "object_schema")
          .write.mode("overwrite").partitionBy("object_type", "object_schema").parquet(path))
     return path

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import optional_source
+from ..sources.files import clustered, optional_source
 from .lineage import durable
 
 
@@ -82,7 +82,7 @@ def upsert_into_path(spark: SparkSession, path: str, source: DataFrame, keys: li
                             keys, seq_col, guard=guard))
     # counters observed on the write itself (a plain batch action, also inside foreachBatch)
     obs = Observation("upsert_written")
-    (merged.observe(obs, F.count(F.lit(1)).alias("rows_written"),
+    (clustered(merged, partition_cols).observe(obs, F.count(F.lit(1)).alias("rows_written"),
                     F.count(F.when(F.col(mark), 1)).alias("rows_from_batch"))
         .drop(mark)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -9,7 +9,7 @@ from ..functions.time import lit_ts, whole_days
 from ..operators import retention as rt
 from ..operators.upsert import dedupe_latest, merge_last_seen, upsert, upsert_into_path
 from ..session import scratch_path
-from ..sources.files import (keys_from_path, optional_source, read_typed_csv, scan_by_key_pattern,
+from ..sources.files import (clustered, keys_from_path, optional_source, read_typed_csv, scan_by_key_pattern,
                              write_csv)
 from ..sources.tables import table
 from ..streaming.ingest import ingest_drop_folder
@@ -128,9 +128,9 @@ def q_sink_export_roundtrip(spark, sf):
     """Per-feed file set, overwritten per partition: the second export replaces only partition P."""
     o = table(spark, sf, "orders")
     path = scratch_path(spark, "orders-export")
-    o.write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
+    clustered(o, ["o_orderstatus"]).write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
     newer = o.where((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") >= lit_ts("1998-01-01 00:00:00")))
-    (newer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (clustered(newer, ["o_orderstatus"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
           .partitionBy("o_orderstatus").parquet(path))
     back = spark.read.schema(o.schema).parquet(path)
     return back.select(*o.columns)
@@ -190,7 +190,7 @@ def q_scan_files_by_key(spark, sf):
     """Drop folder laid out by key; scan ``status=*/priority=1-URGENT`` (any part may be a wildcard)."""
     o = table(spark, sf, "orders")
     base = scratch_path(spark, "drop-keyed")
-    o.write.partitionBy("o_orderstatus", "o_orderpriority").parquet(base)
+    clustered(o, ["o_orderstatus", "o_orderpriority"]).write.partitionBy("o_orderstatus", "o_orderpriority").parquet(base)
     df = scan_by_key_pattern(spark, base, [("o_orderstatus", None), ("o_orderpriority", "1-URGENT")], o.schema)
     return df.select(*o.columns)
 
@@ -208,7 +208,7 @@ def q_keys_from_path(spark, sf):
                                                F.lower(F.regexp_replace("n_name", "_", "")),
                                                F.upper("c_mktsegment"), F.lit("customer")).alias("file_key")))
     base = scratch_path(spark, "drop-named")
-    named.write.partitionBy("file_key").parquet(base)
+    clustered(named, ["file_key"]).write.partitionBy("file_key").parquet(base)
     df = spark.read.schema("c_custkey BIGINT").parquet(f"{base}/*")
     k = keys_from_path(df, r"file_key=([^_/]+)_([^_/]+)_([^_/]+)_([^_/]+)/", ["host", "instance", "dbname", "feed"])
     return k.groupBy("host", "instance", "dbname", "feed").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -224,7 +224,7 @@ def q_next_snapshot_version(spark, sf):
     base = scratch_path(spark, "snapshots")
     snap = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("0101_"),
                     F.lpad(F.substring("o_orderpriority", 1, 1), 2, "0"))
-    o.select("o_orderkey", snap.alias("snap")).write.partitionBy("snap").parquet(base)
+    clustered(o.select("o_orderkey", snap.alias("snap")), ["snap"]).write.partitionBy("snap").parquet(base)
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
                .select(F.regexp_extract("path", r"snap=([^/]+)/", 1).alias("folder")).distinct())
     return rt.next_version(listing)
@@ -240,7 +240,7 @@ def q_upsert_keyed(spark, sf):
     """Keyed INSERT_UPDATE of a batch into a partitioned table on shared storage."""
     old, new = _slices(spark, sf)
     path = scratch_path(spark, "wh-events")
-    dedupe_latest(old, EVENT_KEYS, "event_id").write.partitionBy("event_type").parquet(path)
+    clustered(dedupe_latest(old, EVENT_KEYS, "event_id"), ["event_type"]).write.partitionBy("event_type").parquet(path)
     upsert_into_path(spark, path, new, EVENT_KEYS, "event_id", ["event_type"])
     return spark.read.parquet(path).select(*_events(spark, sf).columns)
 

@@ -20,8 +20,18 @@ def read_typed_csv(spark: SparkSession, path: str, schema: StructType | str, hea
     return reader.csv(path)
 
 
+def clustered(df: DataFrame, partition_cols: list[str]) -> DataFrame:
+    """Cluster rows by the output partition columns before a partitioned write.
+
+    ``REBALANCE`` keeps each folder's rows together (few files per folder instead
+    of one per task) and lets AQE split a folder that holds a skewed share.
+    """
+    return df.hint("rebalance", *partition_cols) if partition_cols else df
+
+
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    w = df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+    w = clustered(df, partition_by or []).write.mode("overwrite").option("header", True) \
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
