@@ -94,3 +94,20 @@ def split_in_chunks(spark: SparkSession, df: DataFrame, order_cols: list[str], n
     rn = (F.col("_off") + F.col("_lrn")).cast("long")
     size = F.floor(F.col("_total") / n_chunks) + extra
     return j.select(*df.columns, rn.alias("rn"), F.floor((rn - 1) / size).cast("int").alias("chunk"))
+
+
+def ordered_lists(spark: SparkSession, df: DataFrame, group_cols: list[str], item_col: str, max_items: int,
+                  sep: str = ",") -> DataFrame:
+    """Comma lists of ``item_col`` per group, in item order, cut into chunks of at most ``max_items``.
+
+    Ranks come from the global range numbering (no per-group window), minus the
+    group's first global number; each (group, chunk) list is bounded.
+    """
+    numbered = split_in_chunks(spark, df.select(*group_cols, item_col), [*group_cols, item_col], 1)
+    first = numbered.groupBy(*group_cols).agg(F.min("rn").alias("_first"))
+    ranked = numbered.join(first, group_cols).withColumn("_rank", F.col("rn") - F.col("_first"))
+    chunked = ranked.withColumn("chunk", F.floor(F.col("_rank") / max_items).cast("int"))
+    return chunked.groupBy(*group_cols, "chunk").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", item_col))), lambda s: s[item_col]), sep)
+        .alias("item_list"),
+        F.count(F.lit(1)).alias("n_items"))

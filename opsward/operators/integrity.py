@@ -144,9 +144,11 @@ def resolve_prefix(truncated: DataFrame, catalog: DataFrame, schema_col: str, na
     prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length(name), F.lit(width))),
                            lambda i: F.substring(name, 1, width).substr(F.lit(1), i))
     cat = catalog.select(F.col(schema_col).alias("_s"), name.alias("_name"), F.explode(prefixes).alias("_p"))
+    # candidates counted per (schema, prefix) before the join: the join is then one-to-one
+    cand = cat.groupBy("_s", "_p").agg(F.count("_name").alias("_n"), F.min("_name").alias("_first"))
     t = truncated.select(F.col(schema_col).alias("_s"), F.col(trunc_col).alias("_p")).distinct()
-    j = t.join(cat, ["_s", "_p"], "left")
-    agg = j.groupBy("_s", "_p").agg(F.count("_name").alias("n_matches"), F.min("_name").alias("_first"))
+    agg = t.join(cand, ["_s", "_p"], "left").select(
+        "_s", "_p", F.coalesce(F.col("_n"), F.lit(0)).alias("n_matches"), "_first")
     return agg.select(
         F.col("_s").alias(schema_col), F.col("_p").alias(trunc_col), "n_matches",
         F.when(F.col("n_matches") == 0, "none").when(F.col("n_matches") == 1, "unique").otherwise("ambiguous").alias("resolution"),

@@ -177,13 +177,19 @@ def q_catalog_valid_tables(spark, sf):
         .select("tabschema", "tabname")
 
 
-@register("list_per_group", "WITH " + SUPP_CAT_SQL + """
-SELECT tabschema, string_agg(tabname, ',' ORDER BY tabname) AS table_list, count(*) AS n_tables FROM sc GROUP BY tabschema""")
+LIST_CHUNK = 1000
+
+
+@register("list_per_group", "WITH " + SUPP_CAT_SQL + f"""
+SELECT tabschema, chunk, string_agg(tabname, ',' ORDER BY tabname) AS table_list, count(*) AS n_tables FROM (
+  SELECT tabschema, tabname, CAST((row_number() OVER (PARTITION BY tabschema ORDER BY tabname) - 1) // {LIST_CHUNK} AS INTEGER) AS chunk
+  FROM sc)
+GROUP BY tabschema, chunk""")
 def q_list_per_group(spark, sf):
-    """Comma list of a schema's tables in name order (catalog-sized groups)."""
+    """Comma list of a schema's tables in name order, in chunks of at most 1000 names."""
     c = _supplier_catalog(spark, sf)
-    return c.groupBy("tabschema").agg(F.listagg("tabname", ",").alias("_l"), F.count(F.lit(1)).alias("n_tables")) \
-        .select("tabschema", F.array_join(F.array_sort(F.split("_l", ",")), ",").alias("table_list"), "n_tables")
+    out = ct.ordered_lists(spark, c, ["tabschema"], "tabname", LIST_CHUNK)
+    return out.select("tabschema", "chunk", F.col("item_list").alias("table_list"), F.col("n_items").alias("n_tables"))
 
 
 @register("unpivot_distinct", """

@@ -82,3 +82,14 @@ def test_split_in_chunks_numbers_densely(spark):
     size = 1000 // 4 + 10
     assert all(r.chunk == (r.rn - 1) // size for r in out)
     assert all(r.rn == r.k + 1 for r in out)
+
+
+def test_ordered_lists_chunked(spark):
+    from opsward.operators.catalog import ordered_lists
+    data = [("a", f"t{i:03d}") for i in range(25)] + [("b", "x"), ("b", "w")]
+    df = spark.createDataFrame(data, "g string, name string")
+    got = rows(ordered_lists(spark, df, ["g"], "name", 10).select("g", "chunk", "item_list", "n_items"))
+    assert got == [("a", 0, ",".join(f"t{i:03d}" for i in range(10)), 10),
+                   ("a", 1, ",".join(f"t{i:03d}" for i in range(10, 20)), 10),
+                   ("a", 2, ",".join(f"t{i:03d}" for i in range(20, 25)), 5),
+                   ("b", 0, "w,x", 2)]
