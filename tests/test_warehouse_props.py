@@ -93,3 +93,28 @@ def test_ordered_lists_chunked(spark):
                    ("a", 1, ",".join(f"t{i:03d}" for i in range(10, 20)), 10),
                    ("a", 2, ",".join(f"t{i:03d}" for i in range(20, 25)), 5),
                    ("b", 0, "w,x", 2)]
+
+
+def test_feed_registry_last_seen_and_upsert(spark):
+    import datetime as _dt
+    from opsward.sources.feeds import FEEDS, load_batch, scan_slice, stamp
+    conn = FEEDS["connection_info"]
+    cols = [k for k in conn.keys if k not in ("hostname", "instancename", "dbname")]
+    live1 = spark.createDataFrame([tuple(["a"] + [None] * (len(cols) - 1))], ", ".join(f"{c} string" for c in cols))
+    path = scratch_path(spark, "t-conn")
+    b1 = stamp(live1, conn, "h1", "INST1", "db1", _dt.datetime(2024, 1, 1))
+    load_batch(spark, conn, path, b1)
+    b2 = stamp(live1, conn, "h1", "INST1", "db1", _dt.datetime(2024, 1, 5))
+    load_batch(spark, conn, path, b2)
+    back = spark.read.parquet(path)
+    assert back.count() == 1
+    assert back.first()["capture_timestamp"] == _dt.datetime(2024, 1, 5)
+    assert back.first()["instancename"] == "inst1" and back.first()["dbname"] == "DB1"
+
+    tbl = FEEDS["table_cumul"]
+    rows1 = spark.createDataFrame([("T1", "S", 0, 10), ("T2", "S", 0, 20)], "tabname string, tabschema string, member int, rows_read long")
+    p2 = scratch_path(spark, "t-tbl")
+    load_batch(spark, tbl, p2, stamp(rows1, tbl, "h1", "i1", "db1", _dt.datetime(2024, 1, 1)))
+    again = load_batch(spark, tbl, p2, stamp(rows1, tbl, "h1", "i1", "db1", _dt.datetime(2024, 1, 1)))
+    assert again["rows_written"] == 2
+    assert scan_slice(spark.read.parquet(p2), tbl, hostname="h1", dbname="db1").count() == 2
