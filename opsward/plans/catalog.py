@@ -40,7 +40,7 @@ FREQ_COLS = ["l_returnflag", "l_linestatus", "l_quantity", "l_suppkey", "l_shipd
 TOP_K = 3
 
 
-@register("frequent_values", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value ASC NULLS LAST) AS rank FROM ("
+@register("frequent_values", "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value ASC NULLS LAST) AS INTEGER) AS rank FROM ("
           + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 2"
                                for c in FREQ_COLS) + f")) WHERE rank <= {TOP_K}")
 def q_frequent_values(spark, sf):

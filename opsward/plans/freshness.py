@@ -366,7 +366,7 @@ def _sql_register():
     ORACLE["rule_resolve"] = full + "SELECT entity_id, kind, line_no, warn_h, crit_h, dow FROM resolved"
     ORACLE["exclusions_resolve"] = with_sql(*BASE, RESOLVED_SQL, EXCL_SQL) + "SELECT * FROM exclusions"
     ORACLE["dow_eligibility"] = full + f"""
-SELECT h.event_id, h.entity_id, r.line_no, r.dow, isodow(CAST(h.start_time AS DATE)) AS day_of_week,
+SELECT h.event_id, h.entity_id, r.line_no, r.dow, CAST(isodow(CAST(h.start_time AS DATE)) AS INTEGER) AS day_of_week,
        {dow_matches_sql('r.dow', 'isodow(CAST(h.start_time AS DATE))')} AS eligible
 FROM history h JOIN resolved r ON h.entity_id = r.entity_id AND r.kind = 'regular'
 WHERE h.operation = 'B'"""
