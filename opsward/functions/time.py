@@ -12,9 +12,12 @@ ISO = "yyyy-MM-dd HH:mm:ss"
 
 
 def lit_ts(value: dt.datetime | str) -> Column:
-    """A TIMESTAMP_NTZ literal (no zone appears anywhere in the data)."""
-    if isinstance(value, str):
-        value = dt.datetime.fromisoformat(value)
+    """A TIMESTAMP_NTZ literal (no zone appears anywhere in the data).
+
+    Built from ISO text so the session and process time zones never shift it.
+    """
+    if isinstance(value, dt.datetime):
+        value = value.isoformat(sep=" ")
     return F.lit(value).cast("timestamp_ntz")
 
 
