@@ -154,6 +154,23 @@ def threshold_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
     return read_lines(spark, materialized(spark, f"rules-threshold:{sf}", build))
 
 
+# Per-database overrides appended after the rule file (kept as a line table, not one text file,
+# because their number grows with the inventory): one line per well-funded customer database.
+OVERRIDE_LINE_BASE = 1000
+OVERRIDE_MIN_BALANCE = 9000
+
+
+def override_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
+    c, n, r = table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region")
+    w = F.floor(F.col("c_acctbal") / 1000).cast("int")
+    return (c.where(F.col("c_acctbal") > OVERRIDE_MIN_BALANCE)
+             .join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+             .select(F.lit("db-overrides").alias("file"), (F.col("c_custkey") + OVERRIDE_LINE_BASE).cast("int").alias("line_no"),
+                     F.concat_ws(":", F.lower("r_name"), F.lower(F.regexp_replace("n_name", "_", "")), F.lower("c_mktsegment"),
+                                 F.lit("*"), F.lit("regular"),
+                                 F.concat((w + 24).cast("string"), F.lit(";"), (w + 96).cast("string"))).alias("line")))
+
+
 def _values_sql(rows: list[tuple]) -> str:
     def q(v):
         return "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v)
@@ -176,7 +193,14 @@ THRESHOLD_LINES_SQL = f"""rule_lines AS (
   SELECT n.n_nationkey - 20 + {DB_LINE_BASE},
          concat_ws(':', lower(r.r_name), lower(replace(n.n_name, '_', '')), 'machinery', '*', 'regular',
                    CAST(n.n_nationkey + 6 AS VARCHAR) || ';' || CAST(n.n_nationkey + 30 AS VARCHAR))
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey >= 20)"""
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey >= 20
+  UNION ALL
+  SELECT c.c_custkey + {OVERRIDE_LINE_BASE},
+         concat_ws(':', lower(r.r_name), lower(replace(n.n_name, '_', '')), lower(c.c_mktsegment), '*', 'regular',
+                   CAST(CAST(floor(c.c_acctbal / 1000) AS INTEGER) + 24 AS VARCHAR) || ';' ||
+                   CAST(CAST(floor(c.c_acctbal / 1000) AS INTEGER) + 96 AS VARCHAR))
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  WHERE c.c_acctbal > {OVERRIDE_MIN_BALANCE})"""
 
 # DuckDB twin of sources.rules.parse_threshold_rules over ``rule_lines``.
 PARSED_RULES_SQL = """parsed_rules AS (
