@@ -29,13 +29,14 @@ def lookup_keys(host: Column, instance: Column, dbname: Column) -> Column:
 
 def resolve(entities: DataFrame, rules: DataFrame, entity_cols: list[str], value_cols: list[str],
             match_cols: list[str] | None = None, host: str = "host", instance: str = "instance",
-            dbname: str = "dbname", how: str = "last") -> DataFrame:
+            dbname: str = "dbname", how: str = "last", max_broadcast_rows: int | None = None) -> DataFrame:
     """Resolve one rule per entity (and per ``match_cols`` such as the check kind).
 
     ``rules`` carries ``host, instance, dbname, line_no`` (lower-cased, '*' =
     any), the ``match_cols`` and the ``value_cols``.  ``how='last'`` keeps the
     most specific, last line; ``how='concat'`` keeps, per level, the last line
-    and concatenates the levels' comma lists (exclusion lists).
+    and concatenates the levels' comma lists (exclusion lists).  The rule side is
+    broadcast only when its counted size is within ``max_broadcast_rows``.
     """
     match_cols = match_cols or []
     keyed = entities.select(*entity_cols, *match_cols, F.explode(lookup_keys(F.col(host), F.col(instance), F.col(dbname))).alias("k")) \
@@ -43,7 +44,9 @@ def resolve(entities: DataFrame, rules: DataFrame, entity_cols: list[str], value
     r = rules.select(
         F.col("host").alias("k_host"), F.col("instance").alias("k_instance"), F.col("dbname").alias("k_db"),
         *match_cols, "line_no", *value_cols)
-    cand = keyed.join(bounded_broadcast(r), ["k_host", "k_instance", "k_db", *match_cols], "inner")
+    rb = bounded_broadcast(r) if max_broadcast_rows is None else bounded_broadcast(r, max_broadcast_rows)
+    # beyond the bound: a shuffle join; the '*' lookup keys are hot, AQE splits those partitions
+    cand = keyed.join(rb, ["k_host", "k_instance", "k_db", *match_cols], "inner")
     if how == "last":
         best = F.max_by(F.struct(F.col("line_no"), *[F.col(c) for c in value_cols]),
                         F.struct(F.col("spec"), F.col("line_no")))

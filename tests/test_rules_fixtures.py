@@ -157,3 +157,17 @@ def test_purge_partition(spark):
 def test_next_version(spark):
     df = spark.createDataFrame([("20240101_00",), ("20240101_03",), ("20240102_00",), ("junk",)], "folder string")
     assert rows(rt.next_version(df)) == [("20240101", "20240101_04"), ("20240102", "20240102_01")]
+
+
+def test_resolution_without_broadcast_is_identical(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ent = spark.createDataFrame(CASES, "case_id int, host string, instance string, dbname string, day int, kind string")
+        cols = ["case_id", "host", "instance", "dbname", "day"]
+        small = resolve(ent, _rules(spark, RULES), cols, ["warn_h", "crit_h", "dow"], match_cols=["kind"], max_broadcast_rows=1)
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+        big = resolve(ent, _rules(spark, RULES), cols, ["warn_h", "crit_h", "dow"], match_cols=["kind"])
+        assert rows(small) == rows(big)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
