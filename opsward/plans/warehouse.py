@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions.time import lit_ts, whole_days
 from ..operators import retention as rt
-from ..operators.upsert import dedupe_latest, merge_last_seen, upsert, upsert_into_path
+from ..operators.upsert import dedupe_latest, merge_last_seen, upsert_into_path
 from ..session import scratch_path
 from ..sources.files import (clustered, keys_from_path, optional_source, read_typed_csv, scan_by_key_pattern,
                              write_csv)
