@@ -3,8 +3,9 @@
 Block extraction is a segmented scan over ``(file, line_no, line)``.  A line
 belongs to the block opened by the latest begin line at or before it, unless an
 end marker came in between.  Both "latest" values are running maxima, computed
-in bounded chunks of ``chunk_lines`` lines plus a carry-in from earlier chunks,
-so a single huge script never becomes one window partition.
+in bounded chunks of ``chunk_lines`` lines plus a carry-in from earlier chunks
+that is itself a hierarchical scan, so no window partition is ever larger than
+a chunk or ``fanout`` rows, even for a single huge script.
 """
 
 from __future__ import annotations
@@ -46,7 +47,31 @@ def object_name(begin_text: Column) -> tuple[Column, Column]:
     return schema, name
 
 
-def block_lines(lines: DataFrame, chunk_lines: int = 4096) -> DataFrame:
+def exclusive_prefix_max(df: DataFrame, part_cols: list[str], pos_col: str, value_cols: list[str],
+                         fanout: int = 4096, levels: int = 2) -> DataFrame:
+    """Per row: the max of ``value_cols`` over rows of the same partition with a smaller ``pos_col``.
+
+    Hierarchical scan: positions are grouped in blocks of ``fanout``; inside a
+    block a window covers at most ``fanout`` rows, and the carry from earlier
+    blocks is the same computation one level up on per-block maxima.  With
+    ``levels`` levels the top window spans ``rows / fanout**levels`` rows.
+    Output: ``part_cols, pos_col, in_<value>``.
+    """
+    if levels <= 0:
+        w = Window.partitionBy(*part_cols).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*part_cols, pos_col, *[F.max(c).over(w).alias(f"in_{c}") for c in value_cols])
+    blk = f"_blk{levels}"
+    d = df.select(*part_cols, pos_col, *value_cols, F.floor(F.col(pos_col) / fanout).alias(blk))
+    w = Window.partitionBy(*part_cols, blk).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.select(*part_cols, pos_col, blk, *[F.max(c).over(w).alias(f"_l_{c}") for c in value_cols])
+    totals = d.groupBy(*part_cols, blk).agg(*[F.max(c).alias(c) for c in value_cols])
+    carry = exclusive_prefix_max(totals, part_cols, blk, value_cols, fanout, levels - 1)
+    j = local.join(carry, [*part_cols, blk], "left")
+    return j.select(*part_cols, pos_col, *[F.greatest(F.col(f"_l_{c}"), F.col(f"in_{c}")).alias(f"in_{c}")
+                                           for c in value_cols])
+
+
+def block_lines(lines: DataFrame, chunk_lines: int = 4096, fanout: int = 4096) -> DataFrame:
     """Lines that belong to a block, with the block's begin ``(line_no, kind, text)``."""
     ln = F.col("line_no")
     kind = block_kind(F.col("line"))
@@ -57,11 +82,10 @@ def block_lines(lines: DataFrame, chunk_lines: int = 4096) -> DataFrame:
         F.when(F.col("line").rlike(END_MARKER), ln).alias("end_at"),
         (F.trim(F.col("line")) == "").alias("blank"),
         F.trim(F.col("line")).startswith("--").alias("comment"))
-    # carry-in from earlier chunks of the same file (one row per chunk, not per line)
+    # carry-in from earlier chunks of the same file: one row per chunk, scanned hierarchically
     stats = d.groupBy("file", "chunk").agg(F.max("beg").alias("c_beg"), F.max("end_at").alias("c_end"))
-    wprev = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = stats.select("file", "chunk", F.max("c_beg").over(wprev).alias("in_beg"),
-                         F.max("c_end").over(wprev).alias("in_end"))
+    carry = exclusive_prefix_max(stats, ["file"], "chunk", ["c_beg", "c_end"], fanout).select(
+        "file", "chunk", F.col("in_c_beg").alias("in_beg"), F.col("in_c_end").alias("in_end"))
     w = Window.partitionBy("file", "chunk").orderBy("line_no")
     run_beg = F.max("beg").over(w.rowsBetween(Window.unboundedPreceding, 0))
     run_end = F.max("end_at").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -74,9 +98,9 @@ def block_lines(lines: DataFrame, chunk_lines: int = 4096) -> DataFrame:
     return j.where(member).select("file", "line_no", "line", beg.alias("begin"))
 
 
-def extract_blocks(lines: DataFrame, chunk_lines: int = 4096) -> DataFrame:
+def extract_blocks(lines: DataFrame, chunk_lines: int = 4096, fanout: int = 4096) -> DataFrame:
     """One record per object: file, begin line, kind, schema, name, number of lines."""
-    b = block_lines(lines, chunk_lines)
+    b = block_lines(lines, chunk_lines, fanout)
     blocks = b.groupBy("file", "begin").agg(F.count(F.lit(1)).alias("n_lines"))
     schema, name = object_name(F.col("begin.b_text"))
     return blocks.select("file", F.col("begin.b_line").alias("begin_line"), F.col("begin.b_kind").alias("kind"),

@@ -116,6 +116,20 @@ def test_block_extraction_across_chunks(spark):
     lines = spark.createDataFrame(data, "file string, line_no int, line string")
     got = rows(cp.extract_blocks(lines, chunk_lines=16).select("name", "n_lines"))
     assert got == [("T%d" % r, 41) for r in range(5)]
+    # tiny fan-out: the carry itself goes through several levels
+    got2 = rows(cp.extract_blocks(lines, chunk_lines=8, fanout=3).select("name", "n_lines"))
+    assert got2 == got
+
+
+def test_exclusive_prefix_max_matches_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    data = [(f, p, rnd.choice([None, rnd.randint(0, 1000)])) for f in ("a", "b") for p in range(200)]
+    df = spark.createDataFrame(data, "f string, p int, v int")
+    got = {(r.f, r.p): r.in_v for r in cp.exclusive_prefix_max(df, ["f"], "p", ["v"], fanout=4, levels=3).collect()}
+    for f, p, _ in data:
+        prev = [v for ff, pp, v in data if ff == f and pp < p and v is not None]
+        assert got[(f, p)] == (max(prev) if prev else None)
 
 
 def test_sql_refs_and_missing_fixture(spark):
