@@ -160,8 +160,14 @@ def q_freshness_status_fixed(spark, sf):
     e = entities(spark, sf).select("entity_id")
     age = whole_hours(F.col("latest_time"), as_of_events())
     code = st.fixed_freshness_code(age)
-    return e.join(last, "entity_id", "left").select("entity_id", age.alias("age_hours"), code.alias("status_code"),
-                                                    st.status_text(code).alias("status_text"))
+    j = e.join(last, "entity_id", "left")
+    h = F.coalesce(age.cast("string"), F.lit("0"))
+    # the simple check decides on 100/200 hours but prints 48;120 as its thresholds
+    line = st.status_line(code, F.concat(F.lit("Age_last_backup_"), F.col("entity_id").cast("string")),
+                          F.concat(F.lit("age_hours="), h, F.lit(";48;120;0;")),
+                          F.concat(h, F.lit(" hours since last "), F.col("entity_id").cast("string"), F.lit(" full backup")))
+    return j.select("entity_id", age.alias("age_hours"), code.alias("status_code"),
+                    st.status_text(code).alias("status_text"), line.alias("line"))
 
 
 @register("status_lines")
@@ -392,7 +398,10 @@ GROUP BY entity_id"""
     ORACLE["freshness_status"] = status_full + \
         "SELECT entity_id, kind, age_hours, warn_h, crit_h, status_code, status_text FROM status3"
     ORACLE["freshness_status_fixed"] = with_sql(ENTITIES_SQL, HISTORY_SQL) + f"""
-SELECT entity_id, age_hours, status_code, {STATUS_TEXT_SQL.format(c='status_code')} AS status_text FROM (
+SELECT entity_id, age_hours, status_code, {STATUS_TEXT_SQL.format(c='status_code')} AS status_text,
+  CAST(status_code AS VARCHAR) || ' Age_last_backup_' || CAST(entity_id AS VARCHAR) || ' age_hours=' ||
+  coalesce(CAST(age_hours AS VARCHAR), '0') || ';48;120;0; ' || {STATUS_TEXT_SQL.format(c='status_code')} || ' - ' ||
+  coalesce(CAST(age_hours AS VARCHAR), '0') || ' hours since last ' || CAST(entity_id AS VARCHAR) || ' full backup' AS line FROM (
   SELECT e.entity_id, {AGE.format(t='b.latest_time')} AS age_hours,
          CASE WHEN b.latest_time IS NULL THEN 2 WHEN {AGE.format(t='b.latest_time')} < 100 THEN 0
               WHEN {AGE.format(t='b.latest_time')} < 200 THEN 1 ELSE 2 END AS status_code
