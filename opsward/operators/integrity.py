@@ -108,29 +108,40 @@ def pending_set(catalog: DataFrame, refs: DataFrame, limit: int = 50) -> DataFra
 
 
 def closure(spark: SparkSession, start: DataFrame, edges: DataFrame, max_rounds: int = 500,
-            node: str = "name", child: str = "child", parent: str = "parent") -> DataFrame:
+            node: str = "name", child: str = "child", parent: str = "parent",
+            checkpoint_every: int = 4) -> DataFrame:
     """All nodes reachable from ``start`` along child->parent edges, with their BFS depth.
 
-    Frontier iteration: each round joins only the new frontier with the (cached)
-    edges and anti-joins what is already reached.  Every frontier is cut from its
-    lineage with a durable checkpoint, so ``reached`` is a union of checkpointed
-    pieces; only the frontier's emptiness reaches the driver.
+    Frontier iteration: each round joins only the new frontier with the (cached,
+    pre-partitioned) edges and anti-joins what is already reached.  Frontiers are
+    persisted; every ``checkpoint_every`` rounds (and at the end) the reached set
+    is cut from its lineage with a durable checkpoint, so plans stay small and a
+    lost executor recomputes at most a few rounds.  Only the frontier's
+    emptiness reaches the driver.
     """
     # hash-partitioned once by the join key and cached: later rounds only shuffle the frontier
     e = (edges.select(F.col(child).alias("name"), F.col(parent).alias("next")).distinct()
          .repartition("name").persist(StorageLevel.MEMORY_AND_DISK))
     frontier = durable(start.select(F.col(node).alias("name")).distinct().withColumn("depth", F.lit(0)))
     reached = frontier
+    cached = []
     for r in range(1, max_rounds + 1):
-        nxt = durable(frontier.join(e, "name").select(F.col("next").alias("name")).distinct()
-                      .join(reached.select("name"), "name", "left_anti")
-                      .withColumn("depth", F.lit(r)))
+        nxt = (frontier.join(e, "name").select(F.col("next").alias("name")).distinct()
+               .join(reached.select("name"), "name", "left_anti")
+               .withColumn("depth", F.lit(r))).persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(nxt)
         if nxt.isEmpty():
             break
         reached = reached.unionByName(nxt)
         frontier = nxt
+        if r % checkpoint_every == 0:
+            reached = durable(reached)
+            frontier = reached.where(F.col("depth") == r)
+    out = durable(reached)
+    for c in cached:
+        c.unpersist()
     e.unpersist()
-    return reached
+    return out
 
 
 def resolve_prefix(truncated: DataFrame, catalog: DataFrame, schema_col: str, name_col: str,

@@ -159,3 +159,13 @@ def test_export_exceptions_roundtrip(spark):
     path = ig.export_exceptions(exc, scratch_path(spark, "t-exc"))
     back = spark.read.schema("k long, q double, n1_timestamp timestamp_ntz, n2_info string").option("header", True).csv(path)
     assert rows(back) == [(1, 60.0, dt.datetime(2024, 1, 31), "ck")]
+
+
+def test_closure_long_chain_with_periodic_checkpoints(spark):
+    n = 11
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(n)] + [("n3", "n7")], "child string, parent string")
+    start = spark.createDataFrame([("n0",)], "name string")
+    got = dict(ig.closure(spark, start, edges, checkpoint_every=2).select("name", "depth").collect())
+    expect = {f"n{i}": i for i in range(4)}
+    expect.update({"n4": 4, "n7": 4, "n5": 5, "n8": 5, "n6": 6, "n9": 6, "n10": 7, "n11": 8})
+    assert got == expect
