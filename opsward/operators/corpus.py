@@ -82,15 +82,17 @@ def block_lines(lines: DataFrame, chunk_lines: int = 4096, fanout: int = 4096) -
         F.when(F.col("line").rlike(END_MARKER), ln).alias("end_at"),
         (F.trim(F.col("line")) == "").alias("blank"),
         F.trim(F.col("line")).startswith("--").alias("comment"))
-    # carry-in from earlier chunks of the same file: one row per chunk, scanned hierarchically
-    stats = d.groupBy("file", "chunk").agg(F.max("beg").alias("c_beg"), F.max("end_at").alias("c_end"))
-    carry = exclusive_prefix_max(stats, ["file"], "chunk", ["c_beg", "c_end"], fanout).select(
-        "file", "chunk", F.col("in_c_beg").alias("in_beg"), F.col("in_c_end").alias("in_end"))
     w = Window.partitionBy("file", "chunk").orderBy("line_no")
     run_beg = F.max("beg").over(w.rowsBetween(Window.unboundedPreceding, 0))
     run_end = F.max("end_at").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    local = d.select("file", "line_no", "line", "chunk", "blank", "comment",
+    local = d.select("file", "line_no", "line", "chunk", "blank", "comment", "beg", "end_at",
                      run_beg.alias("r_beg"), run_end.alias("r_end"))
+    # carry-in from earlier chunks of the same file: one row per chunk, scanned hierarchically.
+    # Derived from the windowed lines (already clustered by file, chunk), so the lines are
+    # classified and shuffled once and both branches reuse that exchange.
+    stats = local.groupBy("file", "chunk").agg(F.max("beg").alias("c_beg"), F.max("end_at").alias("c_end"))
+    carry = exclusive_prefix_max(stats, ["file"], "chunk", ["c_beg", "c_end"], fanout).select(
+        "file", "chunk", F.col("in_c_beg").alias("in_beg"), F.col("in_c_end").alias("in_end"))
     j = local.join(carry, ["file", "chunk"], "left")
     beg = F.greatest(F.col("r_beg"), F.col("in_beg"))
     end = F.greatest(F.col("r_end"), F.col("in_end"))
