@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import mixing, repetition, warc
 
 QUERIES = {
+    "op1_repetition": repetition.op1_repetition,
     "op4_warc": warc.op4_warc,
     "op5_mixing": mixing.op5_mixing,
 }
 
 ORACLE = {
+    "op1_repetition": repetition.SQL,
     "op4_warc": warc.SQL,
     "op5_mixing": mixing.SQL,
 }
