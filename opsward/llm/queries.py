@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, repetition, warc
+from . import mixing, repetition, secrets, warc
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
     "op4_warc": warc.op4_warc,
     "op5_mixing": mixing.op5_mixing,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE = {
