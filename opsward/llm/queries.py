@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, repetition, secrets, warc
+from . import bpe, mixing, rans, repetition, secrets, warc
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
+    "op2_rans": rans.op2_rans,
+    "op3_bpe": bpe.op3_bpe,
     "op4_warc": warc.op4_warc,
     "op5_mixing": mixing.op5_mixing,
     "op10_secrets": secrets.op10_secrets,
