@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, rans, repetition, secrets, warc
+from . import bpe, langid, mixing, rans, repetition, secrets, toxicity, warc
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_warc": warc.op4_warc,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_langid": langid.op7_langid,
     "op10_secrets": secrets.op10_secrets,
 }
