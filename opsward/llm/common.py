@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,30 @@ def text_slices(batch: pa.RecordBatch, max_chars: int = 2_000_000, text: str = "
         yield batch.slice(start), texts[start:]
 
 
+def byte_slices(batch: pa.RecordBatch, max_bytes: int = 8_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Consecutive row ranges of a batch with at most ``max_bytes`` of text each (one row at least)."""
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+    ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + max_bytes, side="right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of texts (null: none): the distinct ones, the number of each word in reading order, words per text."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    coded = pc.dictionary_encode(split.flatten())
+    distinct = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy(zero_copy_only=False) if len(owner) else np.zeros(0, np.int32)
+    if "" in distinct:  # beside leading or trailing white space
+        keep = codes != distinct.index("")
+        owner, codes = owner[keep], codes[keep]
+    return distinct, codes, np.bincount(owner, minlength=len(texts))
+
+
 def ragged_positions(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Concatenation of ``arange(starts[i], starts[i] + lens[i])``."""
     total = int(lens.sum())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, pq_neardup, rans, repetition, secrets, toxicity, warc
+from . import bpe, langid, mixing, ngram_join, pq_neardup, rans, repetition, secrets, toxicity, warc
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_langid": langid.op7_langid,
+    "op8_jaccard": ngram_join.op8_jaccard,
     "op9_pq": pq_neardup.op9_pq,
     "op10_secrets": secrets.op10_secrets,
 }
