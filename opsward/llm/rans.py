@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,20 +39,21 @@ from pyspark.sql import functions as F
 
 from opsward.session import scratch_path
 
-from .common import ragged_positions, read, text_slices
+from .common import byte_slices, ragged_positions, read
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-PROB_BITS = 20
-LANES = 512
-BLOCK_TOKENS = 131_072
+PROB_BITS = 18
+LANES = 1024
+BLOCK_TOKENS = 262_144
 CHECK_STEPS = 128
 LOW = np.uint64(1 << 31)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
+JOINED = 128
 HEAD = struct.Struct("<4sHHHII")
 BLOCKS = ("shard int, block int, n_tokens long, payload binary, doc_ids array<long>, doc_starts array<long>, "
           "before array<long>, here array<long>, after array<long>")
-PIECES = "shard int, doc_start long, doc_id long, n long, crc long, whole boolean"
+PIECES = "shard int, doc_start long, doc_id long, n long, crc long"
 
 
 class WordEncoder:
@@ -65,61 +67,98 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
-        self.stops = {p: self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in (b",", b".")}
+        self.stops = {p: self.tokenizer.encode(p, add_special_tokens=False).ids for p in (",", ".")}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
         self.reset()
 
     def reset(self):
-        self.words: dict[bytes, int] = {}
+        self.words: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.at = np.zeros(0, np.int64)
         self.len = np.zeros(0, np.int64)
 
-    def _extend(self, ids: list[list[int]]):
-        lens = np.array([len(x) for x in ids], np.int64)
-        self.at = np.r_[self.at, len(self.flat) + np.cumsum(lens) - lens]
-        self.len = np.r_[self.len, lens]
-        self.flat = np.r_[self.flat, np.array([i for x in ids for i in x], np.uint32)]
-
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has."""
+    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has. Words of letters go ``JOINED`` to a line, parted at the
+        ids that end a word; a line where that leaves another number of words is encoded word by word."""
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        lines = [plain[i: i + JOINED] for i in range(0, len(plain), JOINED)]
+        got = self.tokenizer.encode_batch_fast(["\n".join([words[i] for i in x]) for x in lines], add_special_tokens=False)
+        alone = [i for i, w in enumerate(words) if not w.isalpha()]
+        order, flat, lens = [], [], []
+        for line, e in zip(lines, got):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(line):
+                order += line
+                flat.append(ids)
+                lens.append(np.diff(np.r_[0, cut]))
+            else:
+                alone += line
+        if alone:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)]
+            order += alone
+            flat.append(np.array([t for x in got for t in x], np.uint32))
+            lens.append(np.array([len(x) for x in got], np.int64))
+        if not order:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, n = np.concatenate(flat), np.concatenate(lens)
+        back = np.argsort(np.array(order))
+        return ids[ragged_positions((np.cumsum(n) - n)[back], n[back])], n[back]
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds words to the cache. A full stop or comma after a letter is a piece of its own, so such a word is its
+        stem's ids and the mark's."""
+        stopped = [w for w in new if w[-1] in ",." and "a" <= w[-2:-1] <= "z"]
+        marked = set(stopped)
+        stems = list(dict.fromkeys([w for w in new if w not in marked] + [x for w in stopped if (x := w[:-1]) not in self.words]))
+        ids, lens = self._distinct(stems)
+        self.words.update(zip(stems, range(len(self.at), len(self.at) + len(stems))))
+        self._append(ids, lens)
+        if stopped:
+            stem = np.array([self.words[w[:-1]] for w in stopped])
+            tail = [self.stops[w[-1]] for w in stopped]
+            lens = self.len[stem] + np.array([len(x) for x in tail])
+            ids = np.zeros(int(lens.sum()), np.uint32)
+            ends = np.cumsum(lens)
+            body = np.ones(len(ids), bool)
+            mark = ragged_positions(ends - np.array([len(x) for x in tail]), np.array([len(x) for x in tail]))
+            body[mark] = False
+            ids[mark] = [t for x in tail for t in x]
+            ids[body] = self.flat[ragged_positions(self.at[stem], self.len[stem])]
+            self.words.update(zip(stopped, range(len(self.at), len(self.at) + len(stopped))))
+            self._append(ids, lens)
+
+    def _append(self, ids, lens):
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(lens) - lens])
+        self.len = np.concatenate([self.len, lens])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (an Arrow array or a list) in a row, and how many each has."""
         if len(self.words) > CACHE_WORDS:
             self.reset()
-        words, new, stopped, row, n = self.words, [], [], [], []
-        for t in texts:
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            if b"<|" not in raw:  # else special tokens, which are case-sensitive
-                raw = raw.lower()
-            mine = raw.split()
-            n.append(len(mine))
-            row += mine
-        for w in set(row).difference(words):
-            if w in words:
-                continue
-            c = words[w] = len(words)
-            # a full stop or comma after a letter is a piece of its own
-            if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122:
-                stopped.append((c, w))
-                if w[:-1] not in words:
-                    words[w[:-1]] = len(words)
-                    new.append((words[w[:-1]], w[:-1]))
-            else:
-                new.append((c, w))
-        if new or stopped:
-            base = len(self.at)
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for _, w in new], add_special_tokens=False)
-            ids: list = [None] * (len(words) - base)
-            for (c, _), e in zip(new, got):
-                ids[c - base] = e.ids
-            for c, w in stopped:
-                i = words[w[:-1]]
-                stem = ids[i - base] if i >= base else self.flat[self.at[i]: self.at[i] + self.len[i]].tolist()
-                ids[c - base] = stem + self.stops[w[-1:]]
-            self._extend(ids)
-        codes = np.fromiter(map(words.__getitem__, row), np.int64, len(row))
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        # special tokens are case-sensitive; all else is lower-cased anyway
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        coded = pc.dictionary_encode(split.flatten())
+        distinct = coded.dictionary.to_pylist()
+        known = list(map(self.words.get, distinct))
+        if None in known:
+            new = [i for i, c in enumerate(known) if c is None]
+            self._learn([distinct[i] for i in new if distinct[i]])
+            for i in new:
+                known[i] = self.words[distinct[i]] if distinct[i] else -1
+        place = np.array(known, np.int64)
+        codes = place[coded.indices.to_numpy()] if len(owner) else np.zeros(0, np.int64)
+        if len(codes) and codes.min() < 0:  # empty strings beside leading or trailing white space
+            owner, codes = owner[codes >= 0], codes[codes >= 0]
         lens = self.len[codes]
         flat = self.flat[ragged_positions(self.at[codes], lens)]
-        ends = np.r_[0, np.cumsum(lens)][np.cumsum(n)]
-        return flat, np.diff(np.r_[0, ends])
+        return flat, np.bincount(owner, lens, len(texts)).astype(np.int64)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -139,8 +178,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         enc = encoder(path)
         kind = "<u4" if enc.wide else "<u2"
         for batch in batches:
-            for rows, texts in text_slices(batch):
-                ids, lens = enc.encode(texts)
+            for rows in byte_slices(batch):
+                ids, lens = enc.encode(rows.column(1))
                 out = np.full(len(ids) + len(lens), end_id, kind)
                 ends = np.cumsum(lens + 1)
                 keep = np.ones(len(out), bool)
@@ -187,7 +226,10 @@ class Coder:
         self.freq, self.start = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         begin = np.cumsum(freq) - freq
         self.freq[ids], self.start[ids] = freq, begin
-        self.slot = np.repeat(ids, freq.astype(np.int64)).astype(np.uint32)
+        # one look-up per id decoded: frequency, place inside the id's range and id, packed
+        times = freq.astype(np.int64)
+        inside = np.arange(int(times.sum())) - np.repeat(begin.astype(np.int64), times)
+        self.entry = np.repeat(freq, times) << np.uint64(45) | inside.astype(np.uint64) << np.uint64(27) | np.repeat(ids, times).astype(np.uint64)
         self.pad = int(ids[int(freq.argmax())]) if len(ids) else 0
 
     def encode(self, tokens: np.ndarray) -> bytes:
@@ -204,14 +246,15 @@ class Coder:
         states, sizes = [], np.zeros(steps, np.int64)
         for t in range(steps - 1, -1, -1):
             full = x >= top[t]
-            out = x[full].astype(np.uint32)
+            k = np.flatnonzero(full)
+            out = x[k]
             sizes[t] = len(out)
-            words.append(out)
-            x = np.where(full, x >> np.uint64(32), x)
+            words.append(out.astype(np.uint32))
+            x[k] = out >> np.uint64(32)
             q = x // f[t]
             x = (q << np.uint64(PROB_BITS)) + (x - q * f[t]) + c[t]
             if t % CHECK_STEPS == 0:
-                states.append(x)
+                states.append(x.copy())
         offsets = (np.cumsum(sizes) - sizes)[::CHECK_STEPS]
         body = (HEAD.pack(b"RANB", 1, lanes, CHECK_STEPS, len(tokens), len(states)) + offsets.astype("<u4").tobytes()
                 + np.concatenate(states[::-1]).astype("<u8").tobytes() + np.concatenate(words[::-1]).astype("<u4").tobytes())
@@ -225,29 +268,29 @@ class Coder:
         if magic != b"RANB" or version != 1:
             raise ValueError("no block of this format")
         at = HEAD.size
-        ptr = np.frombuffer(payload, "<u4", checks, at).astype(np.int64)
+        ptr = np.frombuffer(payload, "<u4", checks, at).tolist()
         at += 4 * checks
         x = np.frombuffer(payload, "<u8", checks * lanes, at).astype(np.uint64).reshape(checks, lanes)
         at += 8 * checks * lanes
-        words = np.r_[np.frombuffer(payload[at:-4], "<u4"), np.zeros(lanes, np.uint32)].astype(np.uint64)
+        words = np.frombuffer(payload[at:-4], "<u4").astype(np.uint64)
         steps = max(1, -(-n // lanes))
         out = np.zeros((checks, every, lanes), np.uint32)
-        mask, bits = np.uint64((1 << PROB_BITS) - 1), np.uint64(PROB_BITS)
+        mask, bits, id_mask = np.uint64((1 << PROB_BITS) - 1), np.uint64(PROB_BITS), np.uint64((1 << 27) - 1)
         last = steps - (checks - 1) * every
         for t in range(min(every, steps)):
             live = checks if t < last else checks - 1
             if not live:
                 break
             y = x[:live]
-            low = y & mask
-            s = self.slot[low]
-            out[:live, t] = s
-            y = self.freq[s] * (y >> bits) + low - self.start[s]
+            e = self.entry[y & mask]
+            out[:live, t] = e & id_mask
+            y = (e >> np.uint64(45)) * (y >> bits) + (e >> np.uint64(27) & mask)
             need = y < LOW
-            place = np.cumsum(need, axis=1)
-            take = np.minimum(ptr[:live, None] + place - 1, len(words) - 1)
-            x[:live] = np.where(need, (y << np.uint64(32)) | words[take], y)
-            ptr[:live] += place[:, -1]
+            for i in range(live):  # lanes take the next words in lane order
+                k = np.flatnonzero(need[i])
+                y[i, k] = (y[i, k] << np.uint64(32)) | words[ptr[i]: ptr[i] + len(k)]
+                ptr[i] += len(k)
+            x[:live] = y
         return out.reshape(-1)[:n]
 
 
@@ -335,19 +378,18 @@ def _decoder(coder_args):
         coder = Coder(*coder_args)
         for b in batches:
             for i in range(b.num_rows):
-                shard, _, n, payload, doc_ids, starts, before, here, after = (c[i].as_py() for c in b.columns)
+                shard, _, n, payload, doc_ids, starts, _, here, after = (c[i].as_py() for c in b.columns)
                 raw = coder.decode(payload).astype("<u4").tobytes()
                 if len(raw) != 4 * n:
                     raise ValueError("block holds another number of ids")
-                at, crcs, whole = 0, [], []
-                for x, y, z in zip(before, here, after):
+                at, crcs = 0, []
+                for y, z in zip(here, after):
                     crc = zlib.crc32(raw[at: at + 4 * y])
                     at += 4 * y
                     crcs.append(shift_crc(crc, 4 * z) if z else crc)
-                    whole.append(not x and not z)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * len(crcs), pa.int32()), pa.array(starts, pa.int64()), pa.array(doc_ids, pa.int64()),
-                     pa.array(here, pa.int64()), pa.array(crcs, pa.int64()), pa.array(whole)],
+                     pa.array(here, pa.int64()), pa.array(crcs, pa.int64())],
                     names=[x.split()[0] for x in PIECES.split(", ")])
     return run
 
@@ -362,11 +404,10 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """One row per document read back from the files: doc_id, start, n_tokens, ids_crc32."""
     blocks = spark.read.schema(BLOCKS).parquet(f"{out}/blocks")
     pieces = blocks.mapInArrow(_decoder(coder_of(spark, out)), PIECES)
-    whole = pieces.where("whole").select("shard", "doc_start", "doc_id", "n", "crc")
-    split = pieces.where("not whole").groupBy("shard", "doc_start", "doc_id").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("crc"))
+    docs = pieces.groupBy("shard", "doc_start", "doc_id").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("crc"))
     shards = spark.read.schema("shard int, blocks long, n_tokens long").parquet(f"{out}/shards")
     offset = shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("offset"))
-    return whole.union(split).join(offset, "shard").select(
+    return docs.join(offset, "shard").select(
         "doc_id", (F.col("offset") + F.col("doc_start")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
