@@ -18,6 +18,7 @@ texts are read whole, a very long one as a slice of its own; an empty table give
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, read, text_slices
+from .common import byte_slices, in_fold, read, split_words
 
 FIT_PER_LANG = 700
 FIT_CHARS = 20_000
@@ -36,7 +37,7 @@ NGRAMS = (1, 2, 3, 4)
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.02
 EPOCHS = 3
 SCALE = 50.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 LETTER = regex.compile(r"\p{L}")
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: ASCII that is no letter becomes a blank before words are split.
@@ -62,6 +63,7 @@ class Model:
 
     def __init__(self, classes: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, temperature: float):
         self.classes, self.weights, self.bias, self.temperature = classes, weights, bias, temperature
+        self.key = hashlib.sha256(repr((classes, [(g, w.tolist()) for g, w in sorted(weights.items())], bias.tolist(), temperature)).encode()).hexdigest()
 
 
 def _softmax(z):
@@ -135,9 +137,10 @@ def fit_sample(docs: DataFrame, per_lang: int = FIT_PER_LANG, max_chars: int = F
     usable = docs.where(in_fold(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
     place = F.xxhash64("doc_id", F.lit(7))
     counts = {r.lang: r["n"] for r in docs.where(in_fold(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    limits = docs.sparkSession.createDataFrame(
-        [(lang, min(2**63 - 1, int((1.3 * per_lang + 20) / n * 2**64) - 2**63)) for lang, n in counts.items()], "l string, most long")
-    got = (usable.select("lang", "text", place.alias("h")).join(limits, F.col("lang") == F.col("l")).where("h <= most").select("lang", "text", "h").collect())
+    if not counts:
+        return []
+    most = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(2**63 - 1, int((1.3 * per_lang + 20) / n * 2**64) - 2**63))))
+    got = usable.select("lang", "text", place.alias("h")).where(F.col("h") <= F.element_at(most, F.col("lang"))).collect()
     out, taken = [], Counter()
     for r in sorted(got, key=lambda r: (r.h, r.lang, r.text)):
         if taken[r.lang] < per_lang:
@@ -147,35 +150,86 @@ def fit_sample(docs: DataFrame, per_lang: int = FIT_PER_LANG, max_chars: int = F
 
 
 class Scorer:
-    """Class scores of whole texts, summed over their words; keeps a bounded cache of words."""
+    """Class scores of whole texts, summed over their words; keeps a bounded cache of words.
+
+    An n-gram is one 64-bit key, 15 bits a character: characters of the model's features are numbered from 2,
+    1 stands for any other (no feature holds it), 0 for none."""
 
     def __init__(self, model: Model):
         self.model = model
+        letters = sorted({c for g in model.weights for c in g})
+        if len(letters) > 32_000:
+            raise ValueError("more characters than a key can hold")
+        self.number = {c: i + 2 for i, c in enumerate(letters)}
+        self.number.setdefault(" ", len(letters) + 2)
+        self.blank = self.number[" "]
+        names = list(model.weights)
+        keys = np.array([sum(self.number[c] << 15 * i for i, c in enumerate(g)) for g in names], np.int64)
+        order = np.argsort(keys)
+        k = len(model.classes)
+        self.keys = np.r_[keys[order], np.int64(2**62)]
+        self.weights = np.array([model.weights[names[i]] for i in order] + [np.zeros(k)]).reshape(-1, k) if k else np.zeros((1, 0))
+        self.by_code = np.ones(0x10000, np.int64)
+        for c, i in self.number.items():
+            if ord(c) < 0x10000:
+                self.by_code[ord(c)] = i
         self.reset()
 
     def reset(self):
-        self.words: dict[bytes, int] = {}
+        self.words: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.model.classes) + 1))
 
+    def _numbers(self, text: str) -> np.ndarray:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = self.by_code[np.minimum(code, 0xFFFF)]
+        for i in np.flatnonzero(code >= 0xFFFF).tolist():
+            out[i] = self.number.get(chr(code[i]), 1)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Scores of words: the weights of their n-grams, and how many they have."""
+        parts, owner = new, np.arange(len(new))
+        odd = [i for i, w in enumerate(new) if not w.isalpha()]  # digits and marks may part a word
+        if odd:
+            split = {i: WORDS.findall(new[i]) for i in odd}
+            parts = [x for i, w in enumerate(new) for x in split.get(i, (w,))]
+            owner = np.repeat(owner, [len(split[i]) if i in split else 1 for i in range(len(new))])
+        flat = self._numbers("".join([f" {w} " for w in parts]))
+        lens = np.fromiter(map(len, parts), np.int64, len(parts)) + 2
+        segment = np.repeat(np.arange(len(parts)), lens)
+        sums = np.zeros((len(new), len(self.model.classes) + 1))
+        for n in NGRAMS:
+            m = len(flat) - n + 1
+            if m <= 0:
+                continue
+            key = flat[:m].copy()
+            for i in range(1, n):
+                key |= flat[i: m + i] << 15 * i
+            ok = segment[:m] == segment[n - 1:] if n > 1 else flat != self.blank
+            who, key = owner[segment[:m][ok]], key[ok]
+            found = np.searchsorted(self.keys, key)
+            hit = self.keys[found] == key
+            for k in range(len(self.model.classes)):
+                sums[:, k] += np.bincount(who[hit], self.weights[found[hit], k], len(new))
+            sums[:, -1] += np.bincount(who, minlength=len(new))
+        self.words.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.concatenate([self.rows, sums])
+
     def probabilities(self, texts: list) -> np.ndarray:
         """(texts, classes), calibrated."""
         if len(self.words) > CACHE_WORDS:
             self.reset()
-        weights, k = self.model.weights, len(self.model.classes)
-        row, lens = [], []
-        for t in texts:
-            w = _words(t or "")
-            lens.append(len(w))
-            row += w
-        new = []
-        for w in sorted(set(row).difference(self.words)):
-            self.words[w] = len(self.words)
-            grams = _grams_of(w)
-            hits = [weights[g] for g in grams if g in weights]
-            new.append(np.r_[np.sum(hits, 0) if hits else np.zeros(k), len(grams)])
+        k = len(self.model.classes)
+        lower = pa.array([(t or "").lower().encode("utf-8", "surrogatepass").translate(BLANK) for t in texts], pa.string())
+        distinct, codes, lens = split_words(lower)
+        known = list(map(self.words.get, distinct))
+        new = [i for i, c in enumerate(known) if c is None and distinct[i]]
         if new:
-            self.rows = np.concatenate([self.rows, np.array(new)])
-        codes = np.fromiter(map(self.words.__getitem__, row), np.int64, len(row))
+            self._learn([distinct[i] for i in new])
+        for i, c in enumerate(known):
+            if c is None:
+                known[i] = self.words.get(distinct[i], 0)
+        codes = np.array(known, np.int64)[codes] if len(codes) else codes
         doc = np.repeat(np.arange(len(texts)), lens)
         sums = np.stack([np.bincount(doc, self.rows[codes, j], len(texts)) for j in range(k + 1)], 1)
         return _softmax((sums[:, :k] / np.maximum(1, sums[:, k:]) + self.model.bias) / self.model.temperature)
@@ -190,23 +244,35 @@ class Scorer:
                 [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))])
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The scorer of a model, kept by the worker with its cache of words."""
+    if model.key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.key] = Scorer(model)
+    return _SCORERS[model.key]
+
+
 def fit(docs: DataFrame) -> Model:
     return train(fit_sample(docs))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (of its columns those to ``keep``, all by default) with lang_pred and score appended."""
-    keep = docs.columns if keep is None else keep
-    schema = docs.select(*keep).limit(0).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (of its columns those to ``keep``, all by default) with language and score appended under ``names``;
+    they take the place of columns of those names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    schema = docs.select(*keep).limit(0).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in batches:
-            for rows, texts in text_slices(batch):
-                lang, score = scorer.predict(texts)
+            for rows in byte_slices(batch):
+                lang, score = scorer.predict(rows.column(rows.schema.get_field_index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    names=[*keep, "lang_pred", "score"])
+                    names=[*keep, *names])
 
     return docs.mapInArrow(run, schema)
 
