@@ -42,7 +42,3 @@ def whole_days(start: Column, end: Column) -> Column:
     """Completed days from ``start`` to ``end`` (``find -mtime`` semantics)."""
     return F.timestamp_diff("DAY", start, end)
 
-
-def older_than_days(ts: Column, as_of: Column, days: int) -> Column:
-    """``ts < as_of - days`` — the age-purge predicate; pushes down as a literal bound."""
-    return ts < (as_of - F.expr(f"INTERVAL {int(days)} DAYS"))

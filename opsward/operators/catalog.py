@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lineage import durable
-from .sizing import bounded_broadcast
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -90,7 +89,7 @@ def split_in_chunks(spark: SparkSession, df: DataFrame, order_cols: list[str], n
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"),
                            F.sum("_cnt").over(Window.partitionBy()).alias("_total"))
-    j = local.join(bounded_broadcast(offsets), "_pid")
+    j = local.join(offsets, "_pid")  # one row per range
     rn = (F.col("_off") + F.col("_lrn")).cast("long")
     size = F.floor(F.col("_total") / n_chunks) + extra
     return j.select(*df.columns, rn.alias("rn"), F.floor((rn - 1) / size).cast("int").alias("chunk"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def tag_violations(df: DataFrame, fk: list[tuple[str, DataFrame, list[str], list
         flags.append(F.when(non_null & F.col(m).isNull(), F.lit(name)))
     for i, (name, keys) in enumerate(unique or []):
         m = f"_uq{i}"
-        d = out.groupBy(*keys).agg(F.count(F.lit(1)).alias(m)).where(F.col(m) > 1)
+        d = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(m)).where(F.col(m) > 1)
         out = out.join(d, keys, "left")
         flags.append(F.when(F.col(m).isNotNull(), F.lit(name)))
     for name, pred in checks or []:
@@ -67,34 +68,61 @@ def divert(df_tagged: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
 def divert_cascade(tables: dict[str, DataFrame], order: list[str],
                    edges: list[tuple[str, list[str], str, list[str]]],
                    own_checks: dict[str, Column]) -> dict[str, DataFrame]:
-    """Exceptions flow from a failing parent to its descendants, in FK (topological) order.
+    """Exceptions flow from failing rows to all their descendants, whatever the shape of the foreign keys.
 
-    ``edges``: (child, child_keys, parent, parent_keys).  A row is diverted if it
-    fails its own check or references a diverted parent row.
+    ``edges``: (child, child_keys, parent, parent_keys). A row is diverted if it fails its own check or references
+    a diverted parent row; ``order`` names the tables. Rounds run to the fixed point: each round joins only the
+    parents diverted in the round before, so cycles and self-references end; each round is stored. A last pass
+    names all reasons of every row, its own check first, then its parents in the order of the edges.
     """
-    diverted: dict[str, DataFrame] = {}
+    unknown = {t for c, _, p, _ in edges for t in (c, p)} - set(order)
+    if unknown:
+        raise ValueError(f"edges name tables that are not in the order: {sorted(unknown)}")
+    fresh = {t: durable(tables[t].where(F.coalesce(~own_checks[t], F.lit(False))).withColumn("reason", F.lit("check")))
+             for t in order if t in own_checks}
+    out = dict(fresh)
+    while fresh:
+        nxt = {}
+        for t in order:
+            mine = [(i, e) for i, e in enumerate(edges) if e[0] == t and e[2] in fresh]
+            if not mine:
+                continue
+            cur, reasons = tables[t], []
+            for i, (_, ck, parent, pk) in mine:
+                m = f"_p{i}"
+                bad = fresh[parent].select(*[F.col(a).alias(b) for a, b in zip(pk, ck)]).distinct().withColumn(m, F.lit(True))
+                cur = cur.join(bad, ck, "left")
+                reasons.append(F.when(F.col(m).isNotNull(), F.lit(f"parent:{parent}")))
+            hit = cur.withColumn("reason", F.array_join(F.array_compact(F.array(*reasons)), ",")).where(F.col("reason") != "")
+            hit = hit.select(*tables[t].columns, "reason")
+            if t in out:
+                seen, cols = out[t].drop("reason"), tables[t].columns
+                s = seen.select(*[F.col(c).alias(f"_s_{c}") for c in cols])
+                same = reduce(lambda a, b: a & b, [hit[c].eqNullSafe(s[f"_s_{c}"]) for c in cols])
+                hit = hit.join(s, same, "left_anti")
+            hit = durable(hit)
+            if not hit.isEmpty():
+                nxt[t] = hit
+        for t, hit in nxt.items():
+            out[t] = out[t].unionByName(hit) if t in out else hit
+        fresh = nxt
+    result = {}
     for t in order:
-        df = tables[t]
-        reasons = []
+        cur, reasons = tables[t], []
         if t in own_checks:
             reasons.append(F.when(F.coalesce(~own_checks[t], F.lit(False)), F.lit("check")))
-        cur = df
-        for i, (child, ck, parent, pk) in enumerate(e for e in edges if e[0] == t):
-            if parent not in diverted:
-                continue
+        for i, (_, ck, parent, pk) in enumerate(e for e in edges if e[0] == t and e[2] in out):
             m = f"_p{i}"
-            pkeys = diverted[parent].select(*[F.col(a).alias(b) for a, b in zip(pk, ck)]).distinct() \
-                .withColumn(m, F.lit(True))
-            cur = cur.join(pkeys, ck, "left")
+            bad = out[parent].select(*[F.col(a).alias(b) for a, b in zip(pk, ck)]).distinct().withColumn(m, F.lit(True))
+            cur = cur.join(bad, ck, "left")
             reasons.append(F.when(F.col(m).isNotNull(), F.lit(f"parent:{parent}")))
-        tagged = cur.withColumn("_reasons", F.filter(F.array(*reasons), lambda x: x.isNotNull()))
-        diverted[t] = tagged.where(F.size("_reasons") > 0).select(
-            *df.columns, F.array_join("_reasons", ",").alias("reason"))
-    return diverted
+        reason = F.array_join(F.array_compact(F.array(*reasons)), ",") if reasons else F.lit("")
+        result[t] = cur.withColumn("reason", reason).where(F.col("reason") != "").select(*tables[t].columns, "reason")
+    return result
 
 
-def pending_set(catalog: DataFrame, refs: DataFrame, limit: int = 50) -> DataFrame:
-    """Flagged tables ∪ flagged parents having flagged children; first ``limit`` by (schema, name).
+def pending_set(catalog: DataFrame, refs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Flagged tables ∪ flagged parents having flagged children; with ``limit`` the first ones by (schema, name).
 
     ``catalog``: tabschema, tabname, pending; ``refs``: tabschema, tabname (child),
     reftabschema, reftabname (parent).  The second branch is a subset of the first
@@ -104,10 +132,11 @@ def pending_set(catalog: DataFrame, refs: DataFrame, limit: int = 50) -> DataFra
     flagged_children = refs.join(flagged, ["tabschema", "tabname"], "left_semi").select(
         F.col("reftabschema").alias("tabschema"), F.col("reftabname").alias("tabname"))
     parents = flagged.join(flagged_children, ["tabschema", "tabname"], "left_semi")
-    return flagged.unionByName(parents).distinct().orderBy("tabschema", "tabname").limit(limit)
+    out = flagged.unionByName(parents).distinct()
+    return out if limit is None else out.orderBy("tabschema", "tabname").limit(limit)
 
 
-def closure(spark: SparkSession, start: DataFrame, edges: DataFrame, max_rounds: int = 500,
+def closure(spark: SparkSession, start: DataFrame, edges: DataFrame,
             node: str = "name", child: str = "child", parent: str = "parent",
             checkpoint_every: int = 4) -> DataFrame:
     """All nodes reachable from ``start`` along child->parent edges, with their BFS depth.
@@ -125,7 +154,7 @@ def closure(spark: SparkSession, start: DataFrame, edges: DataFrame, max_rounds:
     frontier = durable(start.select(F.col(node).alias("name")).distinct().withColumn("depth", F.lit(0)))
     reached = frontier
     cached = []
-    for r in range(1, max_rounds + 1):
+    for r in count(1):  # every round reaches new nodes, so this ends
         nxt = (frontier.join(e, "name").select(F.col("next").alias("name")).distinct()
                .join(reached.select("name"), "name", "left_anti")
                .withColumn("depth", F.lit(r))).persist(StorageLevel.MEMORY_AND_DISK)
@@ -145,19 +174,19 @@ def closure(spark: SparkSession, start: DataFrame, edges: DataFrame, max_rounds:
 
 
 def resolve_prefix(truncated: DataFrame, catalog: DataFrame, schema_col: str, name_col: str,
-                   trunc_col: str, width: int) -> DataFrame:
+                   trunc_col: str) -> DataFrame:
     """Complete truncated names by prefix within their schema: 0 / 1 / many candidates.
 
-    Each catalog name is exploded into its prefixes up to ``width`` characters, so
-    the prefix test becomes an equi-join on (schema, prefix).
+    The prefix test is an equi-join on (schema, prefix): a catalog name is exploded only into prefixes of the
+    lengths that its schema's truncated names have, at whatever width the names were cut.
     """
+    t = truncated.select(F.col(schema_col).alias("_s"), F.col(trunc_col).alias("_p")).distinct()
+    lengths = t.select("_s", F.length("_p").alias("_l")).distinct()
     name = F.col(name_col)
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length(name), F.lit(width))),
-                           lambda i: F.substring(name, 1, width).substr(F.lit(1), i))
-    cat = catalog.select(F.col(schema_col).alias("_s"), name.alias("_name"), F.explode(prefixes).alias("_p"))
+    cat = (catalog.select(F.col(schema_col).alias("_s"), name.alias("_name")).join(lengths, "_s")
+           .where(F.length("_name") >= F.col("_l")).select("_s", F.substring(F.col("_name"), F.lit(1), F.col("_l")).alias("_p"), "_name"))
     # candidates counted per (schema, prefix) before the join: the join is then one-to-one
     cand = cat.groupBy("_s", "_p").agg(F.count("_name").alias("_n"), F.min("_name").alias("_first"))
-    t = truncated.select(F.col(schema_col).alias("_s"), F.col(trunc_col).alias("_p")).distinct()
     agg = t.join(cand, ["_s", "_p"], "left").select(
         "_s", "_p", F.coalesce(F.col("_n"), F.lit(0)).alias("n_matches"), "_first")
     return agg.select(

@@ -1,4 +1,4 @@
-"""Log analytics in one scan: window, counts over a fixed domain, unknown levels, sections, report."""
+"""Log analytics: window, counts over a fixed domain, unknown levels, sections, and the report in one scan of the log."""
 
 from __future__ import annotations
 
@@ -33,13 +33,10 @@ def time_range(logs: DataFrame) -> DataFrame:
 
 def sections(logs: DataFrame) -> DataFrame:
     """Distinct (instance, db) groups per detail section with their record counts; empty db = own group."""
-    out = None
-    for level, title in SECTION_LEVELS:
-        s = (logs.where((F.col("level") == level) & (F.col("instance") != ""))
-             .groupBy("instance", "db").agg(F.count(F.lit(1)).alias("n"))
-             .select(F.lit(title).alias("section"), "instance", "db", "n"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    titles = F.create_map(*[F.lit(x) for pair in SECTION_LEVELS for x in pair])
+    return (logs.where(F.col("level").isin(*[lv for lv, _ in SECTION_LEVELS]) & (F.col("instance") != ""))
+            .groupBy("level", "instance", "db").agg(F.count(F.lit(1)).alias("n"))
+            .select(titles[F.col("level")].alias("section"), "instance", "db", "n"))
 
 
 def _group_header(inst: Column, db: Column) -> Column:
@@ -48,45 +45,44 @@ def _group_header(inst: Column, db: Column) -> Column:
 
 
 def report(spark: SparkSession, logs: DataFrame, archived_to: str) -> DataFrame:
-    """The sectioned report as ordered lines ``(section_no, grp, seq, line)`` — no global sort needed
-    to build it; a reader orders by the three keys."""
-    L = "section_no int, grp string, seq string, line string"
-    header = spark.createDataFrame([
-        (0, "", "0", ""), (0, "", "1", "  Diagnostics Log Report"), (0, "", "2", "  ======================"),
-        (0, "", "3", ""), (0, "", "4", f"    Current log archived to {archived_to}"), (0, "", "5", "")], L)
-    tr = time_range(logs)
-    first_last = tr.select(F.explode(F.array(
-        F.struct(F.lit("0").alias("seq"), F.concat(F.lit("    First message :- "),
-                                                   F.date_format("first_ts", "yyyy-MM-dd-HH.mm.ss.SSSSSS")).alias("line")),
-        F.struct(F.lit("1").alias("seq"), F.concat(F.lit("    Last message  :- "),
-                                                   F.date_format("last_ts", "yyyy-MM-dd-HH.mm.ss.SSSSSS")).alias("line")))).alias("x")) \
-        .select(F.lit(1).alias("section_no"), F.lit("").alias("grp"), "x.seq", F.coalesce("x.line", F.lit("")).alias("line"))
-    unknown = unknown_levels(logs).select(F.lit(2).alias("section_no"), F.col("level").alias("grp"), F.lit("0").alias("seq"),
-                                          F.concat(F.lit("Unknown error level of "), F.col("level"), F.lit(" found")).alias("line"))
-    counts = severity_counts(spark, logs)
-    count_lines = counts.select(F.lit(3).alias("section_no"), F.lit("").alias("grp"), F.col("ord").cast("string").alias("seq"),
-                                F.concat(F.lpad("level", 15, " "), F.lit(": "), F.col("n").cast("string")).alias("line"))
-    # detail sections only when any reported level occurred (sum of all four counts):
-    # a single scalar decides the plan shape, nothing else reaches the driver
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    detail = None
-    for i, (level, title) in enumerate(SECTION_LEVELS):
-        sec_no = 4 + i
-        recs = logs.where((F.col("level") == level) & (F.col("instance") != ""))
-        grp = F.concat_ws("$", "instance", "db")
-        title_rows = spark.createDataFrame([(sec_no, "", "0", f"  {title} "), (sec_no, "", "1", "  " + "-" * (len(title) + 1))], L)
-        heads = recs.select("instance", "db").distinct().select(
-            F.lit(sec_no).alias("section_no"), grp.alias("grp"), F.lit("0").alias("seq"),
-            _group_header(F.col("instance"), F.col("db")).alias("line"))
-        lines = recs.select(
-            F.lit(sec_no).alias("section_no"), grp.alias("grp"),
-            F.concat(F.lit("1"), F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lit("-"), F.col("rid")).alias("seq"),
-            F.concat(F.lit("    "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" "), F.col("rid"),
-                     F.lit(" "), F.col("message")).alias("line"))
-        part = title_rows.unionByName(heads).unionByName(lines)
-        detail = part if detail is None else detail.unionByName(part)
-    end = spark.createDataFrame([(9, "", "0", ""), (9, "", "1", "End of Report")], L)
-    out = header.unionByName(first_last).unionByName(unknown).unionByName(count_lines)
-    if total > 0:
-        out = out.unionByName(detail)
-    return out.unionByName(end)
+    """The sectioned report as ordered lines ``(section_no, grp, seq, line)``; a reader orders by the three keys.
+
+    One scan, one aggregate: every record names the lines of the report that it contributes to (first and last time,
+    its level's count, the titles, its group's head, its own detail line), and equal lines are combined, mostly on
+    the map side. Titles of detail sections so appear as soon as any reported level occurs. Lines that must be
+    there without any record are added with weight 0. No action runs while the plan is built."""
+    shape = "section_no int, grp string, seq string, line string, w long, ts timestamp_ntz"
+    fixed = [(0, "0", ""), (0, "1", "  Diagnostics Log Report"), (0, "2", "  ======================"), (0, "3", ""),
+             (0, "4", f"    Current log archived to {archived_to}"), (0, "5", ""), (1, "0", ""), (1, "1", ""),
+             *[(3, str(i), lv.rjust(15) + ": ") for i, lv in enumerate(REPORTED_LEVELS)], (9, "0", ""), (9, "1", "End of Report")]
+    always = spark.createDataFrame([(no, "", seq, line, 0, None) for no, seq, line in fixed], shape)
+
+    def line(no, grp, seq, text, when=None):
+        no = no if isinstance(no, Column) else F.lit(no)
+        x = F.struct(no.cast("int").alias("section_no"), grp.alias("grp"), seq.alias("seq"), text.alias("line"))
+        return x if when is None else F.when(when, x)
+
+    none, first = F.lit(""), F.lit("0")
+    level, inst, db = F.col("level"), F.col("instance"), F.col("db")
+    known = level.isin(*KNOWN_LEVELS) | (level == "")
+    order = F.create_map(*[F.lit(x) for i, lv in enumerate(REPORTED_LEVELS) for x in (lv, i)])[level]
+    section = F.create_map(*[F.lit(x) for i, (lv, _) in enumerate(SECTION_LEVELS) for x in (lv, 4 + i)])[level]
+    detailed = section.isNotNull() & (inst != "")
+    grp = F.concat_ws("$", inst, db)
+    items = [line(1, none, first, none), line(1, none, F.lit("1"), none),
+             line(2, level, first, F.concat(F.lit("Unknown error level of "), level, F.lit(" found")), ~known),
+             line(3, none, order.cast("string"), F.concat(F.lpad(level, 15, " "), F.lit(": ")), order.isNotNull()),
+             line(section, grp, first, _group_header(inst, db), detailed),
+             line(section, grp, F.concat(F.lit("1"), F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lit("-"), F.col("rid")),
+                  F.concat(F.lit("    "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" "), F.col("rid"), F.lit(" "), F.col("message")), detailed)]
+    for i, (_, title) in enumerate(SECTION_LEVELS):
+        items += [line(4 + i, none, first, F.lit(f"  {title} "), order.isNotNull()),
+                  line(4 + i, none, F.lit("1"), F.lit("  " + "-" * (len(title) + 1)), order.isNotNull())]
+    rows = logs.select("ts", F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.*", F.lit(1).cast("long").alias("w"), "ts")
+    out = rows.unionByName(always).groupBy("section_no", "grp", "seq").agg(
+        F.max("line").alias("line"), F.sum("w").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd-HH.mm.ss.SSSSSS")
+    text = (F.when((F.col("section_no") == 1) & (F.col("seq") == "0"), F.coalesce(F.concat(F.lit("    First message :- "), stamp("a")), F.lit("")))
+            .when(F.col("section_no") == 1, F.coalesce(F.concat(F.lit("    Last message  :- "), stamp("b")), F.lit("")))
+            .when(F.col("section_no") == 3, F.concat("line", F.col("n").cast("string"))).otherwise(F.col("line")))
+    return out.select("section_no", "grp", "seq", text.alias("line"))

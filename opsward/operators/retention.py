@@ -12,6 +12,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.time import whole_days
+from .lineage import durable
+from .upsert import touched_rows, write_partitions
 
 
 def purge_by_age(df: DataFrame, ts_col: str, as_of: Column, days: int) -> tuple[DataFrame, DataFrame]:
@@ -64,10 +66,47 @@ def keep_newest_n(df: DataFrame, entity_cols: list[str], ts_col: str, id_col: st
     raise ValueError(mode)
 
 
-def next_version(folder_names: DataFrame, name_col: str = "folder") -> DataFrame:
-    """``<yyyymmdd>_<nn>`` folders -> next free ``nn`` per day (max + 1, else 00)."""
-    day = F.regexp_extract(F.col(name_col), r"^([0-9]{8})_([0-9]{2})$", 1)
-    nn = F.regexp_extract(F.col(name_col), r"^([0-9]{8})_([0-9]{2})$", 2).try_cast("int")
-    v = folder_names.select(day.alias("day"), nn.alias("nn")).where(F.col("day") != "")
-    return v.groupBy("day").agg((F.max("nn") + 1).alias("_n")).select(
-        "day", F.concat(F.col("day"), F.lit("_"), F.lpad(F.col("_n").cast("string"), 2, "0")).alias("next_folder"))
+def next_version(folder_names: DataFrame, name_col: str = "folder", days: DataFrame | None = None) -> DataFrame:
+    """``<yyyymmdd>_<nn>`` folders -> next free ``nn`` per day: max + 1 (two digits or more), ``00`` for a day of
+    ``days`` (column day) without a folder."""
+    day = F.regexp_extract(F.col(name_col), r"^([0-9]{8})_([0-9]{2,})$", 1)
+    nn = F.regexp_extract(F.col(name_col), r"^([0-9]{8})_([0-9]{2,})$", 2).try_cast("int")
+    last = folder_names.select(day.alias("day"), nn.alias("nn")).where(F.col("day") != "").groupBy("day").agg(F.max("nn").alias("nn"))
+    if days is not None:
+        last = days.select("day").distinct().join(last, "day", "full_outer")
+    n = F.coalesce(F.col("nn") + 1, F.lit(0)).cast("string")
+    return last.select("day", F.concat(F.col("day"), F.lit("_"), F.lpad(n, F.greatest(F.length(n), F.lit(2)), F.lit("0"))).alias("next_folder"))
+
+
+def apply_purge(spark, path: str, ts_col: str, as_of: Column, days: int, partition_col: str, fmt: str = "parquet",
+                children: list[tuple[str, str, str, list[str]]] | None = None) -> dict:
+    """Purge by age, applied to tables on shared storage. ``partition_col`` is the date of ``ts_col``.
+
+    ``children``: (path, child key, parent key, partition columns), children first: their rows of expiring parents go, and only the
+    partitions that hold such rows are rewritten. Of the parent, folders whose whole day has expired are removed
+    without reading them, and the one day that is cut by the horizon is rewritten. Returns the rows purged."""
+    parent = spark.read.format(fmt).load(path)
+    kept, expired = purge_by_age(parent, ts_col, as_of, days)
+    counts = {path: expired.count()}
+    for child_path, ck, pk, parts in children or []:
+        child = spark.read.format(fmt).load(child_path)
+        gone = expired.select(F.col(pk).alias("_gone")).distinct()
+        hit = child.join(gone, F.col(ck) == F.col("_gone"), "left_semi")
+        counts[child_path] = hit.count()
+        if counts[child_path]:
+            stay = touched_rows(child, hit, parts).join(gone, F.col(ck) == F.col("_gone"), "left_anti")
+            _replace(spark, child_path, durable(stay), hit.select(*parts).distinct(), parts, fmt)
+    if counts[path]:
+        stay = durable(touched_rows(kept, expired, [partition_col]))
+        _replace(spark, path, stay, expired.select(partition_col).distinct(), [partition_col], fmt)
+    return counts
+
+
+def _replace(spark, path: str, stay: DataFrame, touched: DataFrame, parts: list[str], fmt: str) -> None:
+    """Rewrites the touched partitions with what stays; those that nothing stays in are dropped as folders."""
+    empty = durable(touched.join(stay.select(*parts).distinct(), parts, "left_anti"))
+    write_partitions(stay, path, parts, fmt)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for row in empty.toLocalIterator():  # folder names, one at a time
+        folder = fs_path(path + "/" + "/".join(f"{c}={row[c]}" for c in parts))
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,63 +1,57 @@
-"""Rule resolution by specificity (host -> instance -> database), as an equi-join.
-
-Each entity is expanded into its four hierarchical lookup keys
-``(*,*,*)``, ``(h,*,*)``, ``(h,i,*)``, ``(h,i,d)`` with specificity 0..3.  A rule
-only matches one of these shapes, exactly like the four passes of the original
-scripts; rules of any other shape (``*:i:*``) never match.  Within a level the
-last line wins, and a more specific level overrides a less specific one:
-``max_by(value, (specificity, line_no))``.  No theta join, no cross product.
+"""Rule resolution by specificity (host -> instance -> database), as equi-joins on unique keys.
+
+A rule has one of four shapes, ``(*,*,*)``, ``(h,*,*)``, ``(h,i,*)``, ``(h,i,d)``; rules of any other shape (``*:i:*``)
+never match. Within a shape and key the last line wins, so the rules are first reduced to one line per key; a more
+specific shape overrides a less specific one. Each shape is then one left join on a unique key: an entity never
+meets more than four lines, however many lines a key has, and an entity without any rule stays, with defaults.
+The three shapes with wildcards are small and end up broadcast by their measured size; only the database shape
+is a shuffle join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import bounded_broadcast
+ANY = "*"
 
 
-def lookup_keys(host: Column, instance: Column, dbname: Column) -> Column:
-    h, i, d = F.lower(host), F.lower(instance), F.lower(dbname)
-    star = F.lit("*")
-    return F.array(
-        F.struct(F.lit(0).alias("spec"), star.alias("k_host"), star.alias("k_instance"), star.alias("k_db")),
-        F.struct(F.lit(1).alias("spec"), h.alias("k_host"), star.alias("k_instance"), star.alias("k_db")),
-        F.struct(F.lit(2).alias("spec"), h.alias("k_host"), i.alias("k_instance"), star.alias("k_db")),
-        F.struct(F.lit(3).alias("spec"), h.alias("k_host"), i.alias("k_instance"), d.alias("k_db")),
-    )
+def _lines(rules: DataFrame, spec: int, match_cols: list[str], value_cols: list[str]) -> DataFrame:
+    """The last line per key of one shape: k0..k2 (its fixed parts), match columns, ``_r<spec>``."""
+    parts = ["host", "instance", "dbname"]
+    shaped = rules
+    for i, p in enumerate(parts):
+        shaped = shaped.where(F.col(p) != ANY if i < spec else F.col(p) == ANY)
+    keys = [F.col(p).alias(f"_k{i}") for i, p in enumerate(parts[:spec])]
+    best = F.max_by(F.struct("line_no", *value_cols), F.col("line_no")).alias(f"_r{spec}")
+    return shaped.groupBy(*keys, *match_cols).agg(best)
 
 
 def resolve(entities: DataFrame, rules: DataFrame, entity_cols: list[str], value_cols: list[str],
             match_cols: list[str] | None = None, host: str = "host", instance: str = "instance",
-            dbname: str = "dbname", how: str = "last", max_broadcast_rows: int | None = None) -> DataFrame:
-    """Resolve one rule per entity (and per ``match_cols`` such as the check kind).
-
-    ``rules`` carries ``host, instance, dbname, line_no`` (lower-cased, '*' =
-    any), the ``match_cols`` and the ``value_cols``.  ``how='last'`` keeps the
-    most specific, last line; ``how='concat'`` keeps, per level, the last line
-    and concatenates the levels' comma lists (exclusion lists).  The rule side is
-    broadcast only when its counted size is within ``max_broadcast_rows``.
+            dbname: str = "dbname", how: str = "last", defaults: dict[str, object] | None = None) -> DataFrame:
+    """One row per entity (and per ``match_cols``, such as the check kind).
+
+    ``rules`` carries ``host, instance, dbname, line_no`` (lower-cased, '*' = any), the ``match_cols`` and the
+    ``value_cols``. ``how='last'`` gives line_no and values of the most specific last line; an entity that no rule
+    matches has a null line_no and the ``defaults`` (null where there is none). ``how='concat'`` concatenates the
+    levels' comma lists (exclusion lists; null if there is none).
     """
     match_cols = match_cols or []
-    keyed = entities.select(*entity_cols, *match_cols, F.explode(lookup_keys(F.col(host), F.col(instance), F.col(dbname))).alias("k")) \
-        .select(*entity_cols, *match_cols, "k.*")
-    r = rules.select(
-        F.col("host").alias("k_host"), F.col("instance").alias("k_instance"), F.col("dbname").alias("k_db"),
-        *match_cols, "line_no", *value_cols)
-    rb = bounded_broadcast(r) if max_broadcast_rows is None else bounded_broadcast(r, max_broadcast_rows)
-    # beyond the bound: a shuffle join; the '*' lookup keys are hot, AQE splits those partitions
-    cand = keyed.join(rb, ["k_host", "k_instance", "k_db", *match_cols], "inner")
+    e = entities.select(*dict.fromkeys([*entity_cols, *match_cols]), F.lower(F.col(host)).alias("_k0"),
+                        F.lower(F.col(instance)).alias("_k1"), F.lower(F.col(dbname)).alias("_k2"))
+    for spec in range(4):
+        lines, on = _lines(rules, spec, match_cols, value_cols), [*[f"_k{i}" for i in range(spec)], *match_cols]
+        # without anything to match on there is one line for all
+        e = e.join(lines, on, "left") if on else e.withColumn("_r0", lines.scalar())
+    found = [F.col(f"_r{s}") for s in (3, 2, 1, 0)]
     if how == "last":
-        best = F.max_by(F.struct(F.col("line_no"), *[F.col(c) for c in value_cols]),
-                        F.struct(F.col("spec"), F.col("line_no")))
-        out = cand.groupBy(*entity_cols, *match_cols).agg(best.alias("r"))
-        return out.select(*entity_cols, *match_cols, "r.*")
+        r = F.coalesce(*found)
+        values = [F.when(r.isNull(), F.lit(defaults[c])).otherwise(r[c]).alias(c) if defaults and c in defaults else r[c].alias(c)
+                  for c in value_cols]
+        return e.select(*entity_cols, *match_cols, r["line_no"].alias("line_no"), *values)
     if how == "concat":
-        per_level = cand.groupBy(*entity_cols, *match_cols, "spec").agg(
-            F.max_by(F.struct(*[F.col(c) for c in value_cols]), F.col("line_no")).alias("r"))
         (col,) = value_cols
-        merged = per_level.groupBy(*entity_cols, *match_cols).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("spec"), F.col(f"r.{col}")))),
-                                     lambda s: s[col]), ",").alias(col))
-        return merged
+        lists = F.filter(F.array(*[c[col] for c in reversed(found)]), lambda x: x.isNotNull())
+        return e.select(*entity_cols, *match_cols, F.when(F.size(lists) > 0, F.array_join(lists, ",")).alias(col))
     raise ValueError(how)

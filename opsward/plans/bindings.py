@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..sources.text import read_lines, write_lines
-from ..session import materialized
+from ..session import scratch_path
 from ..functions.time import lit_ts
 
 AS_OF_EVENTS = dt.datetime(2024, 1, 31, 0, 0, 0)
@@ -147,11 +147,9 @@ def _nation_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def threshold_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Render the rule file (header + per-nation lines) to shared storage and read it back."""
-    def build(path):
-        header = spark.createDataFrame([(i + 1, s) for i, s in enumerate(THRESHOLD_HEADER)], "line_no int, line string")
-        lines = header.unionByName(_nation_rule_lines(spark, sf).select(F.col("line_no").cast("int"), "line"))
-        write_lines(lines, path)
-    return read_lines(spark, materialized(spark, f"rules-threshold:{sf}", build))
+    header = spark.createDataFrame([(i + 1, s) for i, s in enumerate(THRESHOLD_HEADER)], "line_no int, line string")
+    lines = header.unionByName(_nation_rule_lines(spark, sf).select(F.col("line_no").cast("int"), "line"))
+    return read_lines(spark, write_lines(lines, scratch_path(spark, "rules-threshold")))
 
 
 # Per-database overrides appended after the rule file (kept as a line table, not one text file,
@@ -165,7 +163,7 @@ def override_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
     w = F.floor(F.col("c_acctbal") / 1000).cast("int")
     return (c.where(F.col("c_acctbal") > OVERRIDE_MIN_BALANCE)
              .join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-             .select(F.lit("db-overrides").alias("file"), (F.col("c_custkey") + OVERRIDE_LINE_BASE).cast("int").alias("line_no"),
+             .select(F.lit("db-overrides").alias("file"), (F.col("c_custkey").cast("long") + OVERRIDE_LINE_BASE).alias("line_no"),
                      F.concat_ws(":", F.lower("r_name"), F.lower(F.regexp_replace("n_name", "_", "")), F.lower("c_mktsegment"),
                                  F.lit("*"), F.lit("regular"),
                                  F.concat((w + 24).cast("string"), F.lit(";"), (w + 96).cast("string"))).alias("line")))

@@ -12,7 +12,7 @@ from ..operators.latest import events_after, first_finding, latest_per_entity
 from ..operators.rules import resolve
 from ..sources.rules import parse_availability_rules, parse_retention_rules, parse_threshold_rules
 from ..sources.tables import table
-from .bindings import (AS_OF_EVENTS_SQL, ENTITIES_SQL, HISTORY_SQL, PARSED_RULES_SQL, THRESHOLD_LINES_SQL,
+from .bindings import (AS_OF_EVENTS_SQL, ENTITIES_SQL, HISTORY_SQL, OVERRIDE_LINE_BASE, PARSED_RULES_SQL, THRESHOLD_LINES_SQL,
                        _values_sql, as_of_events, dow_matches_sql, entities, history, lookup_keys_sql,
                        override_rule_lines, threshold_rule_lines, with_sql)
 from .registry import register
@@ -20,6 +20,11 @@ from .registry import register
 KINDS = ("regular", "snapshot")
 DEVICE = {"regular": "D", "snapshot": "f"}
 
+# Thresholds of a check without any rule (hours), and activation states without a rule.
+DEFAULT_WARN, DEFAULT_CRIT = 48, 120
+DEFAULT_THRESHOLDS = {"warn_h": DEFAULT_WARN, "crit_h": DEFAULT_CRIT, "dow": "*"}
+DEFAULT_STATES = {"warn_state": "IMPLICIT", "crit_state": "INACTIVE"}
+
 
 # ----------------------------------------------------------------- Spark side
 def parsed_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,14 +41,14 @@ def resolved_thresholds(spark: SparkSession, sf: str, rules: DataFrame | None =
     rules = parsed_rules(spark, sf) if rules is None else rules
     thr = rules.where(F.col("excluded").isNull() & F.col("kind").isin(*KINDS))
     return resolve(entity_kinds(spark, sf), thr, ["entity_id", "host", "instance", "dbname"],
-                   ["warn_h", "crit_h", "dow"], match_cols=["kind"])
+                   ["warn_h", "crit_h", "dow"], match_cols=["kind"], defaults=DEFAULT_THRESHOLDS)
 
 
 def resolved_exclusions(spark: SparkSession, sf: str, rules: DataFrame | None = None) -> DataFrame:
     rules = parsed_rules(spark, sf) if rules is None else rules
     ex = rules.where(F.col("excluded").isNotNull())
     return resolve(entity_kinds(spark, sf), ex, ["entity_id", "host", "instance", "dbname"], ["excluded"],
-                   match_cols=["kind"], how="concat")
+                   match_cols=["kind"], how="concat").where(F.col("excluded").isNotNull())
 
 
 def latest_backups(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,6 +66,36 @@ def schedule(spark: SparkSession, sf: str) -> DataFrame:
                     st.schedule_state(F.col("crit_h"), eligible).alias("schedule"))
 
 
+def invalidated(spark: SparkSession, sf: str) -> DataFrame:
+    """First non-recoverable load after the last full backup, per entity and kind, apart from excluded tables."""
+    ev = _unrecoverable_after(spark, sf).withColumn("table_name", F.concat_ws(".", "tabschema", "tabname"))
+    ev = ev.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in KINDS])))
+    ex = resolved_exclusions(spark, sf).select("entity_id", "kind", "excluded")
+    kept = (ev.join(ex, ["entity_id", "kind"], "left")
+              .where(~F.coalesce(F.array_contains(F.split("excluded", ","), F.col("table_name")), F.lit(False))))
+    msg = F.concat(F.lit("backup image of "), iso_text(F.col("backup_time")),
+                   F.lit(" has no value since a non-recoverable load into "), F.col("table_name"),
+                   F.lit(" on "), iso_text(F.col("start_time")))
+    return first_finding(kept.withColumn("msg", msg), ["entity_id", "kind"], F.col("msg"), "finding")
+
+
+def full_status(spark: SparkSession, sf: str) -> DataFrame:
+    """One status per check that is not switched off: off days are OK without a look at the backup, an invalidated
+    backup is CRITICAL whatever its age, else the age decides."""
+    s = schedule(spark, sf).where(F.col("schedule") != "disabled")
+    j = s.join(latest_backups(spark, sf), ["entity_id", "kind"], "left").join(invalidated(spark, sf), ["entity_id", "kind"], "left")
+    age = whole_hours(F.col("latest_time"), as_of_events())
+    off, bad = F.col("schedule") == "not_today", F.col("finding").isNotNull()
+    code = F.when(off, 0).when(bad, 2).otherwise(st.freshness_code(age, F.col("warn_h"), F.col("crit_h")))
+    reason = F.when(off, "off_day").when(bad, "invalidated").when(age.isNull(), "never").otherwise("age")
+    message = (F.when(off, F.concat(F.lit("No check configured for today for a "), F.col("kind"), F.lit(" backup")))
+               .when(bad, F.concat_ws(" ", "kind", "finding"))
+               .when(age.isNull(), F.concat(F.col("kind"), F.lit(" backup never taken")))
+               .otherwise(F.concat(age.cast("string"), F.lit(" hours since last full backup at "), iso_text(F.col("latest_time")))))
+    return j.select("entity_id", "host", "instance", "dbname", "kind", age.alias("age_hours"), "warn_h", "crit_h",
+                    code.cast("int").alias("status_code"), st.status_text(code).alias("status_text"), reason.alias("reason"), message.alias("message"))
+
+
 def status_frame(spark: SparkSession, sf: str) -> DataFrame:
     s = schedule(spark, sf).where(F.col("schedule") == "active")
     lb = latest_backups(spark, sf)
@@ -82,6 +117,13 @@ def q_rule_resolve(spark, sf):
     return resolved_thresholds(spark, sf).select("entity_id", "kind", "line_no", "warn_h", "crit_h", "dow")
 
 
+@register("rule_defaults")
+def q_rule_defaults(spark, sf):
+    """Per-database lines only: every other check falls back to the defaults instead of vanishing."""
+    rules = parse_threshold_rules(override_rule_lines(spark, sf)).drop("file")
+    return resolved_thresholds(spark, sf, rules).select("entity_id", "kind", "line_no", "warn_h", "crit_h", "dow")
+
+
 @register("exclusions_resolve")
 def q_exclusions_resolve(spark, sf):
     return resolved_exclusions(spark, sf).select("entity_id", "kind", "excluded")
@@ -130,18 +172,17 @@ def q_events_after_latest(spark, sf):
 
 @register("freshness_invalidated")
 def q_freshness_invalidated(spark, sf):
-    ev = _unrecoverable_after(spark, sf).withColumn("table_name", F.concat_ws(".", "tabschema", "tabname"))
-    ex = resolved_exclusions(spark, sf).where(F.col("kind") == "regular").select("entity_id", "excluded")
-    kept = (ev.join(ex, "entity_id", "left")
-              .where(~F.coalesce(F.array_contains(F.split("excluded", ","), F.col("table_name")), F.lit(False))))
-    msg = F.concat(F.lit("backup image of "), iso_text(F.col("backup_time")),
-                   F.lit(" has no value since a non-recoverable load into "), F.col("table_name"),
-                   F.lit(" on "), iso_text(F.col("start_time")))
-    found = first_finding(kept.withColumn("msg", msg), ["entity_id"], F.col("msg"), "finding")
+    found = invalidated(spark, sf).where(F.col("kind") == "regular")
     return found.select("entity_id", F.lit(2).alias("status_code"), F.lit("CRITICAL").alias("status_text"),
                         F.concat(F.lit("regular "), F.col("finding")).alias("message"))
 
 
+@register("freshness_full")
+def q_freshness_full(spark, sf):
+    """Age, invalidation and off days merged: one status per check."""
+    return full_status(spark, sf).select("entity_id", "kind", "age_hours", "warn_h", "crit_h", "status_code", "status_text", "reason", "message")
+
+
 @register("freshness_schedule")
 def q_freshness_schedule(spark, sf):
     return schedule(spark, sf).select("entity_id", "kind", "warn_h", "crit_h", "dow", "eligible", "schedule")
@@ -227,7 +268,7 @@ def _rules_df(spark, lines):
 def q_state_status(spark, sf):
     rules = parse_availability_rules(_rules_df(spark, AVAILABILITY_RULES)).where(F.col("sensor") == "availability")
     ent = entities(spark, sf)
-    res = resolve(ent, rules, ["entity_id", "host", "instance", "dbname"], ["warn_state", "crit_state"])
+    res = resolve(ent, rules, ["entity_id", "host", "instance", "dbname"], ["warn_state", "crit_state"], defaults=DEFAULT_STATES)
     j = res.where(~((F.col("warn_state") == "0") & (F.col("crit_state") == "0"))) \
         .join(_latest_event_type(spark, sf), "entity_id", "left")
     state = _state_expr(F.col("last_event"))
@@ -264,39 +305,43 @@ def q_decision_table(spark, sf):
                     chosen.alias("chosen_mode"), err.alias("error_code"))
 
 
-# Fixed retention rules: host:instance:database:copies:extra ('+n' relative).
+# An invented rule set that covers every case: relative and absolute extras, copies given or left to the comment or the
+# default, instance and database lines, and a host (africa) without a line.
 RETENTION_RULES = [
-    "*:*:*:0:+2",
-    "europe:*:*:8:8",
-    "europe:nation3:*:1:1",
-    "america:*:*:10:12",
-    "africa:nation0:building:15:+2",
-    "middle east:*:*:0:+4",
+    "asia:*:*:0:+3",
+    "asia:nation8:*:0:+5",
+    "europe:*:*:6:9",
+    "europe:nation6:*:4:4",
+    "america:*:*:7:+1",
+    "america:nation2:household:3:20",
+    "middle east:*:*:0:11",
 ]
+# Names that always keep one copy, as patterns (SQL LIKE).
+SINGLE_COPY_PATTERNS = ["Customer#%77", "Customer#00000001%"]
 DEFAULT_COPIES = 1
+DEFAULT_EXTRA = 2
 
 
 @register("retention_resolve")
 def q_retention_resolve(spark, sf):
+    """Copies to keep, and copies that the history keeps: ``+n`` adds to the copies found, ``n`` replaces them."""
     rules = parse_retention_rules(_rules_df(spark, RETENTION_RULES))
-    ent = entities(spark, sf)
-    res = resolve(ent, rules, ["entity_id", "host", "instance", "dbname", "db_label", "acctbal"], ["copies", "extra"])
-    extra = F.col("extra")
-    rel = F.when(extra.startswith("+"), F.substring(extra, 2, 10).try_cast("int"))
+    res = resolve(entities(spark, sf), rules, ["entity_id", "host", "instance", "dbname", "db_label", "acctbal"], ["copies", "extra"])
+    extra = F.coalesce(F.col("extra"), F.lit(f"+{DEFAULT_EXTRA}"))
+    rel = F.when(extra.startswith("+"), F.substr(extra, F.lit(2)).try_cast("int"))
     absolute = F.when(~extra.startswith("+"), extra.try_cast("int"))
     by_rule = F.col("copies")
-    pattern = F.col("db_label").startswith("DS") | F.col("db_label").endswith("99")
+    single = F.lit(False)
+    for p in SINGLE_COPY_PATTERNS:
+        single = single | F.col("db_label").like(p)
     comment = F.when(F.col("acctbal") > 5000,
                      F.concat(F.lit("BACKUP RET="), F.floor(F.col("acctbal") / 1000).cast("int").cast("string")))
     from_comment = F.regexp_extract(F.coalesce(comment, F.lit("")), r"BACKUP RET=\s*([0-9]+)", 1).try_cast("int")
-    copies = (F.when(pattern, F.lit(1))
+    copies = (F.when(single, F.lit(1))
               .when(by_rule > 0, by_rule)
               .when(F.coalesce(from_comment, F.lit(0)) > 0, from_comment)
               .otherwise(F.lit(DEFAULT_COPIES)))
-    copies_db = (F.when(pattern, F.lit(1))
-                 .when((by_rule > 0) & absolute.isNotNull(), absolute)
-                 .when(by_rule > 0, by_rule + F.coalesce(rel, F.lit(0)))
-                 .otherwise(copies + F.lit(2)))
+    copies_db = F.when(single, F.lit(1)).when(absolute.isNotNull(), absolute).otherwise(copies + F.coalesce(rel, F.lit(DEFAULT_EXTRA)))
     return res.select("entity_id", "line_no", copies.alias("copies"), copies_db.alias("copies_db"))
 
 
@@ -308,13 +353,15 @@ RULE_CTES = [THRESHOLD_LINES_SQL, PARSED_RULES_SQL]
 RESOLVED_SQL = """entity_kinds AS (SELECT e.*, kd.kind FROM entities e, (VALUES ('regular'), ('snapshot')) kd(kind)),
 ek_keys AS (""" + lookup_keys_sql("e").replace("{src}", "entity_kinds") + """),
 thr_cand AS (
-  SELECT k.entity_id, k.host, k.instance, k.dbname, k.kind, k.spec, r.line_no, r.warn_h, r.crit_h, r.dow
-  FROM ek_keys k JOIN parsed_rules r
-    ON r.host = k.k_host AND r.instance = k.k_instance AND r.dbname = k.k_db AND r.kind = k.kind
-  WHERE r.excluded IS NULL AND r.kind IN ('regular', 'snapshot')),
+  SELECT k.entity_id, k.host, k.instance, k.dbname, k.kind, k.spec, r.line_no,
+         CASE WHEN r.line_no IS NULL THEN 48 ELSE r.warn_h END AS warn_h,
+         CASE WHEN r.line_no IS NULL THEN 120 ELSE r.crit_h END AS crit_h,
+         CASE WHEN r.line_no IS NULL THEN '*' ELSE r.dow END AS dow
+  FROM ek_keys k LEFT JOIN (SELECT * FROM parsed_rules WHERE excluded IS NULL) r
+    ON r.host = k.k_host AND r.instance = k.k_instance AND r.dbname = k.k_db AND r.kind = k.kind),
 resolved AS (
   SELECT * EXCLUDE (rn, spec) FROM (
-    SELECT *, row_number() OVER (PARTITION BY entity_id, kind ORDER BY spec DESC, line_no DESC) rn FROM thr_cand)
+    SELECT *, row_number() OVER (PARTITION BY entity_id, kind ORDER BY (line_no IS NULL)::INT, spec DESC, line_no DESC) rn FROM thr_cand)
   WHERE rn = 1)"""
 
 EXCL_SQL = """excl_cand AS (
@@ -372,6 +419,31 @@ def _sql_register():
     full = with_sql(*BASE, RESOLVED_SQL)
     ORACLE["rules_parse"] = with_sql(*RULE_CTES) + "SELECT * FROM parsed_rules"
     ORACLE["rule_resolve"] = full + "SELECT entity_id, kind, line_no, warn_h, crit_h, dow FROM resolved"
+    only_db = PARSED_RULES_SQL.replace("FROM rule_lines)", f"FROM rule_lines WHERE line_no > {OVERRIDE_LINE_BASE})")
+    ORACLE["rule_defaults"] = with_sql(ENTITIES_SQL, THRESHOLD_LINES_SQL, only_db, RESOLVED_SQL) + \
+        "SELECT entity_id, kind, line_no, warn_h, crit_h, dow FROM resolved"
+    ORACLE["freshness_full"] = with_sql(*BASE, RESOLVED_SQL, EXCL_SQL, UNRECOVERABLE_SQL, SCHEDULE_SQL, LATEST_SQL) + f"""
+, bad AS (
+  SELECT u.entity_id, u.kind, max('backup image of ' || {ISO.format(t='u.backup_time')} || ' has no value since a non-recoverable load into '
+         || u.tabschema || '.' || u.tabname || ' on ' || {ISO.format(t='u.start_time')}) AS finding
+  FROM (SELECT unrec.*, k.kind FROM unrec, (VALUES ('regular'), ('snapshot')) k(kind)) u
+  LEFT JOIN exclusions x ON u.entity_id = x.entity_id AND u.kind = x.kind
+  WHERE NOT coalesce(list_contains(string_split(x.excluded, ','), u.tabschema || '.' || u.tabname), false)
+  GROUP BY u.entity_id, u.kind),
+j AS (
+  SELECT s.*, l.latest_time, b.finding, {AGE.format(t='l.latest_time')} AS age_hours
+  FROM schedule s LEFT JOIN latest l ON s.entity_id = l.entity_id AND s.kind = l.kind
+                  LEFT JOIN bad b ON s.entity_id = b.entity_id AND s.kind = b.kind
+  WHERE s.schedule <> 'disabled'),
+c AS (
+  SELECT *, CAST(CASE WHEN schedule = 'not_today' THEN 0 WHEN finding IS NOT NULL THEN 2 WHEN age_hours IS NULL THEN 2
+                 WHEN age_hours <= warn_h THEN 0 WHEN age_hours <= crit_h THEN 1 ELSE 2 END AS INTEGER) AS status_code FROM j)
+SELECT entity_id, kind, age_hours, warn_h, crit_h, status_code, CASE status_code WHEN 0 THEN 'OK' WHEN 1 THEN 'WARNING' ELSE 'CRITICAL' END AS status_text,
+  CASE WHEN schedule = 'not_today' THEN 'off_day' WHEN finding IS NOT NULL THEN 'invalidated' WHEN age_hours IS NULL THEN 'never' ELSE 'age' END AS reason,
+  CASE WHEN schedule = 'not_today' THEN 'No check configured for today for a ' || kind || ' backup'
+       WHEN finding IS NOT NULL THEN kind || ' ' || finding WHEN age_hours IS NULL THEN kind || ' backup never taken'
+       ELSE CAST(age_hours AS VARCHAR) || ' hours since last full backup at ' || {ISO.format(t='latest_time')} END AS message
+FROM c"""
     ORACLE["exclusions_resolve"] = with_sql(*BASE, RESOLVED_SQL, EXCL_SQL) + "SELECT * FROM exclusions"
     ORACLE["dow_eligibility"] = full + f"""
 SELECT h.event_id, h.entity_id, r.line_no, r.dow, CAST(isodow(CAST(h.start_time AS DATE)) AS INTEGER) AS day_of_week,
@@ -436,10 +508,10 @@ FROM status3 GROUP BY host"""
     ORACLE["state_status"] = with_sql(ENTITIES_SQL, avail_lines, avail_rules, ent_keys, last_event) + f"""
 , res AS (
   SELECT * FROM (
-    SELECT k.entity_id, r.line_no, r.warn_state, r.crit_state,
-           row_number() OVER (PARTITION BY k.entity_id ORDER BY k.spec DESC, r.line_no DESC) rn
-    FROM ent_keys k JOIN avail_rules r ON r.host = k.k_host AND r.instance = k.k_instance AND r.dbname = k.k_db
-    WHERE r.sensor = 'availability') WHERE rn = 1),
+    SELECT k.entity_id, r.line_no, coalesce(r.warn_state, 'IMPLICIT') AS warn_state, coalesce(r.crit_state, 'INACTIVE') AS crit_state,
+           row_number() OVER (PARTITION BY k.entity_id ORDER BY (r.line_no IS NULL)::INT, k.spec DESC, r.line_no DESC) rn
+    FROM ent_keys k LEFT JOIN (SELECT * FROM avail_rules WHERE sensor = 'availability') r
+      ON r.host = k.k_host AND r.instance = k.k_instance AND r.dbname = k.k_db) WHERE rn = 1),
 j AS (
   SELECT r.entity_id, r.warn_state, r.crit_state, {state_case} AS state,
          CASE WHEN r.warn_state = 'EXPLICIT' THEN 'IMPLICIT' ELSE r.warn_state END AS w
@@ -486,28 +558,21 @@ FROM d"""
   SELECT line_no, lower(trim(split_part(line, ':', 1))) AS host, lower(trim(split_part(line, ':', 2))) AS instance,
          lower(trim(split_part(line, ':', 3))) AS dbname, TRY_CAST(trim(split_part(line, ':', 4)) AS INTEGER) AS copies,
          trim(split_part(line, ':', 5)) AS extra FROM ret_lines)"""
-    ORACLE["retention_resolve"] = with_sql(ENTITIES_SQL, ret_lines, ret_rules, ent_keys) + f"""
+    ORACLE["retention_resolve"] = with_sql(ENTITIES_SQL, ret_lines, ret_rules, ent_keys) + """
 , res AS (
   SELECT * FROM (
     SELECT k.entity_id, k.db_label, k.acctbal, r.line_no, r.copies, r.extra,
-           row_number() OVER (PARTITION BY k.entity_id ORDER BY k.spec DESC, r.line_no DESC) rn
-    FROM ent_keys k JOIN ret_rules r ON r.host = k.k_host AND r.instance = k.k_instance AND r.dbname = k.k_db)
+           row_number() OVER (PARTITION BY k.entity_id ORDER BY (r.line_no IS NULL)::INT, k.spec DESC, r.line_no DESC) rn
+    FROM ent_keys k LEFT JOIN ret_rules r ON r.host = k.k_host AND r.instance = k.k_instance AND r.dbname = k.k_db)
   WHERE rn = 1),
 x AS (
-  SELECT *, starts_with(db_label, 'DS') OR ends_with(db_label, '99') AS pattern,
-         CASE WHEN starts_with(extra, '+') THEN TRY_CAST(substr(extra, 2, 10) AS INTEGER) END AS rel,
-         CASE WHEN NOT starts_with(extra, '+') THEN TRY_CAST(extra AS INTEGER) END AS absolute,
-         TRY_CAST(regexp_extract(coalesce(CASE WHEN acctbal > 5000 THEN 'BACKUP RET=' || CAST(CAST(floor(acctbal / 1000) AS INTEGER) AS VARCHAR) END, ''),
-                                 'BACKUP RET=\\s*([0-9]+)', 1) AS INTEGER) AS from_comment
-  FROM res),
-y AS (
-  SELECT *, CASE WHEN pattern THEN 1 WHEN copies > 0 THEN copies WHEN coalesce(from_comment, 0) > 0 THEN from_comment
-                 ELSE {DEFAULT_COPIES} END AS copies_final
-  FROM x)
-SELECT entity_id, line_no, copies_final AS copies,
-  CASE WHEN pattern THEN 1 WHEN copies > 0 AND absolute IS NOT NULL THEN absolute
-       WHEN copies > 0 THEN copies + coalesce(rel, 0) ELSE copies_final + 2 END AS copies_db
-FROM y"""
+  SELECT *, ends_with(db_label, '77') OR starts_with(db_label, 'Customer#00000001') AS single,
+         CASE WHEN copies > 0 THEN copies WHEN acctbal > 5000 THEN CAST(floor(acctbal / 1000) AS INTEGER) ELSE 1 END AS found
+  FROM res)
+SELECT entity_id, line_no, CASE WHEN single THEN 1 ELSE found END AS copies,
+  CASE WHEN single THEN 1 WHEN extra IS NULL THEN found + 2 WHEN starts_with(extra, '+') THEN found + CAST(substr(extra, 2) AS INTEGER)
+       ELSE CAST(extra AS INTEGER) END AS copies_db
+FROM x"""
 
 
 _sql_register()

@@ -93,6 +93,20 @@ def q_divert_cascade(spark, sf):
     return c.unionByName(o).unionByName(li)
 
 
+@register("divert_cascade_self", """
+WITH RECURSIVE e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN c_custkey + 3 ELSE c_custkey // 2 END AS boss, c_acctbal FROM customer),
+w AS (SELECT id FROM e WHERE c_acctbal < -900 UNION SELECT e.id FROM e JOIN w ON e.boss = w.id)
+SELECT id, concat_ws(',', CASE WHEN c_acctbal < -900 THEN 'check' END, CASE WHEN boss IN (SELECT id FROM w) THEN 'parent:staff' END) AS reason
+FROM e WHERE id IN (SELECT id FROM w)""")
+def q_divert_cascade_self(spark, sf):
+    """A table that references itself (long chains, some cycles): exceptions reach every descendant."""
+    key = F.col("c_custkey").cast("long")
+    staff = table(spark, sf, "customer").select(
+        key.alias("id"), F.when(key % 7 == 0, key + 3).otherwise(F.floor(key / 2)).alias("boss"), "c_acctbal")
+    d = ig.divert_cascade({"staff": staff}, ["staff"], [("staff", ["boss"], "staff", ["id"])], {"staff": F.col("c_acctbal") >= -900})
+    return d["staff"].select("id", "reason")
+
+
 # ----------------------------------------------------------------- catalog of parts & suppliers
 def _catalog(spark, sf):
     p = table(spark, sf, "part").select(
@@ -127,11 +141,10 @@ SELECT tabschema, tabname FROM (
   UNION
   SELECT c.tabschema, c.tabname FROM catalog c
   WHERE c.pending AND EXISTS (SELECT 1 FROM refs r JOIN catalog k ON k.tabschema = r.tabschema AND k.tabname = r.tabname
-                              WHERE k.pending AND r.reftabschema = c.tabschema AND r.reftabname = c.tabname))
-ORDER BY tabschema, tabname LIMIT 50""")
+                              WHERE k.pending AND r.reftabschema = c.tabschema AND r.reftabname = c.tabname))""")
 def q_pending_tables(spark, sf):
-    """Flagged tables ∪ flagged parents of flagged children; first 50 by (schema, name)."""
-    return ig.pending_set(_catalog(spark, sf), _references(spark, sf), 50)
+    """Flagged tables ∪ flagged parents of flagged children, all of them."""
+    return ig.pending_set(_catalog(spark, sf), _references(spark, sf))
 
 
 @register("fk_closure", with_sql(CATALOG_SQL) + """,
@@ -143,7 +156,7 @@ start AS (SELECT tabschema || '.' || tabname AS name FROM catalog WHERE pending
 walk AS (
   WITH RECURSIVE w(name, depth) AS (
     SELECT name, 0 FROM start
-    UNION SELECT e.parent, w.depth + 1 FROM w JOIN edges e ON e.child = w.name WHERE w.depth < 500)
+    UNION SELECT e.parent, w.depth + 1 FROM w JOIN edges e ON e.child = w.name)
   SELECT * FROM w)
 SELECT name, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY name""")
 def q_fk_closure(spark, sf):
@@ -179,7 +192,7 @@ def q_resolve_prefix(spark, sf):
         F.col("p_brand").alias("tabschema"), F.concat(F.lit("PART_"), F.col("p_partkey").cast("string")).alias("tabname"),
         "p_size")
     trunc = cat.where(F.col("p_size") < 3).select("tabschema", F.substring("tabname", 1, TRUNC_WIDTH).alias("truncated"))
-    return ig.resolve_prefix(trunc, cat, "tabschema", "tabname", "truncated", TRUNC_WIDTH)
+    return ig.resolve_prefix(trunc, cat, "tabschema", "tabname", "truncated")
 
 
 # ----------------------------------------------------------------- message classification

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import logs as lg
-from ..session import materialized
+from ..session import scratch_path
 from ..sources.logs import read_log, render_record, write_log
 from ..sources.tables import table
 from .bindings import AS_OF_EVENTS_SQL, as_of_events, with_sql
@@ -30,7 +30,7 @@ def _records(spark, sf):
     ts = (F.lit(CONV_BASE).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("conv_id").cast("int"))
           + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("turn").cast("int")))
     role = F.col("role")
-    cr = cv.select(ts.alias("ts"), F.concat(F.upper(F.substring(role, 1, 1)), F.substring(role, 2, 100)).alias("level"),
+    cr = cv.select(ts.alias("ts"), F.concat(F.upper(F.substring(role, 1, 1)), F.substr(role, F.lit(2))).alias("level"),
                    F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("rid"),
                    F.lit("conv").alias("instance"), F.lit("").alias("db"),
                    F.regexp_replace("text", r"\s+", " ").alias("message"))
@@ -38,12 +38,14 @@ def _records(spark, sf):
 
 
 def parsed_window(spark, sf):
-    def build(path):
-        recs = _records(spark, sf)
-        write_log(recs.select(render_record(F.col("ts"), F.col("level"), F.col("rid"), F.col("instance"),
-                                            F.col("db"), F.col("message")).alias("record")), path)
-    path = materialized(spark, f"diaglog:{sf}", build)
-    return lg.last_days(read_log(spark, path), "ts", as_of_events(), WINDOW_DAYS)
+    """The log rendered into day folders and read back; the window prunes the folders, then the records."""
+    recs = _records(spark, sf).select(
+        F.to_date("ts").alias("day"),
+        render_record(F.col("ts"), F.col("level"), F.col("rid"), F.col("instance"), F.col("db"), F.col("message")).alias("record"))
+    path = write_log(recs, scratch_path(spark, "diaglog"), day_col="day")
+    first = F.to_date(as_of_events() - F.expr(f"INTERVAL {WINDOW_DAYS} DAYS"))
+    log = read_log(spark, path, day_col="day").where((F.col("day") >= first) & (F.col("day") <= F.to_date(as_of_events()))).drop("day")
+    return lg.last_days(log, "ts", as_of_events(), WINDOW_DAYS)
 
 
 RECORDS_SQL = f"""recs AS (
@@ -57,7 +59,7 @@ RECORDS_SQL = f"""recs AS (
   FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
   UNION ALL
   SELECT TIMESTAMP '{CONV_BASE}' + to_minutes(conv_id) + to_seconds(turn),
-    upper(substr(role, 1, 1)) || substr(role, 2, 100), 'C' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR),
+    upper(substr(role, 1, 1)) || substr(role, 2), 'C' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR),
     'conv', '', regexp_replace(text, '\\s+', ' ', 'g')
   FROM conversations),
 win AS (SELECT * FROM recs WHERE ts >= {AS_OF_EVENTS_SQL} - INTERVAL {WINDOW_DAYS} DAYS AND ts <= {AS_OF_EVENTS_SQL})"""

@@ -9,6 +9,7 @@ from ..functions.time import lit_ts, whole_days
 from ..operators import retention as rt
 from ..operators.upsert import dedupe_latest, merge_last_seen, upsert_into_path
 from ..session import scratch_path
+from ..sources.feeds import FEEDS, load_batch, scan_slice
 from ..sources.files import (clustered, keys_from_path, optional_source, read_typed_csv, scan_by_key_pattern,
                              write_csv)
 from ..sources.tables import table
@@ -215,22 +216,30 @@ def q_keys_from_path(spark, sf):
 
 
 @register("next_snapshot_version", """
-SELECT day, day || '_' || lpad(CAST(max(nn) + 1 AS VARCHAR), 2, '0') AS next_folder
-FROM (SELECT strftime(o_orderdate, '%Y') || '0101' AS day, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS nn FROM orders)
+SELECT day, day || '_' || CASE WHEN max(nn) IS NULL THEN '00' WHEN max(nn) + 1 > 99 THEN CAST(max(nn) + 1 AS VARCHAR) ELSE lpad(CAST(max(nn) + 1 AS VARCHAR), 2, '0') END AS next_folder
+FROM (SELECT strftime(o_orderdate, '%Y') || '0101' AS day, (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1) * 26 AS nn FROM orders
+      UNION ALL SELECT DISTINCT strftime(o_orderdate, '%Y') || '0102', NULL::INTEGER FROM orders)
 GROUP BY day""")
 def q_next_snapshot_version(spark, sf):
-    """Snapshot folders ``<yyyymmdd>_<nn>`` listed from storage; next nn = max + 1."""
+    """Snapshot folders ``<yyyymmdd>_<nn>`` listed from storage; next nn = max + 1, 00 for a day without any."""
     o = table(spark, sf, "orders")
     base = scratch_path(spark, "snapshots")
-    snap = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("0101_"),
-                    F.lpad(F.substring("o_orderpriority", 1, 1), 2, "0"))
+    # up to 104 versions a day: numbers of two and of three digits
+    nn = (F.substring("o_orderpriority", 1, 1).cast("int") - 1) * 26
+    snap = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("0101_"), F.lpad(nn.cast("string"), F.greatest(F.length(nn.cast("string")), F.lit(2)), F.lit("0")))
     clustered(o.select("o_orderkey", snap.alias("snap")), ["snap"]).write.partitionBy("snap").parquet(base)
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
                .select(F.regexp_extract("path", r"snap=([^/]+)/", 1).alias("folder")).distinct())
-    return rt.next_version(listing)
+    days = o.select(F.explode(F.array(*[F.concat(F.date_format("o_orderdate", "yyyy"), F.lit(d)) for d in ("0101", "0102")])).alias("day"))
+    return rt.next_version(listing, days=days)
 
 
 # ------------------------------------------------------------------ upserts
+def _bucketed(df):
+    """A partition column that follows from the key, so a batch reads and rewrites its buckets only."""
+    return df.withColumn("bucket", (F.col("user_id") % 16).cast("int"))
+
+
 @register("upsert_keyed", f"""
 WITH tgt AS ({DEDUP_SQL.format(cond=f"ts < TIMESTAMP '{CUT_TARGET}'")}),
      src AS ({DEDUP_SQL.format(cond=f"ts >= TIMESTAMP '{CUT_SOURCE}'")})
@@ -240,8 +249,8 @@ def q_upsert_keyed(spark, sf):
     """Keyed INSERT_UPDATE of a batch into a partitioned table on shared storage."""
     old, new = _slices(spark, sf)
     path = scratch_path(spark, "wh-events")
-    clustered(dedupe_latest(old, EVENT_KEYS, "event_id"), ["event_type"]).write.partitionBy("event_type").parquet(path)
-    upsert_into_path(spark, path, new, EVENT_KEYS, "event_id", ["event_type"])
+    clustered(dedupe_latest(_bucketed(old), EVENT_KEYS, "event_id"), ["bucket"]).write.partitionBy("bucket").parquet(path)
+    upsert_into_path(spark, path, _bucketed(new), EVENT_KEYS, "event_id", ["bucket"])
     return spark.read.parquet(path).select(*_events(spark, sf).columns)
 
 
@@ -292,13 +301,100 @@ def q_stream_ingest_upsert(spark, sf):
     """Drop folder drained by a file stream; every micro-batch upserts the keyed target."""
     ev = _events(spark, sf)
     drop = scratch_path(spark, "drop-stream")
-    ev.repartition(6, "event_type", "user_id").write.parquet(drop)
+    _bucketed(ev).repartition(6, "bucket").write.parquet(drop)
     target = scratch_path(spark, "stream-target")
-    ingest_drop_folder(spark, drop, ev.schema, target, scratch_path(spark, "stream-ckpt"),
-                       EVENT_KEYS, "event_id", ["event_type"], max_files_per_trigger=2, guard="newest")
+    ingest_drop_folder(spark, drop, _bucketed(ev).schema, target, scratch_path(spark, "stream-ckpt"),
+                       EVENT_KEYS, "event_id", ["bucket"], max_files_per_trigger=2, guard="newest")
     return spark.read.parquet(target).select(*ev.columns)
 
 
+@register("upsert_null_partition", f"""
+WITH t AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS part, c_acctbal FROM customer WHERE c_custkey % 3 <> 0),
+     s AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS part, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)
+SELECT * FROM s UNION ALL SELECT * FROM t WHERE c_custkey NOT IN (SELECT c_custkey FROM s)""")
+def q_upsert_null_partition(spark, sf):
+    """Rows of the null partition survive a batch that touches it."""
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("part"), "c_acctbal")
+    path = scratch_path(spark, "null-part")
+    clustered(c.where("c_custkey % 3 <> 0"), ["part"]).write.partitionBy("part").parquet(path)
+    new = c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    upsert_into_path(spark, path, new, ["c_custkey"], None, ["part"])
+    return spark.read.schema(c.schema).parquet(path).select(*c.columns)
+
+
+@register("upsert_batch_duplicates", """
+SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id""")
+def q_upsert_batch_duplicates(spark, sf):
+    """Several rows of one key in a batch, some without a sequence: one row per key stays, the last by sequence."""
+    ev = table(spark, sf, "events").select("user_id", "event_id", "value")
+    blank = ev.where("event_id % 5 = 0").withColumns({"event_id": F.lit(None).cast(ev.schema["event_id"].dataType), "value": F.lit(-1.0)})
+    path = scratch_path(spark, "batch-dup")
+    upsert_into_path(spark, path, _bucketed(ev.unionByName(blank)), ["user_id"], "event_id", ["bucket"])
+    return spark.read.parquet(path).select("user_id", "event_id", "value")
+
+
+def _feed_rows(spark, sf, feed):
+    """Rows for a feed from the events: host, instance and database of the entity, the feed's own key columns."""
+    ev, c, n = table(spark, sf, "events"), table(spark, sf, "customer"), table(spark, sf, "nation")
+    base = (ev.join(c, ev.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+            .select(F.concat(F.lit("host"), F.col("n_regionkey").cast("string")).alias("hostname"), F.lower("n_name").alias("instancename"),
+                    F.upper("c_mktsegment").alias("dbname"), F.date_trunc("HOUR", "ts").alias(feed.time_col), "user_id", "event_type", "value", "event_id"))
+    own = [k for k in feed.keys if k not in base.columns]
+    return base.withColumns({k: F.concat(F.lit(f"{k}-"), (F.col("user_id") % (7 + 3 * i)).cast("string")) for i, k in enumerate(own)})
+
+
+def _feed_key_sql(feed):
+    have = {"hostname": "'host' || n_regionkey", "instancename": "lower(n_name)", "dbname": "upper(c_mktsegment)", "capture_timestamp": "date_trunc('hour', ts)"}
+    own = [k for k in feed.keys if k not in have]
+    return ", ".join(have.get(k) or f"'{k}-' || user_id % {7 + 3 * own.index(k)}" for k in feed.keys)
+
+
+LOADED_FEEDS = ("database_cumul", "bp_cumul", "connection_info", "dbcfg", "dbsize_info", "thr_viol_ev")
+
+
+@register("feeds_load", " UNION ALL ".join(
+    f"SELECT '{f}' AS feed, count(*) AS n_rows, count(DISTINCT k) AS n_keys FROM (SELECT DISTINCT ({_feed_key_sql(FEEDS[f])}) AS k "
+    "FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey)" for f in LOADED_FEEDS))
+def q_feeds_load(spark, sf):
+    """Feeds of the registry loaded as two overlapping batches: every key ends up once, whatever was imported again."""
+    out = None
+    for name in LOADED_FEEDS:
+        feed = FEEDS[name]
+        rows, path = _feed_rows(spark, sf, feed), scratch_path(spark, f"feed-{name}")
+        load_batch(spark, feed, path, rows.where("event_id % 3 <> 0"), None if feed.merge == "last_seen" else "event_id")
+        load_batch(spark, feed, path, rows.where("event_id % 3 <> 1"), None if feed.merge == "last_seen" else "event_id")
+        got = spark.read.parquet(path)
+        one = got.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.struct(*feed.keys)).alias("n_keys")).select(F.lit(name).alias("feed"), "n_rows", "n_keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("upsert_reimport", f"""
+SELECT ({_feed_key_sql(FEEDS['thr_viol_ev'])}) IS NOT NULL AS keyed, count(DISTINCT ({_feed_key_sql(FEEDS['thr_viol_ev'])})) AS n_rows
+FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def q_upsert_reimport(spark, sf):
+    """Event rows captured again on a later day replace their older self."""
+    feed, path = FEEDS["thr_viol_ev"], scratch_path(spark, "reimport")
+    rows = _feed_rows(spark, sf, feed)
+    load_batch(spark, feed, path, rows, "event_id")
+    load_batch(spark, feed, path, rows.withColumn(feed.time_col, F.col(feed.time_col) + F.expr("INTERVAL 1 DAY")), "event_id")
+    return spark.read.parquet(path).groupBy(F.lit(True).alias("keyed")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("feed_slices", """
+SELECT feed, count(*) AS n_rows FROM (SELECT unnest(['pkg_cache_stmt', 'dbmcfg', 'reg_variables', 'thr_activi_ev']) AS feed,
+  upper(c_mktsegment) AS db FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE n_regionkey = 2) WHERE db = 'MACHINERY' OR feed IN ('dbmcfg', 'reg_variables') GROUP BY feed""")
+def q_feed_slices(spark, sf):
+    """Keyed slices: database feeds by host and database, instance feeds by host alone."""
+    out = None
+    for name in ("pkg_cache_stmt", "dbmcfg", "reg_variables", "thr_activi_ev"):
+        part = scan_slice(_feed_rows(spark, sf, FEEDS[name]), FEEDS[name], hostname="host2", dbname="machinery")
+        one = part.select(F.lit(name).alias("feed"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("feed").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # ------------------------------------------------------------------ retention
 PURGE_DAYS_ORDERS = 2000
 ARCHIVE_SEGMENTS = ("AUTOMOBILE", "BUILDING")
@@ -321,6 +417,25 @@ def q_purge_cascade(spark, sf):
     return rt.purge_cascade(table(spark, sf, "lineitem"), expiring, ["l_orderkey"], ["o_orderkey"])
 
 
+@register("purge_applied", f"""
+SELECT 'orders' AS table_name, count(*) AS n_rows, sum(o_orderkey)::BIGINT AS key_sum FROM orders
+WHERE NOT (o_orderdate < {AS_OF_ORDERS_SQL} - INTERVAL {PURGE_DAYS_ORDERS} DAYS)
+UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::BIGINT FROM lineitem WHERE l_orderkey NOT IN (
+  SELECT o_orderkey FROM orders WHERE o_orderdate < {AS_OF_ORDERS_SQL} - INTERVAL {PURGE_DAYS_ORDERS} DAYS)""")
+def q_purge_applied(spark, sf):
+    """The purge carried out on stored tables: children first, expired folders dropped, the cut month rewritten."""
+    month = lambda c: F.date_format(c, "yyyy-MM").alias("part")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", month("o_orderdate"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 8).cast("int").alias("part"))
+    op, lp = scratch_path(spark, "purge-orders"), scratch_path(spark, "purge-lineitem")
+    clustered(o, ["part"]).write.partitionBy("part").parquet(op)
+    clustered(li, ["part"]).write.partitionBy("part").parquet(lp)
+    rt.apply_purge(spark, op, "o_orderdate", as_of_orders(), PURGE_DAYS_ORDERS, "part", children=[(lp, "l_orderkey", "o_orderkey", ["part"])])
+    sums = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(k).cast("long").alias("key_sum")).select(F.lit(t).alias("table_name"), "n_rows", "key_sum")
+            for t, p, k in (("orders", op, "o_orderkey"), ("lineitem", lp, "l_orderkey"))]
+    return sums[0].unionByName(sums[1])
+
+
 @register("purge_conditional", f"""
 SELECT e.event_id FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey
 WHERE NOT (coalesce(c.c_mktsegment IN {ARCHIVE_SEGMENTS}, false) AND e.ts < {AS_OF_EVENTS_SQL} - INTERVAL 10 DAYS)""")

@@ -12,12 +12,12 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import durable
-from ..operators.upsert import merge_last_seen, upsert_into_path
-from .files import clustered, optional_source
+from ..operators.upsert import merge_last_seen, touched_rows, upsert_into_path, write_partitions
+from .files import optional_source
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ class Feed:
     time_col: str = "capture_timestamp"
     level: str = "database"            # "database" feeds carry dbname, "instance" feeds do not
     merge: str = "upsert"              # "upsert" or "last_seen"
-    partition_cols: tuple[str, ...] = field(default=("hostname", "capture_date"))
+    partition_cols: tuple[str, ...] = field(default=("hostname", "capture_date"))  # must follow from the keys
 
 
 EVENT_KEY = ("appl_id", "activity_id", "uow_id")
@@ -46,17 +46,13 @@ FEEDS: dict[str, Feed] = {f.name: f for f in [
     Feed("reg_variables", ("hostname", "instancename", "capture_timestamp", "reg_var_name", "dbpartitionnum"),
          level="instance"),
     Feed("dbsize_info", ("hostname", "instancename", "dbname", "capture_timestamp")),
-    Feed("thr_viol_ev", ("dbname", "hostname", *EVENT_KEY)),
-    Feed("thr_activi_ev", ("dbname", "hostname", *EVENT_KEY)),
-    Feed("thr_activi_ev_metrics", ("dbname", "hostname", *EVENT_KEY)),
-    Feed("thr_activi_ev_stmt", ("dbname", "hostname", *EVENT_KEY)),
-    Feed("thr_activi_ev_vals", ("dbname", "hostname", *EVENT_KEY, "stmt_value_index")),
+    Feed("thr_viol_ev", ("dbname", "hostname", *EVENT_KEY), partition_cols=("hostname", "dbname")),
+    Feed("thr_activi_ev", ("dbname", "hostname", *EVENT_KEY), partition_cols=("hostname", "dbname")),
+    Feed("thr_activi_ev_metrics", ("dbname", "hostname", *EVENT_KEY), partition_cols=("hostname", "dbname")),
+    Feed("thr_activi_ev_stmt", ("dbname", "hostname", *EVENT_KEY), partition_cols=("hostname", "dbname")),
+    Feed("thr_activi_ev_vals", ("dbname", "hostname", *EVENT_KEY, "stmt_value_index"), partition_cols=("hostname", "dbname")),
 ]}
 
-# Feeds published to the dashboard store when none is named.
-PUBLISH_DEFAULT = ["db2_get_bp", "db2_get_db", "db2_get_dbsize_info", "db2_get_table", "db2_get_throughput"]
-
-
 def scan_slice(df: DataFrame, feed: Feed, hostname: str | None = None, dbname: str | None = None,
                instancename: str | None = None) -> DataFrame:
     """Keyed scan: equality filters on the identifying columns (pushed to the scan / pruned partitions)."""
@@ -82,17 +78,19 @@ def stamp(df: DataFrame, feed: Feed, hostname: str, instancename: str, dbname: s
 
 
 def load_batch(spark: SparkSession, feed: Feed, target_path: str, batch: DataFrame, seq_col: str | None = None) -> dict:
-    """Apply one batch of a feed to its warehouse table on shared storage."""
-    if "capture_date" in feed.partition_cols and "capture_date" not in batch.columns:
+    """Apply one batch of a feed to its warehouse table on shared storage; only the partitions it touches are read.
+
+    Feeds whose key holds the capture time are partitioned by its date, all others by parts of their key, so that
+    a row that is imported again always meets its older self. Without ``seq_col`` the last row of a key wins."""
+    if "capture_date" in feed.partition_cols:
+        if feed.time_col not in feed.keys:
+            raise ValueError(f"{feed.name}: a date partition needs the capture time in the key")
         batch = batch.withColumn("capture_date", F.to_date(F.col(feed.time_col)))
-    parts = [c for c in feed.partition_cols if c in batch.columns]
+    parts = list(feed.partition_cols)
     if feed.merge == "upsert":
         return upsert_into_path(spark, target_path, batch, list(feed.keys), seq_col, parts)
     if feed.merge == "last_seen":
-        existing = optional_source(spark, target_path, batch.schema)
-        out = durable(merge_last_seen(existing, batch, list(feed.keys), feed.time_col))
-        obs = Observation(f"feed_{feed.name}")
-        (clustered(out, parts).observe(obs, F.count(F.lit(1)).alias("rows_written"))
-            .write.mode("overwrite").partitionBy(*parts).parquet(target_path))
-        return dict(obs.get)
+        batch = durable(batch)
+        target = touched_rows(optional_source(spark, target_path, batch.schema), batch, parts)
+        return write_partitions(durable(merge_last_seen(target, batch, list(feed.keys), feed.time_col)), target_path, parts)
     raise ValueError(feed.merge)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import clustered
+
 TS_FORMAT = "yyyy-MM-dd-HH.mm.ss.SSSSSS"
 
 
@@ -21,14 +23,21 @@ def render_record(ts: Column, level: Column, rid: Column, instance: Column, db:
                     F.lit("  INSTANCE: "), instance, F.lit("  DB: "), db, F.lit("\nMESSAGE : "), message)
 
 
-def write_log(records: DataFrame, path: str, record_col: str = "record") -> str:
+def write_log(records: DataFrame, path: str, record_col: str = "record", day_col: str | None = None) -> str:
+    """Text records, in a folder per day if ``day_col`` is given."""
     # the text writer adds one newline; the extra one makes the blank separator line
-    records.select(F.concat(F.col(record_col), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+    value = F.concat(F.col(record_col), F.lit("\n")).alias("value")
+    if day_col is None:
+        records.select(value).write.mode("overwrite").text(path)
+    else:
+        clustered(records.select(value, day_col), [day_col]).write.mode("overwrite").partitionBy(day_col).text(path)
     return path
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path, lineSep="\n\n").where(F.trim(F.col("value")) != "")
+def read_log(spark: SparkSession, path: str, day_col: str | None = None) -> DataFrame:
+    """Parsed records; with ``day_col`` the folder's day comes along, so a filter on it prunes folders."""
+    schema = "value string" + (f", {day_col} date" if day_col else "")
+    raw = spark.read.schema(schema).text(path, lineSep="\n\n").where(F.trim(F.col("value")) != "")
     v = F.col("value")
     return raw.select(
         F.regexp_extract(v, r"PID: (\S+)", 1).alias("rid"),
@@ -37,4 +46,5 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract(v, r"INSTANCE: (\S*)", 1).alias("instance"),
         F.regexp_extract(v, r"DB: (\S*)", 1).alias("db"),
         F.regexp_extract(v, r"(?s)MESSAGE : (.*)$", 1).alias("message"),
+        *([day_col] if day_col else []),
     )

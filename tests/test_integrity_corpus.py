@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from opsward.functions import messages as msg
@@ -61,7 +63,7 @@ def test_resolve_prefix(spark):
     cat = spark.createDataFrame([("S", "ABCDEFGH_1"), ("S", "ABCDEFGH_2"), ("S", "ABCDEFXY"), ("T", "ABCDEFGH_9")],
                                 "s string, n string")
     trunc = spark.createDataFrame([("S", "ABCDEFGH"), ("S", "ABCDEFXY"), ("S", "ZZ")], "s string, t string")
-    got = rows(ig.resolve_prefix(trunc, cat, "s", "n", "t", 8))
+    got = rows(ig.resolve_prefix(trunc, cat, "s", "n", "t"))
     assert got == [("S", "ABCDEFGH", 2, "ambiguous", None), ("S", "ABCDEFXY", 1, "unique", "ABCDEFXY"),
                    ("S", "ZZ", 0, "none", None)]
 
@@ -169,3 +171,24 @@ def test_closure_long_chain_with_periodic_checkpoints(spark):
     expect = {f"n{i}": i for i in range(4)}
     expect.update({"n4": 4, "n7": 4, "n5": 5, "n8": 5, "n6": 6, "n9": 6, "n10": 7, "n11": 8})
     assert got == expect
+
+
+def test_cascade_reaches_the_end_of_chains_and_cycles(spark):
+    t = spark.createDataFrame([(1, 9, True), (2, 1, False), (3, 2, False), (4, 5, False), (5, 4, False), (6, 7, True), (7, 6, False)], "id int, up int, bad boolean")
+    d = ig.divert_cascade({"t": t}, ["t"], [("t", ["up"], "t", ["id"])], {"t": ~F.col("bad")})
+    assert rows(d["t"], "id", "reason") == [(1, "check"), (2, "parent:t"), (3, "parent:t"), (6, "check,parent:t"), (7, "parent:t")]
+    with pytest.raises(ValueError):
+        ig.divert_cascade({"t": t}, ["t"], [("t", ["up"], "missing", ["id"])], {})
+
+
+def test_pending_set_and_closure_have_no_cap(spark):
+    cat = spark.range(120).select(F.lit("s").alias("tabschema"), F.col("id").cast("string").alias("tabname"), F.lit(True).alias("pending"))
+    refs = spark.createDataFrame([], "tabschema string, tabname string, reftabschema string, reftabname string")
+    assert ig.pending_set(cat, refs).count() == 120 and ig.pending_set(cat, refs, 7).count() == 7
+
+
+def test_prefixes_of_any_length(spark):
+    cat = spark.createDataFrame([("s", "x" * 140 + c) for c in "abb"] + [("s", "x" * 20)], "s string, n string")
+    cut = spark.createDataFrame([("s", "x" * 140), ("s", "x" * 140 + "a"), ("s", "y")], "s string, t string")
+    got = rows(ig.resolve_prefix(cut, cat, "s", "n", "t"), "t", "n_matches", "resolution")
+    assert got == [("x" * 140, 3, "ambiguous"), ("x" * 140 + "a", 1, "unique"), ("y", 0, "none")]

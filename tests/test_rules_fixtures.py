@@ -160,14 +160,33 @@ def test_next_version(spark):
 
 
 def test_resolution_without_broadcast_is_identical(spark):
+    ent = spark.createDataFrame(CASES, "case_id int, host string, instance string, dbname string, day int, kind string")
+    cols = ["case_id", "host", "instance", "dbname", "day"]
+    want = rows(resolve(ent, _rules(spark, RULES), cols, ["warn_h", "crit_h", "dow"], match_cols=["kind"]))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        ent = spark.createDataFrame(CASES, "case_id int, host string, instance string, dbname string, day int, kind string")
-        cols = ["case_id", "host", "instance", "dbname", "day"]
-        small = resolve(ent, _rules(spark, RULES), cols, ["warn_h", "crit_h", "dow"], match_cols=["kind"], max_broadcast_rows=1)
-        plan = small._jdf.queryExecution().executedPlan().toString()
+        got = resolve(ent, _rules(spark, RULES), cols, ["warn_h", "crit_h", "dow"], match_cols=["kind"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
-        big = resolve(ent, _rules(spark, RULES), cols, ["warn_h", "crit_h", "dow"], match_cols=["kind"])
-        assert rows(small) == rows(big)
+        assert rows(got) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_entity_without_a_rule_stays_with_defaults(spark):
+    ent = spark.createDataFrame([(1, "h1", "i1", "D1"), (2, "h2", "i1", "D1"), (3, None, None, None)], "case_id int, host string, instance string, dbname string")
+    rules = _rules(spark, ["h1:*:*:*:regular:1;2"])
+    got = resolve(ent.withColumn("kind", F.lit("regular")), rules, ["case_id"], ["warn_h", "crit_h"], match_cols=["kind"], defaults={"warn_h": 48, "crit_h": 120})
+    assert rows(got, "case_id", "line_no", "warn_h", "crit_h") == [(1, 1, 1, 2), (2, None, 48, 120), (3, None, 48, 120)]
+    bare = resolve(ent, rules.where("host = '*'"), ["case_id"], ["warn_h"])
+    assert rows(bare, "case_id", "warn_h") == [(1, None), (2, None), (3, None)]
+
+
+def test_many_lines_of_one_key_meet_an_entity_once(spark):
+    """Lines of a key are reduced before the join: ten times the lines give the same number of joined rows."""
+    ent = spark.range(200).select(F.col("id").cast("int").alias("case_id"), F.lit("h").alias("host"), F.lit("i").alias("instance"), F.lit("d").alias("dbname"))
+    for n in (100, 1000):
+        rules = spark.range(n).select(F.col("id").alias("line_no"), F.lit("h").alias("host"), F.lit("i").alias("instance"), F.lit("d").alias("dbname"), F.col("id").cast("int").alias("v"))
+        got = resolve(ent, rules, ["case_id"], ["v"])
+        assert got.count() == 200 and {r.v for r in got.collect()} == {n - 1}
+        assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()
