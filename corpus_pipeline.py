@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model.classes:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    got = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    got = langid.predict(docs, model, names=("__lang", "__score")).where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE))
+    return got.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, dealt to its shards and shuffled there."""
-    return mixing.Mix(docs).rows(docs).select(*docs.columns)
+    return mixing.Mix(docs).rows(docs, names=("__to", "__order")).select(*docs.columns)
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
