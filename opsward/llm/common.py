@@ -51,7 +51,7 @@ def text_slices(batch: pa.RecordBatch, max_chars: int = 2_000_000, text: str = "
         yield batch.slice(start), texts[start:]
 
 
-def byte_slices(batch: pa.RecordBatch, max_bytes: int = 8_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch, max_bytes: int = 2_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of a batch with at most ``max_bytes`` of text each (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
     ends = np.r_[0, np.cumsum(size, dtype=np.int64)]

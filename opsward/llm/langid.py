@@ -268,7 +268,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
         for batch in batches:
-            for rows in byte_slices(batch):
+            for rows in byte_slices(batch, 8_000_000):
                 lang, score = scorer.predict(rows.column(rows.schema.get_field_index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())],

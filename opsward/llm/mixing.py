@@ -189,18 +189,21 @@ class Mix:
                 .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"),
                         copies.cast("int").alias("copies")))
 
-    def rows(self, docs: DataFrame, tasks_per_shard: int = 16) -> DataFrame:
-        """``docs`` as the mix has them, a row per copy with shard and order_key, shuffled inside the shards. Text
-        rows move once, to their shard's tasks."""
-        columns = docs.columns
-        got = _keyed(docs, self.seed).withColumn("__source", F.col("source"))
-        got = got.join(self.sources.drop("source_size", "target"), F.col("__source").eqNullSafe(F.col("src")))
-        copies = F.col("passes") + F.when(F.col("__key") <= F.col("cut"), 1).otherwise(0)
-        got = got.where(copies > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), copies - 1)))
-        got = got.withColumn("block", F.shiftright("__key", 60 - DIGIT_BITS).cast("int")).join(self.placements, ["s", "pass", "block"])
-        got = got.withColumn("order_key", F.xxhash64("__key", "pass", F.lit(self.seed)))
-        got = got.select(*columns, "shard", "order_key").withColumn("part", F.pmod("order_key", F.lit(tasks_per_shard)))
-        return got.repartition("shard", "part").sortWithinPartitions("shard", "part", "order_key")
+    def rows(self, docs: DataFrame, tasks_per_shard: int = 16, names: tuple[str, str] = ("shard", "order_key")) -> DataFrame:
+        """``docs`` as the mix has them, a row per copy, shuffled inside the shards. Shard and order are appended under
+        ``names`` (and replace columns of those names). Text rows move once, to their shard's tasks."""
+        columns = [c for c in docs.columns if c not in names]
+        got = _keyed(docs.drop(*names), self.seed)
+        src = self.sources.select(F.col("s").alias("__s"), F.col("src").alias("__src"), F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
+        at = self.placements.select(F.col("s").alias("__s"), F.col("pass").alias("__pass"), F.col("block").alias("__block"), F.col("shard").alias("__shard"))
+        got = got.join(src, F.col("source").eqNullSafe(F.col("__src")))
+        copies = F.col("__passes") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
+        got = got.where(copies > 0).withColumn("__pass", F.explode(F.sequence(F.lit(0), copies - 1)))
+        got = got.withColumn("__block", F.shiftright("__key", 60 - DIGIT_BITS).cast("int")).join(at, ["__s", "__pass", "__block"])
+        got = got.withColumn("__order", F.xxhash64("__key", "__pass", F.lit(self.seed)))
+        got = got.select(*columns, "__shard", "__order", F.pmod("__order", F.lit(tasks_per_shard)).alias("__part"))
+        got = got.repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__order")
+        return got.select(*columns, F.col("__shard").alias(names[0]), F.col("__order").alias(names[1]))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

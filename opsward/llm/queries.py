@@ -21,4 +21,6 @@ ORACLE = {
     "op1_repetition": repetition.SQL,
     "op4_warc": warc.SQL,
     "op5_mixing": mixing.SQL,
+    "op8_jaccard": ngram_join.SQL,
+    "op9_pq": pq_neardup.SQL,
 }
