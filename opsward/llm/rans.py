@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsward.session import scratch_path
@@ -48,7 +48,7 @@ LANES = 1024
 BLOCK_TOKENS = 262_144
 CHECK_STEPS = 128
 LOW = np.uint64(1 << 31)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 JOINED = 128
 HEAD = struct.Struct("<4sHHHII")
 BLOCKS = ("shard int, block int, n_tokens long, payload binary, doc_ids array<long>, doc_starts array<long>, "
@@ -74,10 +74,10 @@ class WordEncoder:
         self.reset()
 
     def reset(self):
-        self.words: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.flat = np.zeros(0, np.uint32)
-        self.at = np.zeros(0, np.int64)
-        self.len = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.len = np.zeros(0, np.int32)
 
     def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and how many each has. Words of letters go ``JOINED`` to a line, parted at the
@@ -107,32 +107,38 @@ class WordEncoder:
         back = np.argsort(np.array(order))
         return ids[ragged_positions((np.cumsum(n) - n)[back], n[back])], n[back]
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds words to the cache. A full stop or comma after a letter is a piece of its own, so such a word is its
-        stem's ids and the mark's."""
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Adds words to the cache and gives their numbers. A full stop or comma after a letter is a piece of its own, so
+        such a word is its stem's ids and the mark's."""
+        base = len(self.at)
         stopped = [w for w in new if w[-1] in ",." and "a" <= w[-2:-1] <= "z"]
         marked = set(stopped)
-        stems = list(dict.fromkeys([w for w in new if w not in marked] + [x for w in stopped if (x := w[:-1]) not in self.words]))
-        ids, lens = self._distinct(stems)
-        self.words.update(zip(stems, range(len(self.at), len(self.at) + len(stems))))
+        stems = list(dict.fromkeys(w[:-1] for w in stopped))
+        known = dict(zip(stems, pc.index_in(pa.array(stems, pa.string()), value_set=self.words).to_pylist()))
+        plain = list(dict.fromkeys([w for w in new if w not in marked] + [w for w, i in known.items() if i is None]))
+        ids, lens = self._distinct(plain)
         self._append(ids, lens)
+        number = {w: i for w, i in known.items() if i is not None}
+        number.update(zip(plain, range(base, base + len(plain))))
         if stopped:
-            stem = np.array([self.words[w[:-1]] for w in stopped])
+            stem = np.array([number[w[:-1]] for w in stopped])
             tail = [self.stops[w[-1]] for w in stopped]
-            lens = self.len[stem] + np.array([len(x) for x in tail])
+            sizes = np.array([len(x) for x in tail])
+            lens = self.len[stem] + sizes
             ids = np.zeros(int(lens.sum()), np.uint32)
-            ends = np.cumsum(lens)
             body = np.ones(len(ids), bool)
-            mark = ragged_positions(ends - np.array([len(x) for x in tail]), np.array([len(x) for x in tail]))
+            mark = ragged_positions(np.cumsum(lens) - sizes, sizes)
             body[mark] = False
             ids[mark] = [t for x in tail for t in x]
             ids[body] = self.flat[ragged_positions(self.at[stem], self.len[stem])]
-            self.words.update(zip(stopped, range(len(self.at), len(self.at) + len(stopped))))
+            number.update(zip(stopped, range(base + len(plain), base + len(plain) + len(stopped))))
             self._append(ids, lens)
+        self.words = pa.concat_arrays([self.words, pa.array(plain + stopped, pa.string())])
+        return np.array([number[w] for w in new], np.int64)
 
     def _append(self, ids, lens):
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(lens) - lens])
-        self.len = np.concatenate([self.len, lens])
+        self.at = np.concatenate([self.at, (len(self.flat) + np.cumsum(lens) - lens).astype(np.int32)])
+        self.len = np.concatenate([self.len, lens.astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -145,14 +151,14 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
         coded = pc.dictionary_encode(split.flatten())
-        distinct = coded.dictionary.to_pylist()
-        known = list(map(self.words.get, distinct))
-        if None in known:
-            new = [i for i, c in enumerate(known) if c is None]
-            self._learn([distinct[i] for i in new if distinct[i]])
-            for i in new:
-                known[i] = self.words[distinct[i]] if distinct[i] else -1
-        place = np.array(known, np.int64)
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            words = coded.dictionary.take(pa.array(new)).to_pylist()
+            if "" in words:
+                new = np.delete(new, words.index(""))
+                words.remove("")
+            place[new] = self._learn(words)
         codes = place[coded.indices.to_numpy()] if len(owner) else np.zeros(0, np.int64)
         if len(codes) and codes.min() < 0:  # empty strings beside leading or trailing white space
             owner, codes = owner[codes >= 0], codes[codes >= 0]
@@ -172,38 +178,37 @@ def encoder(path: str) -> WordEncoder:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): the ids of every whole text with the end id, as little-endian integers of 4 bytes (2 if the
-    vocabulary fits)."""
+    """(doc_id, ids, counts): the ids of every whole text with the end id, as little-endian integers of 4 bytes (2 if the
+    vocabulary fits); each task ends with a row that has no ids but counts, pairs (id, times) of all that it wrote."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        kind = "<u4" if enc.wide else "<u2"
+        kind, schema = "<u4" if enc.wide else "<u2", pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+        total = np.zeros(max(len(enc.ends), end_id + 1), np.int64)
         for batch in batches:
-            for rows in byte_slices(batch):
+            for rows in byte_slices(batch, 5_000_000):
                 ids, lens = enc.encode(rows.column(1))
                 out = np.full(len(ids) + len(lens), end_id, kind)
                 ends = np.cumsum(lens + 1)
                 keep = np.ones(len(out), bool)
                 keep[ends - 1] = False
                 out[keep] = ids
+                total += np.bincount(out, minlength=len(total))
                 raw = out.tobytes()
                 cuts = (np.r_[0, ends] * out.itemsize).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                                                  pa.nulls(len(lens), pa.binary())], schema=schema)
+        used = np.flatnonzero(total)
+        pairs = np.stack([used, total[used]], 1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def _count(kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
-            if len(got) > len(total):
-                got, total = total, got
-            total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-    return run
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "n"])
 
 
 def frequencies(counts: dict[int, int], bits: int = PROB_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -361,13 +366,13 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     path = path or public_tokenizers.path(VOCABULARY)
     kind = "<u4" if encoder(path).wide else "<u2"
     tokenize(docs, path, end_id).write.option("compression", "zstd").parquet(f"{out}/tokens")
-    tokens = spark.read.schema("doc_id long, ids binary").parquet(f"{out}/tokens")
-    counts = tokens.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tokens = spark.read.schema("doc_id long, ids binary, counts binary").parquet(f"{out}/tokens")
+    counts = tokens.select("counts").where("counts is not null").mapInArrow(_unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = {r.id: r.n for r in counts.collect()}  # at most one row per id of the vocabulary
     ids, freq = frequencies(counts)
     table = list(zip(ids.tolist(), freq.astype(np.int64).tolist()))
     spark.createDataFrame(table, "id int, freq int").coalesce(1).write.parquet(f"{out}/frequencies")
-    (tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    (tokens.where("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
      .mapInArrow(_encoder((ids, freq), kind, block_tokens), BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks"))
     blocks = spark.read.schema(BLOCKS).parquet(f"{out}/blocks")
     blocks.groupBy("shard").agg(F.count("*").alias("blocks"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{out}/shards")
@@ -406,7 +411,11 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     pieces = blocks.mapInArrow(_decoder(coder_of(spark, out)), PIECES)
     docs = pieces.groupBy("shard", "doc_start", "doc_id").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("crc"))
     shards = spark.read.schema("shard int, blocks long, n_tokens long").parquet(f"{out}/shards")
-    offset = shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("offset"))
+    offsets, at = [], 0
+    for r in sorted(shards.select("shard", "n_tokens").collect()):  # a row per shard
+        offsets.append((r.shard, at))
+        at += r.n_tokens
+    offset = spark.createDataFrame(offsets, "shard int, offset long")
     return docs.join(offset, "shard").select(
         "doc_id", (F.col("offset") + F.col("doc_start")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
