@@ -9,13 +9,27 @@ from .lineage import durable
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """``count(*)`` of every table in one job, with a fixed-width grid line (name 40 left, count 20 right)."""
+    """``count(*)`` of every table in one job, with a grid line (name 40 left, count 20 right; longer ones in full)."""
     out = None
     for name, df in tables.items():
         c = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = c if out is None else out.unionByName(c)
     return out.select("table_name", "n_rows",
-                      F.concat(F.rpad("table_name", 40, " "), F.lpad(F.col("n_rows").cast("string"), 20, " ")).alias("grid_line"))
+                      F.concat(_padded(F.col("table_name"), 40, F.rpad), _padded(F.col("n_rows").cast("string"), 20, F.lpad)).alias("grid_line"))
+
+
+def _padded(text, width: int, pad):
+    return pad(text, F.greatest(F.length(text), F.lit(width)), F.lit(" "))
+
+
+def quantiles(df: DataFrame, cols: list[str], points: tuple[float, ...] = (0.25, 0.5, 0.75), approximate: bool = False) -> DataFrame:
+    """Per column its quantiles in one pass: interpolated ones from value counts (``percentile`` combines equal values
+    on the map side), or ``approximate`` ones of bounded size."""
+    f = F.percentile_approx if approximate else F.percentile
+    one = df.agg(*[f(c, list(points)).alias(f"_q{i}") for i, c in enumerate(cols)])
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"_q{i}")[j].cast("double").alias(f"q{round(100 * q)}") for j, q in enumerate(points)])
+        for i, c in enumerate(cols)])).alias("s")).select("s.*")
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:

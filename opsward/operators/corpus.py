@@ -122,19 +122,18 @@ _ALL_CUTS = r"\b(SELECT|FROM|JOIN|WHERE|ORDER|GROUP|ON|HAVING|UNION|LEFT|RIGHT|I
 
 
 def table_refs(stmts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Table names after FROM / JOIN (comma lists, first token of each item), distinct per statement.
+    """Table names after FROM / JOIN (comma lists, first token of each item), distinct per statement row.
 
-    One regex pass cuts the text before every keyword; FROM/JOIN segments are
-    exploded (codegen-friendly Generate, no higher-order functions).
+    One regex pass cuts the text before every keyword; a statement's names are made distinct inside its row, so
+    nothing is shuffled.
     """
     s = F.upper(F.regexp_replace(F.col(text_col), r"\s+", " "))
-    cut = F.regexp_replace(s, _ALL_CUTS, "|$1")
-    segs = (stmts.where(~s.rlike(SKIP_STATEMENTS))
-            .select(F.col(id_col), F.explode(F.split(cut, r"\|")).alias("seg"))
-            .where(F.col("seg").startswith("FROM") | F.col("seg").startswith("JOIN")))
-    items = segs.select(id_col, F.explode(F.split(F.substring("seg", 5, 1 << 30), ",")).alias("it"))
-    tok = F.split_part(F.trim(F.col("it")), F.lit(" "), F.lit(1))
-    return items.select(id_col, tok.alias("table_ref")).where(F.col("table_ref") != "").distinct()
+    cut = F.split(F.regexp_replace(s, _ALL_CUTS, "|$1"), r"\|")
+    segs = F.filter(cut, lambda x: x.startswith("FROM") | x.startswith("JOIN"))
+    names = F.flatten(F.transform(segs, lambda x: F.transform(
+        F.split(F.substr(x, F.lit(5)), ","), lambda it: F.split_part(F.trim(it), F.lit(" "), F.lit(1)))))
+    refs = F.array_distinct(F.filter(names, lambda x: x != ""))
+    return stmts.where(~s.rlike(SKIP_STATEMENTS)).select(F.col(id_col), F.explode(refs).alias("table_ref"))
 
 
 def missing_objects(refs: DataFrame, catalog: DataFrame, schemas: list[str],

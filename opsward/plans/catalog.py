@@ -36,6 +36,17 @@ def q_column_profile_approx(spark, sf):
     return ct.column_profile(table(spark, sf, "lineitem"), PROFILE_COLS, approximate=True)
 
 
+QUANTILE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_suppkey"]
+
+
+@register("column_quantiles", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, quantile_cont({c}::DOUBLE, 0.25) AS q25, quantile_cont({c}::DOUBLE, 0.5) AS q50, quantile_cont({c}::DOUBLE, 0.75) AS q75 FROM lineitem"
+    for c in QUANTILE_COLS))
+def q_column_quantiles(spark, sf):
+    """Distribution of the numeric columns beside their profile."""
+    return ct.quantiles(table(spark, sf, "lineitem"), QUANTILE_COLS)
+
+
 FREQ_COLS = ["l_returnflag", "l_linestatus", "l_quantity", "l_suppkey", "l_shipdate"]
 TOP_K = 3
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as msg
 from ..operators import integrity as ig
+from ..session import scratch_path
+from ..sources.files import read_typed_csv
 from ..sources.tables import table
 from .bindings import AS_OF_ORDERS_SQL, HISTORY_SQL, as_of_orders, history, with_sql
 from .registry import register
@@ -71,6 +73,17 @@ def q_divert_exceptions(spark, sf):
     return exc
 
 
+@register("export_exceptions", """
+SELECT l_orderkey, l_linenumber, l_quantity, 'check_qty' AS n2_info FROM lineitem WHERE NOT coalesce(l_quantity <= 45, true)""")
+def q_export_exceptions(spark, sf):
+    """Exception rows as delimited files on shared storage, read back with declared types."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    _, exc = ig.divert(ig.tag_violations(li, checks=[("check_qty", F.col("l_quantity") <= 45)]), as_of_orders())
+    path = ig.export_exceptions(exc, scratch_path(spark, "exceptions"))
+    back = read_typed_csv(spark, path, "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, n1_timestamp TIMESTAMP_NTZ, n2_info STRING", corrupt_col=None)
+    return back.select("l_orderkey", "l_linenumber", "l_quantity", "n2_info")
+
+
 @register("divert_cascade", """
 WITH bad_c AS (SELECT c_custkey FROM customer WHERE NOT coalesce(c_acctbal >= 0, true)),
      bad_o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM bad_c)),
