@@ -6,18 +6,20 @@ the sizes and computed in blocks:
 1. One pass over the texts makes each document's set of 64-bit shingle hashes, its size and a 128-bit digest of the
    set. Documents with equal sets are one class from here on.
 2. Prefix bound: under any common order of the n-grams, two sets that reach the threshold meet among the first
-   ``n - ceil(0.75 n) + 1`` of each. Only these columns of the incidence are shuffled, by n-gram; n-grams that meet
-   no second document fall out in the same stage. The order puts rare n-grams first. Which are frequent is
-   estimated from a hashed table of fixed size over a thirty-second of the documents; that estimate steers cost only,
-   never the result.
-3. A pair that meets at places p and q can share at most ``1 + min(n - p - 1, m - q - 1)`` n-grams, and needs
-   ``3 / 7`` of both sizes; other pairs are discarded before any set is looked at. Surviving pairs are verified
-   exactly, in blocks of one document against its partners: overlaps are accumulated over the block's flat
-   incidence.
-4. Pairs inside a component already found need no check. So star rounds come first: every n-gram group offers
-   a few pivots, every document is verified against its best one, components are merged. Once the count of
-   the pairs left between different components is small, they are all verified. Large groups of near copies so
-   cost rows in proportion to their documents, and no link between different components is ever left out.
+   ``n - ceil(0.75 n) + 1`` of each. Only these columns of the incidence are shuffled, by n-gram, and multiplied
+   there block by block: a small group gives its pairs at once, n-grams that meet no second document fall out, and
+   large groups stay rows for step 4. The order puts rare n-grams first. Which are frequent is estimated from a
+   hashed table of fixed size over a thirty-second of the documents; that estimate steers cost only, never the
+   result.
+3. Overlap counts are accumulated per pair. A pair needs ``3 / 7`` of both sizes in common; one that first meets at
+   places p and q can have ``min(n - p, m - q)``, and one whose prefixes share c n-grams can have c and what lies
+   behind the prefix. Other pairs are discarded before any set is looked at. Surviving pairs are verified exactly,
+   in blocks of one document against its partners, again by accumulating overlaps over the block's incidence.
+4. Pairs inside a component already found need no check. So star rounds over the large n-gram groups come first:
+   every group offers a few pivots, every document is verified against the best of them, components are merged, until
+   few pairs between different components are left or a round no longer helps. Then all pairs left between
+   different components are checked. Large groups of near copies so cost rows in proportion to their documents,
+   and no link between different components is ever left out.
 
 Defined cases: null or empty texts have an empty set and are linked with nothing; a text of one to four words is one
 shingle; rows without an id are classed like all, but link nothing and get a null component; rows that share an
@@ -41,12 +43,17 @@ from .common import byte_slices, components, read, split_words, stored
 SHINGLE = 5
 SAMPLE_SHARE = 32
 SKETCH_BITS = 21
-FREQUENT = 3
-PIVOTS = 3
-MAX_ROUNDS = 8
-PAIRS_PER_ROW = 4
+FREQUENT = 8
+PIVOTS = 6
+MAX_ROUNDS = 2
+PAIRS_PER_DOC = 16
+LARGE_GROUP = 512
 BLOCK_PARTNERS = 512
-COLD, SET, HOT = 0, 1, 2
+BLOCK_ROWS = 200_000
+HELD_GROUP = 20_000
+COLD, SET, HOT, PAIR, MEETS = 0, 1, 2, 3, 4
+FREQUENT_HELD = 1 << 60  # in np: the document holds frequent n-grams in its prefix
+MET = "kind byte, token long, a long, b long, np long, mq long, lo long"
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,7 +143,7 @@ def _prefixes(sketch: np.ndarray):
                     order = np.argsort(level, kind="stable")[: prefix_length(n)]
                     token.append(s[order].view(np.int64))
                     kind = np.where(level[order] > 0, HOT, COLD).astype(np.int64)
-                    place.append(kind << 61 | n << 30 | np.arange(len(order)))
+                    place.append(kind << 61 | n << 30 | np.arange(len(order)) | (FREQUENT_HELD if kind.any() else 0))
                     doc.append(doc_id)
                     low.append(None)
                     masks.append(len(order))
@@ -149,28 +156,85 @@ def _prefixes(sketch: np.ndarray):
     return run
 
 
+def _meeting(token, doc, n, p):
+    """Pairs of rows of one n-gram that the size bounds leave: (a, b, n of a, n of b, whether the pair may meet here first).
+    Rows are sorted by n-gram; every distance inside a group is one vectorised step."""
+    out = []
+    for d in range(1, len(token)):
+        i = np.flatnonzero(token[d:] == token[:-d])
+        if not len(i):
+            break
+        j = i + d
+        ok = (doc[i] != doc[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        behind = np.minimum(n[i] - p[i], n[j] - p[j])
+        need = 3 * (n[i] + n[j])
+        ok = 7 * (np.minimum(p[i], p[j]) + behind) >= need
+        i, j, first = i[ok], j[ok], (7 * behind >= need)[ok]
+        swap = doc[i] > doc[j]
+        x, y = np.where(swap, j, i), np.where(swap, i, j)
+        out.append((doc[x], doc[y], n[x], n[y], first))
+    return [np.concatenate(c) for c in zip(*out)] if out else None
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token: drops cold n-grams that only one row holds. Holds back one row at most."""
-    pending, open_ = None, None
-    for b in batches:
-        if pending is not None:
-            b = pa.concat_batches([pending, b])
-        token, kind = b.column(0).to_numpy(), b.column(2).to_numpy() >> 61
-        keep = kind != COLD
-        cold = np.flatnonzero(~keep)
-        pending = None
-        if len(cold):
-            t = token[cold]
-            same = t[1:] == t[:-1]
-            twice = np.r_[False, same] | np.r_[same, False]
-            if open_ is not None:
-                twice |= t == open_
-            keep[cold[twice]] = True
-            if twice[-1]:
-                open_ = t[-1]
+    """Rows sorted by token -> the documents' digests, the rows of large groups, and the pairs that meet in small ones.
+    Cold n-grams that only one row holds fall out. Holds back one group, and never more than a small one."""
+    def batch(kind, token, a, b, np_, mq, lo):
+        k = len(np_)
+        cols = [np.full(k, kind, np.int8), token, a, b, np_, mq, lo]
+        types = [pa.int8()] + [pa.int64()] * 6
+        return pa.RecordBatch.from_arrays([pa.nulls(k, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)],
+                                          names=[x.split()[0] for x in MET.split(", ")])
+
+    held, open_ = None, None  # rows of the last group so far; the large group that is passing through
+
+    def groups(token, doc, place, last):
+        """Small groups as pairs, large ones as rows; the last group is held back unless this is the end."""
+        nonlocal held, open_
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        sizes = np.diff(np.r_[starts, len(token)])
+        big = sizes >= LARGE_GROUP
+        if open_ is not None and token[0] == open_:
+            big[0] = True
+        keep_back = 0
+        if not last:
+            if big[-1]:
+                open_ = token[-1]
             else:
-                pending, open_ = b.slice(int(cold[-1]), 1), None
-        yield b.filter(pa.array(keep))
+                open_, keep_back = None, sizes[-1]
+        end = len(token) - keep_back
+        held = (token[end:], doc[end:], place[end:]) if keep_back else None
+        rows = np.repeat(big, sizes)[:end]
+        if rows.any():
+            yield batch(HOT, token[:end][rows], doc[:end][rows], None, place[:end][rows], None, None)
+        small = ~rows & np.repeat(sizes > 1, sizes)[:end]
+        if small.any():
+            size = place[:end][small] >> 30 & (1 << 30) - 1
+            marked = place[:end][small] & FREQUENT_HELD > 0
+            if marked.any():
+                ids, times = np.unique(doc[:end][small][marked], return_counts=True)
+                yield batch(MEETS, None, ids, None, times, None, None)
+            met = _meeting(token[:end][small], doc[:end][small], size, place[:end][small] & (1 << 30) - 1)
+            if met:
+                x, y, n, m, first = met
+                yield batch(PAIR, None, x, y, n, m, first.astype(np.int64))
+
+    for b in batches:
+        kind = b.column(2).to_numpy() >> 61
+        for k in (SET, HOT):
+            part = b.filter(pa.array(kind == k)) if (kind == k).any() else None
+            if part is not None:
+                yield batch(k, part.column(0), part.column(1), None, part.column(2), None, part.column(3))
+        cold = kind == COLD
+        if cold.any():
+            rows = b.filter(pa.array(cold))
+            cols = [rows.column(i).to_numpy() for i in range(3)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            yield from groups(*cols, False)
+    if held is not None:
+        yield from groups(*held, True)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +247,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks (pivot row first, then its partners) -> the partners that reach the threshold, with the pivot."""
     key, pivots = None, []
-    for batch in batches:
+    for batch in (small for whole in batches for small in byte_slices(whole, 4_000_000, "grams")):
         a, part, doc = (batch.column(i).to_numpy() for i in range(3))
         grams = batch.column(3)
         lens = pc.binary_length(grams).to_numpy() // 8
@@ -224,64 +288,172 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _possible(n, p, m, q):
     """The size bounds on a pair that meets at places p and q."""
-    need = 3 * (n + m)
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - p, m - q) >= need)
-
-
-def link(rows: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Components (v, component) of the classes, from rows (token, doc, n, p) and their sets."""
-    links, comp = None, None
-    total = rows.count()
-    for rnd in range(MAX_ROUNDS + 1):
-        now = rows.withColumn("c", F.col("doc")) if comp is None else (
-            rows.join(comp.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component"))
-        groups = now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-        now = stored(now.join(groups, "token", "left_semi"), "join-open")
-        size = now.groupBy("token", "c").count().groupBy("token").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        left = size.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        if not left:
-            break
-        x, y = now.alias("x"), now.alias("y")
-        final = left <= PAIRS_PER_ROW * total or rnd == MAX_ROUNDS
-        if final:
-            pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c"))
-                            & _possible(F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p")))
-                     .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
-        else:
-            chosen = [F.min_by(F.struct("doc", "c", "n", "p"), F.xxhash64("doc", F.lit(PIVOTS * rnd + i))) for i in range(PIVOTS)]
-            pivots = now.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("z")).select("token", F.explode("z").alias("z")).alias("y")
-            met = (x.join(pivots, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("z.c"))
-                          & _possible(F.col("x.n"), F.col("x.p"), F.col("z.n"), F.col("z.p")))
-                   .groupBy(F.col("x.doc").alias("b"), F.col("z.doc").alias("a")).agg(F.count("*").alias("shared")))
-            pairs = met.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-        new = stored(verify(stored(pairs, "join-pairs"), sets), "join-links")
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - p, m - q) >= 3 * (n + m))
+
+
+def _enough(shared, n, m):
+    """The prefix bound on a pair of sizes n and m whose prefixes share ``shared`` n-grams: of the set whose prefix ends
+    first all other common n-grams lie behind its prefix."""
+    behind = F.ceil(3 * F.greatest(n, m) / 4) - 1
+    return 7 * (shared + behind) >= 3 * (n + m)
+
+
+def _open(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The rows with their component c, of the n-grams that more than one component holds."""
+    now = rows.withColumn("c", F.col("doc")) if comp is None else (
+        rows.join(comp.withColumnRenamed("v", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component"))
+    groups = now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
+    return stored(now.join(groups, "token", "left_semi"), "join-open")
+
+
+def _left(now: DataFrame) -> float:
+    """Pairs between different components, over all n-grams."""
+    size = now.groupBy("token", "c").count().groupBy("token").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
+    return float(size.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+
+
+def _star(now: DataFrame, rnd: int) -> DataFrame:
+    """For every document (b) of these rows the pivots (a) of its groups that share most n-grams with it."""
+    x = now.alias("x")
+    chosen = [F.min_by(F.struct("doc", "c", "n", "p"), F.xxhash64("doc", F.lit(PIVOTS * rnd + i))) for i in range(PIVOTS)]
+    pivots = now.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("z")).select("token", F.explode("z").alias("z")).alias("y")
+    met = (x.join(pivots, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("z.c"))
+                  & _possible(F.col("x.n"), F.col("x.p"), F.col("z.n"), F.col("z.p")))
+           .groupBy(F.col("x.doc").alias("b"), F.col("z.doc").alias("a")).agg(F.count("*").alias("shared")))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), asc=False), 1, PIVOTS)
+    return met.groupBy("b").agg(best.alias("z")).select(F.explode("z.a").alias("a"), "b")
+
+
+def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of n-grams at a time, (block, token, doc, c, n, u): the sparse product of its incidence with itself, row by
+    row. A pair between two components is given with its overlap in the block, unless even all prefix n-grams that
+    the two have outside the block would leave it below its size bound."""
+    def pairs(parts):
+        token, doc, comp, size, spare = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(1, 6))
+        ids, first, owner = np.unique(doc, return_index=True, return_inverse=True)
+        comp, size = comp[first], size[first]
+        outside = np.minimum(size - -(-3 * size // 4) + 1, spare[first]) - np.bincount(owner)
+        _, column = np.unique(token, return_inverse=True)
+        by_column = np.argsort(column, kind="stable")
+        at = np.r_[0, np.cumsum(np.bincount(column))]
+        postings = owner[by_column]
+        by_row = np.argsort(owner, kind="stable")
+        rows = np.r_[0, np.cumsum(np.bincount(owner))]
+        out = []
+        for x in range(len(ids)):
+            lists = [postings[at[k]: at[k + 1]] for k in column[by_row[rows[x]: rows[x + 1]]].tolist()]
+            overlap = np.bincount(np.concatenate(lists), minlength=len(ids))
+            overlap[: x + 1] = 0
+            y = np.flatnonzero(overlap)
+            y = y[(comp[y] != comp[x]) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))]
+            behind = -(-3 * np.maximum(size[x], size[y]) // 4) - 1
+            y = y[7 * (overlap[y] + np.minimum(outside[x], outside[y]) + behind) >= 3 * (size[x] + size[y])]
+            if len(y):
+                out.append((np.full(len(y), ids[x]), ids[y], np.minimum(size[x], size[y]), np.maximum(size[x], size[y]), overlap[y]))
+        if out:
+            cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [pa.array(np.ones(len(cols[0]), bool))], names=["a", "b", "n", "m", "shared", "near"])
+
+    key, parts = None, []
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
+        for lo, hi in zip(list(cut), [*cut[1:], len(block)]):
+            if block[lo] != key:
+                if parts:
+                    yield from pairs(parts)
+                key, parts = block[lo], []
+            parts.append(batch.slice(int(lo), int(hi - lo)))
+    if parts:
+        yield from pairs(parts)
+
+
+def _every(now: DataFrame, meets: DataFrame) -> DataFrame:
+    """All pairs between two components that meet in these rows and that the bounds leave, with overlaps: blocks of
+    n-grams that a task can hold are multiplied there, n-grams of still larger groups by a join. ``meets`` (doc, u) tells how many n-grams a document
+    shares in small groups at most (where its rows are marked, f)."""
+    keys = "a long, b long, n long, m long, shared long, near boolean"
+    huge = now.groupBy("token").count().where(F.col("count") > HELD_GROUP).select("token")
+    blocks = max(1, -(-now.count() // BLOCK_ROWS))
+    # n-grams of a document that any other component can share
+    spare = now.groupBy("doc").agg(F.count("*").alias("k"), F.max("f").alias("f")).join(meets, "doc", "left").select(
+        "doc", F.when(F.col("f") > 0, F.col("k") + F.coalesce("u", F.lit(0))).otherwise(1 << 30).alias("spare"))
+    held = (now.join(huge, "token", "left_anti").join(spare, "doc")
+            .select(F.pmod(F.xxhash64("token"), F.lit(blocks)).alias("block"), "token", "doc", "c", "n", "spare"))
+    out = held.repartition("block").sortWithinPartitions("block").mapInArrow(_product, keys)
+    if huge.isEmpty():
+        return out
+    wide = now.join(huge, "token", "left_semi")
+    x, y = wide.alias("x"), wide.alias("y")
+    n, p, m, q = (F.col(c) for c in ("x.n", "x.p", "y.n", "y.p"))
+    aligned = 7 * (F.least(p, q) + F.least(n - p, m - q)) >= 3 * (n + m)
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & aligned
+    return out.union(x.join(y, meet).select(F.least("x.doc", "y.doc"), F.greatest("x.doc", "y.doc"), F.least(n, m), F.greatest(n, m),
+                                            F.lit(1).cast("long"), _possible(n, p, m, q)))
+
+
+def link(rows: DataFrame, met: DataFrame, meets: DataFrame, n_docs: int, sets_of) -> DataFrame | None:
+    """Components (v, component) of the classes, from the rows (token, doc, n, p, f) of large groups and the pairs (a, b, n, m,
+    near), a row per n-gram, that met in small ones; ``sets_of`` gives the sets of documents."""
+    links, comp, before = None, None, None
+
+    def add(pairs: DataFrame) -> DataFrame | None:
+        nonlocal links
+        pairs = stored(pairs, "join-pairs")
+        if pairs.isEmpty():
+            return comp
+        new = stored(verify(pairs, sets_of(pairs.select(F.col("a").alias("needed")).union(pairs.select("b")))), "join-links")
         links = new if links is None else links.union(new)
-        comp = components(links, "join-cc")
-        if final:
+        return components(links, "join-cc")
+
+    now = _open(rows, comp)
+    for rnd in range(MAX_ROUNDS):
+        left = _left(now)
+        if left <= PAIRS_PER_DOC * n_docs or before is not None and left > 0.6 * before:
             break
-    return comp
+        before = left
+        comp = add(_star(now, rnd))
+        now = _open(now.drop("c"), comp)  # components only grow: a group that one holds stays closed
+    pairs = (met.withColumn("shared", F.lit(1).cast("long")).unionByName(_every(now, meets)).groupBy("a", "b")
+             .agg(F.sum("shared").alias("shared"), F.max("near").alias("near"), F.min("n").alias("n"), F.min("m").alias("m"))
+             .where(F.col("near") & _enough(F.col("shared"), F.col("n"), F.col("m"))).select("a", "b"))
+    if comp is not None:
+        label = comp.select(F.col("v"), F.col("component").alias("c"))
+        pairs = (pairs.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
+                 .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    return add(pairs)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc, n, rep) of every row, and the components of the classes' representatives."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = F.shiftright("np", 61)
-    n, p = F.shiftright(F.col("np").bitwiseAND((1 << 61) - 1), 30), F.col("np").bitwiseAND((1 << 30) - 1)
+    n, p = F.shiftright("np", 30).bitwiseAND((1 << 30) - 1), F.col("np").bitwiseAND((1 << 30) - 1)
     slot = F.when(kind == HOT, F.xxhash64("token", "doc")).when(kind == SET, F.xxhash64("doc")).otherwise(F.col("token"))
     met = stored(d.mapInArrow(_prefixes(frequency_sketch(d)), "token long, doc long, np long, lo long")
-                 .repartition(slot).sortWithinPartitions("token").mapInArrow(_shared, "token long, doc long, np long, lo long"), "join-prefix")
-    whole = met.where(kind == SET).select("doc", n.alias("n"), F.col("token").alias("hi"), "lo")
+                 .repartition(slot).sortWithinPartitions("token").mapInArrow(_shared, MET), "join-prefix")
+    whole = met.where(F.col("kind") == SET).select(F.col("a").alias("doc"), n.alias("n"), F.col("token").alias("hi"), "lo")
     first = whole.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
     whole = stored(whole.join(first, ["hi", "lo"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "join-classes")
-    reps = whole.where("n > 0 and doc is not null").select("doc", "rep").distinct()
-    rows = (met.where(kind != SET).select("token", "doc", n.alias("n"), p.alias("p")).join(reps, "doc")
-            .groupBy("token", F.col("rep").alias("doc")).agg(F.min("n").alias("n"), F.min("p").alias("p")))
-    rows = stored(rows, "join-rows")
-    pair = rows.groupBy("token").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select("token")
-    rows = stored(rows.join(pair, "token", "left_semi"), "join-met")
-    needed = rows.select("doc").distinct()
-    sets = stored(d.join(needed, d.doc_id == needed.doc, "left_semi").mapInArrow(_sets, "doc long, grams binary"), "join-sets", "none")
-    return whole, link(rows, sets)
+    moved = stored(whole.where("n > 0 and doc > rep").select("doc", "rep").distinct(), "join-moved")
+    rows = (met.where(F.col("kind") == HOT).select("token", F.col("a").alias("doc"), n.alias("n"), p.alias("p"), F.col("np").bitwiseAND(FREQUENT_HELD).alias("f"))
+            .join(moved, "doc", "left").groupBy("token", F.coalesce("rep", "doc").alias("doc"))
+            .agg(F.min("n").alias("n"), F.min("p").alias("p"), F.max("f").alias("f")))
+    # u: how many n-grams a document shares in small groups at most
+    meets = (met.where(F.col("kind") == MEETS).select(F.col("a").alias("doc"), F.col("np").alias("k")).join(moved, "doc", "left")
+             .groupBy(F.coalesce("rep", "doc").alias("doc")).agg(F.sum("k").alias("u")))
+    meets = stored(meets, "join-meets")
+    pairs = met.where(F.col("kind") == PAIR).select("a", "b", F.col("np").alias("n"), F.col("mq").alias("m"), (F.col("lo") == 1).alias("near"))
+    for c in ("a", "b"):
+        pairs = pairs.join(moved.toDF(c, "rep"), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n", "m").alias("n"),
+                                         F.greatest("n", "m").alias("m"), "near")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        needed = stored(ids.distinct(), "join-needed")
+        return stored(d.join(needed, d.doc_id == needed.needed, "left_semi").mapInArrow(_sets, "doc long, grams binary"), "join-sets", "none")
+
+    return whole, link(stored(rows, "join-rows"), pairs, meets, whole.count(), sets_of)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -295,3 +467,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, m.component_id FROM d LEFT JOIN z USING (doc_id)
+JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) m USING (doc_id)"""

@@ -62,9 +62,11 @@ def near_copies(seed, n):
 @pytest.mark.parametrize("seed,limit", [(1, None), (2, 0), (3, 0)])
 def test_join_equals_all_pairs(spark, monkeypatch, seed, limit):
     if limit is not None:  # star rounds to the end, and small samples and blocks
-        monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", limit)
-        monkeypatch.setattr(ngram_join, "LARGE_GROUP", 2 + 10 * (seed - 2))
+        monkeypatch.setattr(ngram_join, "PAIRS_PER_DOC", limit)
+        monkeypatch.setattr(ngram_join, "LARGE_GROUP", 2 + 10 * (seed - 2))  # also rows instead of pairs
         monkeypatch.setattr(ngram_join, "SAMPLE_SHARE", 2)
+        monkeypatch.setattr(ngram_join, "HELD_GROUP", [20_000, 20][seed - 2])
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 500)
         monkeypatch.setattr(ngram_join, "MAX_ROUNDS", 2)
     rows = near_copies(seed, 400)
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
