@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsward.session import scratch_path
 
@@ -37,6 +36,12 @@ def in_fold(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def at_most(n: int, total: int) -> int:
+    """Largest 64-bit hash value that about 1.3 n + 20 of ``total`` rows stay below: a sample whose size does not grow with
+    rows or partitions, to be cut to n by hash order."""
+    return min(2**63 - 1, int((1.3 * n + 20) / max(1, total) * 2**64) - 2**63)
+
+
 def text_slices(batch: pa.RecordBatch, max_chars: int = 2_000_000, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Consecutive row ranges of a batch with at most ``max_chars`` of text each (one row at least)."""
     texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
@@ -159,5 +164,3 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         return spark.createDataFrame([], "v long, component long")
     return links.select(F.col("u").alias("v"), F.col("p").alias("component"))
 
-
-LONGS = T.LongType()

@@ -2,7 +2,7 @@
 
 Index: vectors are scaled to length 1 and equal ones folded into one class. Coarse centroids (spherical k-means)
 and one codebook per subspace of the residuals are trained on a bounded sample (``SAMPLE_PER_LIST`` vectors a list,
-the first by a hash of the id); every class is then indexed: its list, its residual codes and the length of its
+the first by a hash); every class is then indexed: its list, its residual codes and the length of its
 quantisation error. Lists longer than ``BLOCK_ROWS`` are cut into blocks by a hash of the id.
 
 Search: every class is a query. It goes to its ``LEAST_PROBES`` nearest lists and to all further lists whose
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _forest, components, read, stored
+from .common import _forest, at_most, components, read, stored
 
 THRESHOLD = 0.95
 SAMPLE_PER_LIST = 32
@@ -233,9 +233,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = None
     for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect():
         part = classes.where(F.col("dim") == r.dim).select("vec_id", "copies", "vec")
+        place = F.xxhash64("vec", F.lit(SEED))
         lists = int(np.clip(np.sqrt(r.n), LEAST_LISTS, MOST_LISTS))
-        sample = part.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE_PER_LIST * lists).collect()
-        q = Quantiser(np.array([np.frombuffer(s.vec, "<f8") for s in sample]), lists)
+        wanted = SAMPLE_PER_LIST * lists
+        sample = sorted((s.h, s.vec) for s in part.select("vec", place.alias("h")).where(F.col("h") <= at_most(wanted, r.n)).collect())[:wanted]
+        q = Quantiser(np.array([np.frombuffer(v, "<f8") for _, v in sample]), lists)
         index = stored(part.mapInArrow(_indexer(q), "vec_id long, copies long, vec binary, list int, codes binary, err double"), "pq-index")
         sizes = np.zeros(len(q.centroids), np.int64)
         for x in index.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row per list

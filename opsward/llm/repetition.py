@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged_positions, read, text_slices
+from .common import read, text_slices
 
 MIN_WORDS = 10
 MAX_COVERED = 0.30

@@ -5,8 +5,8 @@ learnt weights of its shape, of its neighbours' shapes (two before, one after) a
 digits and of symbols in the whole text); transitions tie the chain, and Viterbi finds the best tagging.
 
 The field is fitted on the driver by AdaGrad on the exact log-likelihood (forward-backward) of windows from a
-bounded sample of documents (``FIT_HITS`` that hold a base finding, ``FIT_PLAIN`` others, the first by a hash
-of the text), labelled by the base patterns. It then generalises by shape and context: secrets that no base
+bounded sample of documents (``FIT_HITS`` that hold a base finding, ``FIT_PLAIN`` others, the first by a
+hash), labelled by the base patterns. It then generalises by shape and context: secrets that no base
 pattern names are found, and spans that overlap no base finding are added.
 
 Decoding is exact and vectorised: emissions depend on token signatures only and are gathered from tables. A
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged_positions, read, text_slices
+from .common import at_most, ragged_positions, read, text_slices
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -355,13 +355,16 @@ def _shown(spans) -> str:
 
 
 def fit_sample(docs: DataFrame, hits: int = FIT_HITS, plain: int = FIT_PLAIN) -> list[str]:
-    """The bounded sample: documents with a base finding, and others, first by a hash of the text."""
-    d = docs.where("text is not null and length(text) <= 20000").select("text")
+    """The bounded sample: documents with a base finding, and others, first by a hash of id and text."""
+    d = docs.where("text is not null and length(text) <= 20000").select("text", F.xxhash64("doc_id", "text").alias("h"))
     found = F.col("text").rlike(r"AKIA[A-Z0-9]{14}|(?:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{12}")
-    order = F.xxhash64("text")
-    a = d.where(found).orderBy(order, "text").limit(hits)
-    b = d.where(~found).orderBy(order, "text").limit(plain)
-    return [r.text for r in a.collect()] + [r.text for r in b.collect()]
+    n = d.agg(F.count(F.when(found, 1)).alias("hits"), F.count(F.lit(1)).alias("all")).first()
+    top_hit, top_plain = at_most(hits, n.hits), at_most(plain, n["all"] - n.hits)
+    got = (d.where(F.col("h") <= max(top_hit, top_plain)).withColumn("hit", found)
+           .where(F.when(F.col("hit"), F.col("h") <= top_hit).otherwise(F.col("h") <= top_plain))
+           .limit(4 * (hits + plain)).collect())  # repeated rows share a hash
+    rows = sorted((not r.hit, r.h, r.text) for r in got)
+    return [t for miss, _, t in rows if not miss][:hits] + [t for miss, _, t in rows if miss][:plain]
 
 
 def fit_field(docs: DataFrame) -> Field:

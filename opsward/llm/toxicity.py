@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, read, text_slices
+from .common import at_most, in_fold, read, text_slices
 
 FIT_TOXIC, FIT_CLEAN = 1500, 3000
 FIT_CHARS = 20_000
@@ -268,16 +268,18 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_clean: i
     known = (labels.where(in_fold(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(6)).alias("h")))
     counts = {r.toxic: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = None
-    for label, n in ((1, n_toxic), (0, n_clean)):
-        part = known.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(n)
-        picked = part if picked is None else picked.union(part)
-    ids = picked.collect()  # at most n_toxic + n_clean rows
+    wanted = {1: n_toxic, 0: n_clean}
+    most = F.when(F.col("toxic") == 1, at_most(n_toxic, counts.get(1, 0))).otherwise(at_most(n_clean, counts.get(0, 0)))
+    ids, taken = [], Counter()
+    for r in sorted(known.where(F.col("h") <= most).collect(), key=lambda r: (r.h, r.doc_id)):  # about 1.3 times the sample
+        taken[r.toxic] += 1
+        if taken[r.toxic] <= wanted[r.toxic]:
+            ids.append(r)
     if not ids:
         return train([], [], [])
     chosen = spark.createDataFrame([(r.doc_id, r.toxic, r.h) for r in ids], "id long, toxic int, h long")
     rows = (docs.where(F.length("text") <= FIT_CHARS).select(F.col("doc_id").alias("id"), "text")
-            .join(F.broadcast(chosen), "id").select("id", "h", "toxic", "text").collect())
+            .join(F.broadcast(chosen), "id").select("id", "h", "toxic", "text").limit(4 * (n_toxic + n_clean)).collect())
     rows = sorted(rows, key=lambda r: (r.h, r.id, r.text))
     got = Counter(r.toxic for r in rows)
     return train([r.text for r in rows], [r.toxic for r in rows], [counts[r.toxic] / got[r.toxic] * len(rows) / sum(counts.values()) for r in rows])
