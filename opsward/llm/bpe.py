@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import ragged_positions, read, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 NONE = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, in_fold, read, split_words
+from .common import at_most, byte_slices, in_fold, read, split_words
 
 FIT_PER_LANG = 700
 FIT_CHARS = 20_000
@@ -37,7 +37,7 @@ NGRAMS = (1, 2, 3, 4)
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.02
 EPOCHS = 3
 SCALE = 50.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 LETTER = regex.compile(r"\p{L}")
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: ASCII that is no letter becomes a blank before words are split.
@@ -58,6 +58,34 @@ def _grams_of(raw: bytes) -> list[str]:
     return [g for w in WORDS.findall(raw.decode("utf-8", "surrogatepass")) for g in ngrams(w)]
 
 
+def _plain(text: str) -> str:
+    """The words of a text as n-grams see them, each with a blank on either side."""
+    return "".join([f" {w} " for raw in _words(text) for w in WORDS.findall(raw.decode("utf-8", "surrogatepass"))])
+
+
+def _keys(padded: str, number: dict[str, int]) -> np.ndarray:
+    """The n-grams of padded words as 64-bit keys, 15 bits a character (1: one without a number)."""
+    flat = np.array([number.get(c, 1) for c in padded], np.int64)
+    word = (np.cumsum(flat == number[" "]) - 1) // 2  # blanks open and close words in turn; both are counted to theirs
+    out = []
+    for n in NGRAMS:
+        m = len(flat) - n + 1
+        if m > 0:
+            key = flat[:m].copy()
+            for i in range(1, n):
+                key |= flat[i: m + i] << 15 * i
+            out.append(key[word[:m] == word[n - 1:]] if n > 1 else key[flat != number[" "]])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _shown(key: int, letters: list[str]) -> str:
+    out = ""
+    while key:
+        out += letters[(key & 0x7FFF) - 2]
+        key >>= 15
+    return out
+
+
 class Model:
     """Classes, feature weights (IDF and scale folded in), bias and temperature."""
 
@@ -76,29 +104,23 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     classes = sorted({lang for lang, _ in rows})
     if not classes:
         return Model([], {}, np.zeros(0), 1.0)
-    known: dict[bytes, Counter] = {}
-    docs = []
-    for _, text in rows:
-        total: Counter = Counter()
-        for w, n in Counter(_words(text)).items():
-            if w not in known:
-                known[w] = Counter(_grams_of(w))
-            for g, m in known[w].items():
-                total[g] += n * m
-        docs.append(total)
+    texts = [_plain(text) for _, text in rows]
+    letters = sorted({c for t in texts for c in t} | {" "})[:32_000]
+    number = {c: i + 2 for i, c in enumerate(letters)}
+    docs = [np.unique(_keys(t, number), return_counts=True) for t in texts]
     fit = [i for i in range(len(rows)) if i % 5 or len(rows) < 20]
     check = [i for i in range(len(rows)) if i not in set(fit)]
-    df = Counter(g for i in fit for g in docs[i])
-    names = sorted(g for g, n in df.items() if n >= min(LEAST_DOCS, len(fit)))
-    index = {g: i for i, g in enumerate(names)}
-    idf = np.array([np.log((1 + len(fit)) / (1 + df[g])) + 1 for g in names])
+    names, df = np.unique(np.concatenate([docs[i][0] for i in fit]), return_counts=True)
+    names, df = names[df >= min(LEAST_DOCS, len(fit))], df[df >= min(LEAST_DOCS, len(fit))]
+    idf = np.log((1 + len(fit)) / (1 + df)) + 1
     label = np.array([classes.index(lang) for lang, _ in rows])
     k = len(classes)
     sparse = []
-    for d in docs:
-        ids = np.array([index[g] for g in d if g in index], np.int64)
-        n = np.array([c for g, c in d.items() if g in index], np.float64)
-        sparse.append((ids, SCALE * n / max(1, sum(d.values())) * idf[ids] if len(ids) else n))
+    for keys, n in docs:
+        at = np.searchsorted(names, keys)
+        at[at == len(names)] = 0
+        known = names[at] == keys if len(names) else np.zeros(len(keys), bool)
+        sparse.append((at[known], SCALE * n[known] / max(1, n.sum()) * idf[at[known]]))
     z, acc = np.zeros((len(names) + 1, k)), np.zeros((len(names) + 1, k))  # the last row is the bias
 
     def weights(ids):
@@ -129,7 +151,7 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     target[np.arange(len(truth)), truth] = 1 - 1 / (len(truth) + 2)
     loss = [-(target * np.log(np.maximum(_softmax(logits / t), 1e-300))).sum(1).mean() for t in grid]
     used = np.flatnonzero(np.abs(w[:-1]).sum(1))
-    return Model(classes, {names[i]: SCALE * idf[i] * w[i] for i in used}, bias, float(grid[int(np.argmin(loss))]))
+    return Model(classes, {_shown(int(names[i]), letters): SCALE * idf[i] * w[i] for i in used}, bias, float(grid[int(np.argmin(loss))]))
 
 
 def fit_sample(docs: DataFrame, per_lang: int = FIT_PER_LANG, max_chars: int = FIT_CHARS) -> list[tuple[str, str]]:
@@ -139,8 +161,8 @@ def fit_sample(docs: DataFrame, per_lang: int = FIT_PER_LANG, max_chars: int = F
     counts = {r.lang: r["n"] for r in docs.where(in_fold(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    most = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(2**63 - 1, int((1.3 * per_lang + 20) / n * 2**64) - 2**63))))
-    got = usable.select("lang", "text", place.alias("h")).where(F.col("h") <= F.element_at(most, F.col("lang"))).collect()
+    most = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, at_most(per_lang, n))))
+    got = usable.select("lang", "text", place.alias("h")).where(F.col("h") <= F.element_at(most, F.col("lang"))).limit(4 * per_lang * len(counts) + 100).collect()  # repeated ids share a hash
     out, taken = [], Counter()
     for r in sorted(got, key=lambda r: (r.h, r.lang, r.text)):
         if taken[r.lang] < per_lang:
@@ -268,11 +290,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
         for batch in batches:
-            for rows in byte_slices(batch, 8_000_000):
+            for rows in byte_slices(batch):
                 lang, score = scorer.predict(rows.column(rows.schema.get_field_index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                     names=[*keep, *names])
+        scorer.reset()  # the worker lives on, the cache need not
 
     return docs.mapInArrow(run, schema)
 

@@ -41,6 +41,7 @@ KEY_DIGITS = 15
 DIGIT_BITS = 10
 SHARDS = 64
 LEAF_ROWS = 4096
+BROADCAST_ROWS = 200_000
 SEED = 20
 
 
@@ -139,6 +140,11 @@ def _cuts(base: DataFrame, sums: list, wanted: dict[int, Fraction]) -> dict[int,
             F.sum("size").alias("words"), F.count("*").alias("n")).collect()]
 
 
+def _hinted(df: DataFrame, rows: int) -> DataFrame:
+    """A table made on the driver, broadcast if its counted rows allow it; beyond that Spark chooses the join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 class Mix:
     """The laid-out mix: ``sources`` has a row per source, ``placements`` one per drawn block."""
 
@@ -160,12 +166,12 @@ class Mix:
         goal = targets(total, [weights[i % len(weights)] for i in range(len(names))], share, max_epochs)
         passes = [int(g // t) if t else 0 for g, t in zip(goal, total)]
         wanted = {i: g - p * t for i, (g, p, t) in enumerate(zip(goal, passes, total)) if p * t < g}
-        lookup = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "s int, src string")
+        lookup = _hinted(spark.createDataFrame([(i, x) for i, x in enumerate(names)], "s int, src string"), len(names))
         indexed = self.base.join(lookup, F.col("source").eqNullSafe(F.col("src"))).select("s", "key", "size")
         cut = _cuts(indexed, by_source, wanted) if wanted else {}
-        self.sources = spark.createDataFrame(
+        self.sources = _hinted(spark.createDataFrame(
             [(i, x, total[i], float(goal[i]), passes[i], cut.get(i, -1)) for i, x in enumerate(names)],
-            "s int, src string, source_size long, target double, passes int, cut long")
+            "s int, src string, source_size long, target double, passes int, cut long"), len(names))
         digits: dict[int, set[int]] = {}
         for r in by_source:
             digits.setdefault(r.s, set()).add(r.digit)
@@ -180,7 +186,7 @@ class Mix:
             order = _permuted(len(u), [seed, i])
             owner = np.repeat(np.arange(shards), quota[:, i])
             placed += [(i, u[k][0], u[k][1], int(owner[j])) for j, k in enumerate(order)]
-        self.placements = spark.createDataFrame(placed, "s int, pass int, block int, shard int")
+        self.placements = _hinted(spark.createDataFrame(placed, "s int, pass int, block int, shard int"), len(placed))
 
     def per_document(self) -> DataFrame:
         """One row per document: size, its source's size and target, copies and words taken."""

@@ -47,7 +47,7 @@ ADDED_LEAST = 12
 ROUNDS = 80
 OFFSETS = (0, -1, -2, 1)
 FILE_BUCKETS = 8
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -376,7 +376,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(field)
         for batch in batches:
-            for rows, texts in text_slices(batch):
+            for rows, texts in text_slices(batch, 1_000_000):
                 found = tagger.spans(texts)
                 base = [[x for x in f if x[1] < 3] for f in found]
                 yield pa.RecordBatch.from_arrays(
@@ -401,7 +401,7 @@ def redact(docs: DataFrame, field: Field, mark: str = "[secret]") -> DataFrame:
         tagger = Tagger(field)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for rows, texts in text_slices(batch):
+            for rows, texts in text_slices(batch, 1_000_000):
                 new = [cover(t, s) if s else t for t, s in zip(texts, tagger.spans(texts))]
                 yield rows.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
