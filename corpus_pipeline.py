@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opsward.llm import bpe, langid, mixing, ngram_join, secrets
 from opsward.llm.common import read, stored
 
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
