@@ -51,6 +51,7 @@ LARGE_GROUP = 512
 BLOCK_PARTNERS = 512
 BLOCK_ROWS = 200_000
 HELD_GROUP = 20_000
+BROADCAST_IDS = 200_000
 COLD, SET, HOT, PAIR, MEETS = 0, 1, 2, 3, 4
 FREQUENT_HELD = 1 << 60  # in np: the document holds frequent n-grams in its prefix
 MET = "kind byte, token long, a long, b long, np long, mq long, lo long"
@@ -451,6 +452,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         needed = stored(ids.distinct(), "join-needed")
+        if needed.count() <= BROADCAST_IDS:  # else Spark chooses, and the texts are shuffled
+            needed = F.broadcast(needed)
         return stored(d.join(needed, d.doc_id == needed.needed, "left_semi").mapInArrow(_sets, "doc long, grams binary"), "join-sets", "none")
 
     return whole, link(stored(rows, "join-rows"), pairs, meets, whole.count(), sets_of)
