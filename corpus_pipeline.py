@@ -29,7 +29,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each component of near-duplicates the document with the smallest id stays; of rows with equal ids one.
     Documents without words or without an id stay."""
     got = stored(ngram_join.jaccard_components(docs), "pipeline-components")
-    gone = got.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = stored(got.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "pipeline-gone")
+    if gone.count() <= ngram_join.BROADCAST_IDS:  # else Spark chooses, and the texts are shuffled
+        gone = F.broadcast(gone)
     kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
     if got.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
