@@ -111,6 +111,17 @@ def test_pq_recall_counts_and_components(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("directions", [1, 2, 4])
+def test_pq_large_group_along_few_directions(spark, directions):
+    rng = np.random.default_rng(directions)
+    basis = np.linalg.qr(rng.normal(size=(64, directions + 1)))[0].T
+    around = rng.uniform(-1, 1, (1200, directions)) * [2.5, 1.0, 0.6, 0.6][directions - 1]
+    v = np.concatenate([basis[0] + around @ basis[1:], rng.normal(size=(300, 64))])
+    truth = cosine_truth(v).sum(1)
+    got = pq_neardup.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4))
+    assert np.array_equal([r.n_links for r in got.orderBy("vec_id").collect()], truth)
+
+
 def test_pq_edge_rows(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, float("nan")]), (6, [1.0, 2.0]), (7, [2.0, 4.0]), (7, [2.0, 4.0]), (8, [1.0, 2.0, 0.0]), (None, [1.0, 2.0]),
             (9, [1e300, 2e300]), (10, [float("inf"), 1.0])]
