@@ -153,7 +153,8 @@ class Mix:
         spark = docs.sparkSession
         self.seed, self.shards = seed, shards
         narrow = _keyed(docs.select("doc_id", "text", "source"), seed)
-        self.base = stored(narrow.select("doc_id", "source", F.col("__size").alias("size"), F.col("__key").alias("key")), "mix-base")
+        self.base = stored(narrow.select("doc_id", "source", F.col("__size").alias("size"), F.col("__key").alias("key"),
+                                         F.monotonically_increasing_id().alias("row")), "mix-base")
         digit = F.shiftright("key", 60 - DIGIT_BITS).cast("int")
         sums = self.base.groupBy("source", digit.alias("digit")).agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
         names = sorted({r.source for r in sums if r.source is not None}) + ([None] if any(r.source is None for r in sums) else [])
@@ -188,18 +189,8 @@ class Mix:
             placed += [(i, u[k][0], u[k][1], int(owner[j])) for j, k in enumerate(order)]
         self.placements = _hinted(spark.createDataFrame(placed, "s int, pass int, block int, shard int"), len(placed))
 
-    def per_document(self) -> DataFrame:
-        """One row per document: size, its source's size and target, copies and words taken."""
-        copies = F.col("passes") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)
-        return (self.base.join(self.sources, F.col("source").eqNullSafe(F.col("src")))
-                .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"),
-                        copies.cast("int").alias("copies")))
-
-    def rows(self, docs: DataFrame, tasks_per_shard: int = 16, names: tuple[str, str] = ("shard", "order_key")) -> DataFrame:
-        """``docs`` as the mix has them, a row per copy, shuffled inside the shards. Shard and order are appended under
-        ``names`` (and replace columns of those names). Text rows move once, to their shard's tasks."""
-        columns = [c for c in docs.columns if c not in names]
-        got = _keyed(docs.drop(*names), self.seed)
+    def _dealt(self, got: DataFrame, columns: list[str], tasks_per_shard: int) -> DataFrame:
+        """The draw: a row for each copy of ``got`` (with source and __key), its shard and place there, dealt and shuffled."""
         src = self.sources.select(F.col("s").alias("__s"), F.col("src").alias("__src"), F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
         at = self.placements.select(F.col("s").alias("__s"), F.col("pass").alias("__pass"), F.col("block").alias("__block"), F.col("shard").alias("__shard"))
         got = got.join(src, F.col("source").eqNullSafe(F.col("__src")))
@@ -208,7 +199,22 @@ class Mix:
         got = got.withColumn("__block", F.shiftright("__key", 60 - DIGIT_BITS).cast("int")).join(at, ["__s", "__pass", "__block"])
         got = got.withColumn("__order", F.xxhash64("__key", "__pass", F.lit(self.seed)))
         got = got.select(*columns, "__shard", "__order", F.pmod("__order", F.lit(tasks_per_shard)).alias("__part"))
-        got = got.repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__order")
+        return got.repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__order")
+
+    def per_document(self, tasks_per_shard: int = 16) -> DataFrame:
+        """One row per document: size, its source's size and target, copies and words taken, counted on the draw
+        (without the texts)."""
+        drawn = stored(self._dealt(self.base.withColumnRenamed("key", "__key"), ["row", "size"], tasks_per_shard), "mix-drawn")
+        placed = drawn.groupBy("row").agg(F.sum("size").alias("taken"), F.count("*").alias("copies"))
+        return (self.base.join(self.sources, F.col("source").eqNullSafe(F.col("src"))).join(placed, "row", "left")
+                .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                        F.coalesce("copies", F.lit(0)).cast("int").alias("copies")))
+
+    def rows(self, docs: DataFrame, tasks_per_shard: int = 16, names: tuple[str, str] = ("shard", "order_key")) -> DataFrame:
+        """``docs`` as the mix has them, a row per copy, shuffled inside the shards. Shard and order are appended under
+        ``names`` (and replace columns of those names). Text rows move once, to their shard's tasks."""
+        columns = [c for c in docs.columns if c not in names]
+        got = self._dealt(_keyed(docs.drop(*names), self.seed), columns, tasks_per_shard)
         return got.select(*columns, F.col("__shard").alias(names[0]), F.col("__order").alias(names[1]))
 
 

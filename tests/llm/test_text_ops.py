@@ -249,6 +249,15 @@ def test_mix_near_targets_whole_blocks_and_reruns(spark, docs, monkeypatch):
     assert counted == copies and rows.where("shard < 0 or shard >= 64").count() == 0
 
 
+def test_mix_per_document_counts_the_draw(docs):
+    mix = mixing.Mix(docs)
+    mix.placements = mix.placements.where("block % 3 > 0").union(mix.placements.where("block % 3 = 1"))  # copies lost and doubled
+    placed = {r.doc_id: r["count"] for r in mix.rows(docs, tasks_per_shard=2).groupBy("doc_id").count().collect()}
+    got = mix.per_document().collect()
+    assert len(got) == docs.count()
+    assert all((r.copies, r.taken) == (placed.get(r.doc_id, 0), r.size * placed.get(r.doc_id, 0)) for r in got)
+
+
 def test_mix_edge_rows(odd, empty):
     got = mixing.Mix(odd).per_document().collect()
     assert len(got) == len(ODD) and all(r.taken <= 2 * r.size for r in got)
