@@ -26,18 +26,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays; of rows with equal ids one.
-    Documents without words or without an id stay."""
-    got = stored(ngram_join.jaccard_components(docs), "pipeline-components")
-    gone = stored(got.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "pipeline-gone")
-    if gone.count() <= ngram_join.BROADCAST_IDS:  # else Spark chooses, and the texts are shuffled
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    if got.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    once = kept.where("doc_id is not null").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return once.unionByName(kept.where("doc_id is null"))
+    """Of each group of near-duplicates the document with the smallest id stays; of rows with equal ids one in a group, so
+    an id with different texts keeps each that no other stands for. Documents without words or without an id stay."""
+    rows = ngram_join.grouped(docs)
+    low = rows.where("group is not null").groupBy("group").agg(F.min("doc").alias("low"))
+    got = stored(rows.join(low, "group", "left").select("doc", "class", "group", (F.col("low") < F.col("doc")).alias("copy")), "pipeline-components")
+    ids = got.where("doc is not null").groupBy(F.col("doc").alias("id")).agg(
+        F.count("*").alias("rows"), F.coalesce(F.max("copy"), F.lit(False)).alias("copy"))
+    ids = stored(ids.where("copy or rows > 1"), "pipeline-ids")
+    out = docs.join(ngram_join.hinted(ids.select("id")), F.col("doc_id") == F.col("id"), "left_anti")
+    again = ids.where("rows > 1")
+    if again.isEmpty():
+        return out
+    # ids of several rows: each row by its text
+    texts = ngram_join.classed(docs.join(ngram_join.hinted(again.select("id")), F.col("doc_id") == F.col("id"), "left_semi"), "__class")
+    fate = got.join(again, F.col("doc") == F.col("id"), "left_semi").select("doc", F.col("class").alias("__of"), "group", F.col("copy").alias("__copy")).distinct()
+    texts = texts.join(fate, (F.col("doc_id") == F.col("doc")) & F.col("__class").eqNullSafe(F.col("__of"))).where(~F.coalesce("__copy", F.lit(False)))
+    first = Window.partitionBy("doc_id", "group").orderBy(F.xxhash64("text"), "text")
+    once = texts.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return out.unionByName(once.select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

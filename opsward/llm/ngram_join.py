@@ -3,8 +3,8 @@
 The join is a sparse product of the document by n-gram incidence with itself, cut down by bounds that follow from
 the sizes and computed in blocks:
 
-1. One pass over the texts makes each document's set of 64-bit shingle hashes, its size and a 128-bit digest of the
-   set. Documents with equal sets are one class from here on.
+1. One pass over the texts makes each document's set of 64-bit shingle hashes, its size and a 64-bit digest of the
+   set. Documents with equal sets are one class, named by the digest, from here on; ids come back at the end.
 2. Prefix bound: under any common order of the n-grams, two sets that reach the threshold meet among the first
    ``n - ceil(0.75 n) + 1`` of each. Only these columns of the incidence are shuffled, by n-gram, and multiplied
    there block by block: a small group gives its pairs at once, n-grams that meet no second document fall out, and
@@ -23,7 +23,8 @@ the sizes and computed in blocks:
 
 Defined cases: null or empty texts have an empty set and are linked with nothing; a text of one to four words is one
 shingle; rows without an id are classed like all, but link nothing and get a null component; rows that share an
-id share a component; an empty table gives no rows. Two different shingles share a hash with probability 2**-64.
+id share a component, each text with its own links; an empty table gives no rows. Two different shingles share a hash,
+and two different sets a digest, with probability 2**-64.
 """
 
 from __future__ import annotations
@@ -93,6 +94,11 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def digest_of(s: np.ndarray) -> int:
+    """The name of the class of documents with this set."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
@@ -121,19 +127,18 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sketch: np.ndarray):
-    """Rows (token, doc, np, lo): a document's prefix n-grams with its size and their place, and once its digest. The
-    top bits of np are the kind. Copies inside a task emit their prefix once."""
+    """Rows (token, doc, np): a class's prefix n-grams with its size and their place, and for each document, by id, its
+    class. The top bits of np are the kind. Copies inside a task emit their prefix once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
             for rows in byte_slices(batch):
                 ids = rows.column(0).to_pylist()
-                token, doc, place, low, masks = [], [], [], [], []
+                token, doc, place, masks = [], [], [], []
                 for doc_id, s in zip(ids, shingle_sets(rows.column(1))):
                     n = len(s)
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    token.append(np.frombuffer(digest[:8], np.int64))
-                    low.append(int.from_bytes(digest[8:], "little", signed=True))
+                    digest = digest_of(s)
+                    token.append(np.array([digest], np.int64))
                     doc.append(doc_id)
                     place.append(np.array([SET << 61 | n << 30], np.int64))
                     masks.append(1)
@@ -145,15 +150,14 @@ def _prefixes(sketch: np.ndarray):
                     token.append(s[order].view(np.int64))
                     kind = np.where(level[order] > 0, HOT, COLD).astype(np.int64)
                     place.append(kind << 61 | n << 30 | np.arange(len(order)) | (FREQUENT_HELD if kind.any() else 0))
-                    doc.append(doc_id)
-                    low.append(None)
+                    doc.append(digest)
                     masks.append(len(order))
                 if not token:
                     continue
                 take = pa.array(np.repeat(np.arange(len(masks)), masks))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(token)), pa.array(doc, pa.int64()).take(take), pa.array(np.concatenate(place)),
-                     pa.array(low, pa.int64()).take(take)], names=["token", "doc", "np", "lo"])
+                    [pa.array(np.concatenate(token)), pa.array(doc, pa.int64()).take(take), pa.array(np.concatenate(place))],
+                    names=["token", "doc", "np"])
     return run
 
 
@@ -226,7 +230,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (SET, HOT):
             part = b.filter(pa.array(kind == k)) if (kind == k).any() else None
             if part is not None:
-                yield batch(k, part.column(0), part.column(1), None, part.column(2), None, part.column(3))
+                yield batch(k, part.column(0), part.column(1), None, part.column(2), None, None)
         cold = kind == COLD
         if cold.any():
             rows = b.filter(pa.array(cold))
@@ -241,8 +245,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in byte_slices(batch):
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([s.tobytes() for s in shingle_sets(rows.column(1))], pa.binary())], names=["doc", "grams"])
+            sets = shingle_sets(rows.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["doc", "grams"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,47 +430,71 @@ def link(rows: DataFrame, met: DataFrame, meets: DataFrame, n_docs: int, sets_of
     return add(pairs)
 
 
+def hinted(ids: DataFrame) -> DataFrame:
+    """Stored ids, broadcast if their count allows it; else Spark chooses, and the texts are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(doc, n, rep) of every row, and the components of the classes' representatives."""
+    """(doc, n, class) of every row, and the components of the classes."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = F.shiftright("np", 61)
     n, p = F.shiftright("np", 30).bitwiseAND((1 << 30) - 1), F.col("np").bitwiseAND((1 << 30) - 1)
     slot = F.when(kind == HOT, F.xxhash64("token", "doc")).when(kind == SET, F.xxhash64("doc")).otherwise(F.col("token"))
-    met = stored(d.mapInArrow(_prefixes(frequency_sketch(d)), "token long, doc long, np long, lo long")
+    met = stored(d.mapInArrow(_prefixes(frequency_sketch(d)), "token long, doc long, np long")
                  .repartition(slot).sortWithinPartitions("token").mapInArrow(_shared, MET), "join-prefix")
-    whole = met.where(F.col("kind") == SET).select(F.col("a").alias("doc"), n.alias("n"), F.col("token").alias("hi"), "lo")
-    first = whole.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
-    whole = stored(whole.join(first, ["hi", "lo"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "join-classes")
-    moved = stored(whole.where("n > 0 and doc > rep").select("doc", "rep").distinct(), "join-moved")
+    whole = met.where(F.col("kind") == SET).select(F.col("a").alias("doc"), n.alias("n"), F.col("token").alias("class"))
     rows = (met.where(F.col("kind") == HOT).select("token", F.col("a").alias("doc"), n.alias("n"), p.alias("p"), F.col("np").bitwiseAND(FREQUENT_HELD).alias("f"))
-            .join(moved, "doc", "left").groupBy("token", F.coalesce("rep", "doc").alias("doc"))
-            .agg(F.min("n").alias("n"), F.min("p").alias("p"), F.max("f").alias("f")))
-    # u: how many n-grams a document shares in small groups at most
-    meets = (met.where(F.col("kind") == MEETS).select(F.col("a").alias("doc"), F.col("np").alias("k")).join(moved, "doc", "left")
-             .groupBy(F.coalesce("rep", "doc").alias("doc")).agg(F.sum("k").alias("u")))
+            .groupBy("token", "doc").agg(F.min("n").alias("n"), F.min("p").alias("p"), F.max("f").alias("f")))
+    # u: how many n-grams a class shares in small groups at most
+    meets = met.where(F.col("kind") == MEETS).select(F.col("a").alias("doc"), F.col("np").alias("k")).groupBy("doc").agg(F.sum("k").alias("u"))
     meets = stored(meets, "join-meets")
-    pairs = met.where(F.col("kind") == PAIR).select("a", "b", F.col("np").alias("n"), F.col("mq").alias("m"), (F.col("lo") == 1).alias("near"))
-    for c in ("a", "b"):
-        pairs = pairs.join(moved.toDF(c, "rep"), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n", "m").alias("n"),
-                                         F.greatest("n", "m").alias("m"), "near")
+    pairs = met.where(F.col("kind") == PAIR).select("a", "b", F.least("np", "mq").alias("n"), F.greatest("np", "mq").alias("m"), (F.col("lo") == 1).alias("near"))
+    first = whole.where("n > 0").groupBy("class").agg(F.min("doc").alias("id"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        needed = stored(ids.distinct(), "join-needed")
-        if needed.count() <= BROADCAST_IDS:  # else Spark chooses, and the texts are shuffled
-            needed = F.broadcast(needed)
-        return stored(d.join(needed, d.doc_id == needed.needed, "left_semi").mapInArrow(_sets, "doc long, grams binary"), "join-sets", "none")
+        needed = stored(ids.distinct().join(first, F.col("needed") == F.col("class")).select("needed", "id"), "join-needed")
+        texts = d.join(hinted(needed.select("id").distinct()), F.col("doc_id") == F.col("id"), "left_semi").select("text")
+        sets = stored(texts.mapInArrow(_sets, "doc long, grams binary"), "join-sets", "none")
+        return sets.join(hinted(needed.select("needed")), F.col("doc") == F.col("needed"), "left_semi")  # an id may have further texts
 
     return whole, link(stored(rows, "join-rows"), pairs, meets, whole.count(), sets_of)
 
 
+def classed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with each row's class (null: no words) appended under ``name``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in byte_slices(batch):
+                of = [digest_of(s) if len(s) else None for s in shingle_sets(rows.column(rows.schema.get_field_index("text")))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(of, pa.int64())], names=[*rows.schema.names, name])
+
+    return docs.mapInArrow(run, docs.limit(0).withColumn(name, F.lit(None).cast("long")).schema)
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc, n, class, group) of every row; rows without an id or a word have no group."""
+    whole, comp = classes(docs)
+    whole = whole.withColumn("class", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("class")))
+    if comp is None:
+        return stored(whole.withColumn("group", F.col("class")), "join-groups")
+    return stored(whole.join(comp.withColumnRenamed("v", "class"), "class", "left")
+                  .select("doc", "n", "class", F.coalesce("component", "class").alias("group")), "join-groups")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    whole, comp = classes(docs)
-    out = whole if comp is None else whole.join(comp.withColumnRenamed("v", "rep"), "rep", "left")
-    component = F.col("rep") if comp is None else F.coalesce("component", "rep")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-                      F.when(F.col("doc").isNotNull(), component).alias("component_id"))
+    rows = grouped(docs)
+    at = rows.where("group is not null").groupBy("doc").agg(F.min("group").alias("group"), F.max("group").alias("other"))
+    at = stored(at, "join-ids")
+    if not at.where("group <> other").isEmpty():  # ids with several texts: their groups are one component
+        several = rows.where("group is not null").select("doc", F.col("group").alias("v")).join(at.where("group <> other"), "doc")
+        merged = stored(components(several.select(F.col("group").alias("u"), "v"), "join-merged"), "join-merge").toDF("group", "into")
+        at = at.join(merged, "group", "left").select("doc", F.coalesce("into", "group").alias("group"))
+    low = at.groupBy("group").agg(F.min("doc").alias("component"))
+    named = at.join(low, "group").select("doc", "component")
+    return rows.join(named, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
+                                                 F.coalesce("component", "doc").alias("component_id"))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

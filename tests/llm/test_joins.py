@@ -84,6 +84,19 @@ def test_join_edge_rows(spark):
     assert ngram_join.jaccard_components(d.limit(0)).count() == 0
 
 
+def test_one_id_on_two_texts(spark):
+    a, b, near_b, c = ("a%d " * 40 % tuple(range(40)), "b%d " * 60 % tuple(range(60)), "b%d " * 58 % tuple(range(58)), "c%d " * 30 % tuple(range(30)))
+    rows = [(2, a), (6, a), (6, b), (6, b), (7, near_b), (8, c), (8, c + "more"), (9, c), (9, "else " * 9), (3, ""), (3, "alone here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    got = ngram_join.jaccard_components(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(2, 2), (6, 2), (7, 2), (8, 8), (9, 8), (3, 3)}
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, SF)
+    assert kept.columns == docs.columns
+    kept = sorted((r.doc_id, r.text.split()[0] if r.text else "") for r in kept.collect())
+    assert kept == [(2, "a0"), (3, ""), (3, "alone"), (6, "b0"), (8, "c0"), (9, "else")]
+
+
 def cosine_truth(vectors, threshold=0.95):
     u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     s = u @ u.T >= threshold
