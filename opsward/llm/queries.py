@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, ngram_join, pq_neardup, rans, repetition, secrets, toxicity, warc
+from . import alignment, bpe, infill, langid, linededup, mixing, ngram_join, pq_neardup, rans, repetition, secrets, toxicity, warc
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard": ngram_join.op8_jaccard,
     "op9_pq": pq_neardup.op9_pq,
     "op10_secrets": secrets.op10_secrets,
+    "op11_linededup": linededup.op11_linededup,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_infill": infill.op13_infill,
 }
 
 ORACLE = {
@@ -23,4 +26,6 @@ ORACLE = {
     "op5_mixing": mixing.SQL,
     "op8_jaccard": ngram_join.SQL,
     "op9_pq": pq_neardup.SQL,
+    "op11_linededup": linededup.SQL,
+    "op13_infill": infill.SQL,
 }
