@@ -24,6 +24,7 @@ import io
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .common import byte_slices, ragged_positions, read, stored
+from .common import byte_slices, lean, ragged_positions, read, stored
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 BLOCK_BYTES = 3_000_000
+LEARN_PIECES = 16_384
+LONG_PIECE = 1000
+LATIN_END = "\u0250"  # below it all versions of Unicode agree on what is a letter
 CACHE_PIECES = 150_000
 CACHE_CHARS = 8_000_000
 LOW = 0xFFFFFFFF
@@ -77,6 +81,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
@@ -89,6 +94,13 @@ class Aligner:
         named = {i: bytes(chars[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         named |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         bytes_a = [named.get(i, b"") for i in range(max(named) + 1)]
+        # a vocabulary numbered in the order of its merges can be read as ranks, which many pieces in one call take
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        base = len(named) - len(spec["added_tokens"]) - len(merges)
+        self.ranked = None
+        if all(spec["model"]["vocab"].get(x + y) == base + i for i, (x, y) in enumerate(merges)):
+            ranks = {x: i for i, x in enumerate(bytes_a[: base + len(merges)])}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(SPACE in n.lstrip(SPACE) for n in names):
             raise ValueError("a piece of the second vocabulary goes on after a space, so texts cannot be cut at spaces")
@@ -109,14 +121,28 @@ class Aligner:
         self.text, self.text_len = np.zeros(0, np.uint8), np.zeros(0, np.int64)
         self.same, self.pairs = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _encode_a(self, new: list[str], want: Strings) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A, and the piece that each belongs to. Pieces that may stand in a row without merging are read in one call."""
+        rows = [i for i, x in enumerate(new) if self.ranked and len(x) < LONG_PIECE and x.isprintable() and visible(x[0]) and visible(x[-1]) and max(x) < LATIN_END]
+        in_row = np.zeros(len(new), bool)
+        in_row[rows] = True
+        ids = np.array(self.ranked.encode_ordinary(" " + " ".join([new[i] for i in rows])) if rows else [], np.int64)
+        of = np.searchsorted(np.cumsum(want.len[in_row]), np.cumsum(self.bytes_a.len[ids]))
+        of = np.flatnonzero(in_row)[of]
+        rest = np.flatnonzero(~in_row)
+        got = [e.ids for e in self.a.encode_batch_fast([" " + new[i] for i in rest.tolist()], add_special_tokens=False)]
+        ids = np.r_[ids, np.fromiter(chain.from_iterable(got), np.int64)]
+        of = np.r_[of, np.repeat(rest, [len(x) for x in got])]
+        order = np.argsort(of, kind="stable")
+        return ids[order], of[order]
+
     def _learn(self, new: list[str]) -> None:
         """Aligns pieces and adds them to the cache."""
         want = Strings([b" " + x.encode() for x in new])
+        got = self.b.encode(new, num_threads=1)
+        of_b = (np.fromiter(chain.from_iterable(got), np.int64), np.repeat(np.arange(len(new)), [len(x) for x in got]))
         tokens, owner, right = [], [], np.ones(len(new), bool)
-        for got, table in (([e.ids for e in self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False)], self.bytes_a),
-                           (self.b.encode(new, num_threads=1), self.bytes_b)):
-            ids = np.array([i for x in got for i in x], np.int64)
-            of = np.repeat(np.arange(len(new)), [len(x) for x in got])
+        for (ids, of), table in ((self._encode_a(new, want), self.bytes_a), (of_b, self.bytes_b)):
             size = np.bincount(of, table.len[ids], len(new)).astype(np.int64)
             right &= size == want.len
             fits = np.flatnonzero(size == want.len)
@@ -128,7 +154,8 @@ class Aligner:
         a, b = (ids[right[of]] for ids, of in zip(tokens, owner))
         good = np.flatnonzero(right)
         end_a, end_b, end_piece = np.cumsum(self.bytes_a.len[a]), np.cumsum(self.bytes_b.len[b]), np.cumsum(want.len[good])
-        ends = np.union1d(end_a, end_b)
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        ends = ends[np.r_[True, ends[1:] != ends[:-1]][: len(ends)]]
         at_a, at_b, of = (np.searchsorted(x, ends) for x in (end_a, end_b, end_piece))
         closed = (end_a[at_a] == ends) & (end_b[at_b] == ends) if len(ends) else np.zeros(0, bool)
         single = closed & np.r_[True, closed[:-1]][: len(ends)]
@@ -188,7 +215,8 @@ class Aligner:
         out[several] = [number(" ".join(names[j] for j in parts[i: i + n].tolist())) for i, n in zip(at[several].tolist(), run[several].tolist())]
         if new:
             self.chars += sum(map(len, new))
-            self._learn(new)
+            for i in range(0, len(new), LEARN_PIECES):
+                self._learn(new[i: i + LEARN_PIECES])
         return out, sums(first, count)
 
     def block(self, texts: pa.Array) -> dict:
@@ -231,6 +259,12 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _ALIGNERS[path_a, path_b]
 
 
+def forget() -> None:
+    """Empties the caches of a worker's aligners."""
+    for a in _ALIGNERS.values():
+        a.reset()
+
+
 def _packed(arrays: dict) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -297,7 +331,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     spark = docs.sparkSession
     paths = (path_a or public_tokenizers.path(VOCABULARY_A), path_b or public_tokenizers.path(VOCABULARY_B))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = stored(slim.mapInArrow(_encoded(paths, digest, block_bytes), BLOCKS), "align-blocks")
+    blocks = stored(slim.mapInArrow(lean(_encoded(paths, digest, block_bytes), forget), BLOCKS), "align-blocks")
     al = aligner(*paths)
     to_b = al.identity
     # identity pairs: at most one for each A id
@@ -316,7 +350,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
                .groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("i", "n")).alias("counts")))
     rows = asked.join(answers, F.col("block") == F.col("of"), "left").select("body", "doc_ids", "groups", "pairs", "counts")
     schema = RESULT if digest else RESULT.replace("groups_sha256", "groups")
-    return rows.mapInArrow(_answered(total, best, to_b, digest), schema), totals
+    return rows.mapInArrow(lean(_answered(total, best, to_b, digest)), schema), totals
 
 
 def op12_alignment(spark, sf_dir: str) -> DataFrame:
