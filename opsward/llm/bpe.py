@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged_positions, read, text_slices
+from .common import lean, ragged_positions, read, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE_PIECES = 200_000
@@ -177,6 +177,12 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def forget() -> None:
+    """Empties the caches of a worker's codecs."""
+    for c in _CODECS.values():
+        c.reset()
+
+
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encodes and decodes every text; one row per document with digests of both."""
     path = path or public_tokenizers.path(VOCABULARY)
@@ -194,7 +200,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                      pa.array([hashlib.sha256(x).hexdigest() for x in c.decode(ids, lens)], pa.string())],
                     names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run, forget), RESULT)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -210,7 +216,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array([raw[a:b] for a, b in zip([0] + ends[:-1], ends)], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run, forget), "doc_id long, ids binary")
 
 
 def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -225,7 +231,7 @@ def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
             texts = c.decode(ids, np.array([len(p) for p in parts], np.int64)) if parts else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode() for x in texts], pa.string())], names=["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,37 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable, reset: Callable | None = None) -> Callable:
+    """``run`` for mapInArrow, with ``reset`` called and free memory given back to the machine at the end of a partition:
+    workers live on over many tasks and stages, what they held need not."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if reset:
+                reset()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+    return wrapped
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows here hold whole texts: fewer of them go to Python at once, unless the session sets a number itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None or int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, rows)
+
+
+def neutral(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but those to ``keep`` named c0, c1, ..., so no name clashes with those of a job; and the
+    function that gives the columns their names and order back."""
+    names = {c: c if c in keep else f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda df: df.select(*(F.col(to).alias(c) for c, to in names.items()))
+
+
 def word_count(text) -> F.Column:
     """Words of a text column; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, read
+from .common import byte_slices, lean, read
 
 MARKS = ("<P>", "<S>", "<M>")
 SEED = 1
@@ -90,7 +90,7 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, marks: tuple[str, str, str
 
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     numbers = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long").alias(f"h{i + 1}") for i in range(4)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *numbers).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *numbers).mapInArrow(lean(run), RESULT)
 
 
 def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, read, stored
+from .common import byte_slices, lean, read, stored
 
 MIN_DOCS = 10
 LEAST_CHARS = 1
@@ -140,8 +140,8 @@ def twice_seen(docs: DataFrame, bits: int, probes: int, least_chars: int = LEAST
         if at is not None:
             yield out()
 
-    parts = docs.select("text").mapInArrow(build, "segment int, once binary, twice binary").repartition("segment")
-    merged = parts.sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary")
+    parts = docs.select("text").mapInArrow(lean(build), "segment int, once binary, twice binary").repartition("segment")
+    merged = parts.sortWithinPartitions("segment").mapInArrow(lean(merge), "segment int, twice binary")
     filter_ = np.zeros(bits // 8, np.uint8).reshape(-1, SEGMENT_BYTES)
     for r in merged.collect():
         filter_[r.segment] = np.frombuffer(r.twice, np.uint8)
@@ -177,7 +177,7 @@ def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS, least_chars: int =
                 [pa.array(s.digests(which), pa.binary()), pa.array(n[which], pa.int64()), ids.take(pa.array(s.owner[first])), pa.array(line[first], pa.int64())],
                 names=["key", "docs", "doc_id", "line"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key binary, docs long, doc_id long, line long")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "key binary, docs long, doc_id long, line long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
     return (found.groupBy("key").agg(F.sum("docs").alias("docs"), F.min(place).alias("at")).where(F.col("docs") >= min_docs)
             .select("key", "docs", "at.doc_id", "at.line"))
@@ -255,7 +255,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, least_chars: int = LEA
                 drop[i] = ~((look.doc_ids[at[i]] == own) & (look.null[at[i]] == null) & (look.lines[at[i]] == i - s.starts[s.owner[i]]))
             yield _rebuilt(rows, s, drop)
 
-    return slim.mapInArrow(run, RESULT)
+    return slim.mapInArrow(lean(run), RESULT)
 
 
 def _joined(docs: DataFrame, keys: DataFrame, least_chars: int, first: bool, filter_) -> DataFrame:
@@ -287,13 +287,13 @@ def _joined(docs: DataFrame, keys: DataFrame, least_chars: int, first: bool, fil
                 yield _rebuilt(rows, s, drop)
 
     named = docs.withColumn("of", F.md5(F.coalesce("text", F.lit(""))))
-    got = named.mapInArrow(suspects, "doc_id long, of string, key binary, line long").distinct()
+    got = named.mapInArrow(lean(suspects), "doc_id long, of string, key binary, line long").distinct()
     met = got.join(keys.select("key", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")), "key")
     if first:
         met = met.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
     gone = met.groupBy(F.col("doc_id").alias("in_doc"), F.col("of").alias("in_text")).agg(F.collect_list("line").alias("lines"))
     return (named.join(gone, F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("of") == F.col("in_text")), "left")
-            .select("doc_id", "text", "lines").mapInArrow(rebuild, RESULT))
+            .select("doc_id", "text", "lines").mapInArrow(lean(rebuild), RESULT))
 
 
 def op11_linededup(spark, sf_dir: str) -> DataFrame:

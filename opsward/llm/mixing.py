@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import neutral, stored, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -213,9 +213,10 @@ class Mix:
     def rows(self, docs: DataFrame, tasks_per_shard: int = 16, names: tuple[str, str] = ("shard", "order_key")) -> DataFrame:
         """``docs`` as the mix has them, a row per copy, shuffled inside the shards. Shard and order are appended under
         ``names`` (and replace columns of those names). Text rows move once, to their shard's tasks."""
-        columns = [c for c in docs.columns if c not in names]
-        got = self._dealt(_keyed(docs.drop(*names), self.seed), columns, tasks_per_shard)
-        return got.select(*columns, F.col("__shard").alias(names[0]), F.col("__order").alias(names[1]))
+        plain, back = neutral(docs.drop(*names), ("doc_id", "text", "source"))
+        got = self._dealt(_keyed(plain, self.seed), plain.columns, tasks_per_shard)
+        columns = back(got).columns
+        return got.select(*(F.col(a).alias(b) for a, b in zip(plain.columns, columns)), F.col("__shard").alias(names[0]), F.col("__order").alias(names[1]))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
