@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_slices
+from .common import lean, read, text_slices
 
 MIN_WORDS = 10
 MAX_COVERED = 0.30
@@ -122,6 +122,36 @@ def maximal_repeats(suffixes: np.ndarray, lcp: np.ndarray, code: np.ndarray, doc
     return [(h, lb, rb) for h, lb, rb in found if changes[rb] != changes[lb]]
 
 
+def longest_at(found: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """For each row of the suffix order the length of the longest interval it lies in (0: none). Intervals nest, so one
+    sweep with a stack writes every row once."""
+    best, stack, at = np.zeros(n, np.int64), [], 0
+
+    def close(before: int) -> None:
+        nonlocal at
+        while stack and stack[-1][1] < before:
+            h, rb = stack.pop()
+            best[at: rb + 1] = h
+            at = max(at, rb + 1)
+
+    for h, lb, rb in sorted(found, key=lambda x: (x[1], -x[2])):
+        close(lb)
+        if stack:
+            best[at:lb] = stack[-1][0]
+        at = max(at, lb)
+        stack.append((h, rb))
+    close(n)
+    return best
+
+
+def spans(suffixes: np.ndarray, found: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """Mask over n words of the union of the spans of all intervals. A span that lies inside a longer one at the same
+    place adds nothing, so each place gives its longest."""
+    best = longest_at(found, len(suffixes))
+    long_ = best > 0
+    return covered(suffixes[long_], best[long_], n)
+
+
 def measure(texts: list, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
     """Counts per text of a slice, see RESULT."""
     index: dict[bytes, int] = {}
@@ -144,11 +174,14 @@ def measure(texts: list, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
     per_doc = lambda mask: np.bincount(doc[mask], minlength=len(texts))
     three = suffixes[best >= 3]
     repeat = covered(three, np.full(len(three), 3), len(code))
-    long_ = best >= min_words
-    cover = covered(suffixes[long_], best[long_], len(code))
+    found = maximal_repeats(suffixes, lcp, code, doc, min_words)
+    cover = spans(suffixes, found, len(code))
+    owners = [doc[suffixes[lb]] for _, lb, _ in found]
     longest = np.zeros(len(texts), np.int64)
-    np.maximum.at(longest, doc[suffixes], best)
-    owners = [doc[suffixes[lb]] for _, lb, _ in maximal_repeats(suffixes, lcp, code, doc, min_words)]
+    short = best < min_words  # texts without an interval show their longest shorter repeat
+    np.maximum.at(longest, doc[suffixes[short]], best[short])
+    if found:
+        np.maximum.at(longest, owners, [h for h, _, _ in found])
     return {"n_words": lens, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup_lines,
             "n_repeat_words": per_doc(repeat), "covered_words": per_doc(cover),
             "n_maximal": np.bincount(owners, minlength=len(texts)) if owners else np.zeros(len(texts), np.int64),
@@ -161,9 +194,8 @@ def repeated_passages(text: str | None, min_words: int = MIN_WORDS) -> list[tupl
     index: dict[bytes, int] = {}
     code = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
     suffixes, lcp = suffix_lcp(code, np.zeros(len(code), np.int64))
-    best = np.maximum(lcp, np.r_[lcp[1:], 0]) if len(lcp) else lcp
-    long_ = best >= min_words
-    mask = covered(suffixes[long_], best[long_], len(code))
+    one = np.zeros(len(code), np.int64)
+    mask = spans(suffixes, maximal_repeats(suffixes, lcp, code, one, min_words), len(code))
     edge = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
@@ -179,7 +211,7 @@ def repetition(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float =
                 got = measure(texts, min_words)
                 yield pa.RecordBatch.from_arrays([rows.column(0)] + [pa.array(got[c], pa.int64()) for c in names[1:]], names=names)
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), RESULT)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     keep = ~failed & (100 * F.col("covered_words") <= round(100 * max_covered) * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
     return out.withColumns({"base_failed": failed, "kept": keep})

@@ -10,7 +10,8 @@ Concatenating ``data`` by (record_key, chunk_no) gives a plain WARC file.
 oversized records are shuffled, by record, and hashed one after the other, so no task ever holds a record.
 
 Defined cases: a null payload is empty; a null url leaves out WARC-Target-URI; a null page_id is written as
-``null`` and read back as null; of repeated rows with the smallest page_id all are responses; an empty table
+``null`` and read back as null, and
+such a page revisits the smallest id of its payload like any other (without one it is a response); of repeated rows with the smallest page_id all are responses; an empty table
 gives an empty archive; other columns of the input are ignored.
 """
 
@@ -44,8 +45,8 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
                      F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     first = (p.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
-             .agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"))
-             .where("first_id < last_id").select("payload_digest", "first_id"))
+             .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+             .where("first_id is not null and n > 1").select("payload_digest", "first_id"))
     p = p.join(first, "payload_digest", "left")
     again = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return p.withColumns({"record_type": F.when(again, "revisit").otherwise("response"),
@@ -174,6 +175,6 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
-  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER (PARTITION BY html) THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER (PARTITION BY html) THEN min(page_id) OVER (PARTITION BY html) END AS refers_to
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id IS DISTINCT FROM min(page_id) OVER (PARTITION BY html) AND min(page_id) OVER (PARTITION BY html) IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id IS DISTINCT FROM min(page_id) OVER (PARTITION BY html) THEN min(page_id) OVER (PARTITION BY html) END AS refers_to
 FROM pages"""
