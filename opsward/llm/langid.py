@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most, byte_slices, in_fold, read, split_words
+from .common import at_most, byte_slices, in_fold, lean, read, split_words
 
 FIT_PER_LANG = 700
 FIT_CHARS = 20_000
+FIT_LETTERS = 32_000  # the most frequent characters; a key has 15 bits for each
+KNOWN_SHARE = 0.5
 LEAST_DOCS = 2
 NGRAMS = (1, 2, 3, 4)
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.02
@@ -87,10 +89,12 @@ def _shown(key: int, letters: list[str]) -> str:
 
 
 class Model:
-    """Classes, feature weights (IDF and scale folded in), bias and temperature."""
+    """Classes, feature weights (IDF and scale folded in), bias and temperature. Texts in a learnt language have at least
+    ``least_known`` of their n-grams among the features: ``KNOWN_SHARE`` of what all but a hundredth of the sample have."""
 
-    def __init__(self, classes: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, temperature: float):
+    def __init__(self, classes: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, temperature: float, least_known: float = 0.0):
         self.classes, self.weights, self.bias, self.temperature = classes, weights, bias, temperature
+        self.least_known = least_known
         self.key = hashlib.sha256(repr((classes, [(g, w.tolist()) for g, w in sorted(weights.items())], bias.tolist(), temperature)).encode()).hexdigest()
 
 
@@ -105,7 +109,8 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     if not classes:
         return Model([], {}, np.zeros(0), 1.0)
     texts = [_plain(text) for _, text in rows]
-    letters = sorted({c for t in texts for c in t} | {" "})[:32_000]
+    seen = Counter(c for t in texts for c in t)
+    letters = sorted({c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FIT_LETTERS]} | {" "})
     number = {c: i + 2 for i, c in enumerate(letters)}
     docs = [np.unique(_keys(t, number), return_counts=True) for t in texts]
     fit = [i for i in range(len(rows)) if i % 5 or len(rows) < 20]
@@ -151,18 +156,23 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     target[np.arange(len(truth)), truth] = 1 - 1 / (len(truth) + 2)
     loss = [-(target * np.log(np.maximum(_softmax(logits / t), 1e-300))).sum(1).mean() for t in grid]
     used = np.flatnonzero(np.abs(w[:-1]).sum(1))
-    return Model(classes, {_shown(int(names[i]), letters): SCALE * idf[i] * w[i] for i in used}, bias, float(grid[int(np.argmin(loss))]))
+    shares = [n[np.isin(keys, names[used])].sum() / max(1, n.sum()) for keys, n in docs if len(keys)]
+    least_known = KNOWN_SHARE * float(np.quantile(shares, 0.01)) if shares else 0.0
+    return Model(classes, {_shown(int(names[i]), letters): SCALE * idf[i] * w[i] for i in used}, bias, float(grid[int(np.argmin(loss))]), least_known)
 
 
 def fit_sample(docs: DataFrame, per_lang: int = FIT_PER_LANG, max_chars: int = FIT_CHARS) -> list[tuple[str, str]]:
-    """The bounded sample as (lang, text), in hash order."""
-    usable = docs.where(in_fold(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    place = F.xxhash64("doc_id", F.lit(7))
-    counts = {r.lang: r["n"] for r in docs.where(in_fold(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """The bounded sample as (lang, text), in hash order; a longer text gives ``max_chars`` characters at a place by hash."""
+    usable = docs.where(in_fold(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     most = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, at_most(per_lang, n))))
-    got = usable.select("lang", "text", place.alias("h")).where(F.col("h") <= F.element_at(most, F.col("lang"))).limit(4 * per_lang * len(counts) + 100).collect()  # repeated ids share a hash
+    # the hash of a row is that of its whole content: repeated rows are one, and no order of rows matters
+    place = F.xxhash64("doc_id", "text", F.lit(7))
+    start = F.pmod(F.col("h"), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1).cast("int") + 1
+    got = (usable.select("lang", "text", place.alias("h")).where(F.col("h") <= F.element_at(most, F.col("lang")))
+           .select("lang", "h", F.col("text").substr(start, F.lit(max_chars)).alias("text")).dropDuplicates(["lang", "h"]).collect())
     out, taken = [], Counter()
     for r in sorted(got, key=lambda r: (r.h, r.lang, r.text)):
         if taken[r.lang] < per_lang:
@@ -199,7 +209,7 @@ class Scorer:
 
     def reset(self):
         self.words: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.model.classes) + 1))
+        self.rows = np.zeros((0, len(self.model.classes) + 2))
 
     def _numbers(self, text: str) -> np.ndarray:
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -209,7 +219,7 @@ class Scorer:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        """Scores of words: the weights of their n-grams, and how many they have."""
+        """Scores of words: the weights of their n-grams, how many they have, and how many of them are features."""
         parts, owner = new, np.arange(len(new))
         odd = [i for i, w in enumerate(new) if not w.isalpha()]  # digits and marks may part a word
         if odd:
@@ -219,7 +229,7 @@ class Scorer:
         flat = self._numbers("".join([f" {w} " for w in parts]))
         lens = np.fromiter(map(len, parts), np.int64, len(parts)) + 2
         segment = np.repeat(np.arange(len(parts)), lens)
-        sums = np.zeros((len(new), len(self.model.classes) + 1))
+        sums = np.zeros((len(new), len(self.model.classes) + 2))
         for n in NGRAMS:
             m = len(flat) - n + 1
             if m <= 0:
@@ -233,12 +243,17 @@ class Scorer:
             hit = self.keys[found] == key
             for k in range(len(self.model.classes)):
                 sums[:, k] += np.bincount(who[hit], self.weights[found[hit], k], len(new))
-            sums[:, -1] += np.bincount(who, minlength=len(new))
+            sums[:, -2] += np.bincount(who, minlength=len(new))
+            sums[:, -1] += np.bincount(who[hit], minlength=len(new))
         self.words.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         self.rows = np.concatenate([self.rows, sums])
 
     def probabilities(self, texts: list) -> np.ndarray:
         """(texts, classes), calibrated."""
+        return self.facts(texts)[0]
+
+    def facts(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The probabilities, and the share of each text's n-grams that are features."""
         if len(self.words) > CACHE_WORDS:
             self.reset()
         k = len(self.model.classes)
@@ -253,17 +268,19 @@ class Scorer:
                 known[i] = self.words.get(distinct[i], 0)
         codes = np.array(known, np.int64)[codes] if len(codes) else codes
         doc = np.repeat(np.arange(len(texts)), lens)
-        sums = np.stack([np.bincount(doc, self.rows[codes, j], len(texts)) for j in range(k + 1)], 1)
-        return _softmax((sums[:, :k] / np.maximum(1, sums[:, k:]) + self.model.bias) / self.model.temperature)
+        sums = np.stack([np.bincount(doc, self.rows[codes, j], len(texts)) for j in range(k + 2)], 1)
+        n = np.maximum(1, sums[:, k: k + 1])
+        return _softmax((sums[:, :k] / n + self.model.bias) / self.model.temperature), sums[:, k + 1] / n[:, 0]
 
-    def predict(self, texts: list) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and share of known n-grams."""
         known = [bool(t) and LETTER.search(t) is not None and bool(self.model.classes) for t in texts]
         if not any(known):
-            return ["und"] * len(texts), [0.0] * len(texts)
-        p = self.probabilities(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        p, share = self.facts(texts)
         best = p.argmax(1)
         return ([self.model.classes[b] if k else "und" for b, k in zip(best, known)],
-                [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))])
+                [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))], share.tolist())
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -281,23 +298,23 @@ def fit(docs: DataFrame) -> Model:
     return train(fit_sample(docs))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` (of its columns those to ``keep``, all by default) with language and score appended under ``names``;
-    they take the place of columns of those names."""
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (of its columns those to ``keep``, all by default) with language and score, and for a third name the share of
+    known n-grams, appended under ``names``; they take the place of columns of those names."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    schema = docs.select(*keep).limit(0).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
+    schema = docs.select(*keep).limit(0).withColumns({n: F.lit(0.0) if i else F.lit("") for i, n in enumerate(names)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
         for batch in batches:
             for rows in byte_slices(batch):
-                lang, score = scorer.predict(rows.column(rows.schema.get_field_index("text")).to_pylist())
+                lang, *numbers = scorer.predict(rows.column(rows.schema.get_field_index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    [*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in numbers[: len(names) - 1])],
                     names=[*keep, *names])
         scorer.reset()  # the worker lives on, the cache need not
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most, ragged_positions, read, text_slices
+from .common import at_most, lean, ragged_positions, read, text_slices
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,6 +43,9 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 TOKEN = re.compile(r"[\w+/-]+(?:\.[\w+/-]+)*|[^\w\x20\x09-\x0D+/-]")
 FIT_HITS, FIT_PLAIN = 1500, 1500
+FIT_CHARS = 20_000
+FIT_MIXED, FIT_WINDOWS = 4, 6  # a text's windows round mixed tokens that are no secrets, and all of its windows
+SEEN = r"AKIA[A-Z0-9]{14}|(?:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{12}"
 WINDOW = 12
 ADDED_LEAST = 12
 ROUNDS = 80
@@ -120,6 +124,14 @@ def _lse(x, axis):
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
+def _spread(places: list[int], most: int, text: str) -> list[int]:
+    """At most so many of the places, chosen by a hash of text and place."""
+    if len(places) <= most:
+        return places
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    return sorted(sorted(places, key=lambda i: (zlib.crc32(b"%d:%d" % (seed, i)), i))[:most])
+
+
 def fit(samples: list[str], rounds: int = ROUNDS) -> Field:
     """Fits the field on windows of labelled texts."""
     sigs: dict[tuple, int] = {}
@@ -136,11 +148,11 @@ def fit(samples: list[str], rounds: int = ROUNDS) -> Field:
             toks.append(sigs.setdefault(features(m[0]), len(sigs)))
         odd = [i for i, s in enumerate(toks) if tags[i] == 1]
         rev = list(sigs)
-        odd += [i for i, s in enumerate(toks) if not tags[i] and rev[s][0] == "mixed"][:4]
+        odd += _spread([i for i, s in enumerate(toks) if not tags[i] and rev[s][0] == "mixed"], FIT_MIXED, text)
         if not odd and toks:
             odd = [len(toks) // 2]
         bucket = _file_bucket(text, len(toks), sum(rev[s][0] != "alpha" for s in toks))
-        for i in odd[:6]:
+        for i in _spread(odd, FIT_WINDOWS, text):
             lo = max(0, i - WINDOW)
             s, t = toks[lo: lo + length], tags[lo: lo + length]
             if t and t[0] == 2:
@@ -356,13 +368,16 @@ def _shown(spans) -> str:
 
 def fit_sample(docs: DataFrame, hits: int = FIT_HITS, plain: int = FIT_PLAIN) -> list[str]:
     """The bounded sample: documents with a base finding, and others, first by a hash of id and text."""
-    d = docs.where("text is not null and length(text) <= 20000").select("text", F.xxhash64("doc_id", "text").alias("h"))
-    found = F.col("text").rlike(r"AKIA[A-Z0-9]{14}|(?:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{12}")
+    d = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    found = F.col("text").rlike(SEEN)
     n = d.agg(F.count(F.when(found, 1)).alias("hits"), F.count(F.lit(1)).alias("all")).first()
     top_hit, top_plain = at_most(hits, n.hits), at_most(plain, n["all"] - n.hits)
+    # repeated rows share a hash and are one; a longer text gives FIT_CHARS characters round its first finding, or at a place by hash
+    free = F.pmod(F.col("h"), F.greatest(F.length("text") - FIT_CHARS, F.lit(0)) + 1).cast("int") + 1
+    start = F.when(F.col("hit"), F.greatest(F.regexp_instr("text", F.lit(SEEN)) - FIT_CHARS // 2, F.lit(1))).otherwise(free)
     got = (d.where(F.col("h") <= max(top_hit, top_plain)).withColumn("hit", found)
            .where(F.when(F.col("hit"), F.col("h") <= top_hit).otherwise(F.col("h") <= top_plain))
-           .limit(4 * (hits + plain)).collect())  # repeated rows share a hash
+           .select("hit", "h", F.col("text").substr(start, F.lit(FIT_CHARS)).alias("text")).dropDuplicates(["h"]).collect())
     rows = sorted((not r.hit, r.h, r.text) for r in got)
     return [t for miss, _, t in rows if not miss][:hits] + [t for miss, _, t in rows if miss][:plain]
 
@@ -384,7 +399,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
                     + [pa.array([hashlib.sha256(_shown(f).encode()).hexdigest() for f in base]), pa.array([_shown(f) for f in found])],
                     names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), RESULT)
 
 
 def redact(docs: DataFrame, field: Field, mark: str = "[secret]") -> DataFrame:
@@ -405,7 +420,7 @@ def redact(docs: DataFrame, field: Field, mark: str = "[secret]") -> DataFrame:
                 new = [cover(t, s) if s else t for t, s in zip(texts, tagger.spans(texts))]
                 yield rows.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:

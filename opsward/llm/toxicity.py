@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most, in_fold, read, text_slices
+from .common import at_most, in_fold, lean, read, text_slices
 
 FIT_TOXIC, FIT_CLEAN = 1500, 3000
 FIT_CHARS = 20_000
@@ -278,9 +278,13 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_clean: i
     if not ids:
         return train([], [], [])
     chosen = spark.createDataFrame([(r.doc_id, r.toxic, r.h) for r in ids], "id long, toxic int, h long")
-    rows = (docs.where(F.length("text") <= FIT_CHARS).select(F.col("doc_id").alias("id"), "text")
-            .join(F.broadcast(chosen), "id").select("id", "h", "toxic", "text").limit(4 * (n_toxic + n_clean)).collect())
-    rows = sorted(rows, key=lambda r: (r.h, r.id, r.text))
+    # the content of a row decides: repeated rows are one, of an id with several texts the one first by hash stands; a longer
+    # text gives FIT_CHARS characters at a place by hash
+    rows = (docs.where("text is not null").select(F.col("doc_id").alias("id"), "text", F.xxhash64("text", F.lit(6)).alias("of"))
+            .join(F.broadcast(chosen), "id"))
+    start = F.pmod(F.col("of"), F.greatest(F.length("text") - FIT_CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.withColumn("text", F.col("text").substr(start, F.lit(FIT_CHARS))).groupBy("id", "h", "toxic").agg(F.min_by("text", "of").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (r.h, r.id))
     got = Counter(r.toxic for r in rows)
     return train([r.text for r in rows], [r.toxic for r in rows], [counts[r.toxic] / got[r.toxic] * len(rows) / sum(counts.values()) for r in rows])
 
@@ -297,7 +301,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                     [rows.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32()),
                      pa.array([sum(x > 0 for x in w) for w in weights], pa.int32())], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), RESULT)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -188,15 +188,26 @@ def test_pipeline_equals_brute_force(spark):
 
 
 def test_pipeline_stages_on_empty_and_odd_tables(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, shard string"
-    odd = spark.createDataFrame([(1, None, None, None, None, 1, "x"), (2, "", "en", "a", 0, 1, "x"), (None, "words only here", "en", None, 3, 1, "x"),
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, score int, shard string, id int, doc string, `group` int, "
+              "__key string, __size int, __pass int, __block int, __order string, __lang int, __known string, c0 string, rows int, copy string, class int")
+    odd = spark.createDataFrame([(*r, 5, "d", 6, "k", 7, 8, 9, "o", 10, "n", "c", 11, "y", 12) for r in ((1, None, None, None, None, 1, "x"), (2, "", "en", "a", 0, 1, "x"), (None, "words only here", "en", None, 3, 1, "x"),
                                  (3, "same words again and again", "en", "a", 9, 1, "x"), (3, "same words again and again", "en", "a", 9, 1, "x"),
-                                 (4, "token = abcdefgh12345678 " * 3000, "de", "b", 9, 1, "x")], schema)
+                                 (4, "token = abcdefgh12345678 " * 3000, "de", "b", 9, 1, "x"))], schema)
     for docs in (odd, odd.limit(0)):
         for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, SF)
             assert out.count() >= 0
             if i < 4:
                 assert out.columns == docs.columns
+                assert out.where("id <> 5 or doc <> 'd' or `group` <> 6 or __key <> 'k' or __size <> 7 or __lang <> 10 or c0 <> 'c' or class <> 12").isEmpty()
     kept = corpus_pipeline.ngram_jaccard(spark, odd, SF).collect()
     assert len(kept) == 5 and langid.fit(odd.limit(0)).classes == []
+
+
+def test_language_stage_drops_languages_that_were_not_learnt(spark):
+    """With two learnt languages no score is below a half; the share of known n-grams tells a third one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang in ('en', 'de')")
+    other = ["Это совсем другой язык, которого нет в таблице и который никто не учил", "これは学習されていない言語の文章です。", "αυτό είναι ένα κείμενο σε άλλη γλώσσα"]
+    extra = spark.createDataFrame([(80_000 + i, t, None, "src1", 7) for i, t in enumerate(other)] + [(80_100, "12 34", None, "src1", 5)], docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.union(extra), SF)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in docs.where("text rlike '\\\\p{L}'").select("doc_id").collect())

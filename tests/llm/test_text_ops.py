@@ -385,3 +385,46 @@ def test_hot_source_and_copies(spark):
         by.setdefault((r.source_size, r.target), []).append(r.taken)
     assert all(abs(sum(v) - t) <= 14 for (_, t), v in by.items())
     assert repetition.repetition(d).count() == 1200
+
+
+def test_fits_depend_on_rows_not_on_their_order(spark, docs):
+    """Repeated rows are one row of a sample, whatever task they come from."""
+    some = docs.where("doc_id < 300")
+    again = some.union(some).union(some.where("doc_id < 100")).repartition(7)
+    assert langid.fit_sample(some, per_lang=2000) == langid.fit_sample(again, per_lang=2000)
+    assert secrets.fit_sample(some, 2000, 2000) == secrets.fit_sample(again, 2000, 2000)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    one, other = toxicity.fit(some, labels, 5000, 5000), toxicity.fit(again, labels, 5000, 5000)
+    assert one.lexicon == other.lexicon and np.array_equal(one.beta, other.beta)
+
+
+def test_language_with_long_texts_only_is_learnt(spark, docs):
+    long_ = spark.createDataFrame([(7000 + i, "zwyx qrst vubz kplm " * 3000 + f"end {i}", "zz", "s", 1) for i in range(40)], docs.schema)
+    sample = langid.fit_sample(docs.union(long_))
+    assert {lang for lang, _ in sample} > {"zz"} and max(len(t) for _, t in sample) <= langid.FIT_CHARS
+    found = secrets.fit_sample(spark.createDataFrame([(1, "a b c " * 9000 + "token = abcdefgh12345678 " + "d e f " * 9000)], "doc_id long, text string"))
+    assert len(found) == 1 and len(found[0]) <= secrets.FIT_CHARS and "abcdefgh12345678" in found[0]
+
+
+def test_warc_page_without_id_revisits_the_smallest_id(spark):
+    body, other = "<p>" + "x" * 200, "<p>" + "y" * 200
+    rows = [(1, body), (2, body), (None, body), (None, body), (3, other), (None, other), (None, "<p>" + "z" * 200), (None, "<p>" + "z" * 200)]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    got = warc.read_records(warc.write_records(pages)).select("page_id", "record_type", "refers_to").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "response", None), (2, "revisit", 1), (3, "response", None), (None, "revisit", 1), (None, "revisit", 1), (None, "revisit", 3)]
+                                               + [(None, "response", None)] * 2))
+
+
+def test_longest_interval_at_each_place():
+    rng = random.Random(2)
+    for _ in range(200):
+        code = np.array([rng.randrange(3) for _ in range(rng.randrange(2, 40))])
+        doc = np.zeros(len(code), np.int64)
+        suffixes, lcp = repetition.suffix_lcp(code, doc)
+        found = repetition.maximal_repeats(suffixes, lcp, code, doc, 2)
+        want = np.zeros(len(suffixes), np.int64)
+        for h, lb, rb in found:
+            want[lb: rb + 1] = np.maximum(want[lb: rb + 1], h)
+        assert np.array_equal(repetition.longest_at(found, len(suffixes)), want)
+        best = np.maximum(lcp, np.r_[lcp[1:], 0]) if len(lcp) else lcp
+        assert np.array_equal(repetition.spans(suffixes, found, len(code)), repetition.covered(suffixes[best >= 2], best[best >= 2], len(code)))
