@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, components, read, split_words, stored
+from .common import byte_slices, components, lean, read, split_words, stored
 
 SHINGLE = 5
 SAMPLE_SHARE = 32
@@ -52,6 +52,8 @@ LARGE_GROUP = 512
 BLOCK_PARTNERS = 512
 BLOCK_ROWS = 200_000
 HELD_GROUP = 20_000
+SIGN_BITS = 1024
+PAIRS_HELD = 200_000
 BROADCAST_IDS = 200_000
 COLD, SET, HOT, PAIR, MEETS = 0, 1, 2, 3, 4
 FREQUENT_HELD = 1 << 60  # in np: the document holds frequent n-grams in its prefix
@@ -118,7 +120,7 @@ def _all_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_sketch(docs: DataFrame) -> np.ndarray:
     """Per hash bucket the binary logarithm of the most documents of the sample that share an n-gram of it."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(SAMPLE_SHARE)) == 0)
-    counts = sample.select("text").mapInArrow(_all_hashes, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
+    counts = sample.select("text").mapInArrow(lean(_all_hashes), "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
     top = counts.groupBy(F.shiftrightunsigned("token", 64 - SKETCH_BITS).alias("bucket")).agg(F.max("count").alias("n"))
     sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in top.collect():  # at most a row per bucket
@@ -289,7 +291,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pivots = (blocks.join(sets, F.col("a") == F.col("doc")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("a", "part", F.col("a").alias("doc"), "grams", F.lit(True).alias("pivot")))
     both = partners.union(pivots).repartition("a", "part").sortWithinPartitions("a", "part", F.desc("pivot"))
-    return both.mapInArrow(_verified, "u long, v long")
+    return both.mapInArrow(lean(_verified), "u long, v long")
 
 
 def _possible(n, p, m, q):
@@ -331,21 +333,29 @@ def _star(now: DataFrame, rnd: int) -> DataFrame:
 
 
 def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block of n-grams at a time, (block, token, doc, c, n, u): the sparse product of its incidence with itself, row by
-    row. A pair between two components is given with its overlap in the block, unless even all prefix n-grams that
-    the two have outside the block would leave it below its size bound."""
+    """One block of n-grams at a time, a row (block, doc, c, n, u, sign, tokens) for each document in it: the sparse product
+    of its incidence with itself, row by row. A pair between two components is given with its overlap in the block, unless even all
+    prefix n-grams that the two have outside the block would leave it below its size bound, or their signs differ in more
+    bits than sets that reach the threshold can (each n-gram in only one of the sets turns one bit)."""
     def pairs(parts):
-        token, doc, comp, size, spare = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(1, 6))
-        ids, first, owner = np.unique(doc, return_index=True, return_inverse=True)
-        comp, size = comp[first], size[first]
-        outside = np.minimum(size - -(-3 * size // 4) + 1, spare[first]) - np.bincount(owner)
+        ids, comp, size, spare = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(1, 5))
+        sign = np.frombuffer(b"".join(x for p in parts for x in p.column(5).to_pylist()), np.uint64).reshape(len(ids), -1)
+        token = np.concatenate([pc.list_flatten(p.column(6)).to_numpy() for p in parts])
+        owner = np.repeat(np.arange(len(ids)), np.concatenate([pc.list_value_length(p.column(6)).to_numpy() for p in parts]))
+        outside = np.minimum(size - -(-3 * size // 4) + 1, spare) - np.bincount(owner)
         _, column = np.unique(token, return_inverse=True)
         by_column = np.argsort(column, kind="stable")
         at = np.r_[0, np.cumsum(np.bincount(column))]
         postings = owner[by_column]
         by_row = np.argsort(owner, kind="stable")
         rows = np.r_[0, np.cumsum(np.bincount(owner))]
-        out = []
+        out, held = [], 0
+
+        def batch():
+            a, b, n, m, shared = (np.concatenate(c).astype(np.int64) for c in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(a, b), np.maximum(a, b), n, m, shared)] + [pa.array(np.ones(len(a), bool))],
+                                              names=["a", "b", "n", "m", "shared", "near"])
+
         for x in range(len(ids)):
             lists = [postings[at[k]: at[k + 1]] for k in column[by_row[rows[x]: rows[x + 1]]].tolist()]
             overlap = np.bincount(np.concatenate(lists), minlength=len(ids))
@@ -354,11 +364,15 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = y[(comp[y] != comp[x]) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))]
             behind = -(-3 * np.maximum(size[x], size[y]) // 4) - 1
             y = y[7 * (overlap[y] + np.minimum(outside[x], outside[y]) + behind) >= 3 * (size[x] + size[y])]
+            y = y[7 * np.bitwise_count(sign[x] ^ sign[y]).sum(1, dtype=np.int64) <= size[x] + size[y]]
             if len(y):
                 out.append((np.full(len(y), ids[x]), ids[y], np.minimum(size[x], size[y]), np.maximum(size[x], size[y]), overlap[y]))
+                held += len(y)
+            if held > PAIRS_HELD:
+                yield batch()
+                out, held = [], 0
         if out:
-            cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [pa.array(np.ones(len(cols[0]), bool))], names=["a", "b", "n", "m", "shared", "near"])
+            yield batch()
 
     key, parts = None, []
     for batch in batches:
@@ -374,7 +388,16 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(parts)
 
 
-def _every(now: DataFrame, meets: DataFrame) -> DataFrame:
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, grams) -> (doc, sign): bit i tells whether an odd number of the set's hashes are i modulo the bits."""
+    for whole in batches:
+        for batch in byte_slices(whole, 4_000_000, "grams"):
+            signs = [np.packbits((np.bincount((np.frombuffer(g, np.uint64) % np.uint64(SIGN_BITS)).astype(np.int64), minlength=SIGN_BITS) & 1).astype(np.uint8)).tobytes()
+                     for g in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.binary())], names=["doc", "sign"])
+
+
+def _every(now: DataFrame, meets: DataFrame, sets_of) -> DataFrame:
     """All pairs between two components that meet in these rows and that the bounds leave, with overlaps: blocks of
     n-grams that a task can hold are multiplied there, n-grams of still larger groups by a join. ``meets`` (doc, u) tells how many n-grams a document
     shares in small groups at most (where its rows are marked, f)."""
@@ -384,9 +407,11 @@ def _every(now: DataFrame, meets: DataFrame) -> DataFrame:
     # n-grams of a document that any other component can share
     spare = now.groupBy("doc").agg(F.count("*").alias("k"), F.max("f").alias("f")).join(meets, "doc", "left").select(
         "doc", F.when(F.col("f") > 0, F.col("k") + F.coalesce("u", F.lit(0))).otherwise(1 << 30).alias("spare"))
-    held = (now.join(huge, "token", "left_anti").join(spare, "doc")
-            .select(F.pmod(F.xxhash64("token"), F.lit(blocks)).alias("block"), "token", "doc", "c", "n", "spare"))
-    out = held.repartition("block").sortWithinPartitions("block").mapInArrow(_product, keys)
+    signs = sets_of(now.select(F.col("doc").alias("needed"))).select("doc", "grams").mapInArrow(lean(_signs), "doc long, sign binary")
+    held = (now.join(huge, "token", "left_anti").groupBy(F.pmod(F.xxhash64("token"), F.lit(blocks)).alias("block"), "doc")
+            .agg(F.min("c").alias("c"), F.min("n").alias("n"), F.collect_list("token").alias("tokens"))
+            .join(spare, "doc").join(signs, "doc").select("block", "doc", "c", "n", "spare", "sign", "tokens"))
+    out = held.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_product), keys)
     if huge.isEmpty():
         return out
     wide = now.join(huge, "token", "left_semi")
@@ -420,7 +445,7 @@ def link(rows: DataFrame, met: DataFrame, meets: DataFrame, n_docs: int, sets_of
         before = left
         comp = add(_star(now, rnd))
         now = _open(now.drop("c"), comp)  # components only grow: a group that one holds stays closed
-    pairs = (met.withColumn("shared", F.lit(1).cast("long")).unionByName(_every(now, meets)).groupBy("a", "b")
+    pairs = (met.withColumn("shared", F.lit(1).cast("long")).unionByName(_every(now, meets, sets_of)).groupBy("a", "b")
              .agg(F.sum("shared").alias("shared"), F.max("near").alias("near"), F.min("n").alias("n"), F.min("m").alias("m"))
              .where(F.col("near") & _enough(F.col("shared"), F.col("n"), F.col("m"))).select("a", "b"))
     if comp is not None:
@@ -441,8 +466,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     kind = F.shiftright("np", 61)
     n, p = F.shiftright("np", 30).bitwiseAND((1 << 30) - 1), F.col("np").bitwiseAND((1 << 30) - 1)
     slot = F.when(kind == HOT, F.xxhash64("token", "doc")).when(kind == SET, F.xxhash64("doc")).otherwise(F.col("token"))
-    met = stored(d.mapInArrow(_prefixes(frequency_sketch(d)), "token long, doc long, np long")
-                 .repartition(slot).sortWithinPartitions("token").mapInArrow(_shared, MET), "join-prefix")
+    met = stored(d.mapInArrow(lean(_prefixes(frequency_sketch(d))), "token long, doc long, np long")
+                 .repartition(slot).sortWithinPartitions("token").mapInArrow(lean(_shared), MET), "join-prefix")
     whole = met.where(F.col("kind") == SET).select(F.col("a").alias("doc"), n.alias("n"), F.col("token").alias("class"))
     rows = (met.where(F.col("kind") == HOT).select("token", F.col("a").alias("doc"), n.alias("n"), p.alias("p"), F.col("np").bitwiseAND(FREQUENT_HELD).alias("f"))
             .groupBy("token", "doc").agg(F.min("n").alias("n"), F.min("p").alias("p"), F.max("f").alias("f")))
@@ -455,7 +480,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     def sets_of(ids: DataFrame) -> DataFrame:
         needed = stored(ids.distinct().join(first, F.col("needed") == F.col("class")).select("needed", "id"), "join-needed")
         texts = d.join(hinted(needed.select("id").distinct()), F.col("doc_id") == F.col("id"), "left_semi").select("text")
-        sets = stored(texts.mapInArrow(_sets, "doc long, grams binary"), "join-sets", "none")
+        sets = stored(texts.mapInArrow(lean(_sets), "doc long, grams binary"), "join-sets", "none")
         return sets.join(hinted(needed.select("needed")), F.col("doc") == F.col("needed"), "left_semi")  # an id may have further texts
 
     return whole, link(stored(rows, "join-rows"), pairs, meets, whole.count(), sets_of)
@@ -469,7 +494,7 @@ def classed(docs: DataFrame, name: str) -> DataFrame:
                 of = [digest_of(s) if len(s) else None for s in shingle_sets(rows.column(rows.schema.get_field_index("text")))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(of, pa.int64())], names=[*rows.schema.names, name])
 
-    return docs.mapInArrow(run, docs.limit(0).withColumn(name, F.lit(None).cast("long")).schema)
+    return docs.mapInArrow(lean(run), docs.limit(0).withColumn(name, F.lit(None).cast("long")).schema)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
