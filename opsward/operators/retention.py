@@ -7,6 +7,9 @@ whole partitions.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -79,34 +82,57 @@ def next_version(folder_names: DataFrame, name_col: str = "folder", days: DataFr
 
 
 def apply_purge(spark, path: str, ts_col: str, as_of: Column, days: int, partition_col: str, fmt: str = "parquet",
-                children: list[tuple[str, str, str, list[str]]] | None = None) -> dict:
+                children: list[tuple] | None = None) -> dict:
     """Purge by age, applied to tables on shared storage. ``partition_col`` is the date of ``ts_col``.
 
-    ``children``: (path, child key, parent key, partition columns), children first: their rows of expiring parents go, and only the
-    partitions that hold such rows are rewritten. Of the parent, folders whose whole day has expired are removed
-    without reading them, and the one day that is cut by the horizon is rewritten. Returns the rows purged."""
+    ``children``: (path, child key, parent key, partition columns[, children of its own]); their rows of expiring parents
+    go, the lowest level first, so a run that dies leaves no row without its parent. Only partitions that hold expiring
+    rows are rewritten, and those that nothing stays in are removed, whatever their value (NULL and escaped ones too).
+    Returns the rows purged from each path."""
     parent = spark.read.format(fmt).load(path)
     kept, expired = purge_by_age(parent, ts_col, as_of, days)
-    counts = {path: expired.count()}
-    for child_path, ck, pk, parts in children or []:
-        child = spark.read.format(fmt).load(child_path)
-        gone = expired.select(F.col(pk).alias("_gone")).distinct()
-        hit = child.join(gone, F.col(ck) == F.col("_gone"), "left_semi")
-        counts[child_path] = hit.count()
-        if counts[child_path]:
-            stay = touched_rows(child, hit, parts).join(gone, F.col(ck) == F.col("_gone"), "left_anti")
-            _replace(spark, child_path, durable(stay), hit.select(*parts).distinct(), parts, fmt)
+    counts: dict[str, int] = {}
+
+    def cascade(rows: DataFrame, below: list[tuple] | None) -> None:
+        for child_path, ck, pk, parts, *lower in below or []:
+            child = spark.read.format(fmt).load(child_path)
+            gone = rows.select(F.col(pk).alias("_gone")).where("_gone is not null").distinct()
+            hit = child.join(gone, F.col(ck) == F.col("_gone"), "left_semi")
+            cascade(hit, lower[0] if lower else None)
+            counts[child_path] = hit.count()
+            if counts[child_path]:
+                stay = touched_rows(child, hit, parts).join(gone, F.col(ck) == F.col("_gone"), "left_anti")
+                _replace(spark, child_path, durable(stay), hit, parts, fmt)
+
+    cascade(expired, children)
+    counts[path] = expired.count()
     if counts[path]:
         stay = durable(touched_rows(kept, expired, [partition_col]))
-        _replace(spark, path, stay, expired.select(partition_col).distinct(), [partition_col], fmt)
+        _replace(spark, path, stay, expired, [partition_col], fmt)
     return counts
 
 
-def _replace(spark, path: str, stay: DataFrame, touched: DataFrame, parts: list[str], fmt: str) -> None:
-    """Rewrites the touched partitions with what stays; those that nothing stays in are dropped as folders."""
-    empty = durable(touched.join(stay.select(*parts).distinct(), parts, "left_anti"))
+def _replace(spark, path: str, stay: DataFrame, gone: DataFrame, parts: list[str], fmt: str) -> None:
+    """Rewrites the partitions of ``gone`` with what stays. Partitions that nothing stays in are removed; their folders are named
+    by the files in them, so no value has to be written as a folder name again."""
+    touched = durable(gone.select(*parts).distinct())
+    left = stay.select(*[F.col(c).alias(f"_s_{c}") for c in parts]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in parts])
+    empty = touched.join(left, same, "left_anti").select(*[F.col(c).alias(f"_e_{c}") for c in parts])
+    files = spark.read.format(fmt).load(path).select(*parts, F.regexp_replace("_metadata.file_path", "/[^/]+$", "").alias("_folder"))
+    in_empty = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in parts])
+    folders = [r[0] for r in durable(files.join(empty, in_empty, "left_semi").select("_folder").distinct()).toLocalIterator()]
     write_partitions(stay, path, parts, fmt)
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for row in empty.toLocalIterator():  # folder names, one at a time
-        folder = fs_path(path + "/" + "/".join(f"{c}={row[c]}" for c in parts))
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    remove_paths(spark, folders)
+
+
+def remove_paths(spark, paths: list[str], threads: int = 16) -> int:
+    """Deletes files or folders given as URIs, several at a time; how many were there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove(uri: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        return p.getFileSystem(conf).delete(p, True)
+
+    with ThreadPoolExecutor(threads) as pool:
+        return sum(pool.map(remove, paths))
