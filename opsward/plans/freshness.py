@@ -58,19 +58,19 @@ def latest_backups(spark: SparkSession, sf: str) -> DataFrame:
     return latest_per_entity(h, ["entity_id", "kind"], "start_time", "event_id").withColumnRenamed("start_time", "latest_time")
 
 
-def schedule(spark: SparkSession, sf: str) -> DataFrame:
-    r = resolved_thresholds(spark, sf)
+def schedule(spark: SparkSession, sf: str, rules: DataFrame | None = None) -> DataFrame:
+    r = resolved_thresholds(spark, sf, rules)
     eligible = dow_matches(F.col("dow"), iso_dow(as_of_events()))
     return r.select("entity_id", "host", "instance", "dbname", "kind", "line_no", "warn_h", "crit_h", "dow",
                     eligible.alias("eligible"),
                     st.schedule_state(F.col("crit_h"), eligible).alias("schedule"))
 
 
-def invalidated(spark: SparkSession, sf: str) -> DataFrame:
+def invalidated(spark: SparkSession, sf: str, rules: DataFrame | None = None) -> DataFrame:
     """First non-recoverable load after the last full backup, per entity and kind, apart from excluded tables."""
     ev = _unrecoverable_after(spark, sf).withColumn("table_name", F.concat_ws(".", "tabschema", "tabname"))
     ev = ev.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in KINDS])))
-    ex = resolved_exclusions(spark, sf).select("entity_id", "kind", "excluded")
+    ex = resolved_exclusions(spark, sf, rules).select("entity_id", "kind", "excluded")
     kept = (ev.join(ex, ["entity_id", "kind"], "left")
               .where(~F.coalesce(F.array_contains(F.split("excluded", ","), F.col("table_name")), F.lit(False))))
     msg = F.concat(F.lit("backup image of "), iso_text(F.col("backup_time")),
@@ -81,9 +81,10 @@ def invalidated(spark: SparkSession, sf: str) -> DataFrame:
 
 def full_status(spark: SparkSession, sf: str) -> DataFrame:
     """One status per check that is not switched off: off days are OK without a look at the backup, an invalidated
-    backup is CRITICAL whatever its age, else the age decides."""
-    s = schedule(spark, sf).where(F.col("schedule") != "disabled")
-    j = s.join(latest_backups(spark, sf), ["entity_id", "kind"], "left").join(invalidated(spark, sf), ["entity_id", "kind"], "left")
+    backup is CRITICAL whatever its age, else the age decides. The rule file is rendered and read once."""
+    rules = parsed_rules(spark, sf)
+    s = schedule(spark, sf, rules).where(F.col("schedule") != "disabled")
+    j = s.join(latest_backups(spark, sf), ["entity_id", "kind"], "left").join(invalidated(spark, sf, rules), ["entity_id", "kind"], "left")
     age = whole_hours(F.col("latest_time"), as_of_events())
     off, bad = F.col("schedule") == "not_today", F.col("finding").isNotNull()
     code = F.when(off, 0).when(bad, 2).otherwise(st.freshness_code(age, F.col("warn_h"), F.col("crit_h")))
@@ -213,21 +214,23 @@ def q_freshness_status_fixed(spark, sf):
 
 @register("status_lines")
 def q_status_lines(spark, sf):
-    s = status_frame(spark, sf)
+    """The line of every check that is not switched off, off days and invalidated backups included."""
+    s = full_status(spark, sf)
     service = F.concat_ws("_", F.lit("Age_last_backup"), "kind", F.regexp_replace("host", " ", ""), "instance",
                           "dbname", F.col("entity_id").cast("string"))
-    age_txt = F.coalesce(F.col("age_hours").cast("string"), F.lit("0"))
-    perf = F.concat(F.lit("age_hours="), age_txt, F.lit(";"), F.col("warn_h").cast("string"), F.lit(";"),
-                    F.col("crit_h").cast("string"), F.lit(";0;"))
-    msg = F.when(F.col("latest_time").isNull(), F.concat(F.col("kind"), F.lit(" backup never taken"))) \
-        .otherwise(F.concat(age_txt, F.lit(" hours since last full backup at "), iso_text(F.col("latest_time"))))
-    return s.select("entity_id", "kind", "status_code",
-                    st.status_line(F.col("status_code"), service, perf, msg).alias("line"))
+    limits = F.concat_ws(";", "warn_h", "crit_h", F.lit("0;"))
+    # fixed forms: an off day shows no age, an invalidated backup shows age 0 and the default limits
+    perf = F.concat(F.lit("age_hours="), F.when(F.col("reason") == "off_day", limits)
+                    .when(F.col("reason") == "invalidated", F.lit(f"0;{DEFAULT_WARN};{DEFAULT_CRIT};0;"))
+                    .otherwise(F.concat_ws(";", F.coalesce("age_hours", F.lit(0)), limits)))
+    return s.select("entity_id", "kind", "status_code", "reason",
+                    st.status_line(F.col("status_code"), service, perf, F.col("message")).alias("line"))
 
 
 @register("overall_status")
 def q_overall_status(spark, sf):
-    return st.overall(status_frame(spark, sf), ["host"])
+    """Off days count as OK checks, invalidated backups as CRITICAL ones."""
+    return st.overall(full_status(spark, sf), ["host"])
 
 
 # ------------------------------------------------------------ state & quiesce
@@ -422,7 +425,7 @@ def _sql_register():
     only_db = PARSED_RULES_SQL.replace("FROM rule_lines)", f"FROM rule_lines WHERE line_no > {OVERRIDE_LINE_BASE})")
     ORACLE["rule_defaults"] = with_sql(ENTITIES_SQL, THRESHOLD_LINES_SQL, only_db, RESOLVED_SQL) + \
         "SELECT entity_id, kind, line_no, warn_h, crit_h, dow FROM resolved"
-    ORACLE["freshness_full"] = with_sql(*BASE, RESOLVED_SQL, EXCL_SQL, UNRECOVERABLE_SQL, SCHEDULE_SQL, LATEST_SQL) + f"""
+    full_status_sql = with_sql(*BASE, RESOLVED_SQL, EXCL_SQL, UNRECOVERABLE_SQL, SCHEDULE_SQL, LATEST_SQL) + f"""
 , bad AS (
   SELECT u.entity_id, u.kind, max('backup image of ' || {ISO.format(t='u.backup_time')} || ' has no value since a non-recoverable load into '
          || u.tabschema || '.' || u.tabname || ' on ' || {ISO.format(t='u.start_time')}) AS finding
@@ -437,13 +440,17 @@ j AS (
   WHERE s.schedule <> 'disabled'),
 c AS (
   SELECT *, CAST(CASE WHEN schedule = 'not_today' THEN 0 WHEN finding IS NOT NULL THEN 2 WHEN age_hours IS NULL THEN 2
-                 WHEN age_hours <= warn_h THEN 0 WHEN age_hours <= crit_h THEN 1 ELSE 2 END AS INTEGER) AS status_code FROM j)
-SELECT entity_id, kind, age_hours, warn_h, crit_h, status_code, CASE status_code WHEN 0 THEN 'OK' WHEN 1 THEN 'WARNING' ELSE 'CRITICAL' END AS status_text,
+                 WHEN age_hours <= warn_h THEN 0 WHEN age_hours <= crit_h THEN 1 ELSE 2 END AS INTEGER) AS status_code FROM j),
+checks AS (
+SELECT entity_id, host, instance, dbname, kind, age_hours, warn_h, crit_h, status_code, CASE status_code WHEN 0 THEN 'OK' WHEN 1 THEN 'WARNING' ELSE 'CRITICAL' END AS status_text,
   CASE WHEN schedule = 'not_today' THEN 'off_day' WHEN finding IS NOT NULL THEN 'invalidated' WHEN age_hours IS NULL THEN 'never' ELSE 'age' END AS reason,
   CASE WHEN schedule = 'not_today' THEN 'No check configured for today for a ' || kind || ' backup'
        WHEN finding IS NOT NULL THEN kind || ' ' || finding WHEN age_hours IS NULL THEN kind || ' backup never taken'
        ELSE CAST(age_hours AS VARCHAR) || ' hours since last full backup at ' || {ISO.format(t='latest_time')} END AS message
-FROM c"""
+FROM c)
+"""
+    ORACLE["freshness_full"] = full_status_sql + \
+        "SELECT entity_id, kind, age_hours, warn_h, crit_h, status_code, status_text, reason, message FROM checks"
     ORACLE["exclusions_resolve"] = with_sql(*BASE, RESOLVED_SQL, EXCL_SQL) + "SELECT * FROM exclusions"
     ORACLE["dow_eligibility"] = full + f"""
 SELECT h.event_id, h.entity_id, r.line_no, r.dow, CAST(isodow(CAST(h.start_time AS DATE)) AS INTEGER) AS day_of_week,
@@ -479,20 +486,19 @@ SELECT entity_id, age_hours, status_code, {STATUS_TEXT_SQL.format(c='status_code
               WHEN {AGE.format(t='b.latest_time')} < 200 THEN 1 ELSE 2 END AS status_code
   FROM entities e LEFT JOIN (SELECT entity_id, max(start_time) AS latest_time FROM history WHERE operation = 'B' GROUP BY 1) b
     ON e.entity_id = b.entity_id)"""
-    ORACLE["status_lines"] = status_full + f"""
-SELECT entity_id, kind, status_code,
+    ORACLE["status_lines"] = full_status_sql + f"""
+SELECT entity_id, kind, status_code, reason,
   CAST(status_code AS VARCHAR) || ' ' ||
   concat_ws('_', 'Age_last_backup', kind, replace(host, ' ', ''), instance, dbname, CAST(entity_id AS VARCHAR)) || ' ' ||
-  'age_hours=' || coalesce(CAST(age_hours AS VARCHAR), '0') || ';' || CAST(warn_h AS VARCHAR) || ';' || CAST(crit_h AS VARCHAR) || ';0;' || ' ' ||
-  status_text || ' - ' ||
-  CASE WHEN latest_time IS NULL THEN kind || ' backup never taken'
-       ELSE coalesce(CAST(age_hours AS VARCHAR), '0') || ' hours since last full backup at ' || {ISO.format(t='latest_time')} END AS line
-FROM status3"""
-    ORACLE["overall_status"] = status_full + """
+  'age_hours=' || CASE WHEN reason = 'invalidated' THEN '0;{DEFAULT_WARN};{DEFAULT_CRIT};0;'
+       ELSE CASE WHEN reason = 'off_day' THEN '' ELSE coalesce(CAST(age_hours AS VARCHAR), '0') || ';' END
+            || CAST(warn_h AS VARCHAR) || ';' || CAST(crit_h AS VARCHAR) || ';0;' END || ' ' || status_text || ' - ' || message AS line
+FROM checks"""
+    ORACLE["overall_status"] = full_status_sql + """
 SELECT host, count(*) AS n_checks, CAST(sum(status_code) AS BIGINT) AS sum_codes,
        CASE WHEN max(CASE WHEN status_code >= 2 THEN 1 ELSE 0 END) = 1 THEN 8
             WHEN max(CASE WHEN status_code = 1 THEN 1 ELSE 0 END) = 1 THEN 5 ELSE 0 END AS overall_code
-FROM status3 GROUP BY host"""
+FROM checks GROUP BY host"""
 
     avail_lines = f"avail_lines AS (SELECT * FROM (VALUES {_values_sql([(i + 1, s) for i, s in enumerate(AVAILABILITY_RULES)])}) t(line_no, line))"
     avail_rules = """avail_rules AS (

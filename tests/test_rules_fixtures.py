@@ -190,3 +190,29 @@ def test_many_lines_of_one_key_meet_an_entity_once(spark):
         got = resolve(ent, rules, ["case_id"], ["v"])
         assert got.count() == 200 and {r.v for r in got.collect()} == {n - 1}
         assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_and_overall_code_know_off_days_and_invalidated_backups(spark, monkeypatch):
+    """Hand-made checks of each kind: what the line says, and what they add up to."""
+    from opsward.plans import freshness as fr
+    day = "2024-01-31 10:00:00"  # a Wednesday
+    rules = ["*:*:*:*:regular:48;120", "h1:*:*:1-2:regular:48;120", "h2:*:*:*:regular:24;96", "h3:*:*:*:regular:0", "*:*:*:*:snapshot:0"]
+    lines = spark.createDataFrame([("f", i + 1, r) for i, r in enumerate(rules)], "file string, line_no int, line string")
+    from opsward.sources.rules import parse_threshold_rules
+    monkeypatch.setattr(fr, "parsed_rules", lambda *_: parse_threshold_rules(lines).drop("file"))
+    ent = spark.createDataFrame([(i, h, "i", "D") for i, h in ((1, "h1"), (2, "h2"), (3, "h3"), (4, "h4"), (5, "h4"), (6, "h2"))], "entity_id int, host string, instance string, dbname string")
+    monkeypatch.setattr(fr, "entities", lambda *_: ent)
+    backups = spark.createDataFrame([(1, "2024-01-31 09:30:00"), (2, "2024-01-31 08:00:00"), (4, "2024-01-28 10:00:00"), (6, "2024-01-31 00:00:00")], "entity_id int, t string")
+    monkeypatch.setattr(fr, "latest_backups", lambda *_: backups.selectExpr("entity_id", "'regular' kind", "cast(t as timestamp_ntz) latest_time", "1 event_id"))
+    bad = spark.createDataFrame([(2, "regular", "finding text"), (1, "regular", "not looked at")], "entity_id int, kind string, finding string")
+    monkeypatch.setattr(fr, "invalidated", lambda *_: bad)
+    monkeypatch.setattr(fr, "as_of_events", lambda: F.lit(day).cast("timestamp_ntz"))
+    got = {r.entity_id: r.line for r in fr.q_status_lines(spark, "").collect()}
+    head = "Age_last_backup_regular_{}_i_D_{} "
+    assert got == {
+        1: "0 " + head.format("h1", 1) + "age_hours=48;120;0; OK - No check configured for today for a regular backup",
+        2: "2 " + head.format("h2", 2) + "age_hours=0;48;120;0; CRITICAL - regular finding text",
+        4: "1 " + head.format("h4", 4) + "age_hours=72;48;120;0; WARNING - 72 hours since last full backup at 2024-01-28 10:00:00",
+        5: "2 " + head.format("h4", 5) + "age_hours=0;48;120;0; CRITICAL - regular backup never taken",
+        6: "0 " + head.format("h2", 6) + "age_hours=10;24;96;0; OK - 10 hours since last full backup at 2024-01-31 00:00:00"}
+    assert rows(fr.q_overall_status(spark, "")) == [("h1", 1, 0, 0), ("h2", 2, 2, 8), ("h4", 2, 3, 8)]
