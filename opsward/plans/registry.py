@@ -25,4 +25,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from . import freshness, warehouse, integrity, logs, corpus, catalog, relational, stored  # noqa: F401
+    from . import freshness, warehouse, integrity, logs, corpus, catalog, relational, stored, jobs  # noqa: F401

@@ -16,15 +16,28 @@ def list_files(spark: SparkSession, base: str, glob: str | None = None) -> DataF
     """(path, uri, name, bytes, modified) of all files below ``base``; no file is opened. ``path`` is for reading, ``uri`` is what
     ``_metadata.file_path`` says of the file's rows. A missing folder has no files."""
     schema = "path string, uri string, name string, bytes long, modified timestamp"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
         return spark.createDataFrame([], schema)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    m = F.col("_metadata")
-    return reader.load(base).select("path", m["file_path"].alias("uri"), m["file_name"].alias("name"), m["file_size"].alias("bytes"),
-                                    m["file_modification_time"].alias("modified"))
+    m, found = F.col("_metadata"), reader.load(base)
+    files = found.select("path", m["file_path"].alias("uri"), m["file_name"].alias("name"), m["file_size"].alias("bytes"),
+                         m["file_modification_time"].alias("modified"))
+    # a scan has no split for an empty file: those that only the listing names are asked for one by one
+    named = spark.createDataFrame([(u,) for u in found.inputFiles()], "uri string")
+    empty = []
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+:)/+", "$1/").alias("at")  # noqa: E731  file:/x and file:///x are one
+    for r in named.withColumn("at", plain("uri")).join(files.select(plain("uri")), "at", "left_anti").toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r.uri))
+        empty.append((at.toString(), r.uri, at.getName(), 0, fs.getFileStatus(at).getModificationTime() / 1000))
+    if not empty:
+        return files
+    extra = spark.createDataFrame(empty, "path string, uri string, name string, bytes long, t double")
+    return files.unionByName(extra.withColumn("modified", F.timestamp_seconds("t")).drop("t"))
 
 
 def name_keys(name: Column, instance_feeds: list[str]) -> dict[str, Column]:
@@ -42,14 +55,16 @@ def name_keys(name: Column, instance_feeds: list[str]) -> dict[str, Column]:
             "feed": F.when(whole, F.upper(feed))}
 
 
-def write_named(df: DataFrame, base: str, name: Column, ext: str = "parquet") -> int:
-    """One file per name, ``<base>/<name>.<ext>``: rows are written clustered by name beside the target, then each file is moved to its
-    place (a file of that name is replaced). Rows of a name are one task. Returns the files written."""
+def write_named(df: DataFrame, base: str, name: Column, ext: str = "parquet", fmt: str = "parquet", order: list[str] | None = None) -> int:
+    """One file per name, ``<base>/<name>.<ext>`` (a name may hold folders): rows are written clustered by name beside the target, in
+    the order of the columns ``order`` (which are left out), then each file is moved to its place (a file of that name is replaced). Rows of
+    a name are one task. Returns the files written."""
     spark = df.sparkSession
     out = scratch_path(spark, "named")
     # the folder is a hash of the name, so any name can be one; the name itself is in a table of one row per file
     rows = df.withColumns({"_named": name, "_at": F.md5(name)})
-    rows.select("_at", *df.columns).repartition("_at").write.partitionBy("_at").parquet(out)
+    kept = [c for c in df.columns if c not in (order or [])]
+    rows.select("_at", *df.columns).repartition("_at").sortWithinPartitions("_at", *(order or [])).select("_at", *kept).write.partitionBy("_at").format(fmt).save(out)
     names = {r[0]: r[1] for r in rows.select("_at", "_named").distinct().toLocalIterator()}
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
@@ -58,10 +73,11 @@ def write_named(df: DataFrame, base: str, name: Column, ext: str = "parquet") ->
 
     def move(row) -> int:
         to = path(path(base), f"{names[row['at']]}.{ext}")
+        fs.mkdirs(to.getParent())
         if fs.exists(to):
             fs.delete(to, False)
         return int(fs.rename(path(row["path"]), to))
 
-    files = list_files(spark, out, "*.parquet").select("path", F.regexp_extract("uri", "_at=([0-9a-f]+)/", 1).alias("at")).collect()
+    files = list_files(spark, out, "part-*").select("path", F.regexp_extract("uri", "_at=([0-9a-f]+)/", 1).alias("at")).collect()
     with ThreadPoolExecutor(THREADS) as pool:
         return sum(pool.map(move, files))
