@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.listing import write_named
+
 # Fixed block-begin patterns per object kind (first match wins).
 BLOCK_KINDS = [
     ("TABLE", r"(?i)^\s*CREATE\s+TABLE\s"),
@@ -159,6 +161,31 @@ def reconcile(manifest: DataFrame, catalog: DataFrame, key: str, alt_prefix: str
     return j.select(key, F.explode(F.filter(findings, lambda x: x.isNotNull())).alias("finding"))
 
 
+def write_object_files(lines: DataFrame, base: str, chunk_lines: int = 4096) -> int:
+    """One text file per object, ``<base>/<kind>/<schema>/<object>.ddl``; of objects of one name their blocks follow each other by
+    file and line. Returns the files written."""
+    b = block_lines(lines, chunk_lines)
+    schema, name = object_name(F.col("begin.b_text"))
+    rows = b.select(F.concat_ws("/", F.col("begin.b_kind"), schema, name).alias("_object"), "file", "line_no", F.col("line").alias("value"))
+    return write_named(rows.select("value", "_object", "file", "line_no"), base, F.col("_object"), "ddl", "text", ["_object", "file", "line_no"])
+
+
+def write_sorted(df: DataFrame, path: str, keys: list[str], line: Column) -> str:
+    """A manifest in global order: part files hold consecutive key ranges, their names in the order of the ranges."""
+    df.select(*keys, line.alias("value")).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(path)
+    return path
+
+
+def read_sorted(lines: DataFrame) -> DataFrame:
+    """(line_no, line) over all files of a sorted manifest, numbered in the order of file names: lines (file, line_no, line) plus the
+    lines of the files before."""
+    counts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.col("file").alias("of"), F.lit(1).alias("one"), "n")
+    # a row per part file: their running sum fits one task at any size of the manifest
+    shift = before.select("of", F.sum("n").over(Window.partitionBy("one").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)).alias("shift"))
+    return lines.join(shift, F.col("file") == F.col("of")).select((F.col("line_no") + F.coalesce("shift", F.lit(0))).alias("line_no"), "line")
+
+
 def write_objects(lines: DataFrame, path: str, chunk_lines: int = 4096) -> str:
     """One DDL text per object, laid out ``<kind>/<schema>/`` (partitioned output, one row per object)."""
     text = block_text(lines, chunk_lines)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus as cp
+from ..operators import exports as ex
 from ..operators import ledger as lg
+from ..operators import phases as ph
 from ..operators import retention as rt
+from ..operators.lineage import durable
+from ..operators.upsert import write_partitions
 from ..session import scratch_path
-from ..sources.files import clustered
+from ..sources.files import clustered, scan_slices
 from ..sources.listing import list_files, write_named
 from ..sources.tables import table
 from ..sources.text import script_lines, write_scripts
@@ -52,6 +56,101 @@ def q_script_lines_pages(spark, sf):
         F.sum(F.col("line_no") * size).cast("long").alias("weighted"), F.min(F.when(F.col("line").contains("<title>"), F.col("line_no"))).alias("first_title"))
 
 
+@register("object_files", with_sql(LINES_SQL, BLOCKS_SQL) + """
+, m AS (SELECT o.kind, o.schema, o.name, mm.line FROM objects o JOIN members mm ON mm.file = o.file AND mm.rb = o.begin_line)
+SELECT kind || '/' || schema || '/' || name AS object, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM m GROUP BY 1""")
+def q_object_files(spark, sf):
+    """Object files named by key, read back: what each file holds."""
+    base = scratch_path(spark, "objects")
+    cp.write_object_files(_script_lines(spark, sf), base, CHUNK_LINES)
+    lines = script_lines(spark, base, "*.ddl")
+    name = F.url_decode(F.regexp_extract("file", r"/objects-[0-9a-f]+/(.+)\.ddl$", 1))
+    return lines.groupBy(name.alias("object")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
+
+
+@register("manifest_sorted", """
+SELECT row_number() OVER (ORDER BY source, lang, doc_id) AS line_no, source || ':' || lang || ':' || doc_id AS line FROM documents
+WHERE source IS NOT NULL AND lang IS NOT NULL""")
+def q_manifest_sorted(spark, sf):
+    """The manifest of all documents in one order over its part files, read back with numbers."""
+    d = table(spark, sf, "documents").where("source is not null and lang is not null")
+    path = cp.write_sorted(d, scratch_path(spark, "manifest"), ["source", "lang", "doc_id"], F.concat_ws(":", "source", "lang", "doc_id"))
+    return cp.read_sorted(script_lines(spark, path, "part-*"))
+
+
+@register("scan_many_slices", """
+SELECT o_orderkey, o_totalprice, o_orderstatus AS host, strftime(o_orderdate, '%Y-%m') AS day FROM orders
+WHERE (o_orderstatus, strftime(o_orderdate, '%Y-%m')) IN (SELECT l_linestatus, strftime(l_shipdate, '%Y-%m') FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)""")
+def q_scan_many_slices(spark, sf):
+    """A list of slices (from the line items) against a table laid out by host and month: one scan of the listed folders."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("host"), F.date_format("o_orderdate", "yyyy-MM").alias("day"))
+    path, listed = scratch_path(spark, "by-slice"), scratch_path(spark, "slices")
+    clustered(o, ["host", "day"]).write.partitionBy("host", "day").parquet(path)
+    li = table(spark, sf, "lineitem").where("l_quantity = 50 and l_linenumber = 1")
+    li.select(F.col("l_linestatus").alias("host"), F.date_format("l_shipdate", "yyyy-MM").alias("day")).distinct().write.parquet(listed)
+    return scan_slices(spark, path, spark.read.parquet(listed), ["host", "day"]).select("o_orderkey", "o_totalprice", "host", "day")
+
+
+LOCKED = "n_nationkey % 7 = 3"
+
+
+@register("maintenance_phases", f"""
+WITH t AS (SELECT r_name AS schema, n_name AS tab, {LOCKED} AS locked, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n
+           FROM nation JOIN region ON n_regionkey = r_regionkey),
+p AS (SELECT * FROM (VALUES (0, 'runstats'), (1, 'reorg'), (2, 'reorgidx'), (3, 'runstats')) v(step, phase)),
+s AS (SELECT * FROM (VALUES (4, 'rebind'), (5, 'reduce')) v(step, phase))
+SELECT schema, tab, step, phase, CASE WHEN locked AND step = 1 THEN 2 ELSE 1 END AS attempts, CAST(CASE WHEN phase = 'reorgidx' THEN 0 ELSE n END AS BIGINT) AS n FROM t, p
+UNION ALL SELECT schema, NULL, step, phase, 1, CAST(count(*) AS BIGINT) FROM t, s GROUP BY schema, step, phase""")
+def q_maintenance_phases(spark, sf):
+    """The phase plan over a table per nation; some are locked in the first run. The second run takes those up and leaves what is done."""
+    n, r, c = (table(spark, sf, t) for t in ("nation", "region", "customer"))
+    nations = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("schema"), F.col("n_name").alias("tab"), "n_nationkey", F.expr(LOCKED).alias("locked"))
+    base, journal = scratch_path(spark, "phase-table"), scratch_path(spark, "journal")
+    c.select("c_custkey", "c_acctbal", "c_nationkey").write.partitionBy("c_nationkey").parquet(base)
+    schema = c.select("c_custkey", "c_acctbal", "c_nationkey").schema
+
+    def named(todo):
+        return todo.join(nations.withColumnRenamed("schema", "_s"), (F.col("schema") == F.col("_s")) & todo["tab"].eqNullSafe(nations["tab"])).select("schema", todo["tab"], "n_nationkey", "locked")
+
+    def counted(todo, ok):
+        rows = spark.read.schema(schema).parquet(base).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("c"))
+        return named(todo).join(rows, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("schema", "tab", ok.alias("ok"), F.coalesce("c", F.lit(0)).alias("n"))
+
+    def reorg(first):
+        def run(todo):
+            keys = named(todo).where("true" if not first else "not locked").select(F.col("n_nationkey").alias("c_nationkey"))
+            rows = durable(spark.read.schema(schema).parquet(base).join(keys, "c_nationkey", "left_semi").select(*schema.names))
+            write_partitions(rows.sortWithinPartitions("c_nationkey", "c_custkey"), base, ["c_nationkey"])
+            return counted(todo, ~F.col("locked") if first else F.lit(True))  # listed anew, after the write
+        return run
+
+    stats = lambda todo: counted(todo, F.lit(True))
+    index = lambda todo: todo.select("schema", "tab", F.lit(True).alias("ok"), F.lit(0).alias("n"))
+    whole = lambda todo: todo.join(nations.groupBy(F.col("schema").alias("_s")).agg(F.count(F.lit(1)).alias("n")), F.col("schema") == F.col("_s")).select(
+        "schema", "tab", F.lit(True).alias("ok"), "n")
+    work = ph.plan(nations.select("schema", "tab"), ["runstats", "reorg", "reorgidx", "runstats"], ["rebind", "reduce"])
+    for first in (True, False):
+        ph.run_plan(spark, journal, work, {"runstats": stats, "reorg": reorg(first), "reorgidx": index, "rebind": whole, "reduce": whole})
+    j = spark.read.schema(ph.JOURNAL).parquet(journal)
+    return j.groupBy("schema", "tab", "step", "phase").agg(F.count(F.lit(1)).cast("int").alias("attempts"), F.max_by("n", "at").alias("n"))
+
+
+@register("purge_files", """
+SELECT p_size % 40 AS file_no, count(*) AS n_rows FROM part WHERE p_size % 40 < 30 GROUP BY 1""")
+def q_purge_files(spark, sf):
+    """Files named by key and aged by their number; those of 30 days and more are deleted: rows of the files that are left."""
+    base = scratch_path(spark, "aged")
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 40).alias("file_no"))
+    write_named(p, base, F.concat(F.lit("f"), F.lpad(F.col("file_no").cast("string"), 2, "0")))
+    jvm, now = spark.sparkContext._jvm, 1_700_000_000
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in list_files(spark, base, "f*.parquet").collect():  # at most 40 files
+        fs.setTimes(path(r.path), (now - 86_400 * int(r.name[1:3])) * 1000, -1)
+    ex.purge_files(spark, base, F.timestamp_seconds(F.lit(now)), 30, "f*.parquet", dry_run=False)
+    return spark.read.parquet(base).groupBy("file_no").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 DROP_SCHEMA = "k long, v double"
 INSTANCE_FEEDS = ["SYSIBMADM.DBMCFG"]
 

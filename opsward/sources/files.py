@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+SLICES_HELD = 200_000  # listed slices that are given to every task; a longer list is joined as Spark chooses
+
+
 def read_typed_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True,
                    corrupt_col: str | None = "_corrupt_record") -> DataFrame:
     """Declared types, no inference; malformed rows kept with their raw text (PERMISSIVE)."""
@@ -57,6 +60,15 @@ def scan_by_key_pattern(spark: SparkSession, base: str, parts: list[tuple[str, s
             .load(pattern))
 
 
+def scan_slices(spark: SparkSession, path: str, slices: DataFrame, keys: list[str], fmt: str = "parquet") -> DataFrame:
+    """The rows of many key slices in one scan of a table partitioned by ``keys``. ``slices`` is a stored list (a row per slice);
+    its keys reach the scan as dynamic partition pruning, so only folders of listed slices are read."""
+    listed = slices.select(*keys)
+    for k in keys:
+        listed = listed.where(F.col(k) >= "")  # a predicate on the list is what lets its keys prune the scan
+    return spark.read.format(fmt).load(path).join(F.broadcast(listed) if slices.count() <= SLICES_HELD else listed, keys, "left_semi")
+
+
 def keys_from_path(df: DataFrame, pattern: str, names: list[str], path_col: str = "_metadata.file_path") -> DataFrame:
     """Extract key fields from the file path with one regex (group i -> names[i-1])."""
     path = F.col(path_col)

@@ -182,3 +182,56 @@ def test_contains_work_grows_with_the_lines(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     got = {r.id: r.v for r in out.collect()}
     assert all(got[i] == max(v for v in range(2000) if f"host{i}" in f"host{v}") for i in (1, 17, 199, 1999)) and got[2500] is None
+
+
+def test_phases_go_on_after_failures_and_a_lost_driver(spark):
+    from opsward.operators import phases as ph
+    tables = spark.createDataFrame([("s1", "a"), ("s1", "b"), ("s2", "c")], "schema string, tab string")
+    work = ph.plan(tables, ["stats", "reorg", "stats"], ["rebind"])
+    path = scratch_path(spark, "journal-t")
+    seen = []
+
+    def act(name, bad=()):
+        def run(todo):
+            seen.append((name, sorted((r.schema, r.tab or "") for r in todo.collect())))
+            return todo.select("schema", "tab", (~F.coalesce("tab", F.lit("")).isin(*bad, "-")).alias("ok"), F.lit(1).alias("n"))
+        return run
+
+    def dies(todo):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        ph.run_plan(spark, path, work, {"stats": act("stats"), "reorg": dies, "rebind": act("rebind")})
+    assert ph.run_plan(spark, path, work, {"stats": act("stats"), "reorg": act("reorg", ["a"]), "rebind": act("rebind")}) == 3
+    assert ph.run_plan(spark, path, work, {"stats": act("stats"), "reorg": act("reorg"), "rebind": act("rebind")}) == 0
+    assert ph.run_plan(spark, path, work, {}) == 0
+    every = [("s1", "a"), ("s1", "b"), ("s2", "c")]
+    assert seen == [("stats", every), ("reorg", every), ("stats", every[1:]), ("rebind", [("s2", "")]),
+                    ("reorg", every[:1]), ("stats", every[:1]), ("rebind", [("s1", "")])]
+
+
+def test_listed_slices_prune_the_scan(spark):
+    from opsward.sources.files import scan_slices
+    path, listed = scratch_path(spark, "sl-t"), scratch_path(spark, "sl-l")
+    df = spark.range(500).selectExpr("id", "concat('h', id % 5) host", "concat('d', id % 7) day")
+    df.write.partitionBy("host", "day").parquet(path)
+    spark.createDataFrame([("h1", "d1"), ("h2", "d6"), ("h9", "d1"), ("h1", "d1")], "host string, day string").write.parquet(listed)
+    out = scan_slices(spark, path, spark.read.parquet(listed), ["host", "day"])
+    assert "dynamicpruning" in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert rows(out.select("id")) == rows(df.where("host = 'h1' and day = 'd1' or host = 'h2' and day = 'd6'").select("id"))
+
+
+def test_object_files_and_sorted_manifest(spark, tmp_path):
+    from opsward.operators import corpus as cp
+    from opsward.sources.text import script_lines
+    data = [("f", i + 1, s) for i, s in enumerate(['CREATE TABLE "S1"."T1" (', "  A INT );", "CREATE VIEW V1 AS", "SELECT 1;", 'CREATE TABLE "S2"."T1" (', "B INT );"])]
+    lines = spark.createDataFrame(data, "file string, line_no int, line string")
+    assert cp.write_object_files(lines, str(tmp_path / "o")) == 3
+    got = {str(p.relative_to(tmp_path / "o")): p.read_text() for p in (tmp_path / "o").rglob("*.ddl")}
+    assert got == {"TABLE/S1/T1.ddl": 'CREATE TABLE "S1"."T1" (\n  A INT );\n', "VIEW/UNQUAL/V1.ddl": "CREATE VIEW V1 AS\nSELECT 1;\n",
+                   "TABLE/S2/T1.ddl": 'CREATE TABLE "S2"."T1" (\nB INT );\n'}
+    df = spark.range(5000).selectExpr("id % 7 a", "id b")
+    path = cp.write_sorted(df, str(tmp_path / "m"), ["a", "b"], F.concat_ws(",", "a", "b"))
+    back = cp.read_sorted(script_lines(spark, path, "part-*")).collect()
+    assert [r.line for r in sorted(back)] == [f"{a},{b}" for a, b in sorted((i % 7, i) for i in range(5000))]
+    assert sorted(r.line_no for r in back) == list(range(1, 5001))
