@@ -10,6 +10,8 @@ a chunk or ``fanout`` rows, even for a single huge script.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,11 +181,10 @@ def write_sorted(df: DataFrame, path: str, keys: list[str], line: Column) -> str
 def read_sorted(lines: DataFrame) -> DataFrame:
     """(line_no, line) over all files of a sorted manifest, numbered in the order of file names: lines (file, line_no, line) plus the
     lines of the files before."""
-    counts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col("file").alias("of"), F.lit(1).alias("one"), "n")
-    # a row per part file: their running sum fits one task at any size of the manifest
-    shift = before.select("of", F.sum("n").over(Window.partitionBy("one").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)).alias("shift"))
-    return lines.join(shift, F.col("file") == F.col("of")).select((F.col("line_no") + F.coalesce("shift", F.lit(0))).alias("line_no"), "line")
+    counts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n")).orderBy("file").collect()  # a row per part file
+    ends = [0, *accumulate(r.n for r in counts)]
+    shift = lines.sparkSession.createDataFrame([(r.file, e) for r, e in zip(counts, ends)], "of string, shift long")
+    return lines.join(shift, F.col("file") == F.col("of")).select((F.col("line_no") + F.col("shift")).alias("line_no"), "line")
 
 
 def write_objects(lines: DataFrame, path: str, chunk_lines: int = 4096) -> str:

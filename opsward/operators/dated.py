@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..sources.files import optional_source
 from .lineage import durable
-from .upsert import dedupe_latest, touched_rows, write_partitions
+from .retention import remove_paths
+from .upsert import dedupe_latest, load_order, touched_rows, write_partitions
 
 INDEX = "key_id string, part string, seq long"
 
@@ -27,10 +28,14 @@ def key_id(keys: list[str]) -> Column:
     return F.md5(F.concat(*[F.coalesce(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("n")) for k in keys]))
 
 
-def upsert_dated(spark: SparkSession, path: str, index_path: str, batch: DataFrame, keys: list[str], part: str, seq_col: str) -> dict:
-    """Applies a batch to the table at ``path``, partitioned by the text column ``part``; the last row of a key by ``seq_col`` wins.
+def upsert_dated(spark: SparkSession, path: str, index_path: str, batch: DataFrame, keys: list[str], part: str, seq_col: str | None) -> dict:
+    """Applies a batch to the table at ``path``, partitioned by the text column ``part``; the last row of a key wins, by ``seq_col``
+    or without it by file and row.
     Returns the counters: rows written, dates rewritten and dates appended to."""
-    batch = durable(dedupe_latest(batch, keys, seq_col).withColumn("_key", key_id(keys)))
+    order = seq_col or "_order"
+    batch = batch if seq_col else batch.withColumn(order, load_order())
+    batch = dedupe_latest(batch, keys, order)
+    batch = durable((batch if seq_col else batch.drop(order)).withColumn("_key", key_id(keys)))
     index = optional_source(spark, index_path, _index_schema(spark))
     last = index.agg(F.max("seq")).first()[0]
     met = durable(batch.select(F.col("_key").alias("key_id")).join(index, "key_id").select("key_id", F.col("part").alias("_part")).distinct())
@@ -49,7 +54,6 @@ def upsert_dated(spark: SparkSession, path: str, index_path: str, batch: DataFra
     folders = _folders(spark, path, empty, part)
     counts |= write_partitions(rewritten, path, [part])
     outside.drop("_key").write.mode("append").partitionBy(part).parquet(path)
-    from .retention import remove_paths
     remove_paths(spark, folders)
     return counts
 

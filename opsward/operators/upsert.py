@@ -84,18 +84,24 @@ def write_partitions(rows: DataFrame, path: str, partition_cols: list[str], fmt:
     return dict(obs.get)
 
 
+def load_order() -> Column:
+    """Where a row stands in its batch: file, split and row."""
+    return F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
+
+
 def upsert_into_path(spark: SparkSession, path: str, source: DataFrame, keys: list[str], seq_col: str | None,
                      partition_cols: list[str], guard: str = "source_wins", fmt: str = "parquet") -> dict:
     """Apply a batch to a partitioned table on shared storage.
 
     The partition columns must follow from the key (or be part of it): a key that could move to another partition
-    would leave its old row behind, as only touched partitions are read. Without a ``seq_col`` the order of the
-    batch's rows decides between rows of one key, the last one wins. The batch is evaluated once (deduplicated and
+    would leave its old row behind, as only touched partitions are read. Without a ``seq_col`` the last row of a key wins, by
+    file name, place in the file and row for a batch that is read from files (however Spark packs them into tasks), else
+    by the order of the batch's rows. The batch is evaluated once (deduplicated and
     stored) and then serves both the choice of partitions and the merge. Returns the row counters of the load,
     gathered with ``DataFrame.observe`` on the write itself.
     """
     order = seq_col or "_order"
-    batch = source if seq_col else source.withColumn(order, F.monotonically_increasing_id())
+    batch = source if seq_col else source.withColumn(order, load_order())
     batch = durable(dedupe_latest(batch, keys, order))
     if not seq_col:
         batch = batch.drop(order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ..functions.time import lit_ts, whole_days
@@ -344,12 +346,23 @@ def q_upsert_batch_duplicates(spark, sf):
     return spark.read.parquet(path).select("user_id", "event_id", "value")
 
 
-def _feed_rows(spark, sf, feed):
-    """Rows for a feed from the events: host, instance and database of the entity, the feed's own key columns."""
+def _feed_base(spark, sf):
+    """The events with host, instance and database of their entity, which all feeds are made of."""
     ev, c, n = table(spark, sf, "events"), table(spark, sf, "customer"), table(spark, sf, "nation")
-    base = (ev.join(c, ev.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return (ev.join(c, ev.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
             .select(F.concat(F.lit("host"), F.col("n_regionkey").cast("string")).alias("hostname"), F.lower("n_name").alias("instancename"),
-                    F.upper("c_mktsegment").alias("dbname"), F.date_trunc("WEEK", "ts").alias(feed.time_col), "user_id", "event_type", "value", "event_id"))
+                    F.upper("c_mktsegment").alias("dbname"), F.date_trunc("WEEK", "ts").alias("_time"), "user_id", "event_type", "value", "event_id"))
+
+
+def _stored_base(spark, sf):
+    path = scratch_path(spark, "feed-base")
+    _feed_base(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _feed_rows(spark, sf, feed, base=None):
+    """Rows for a feed: the base and the feed's own key columns."""
+    base = (_feed_base(spark, sf) if base is None else base).withColumnRenamed("_time", feed.time_col)
     own = [k for k in feed.keys if k not in base.columns]
     return base.withColumns({k: F.concat(F.lit(f"{k}-"), (F.col("user_id") % (7 + 3 * i)).cast("string")) for i, k in enumerate(own)})
 
@@ -361,22 +374,81 @@ def _feed_key_sql(feed):
 
 
 LOADED_FEEDS = tuple(FEEDS)
+LOADS_AT_ONCE = 4
 IMPORTED_AGAIN = ("database_cumul", "connection_info", "dbcfg", "thr_viol_ev")
 
 
+def _loaded(spark, sf, names) -> dict:
+    """Loads feeds side by side from one stored base; the folder of each."""
+    base = _stored_base(spark, sf)
+    paths = {name: scratch_path(spark, f"feed-{name}") for name in names}
+
+    def load(name):
+        feed = FEEDS[name]
+        rows = _feed_rows(spark, sf, feed, base)
+        for part in ["event_id % 3 <> 0", "event_id % 3 <> 1"] if name in IMPORTED_AGAIN else ["true"]:
+            load_batch(spark, feed, paths[name], rows.where(part), None if feed.merge == "last_seen" else "event_id")
+
+    with ThreadPoolExecutor(LOADS_AT_ONCE) as pool:
+        list(pool.map(load, names))
+    return paths
+
+
+VALUE_FEEDS = ("database_cumul", "dbcfg", "thr_viol_ev", "dbmcfg")
+
+
+@register("feeds_values", " UNION ALL ".join(f"""
+SELECT '{f}' AS feed, hostname, instancename, dbname, capture_timestamp, event_id, value FROM (
+  SELECT 'host' || n_regionkey AS hostname, lower(n_name) AS instancename, upper(c_mktsegment) AS dbname, date_trunc('week', ts) AS capture_timestamp, event_id, value,
+         row_number() OVER (PARTITION BY {_feed_key_sql(FEEDS[f])} ORDER BY {"event_id % 3 <> 1 DESC, " if f in IMPORTED_AGAIN else ""}event_id DESC) AS rn
+  FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey) WHERE rn = 1""" for f in VALUE_FEEDS))
+def q_feeds_values(spark, sf):
+    """What the feeds hold after their loads, row by row: the later batch wins, inside a batch the later event."""
+    out = None
+    for name, path in _loaded(spark, sf, VALUE_FEEDS).items():
+        one = spark.read.parquet(path).select(F.lit(name).alias("feed"), "hostname", "instancename", "dbname", F.col("capture_timestamp").cast("timestamp_ntz").alias("capture_timestamp"), "event_id", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+NULLABLE_KEYS = FEEDS["connection_info"].keys[3:]
+
+
+def _wide_sql(part: str) -> str:
+    own = ", ".join(f"CASE WHEN user_id % {2 + i} <> 0 THEN '{k}-' || user_id % {5 + i} END AS {k}" for i, k in enumerate(NULLABLE_KEYS))
+    return f"""SELECT 'host' || n_regionkey AS hostname, lower(n_name) AS instancename, upper(c_mktsegment) AS dbname, {own}, ts AS capture_timestamp, event_id
+  FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE {part}"""
+
+
+@register("merge_last_seen_wide", f"""
+WITH e AS ({_wide_sql("true")})
+SELECT {", ".join(FEEDS["connection_info"].keys)}, max(capture_timestamp) AS capture_timestamp,
+       coalesce(arg_max(event_id, (capture_timestamp, event_id)) FILTER (WHERE capture_timestamp < TIMESTAMP '{CUT_TARGET}'),
+                arg_max(event_id, (capture_timestamp, event_id))) AS event_id
+FROM e GROUP BY {", ".join(FEEDS["connection_info"].keys)}""")
+def q_merge_last_seen_wide(spark, sf):
+    """Connections by eleven keys, eight of them nullable: a connection seen again only has its time moved."""
+    feed, path = FEEDS["connection_info"], scratch_path(spark, "connections")
+    ev, c, n = table(spark, sf, "events"), table(spark, sf, "customer"), table(spark, sf, "nation")
+    own = [F.when(F.col("user_id") % (2 + i) != 0, F.concat(F.lit(f"{k}-"), (F.col("user_id") % (5 + i)).cast("string"))).alias(k) for i, k in enumerate(NULLABLE_KEYS)]
+    rows = (ev.join(c, ev.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+            .select(F.concat(F.lit("host"), F.col("n_regionkey").cast("string")).alias("hostname"), F.lower("n_name").alias("instancename"),
+                    F.upper("c_mktsegment").alias("dbname"), *own, F.col("ts").alias(feed.time_col), "event_id"))
+    for part in (F.col(feed.time_col) < lit_ts(CUT_TARGET), F.col(feed.time_col) >= lit_ts(CUT_TARGET)):
+        # one row per key in a batch, the last by time and event
+        batch = dedupe_latest(rows.where(part).withColumn("_at", F.struct(feed.time_col, "event_id")), list(feed.keys), "_at").drop("_at")
+        load_batch(spark, feed, path, batch)
+    return spark.read.schema(rows.schema).parquet(path).select(*feed.keys, feed.time_col, "event_id")
+
+
 @register("feeds_load", " UNION ALL ".join(
     f"SELECT '{f}' AS feed, count(*) AS n_rows, count(DISTINCT k) AS n_keys FROM (SELECT DISTINCT ({_feed_key_sql(FEEDS[f])}) AS k "
     "FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey)" for f in LOADED_FEEDS))
 def q_feeds_load(spark, sf):
-    """All feeds of the registry loaded, some as two overlapping batches: every key ends up once."""
+    """All feeds of the registry loaded, several at a time, some as two overlapping batches: every key ends up once."""
     out = None
-    for name in LOADED_FEEDS:
-        feed = FEEDS[name]
-        rows, path = _feed_rows(spark, sf, feed), scratch_path(spark, f"feed-{name}")
-        batches = ["event_id % 3 <> 0", "event_id % 3 <> 1"] if name in IMPORTED_AGAIN else ["true"]
-        for part in batches:
-            load_batch(spark, feed, path, rows.where(part), None if feed.merge == "last_seen" else "event_id")
-        got = spark.read.parquet(path)
+    for name, path in _loaded(spark, sf, LOADED_FEEDS).items():
+        feed, got = FEEDS[name], spark.read.parquet(path)
         one = got.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.struct(*feed.keys)).alias("n_keys")).select(F.lit(name).alias("feed"), "n_rows", "n_keys")
         out = one if out is None else out.unionByName(one)
     return out

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dated import upsert_dated
 from ..operators.lineage import durable
 from ..operators.upsert import merge_last_seen, touched_rows, upsert_into_path, write_partitions
 from .files import optional_source
@@ -26,10 +27,11 @@ class Feed:
     keys: tuple[str, ...]
     time_col: str = "capture_timestamp"
     level: str = "database"            # "database" feeds carry dbname, "instance" feeds do not
-    merge: str = "upsert"              # "upsert" or "last_seen"
+    merge: str = "upsert"              # "upsert", "last_seen", or "dated" (by date, though the date is no key)
     partition_cols: tuple[str, ...] = field(default=("hostname", "capture_date"))  # must follow from the keys
 
 
+KEY_INDEX = "_key_index"  # readers of the table skip folders that begin with an underscore
 EVENT_KEY = ("appl_id", "activity_id", "uow_id")
 
 # The fourteen feeds of the monitoring warehouse and their keys.
@@ -46,11 +48,11 @@ FEEDS: dict[str, Feed] = {f.name: f for f in [
     Feed("reg_variables", ("hostname", "instancename", "capture_timestamp", "reg_var_name", "dbpartitionnum"),
          level="instance"),
     Feed("dbsize_info", ("hostname", "instancename", "dbname", "capture_timestamp")),
-    Feed("thr_viol_ev", ("dbname", "hostname", *EVENT_KEY), partition_cols=("hostname", "dbname")),
-    Feed("thr_activi_ev", ("dbname", "hostname", *EVENT_KEY), partition_cols=("hostname", "dbname")),
-    Feed("thr_activi_ev_metrics", ("dbname", "hostname", *EVENT_KEY), partition_cols=("hostname", "dbname")),
-    Feed("thr_activi_ev_stmt", ("dbname", "hostname", *EVENT_KEY), partition_cols=("hostname", "dbname")),
-    Feed("thr_activi_ev_vals", ("dbname", "hostname", *EVENT_KEY, "stmt_value_index"), partition_cols=("hostname", "dbname")),
+    Feed("thr_viol_ev", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=("capture_date",)),
+    Feed("thr_activi_ev", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=("capture_date",)),
+    Feed("thr_activi_ev_metrics", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=("capture_date",)),
+    Feed("thr_activi_ev_stmt", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=("capture_date",)),
+    Feed("thr_activi_ev_vals", ("dbname", "hostname", *EVENT_KEY, "stmt_value_index"), merge="dated", partition_cols=("capture_date",)),
 ]}
 
 def scan_slice(df: DataFrame, feed: Feed, hostname: str | None = None, dbname: str | None = None,
@@ -80,8 +82,12 @@ def stamp(df: DataFrame, feed: Feed, hostname: str, instancename: str, dbname: s
 def load_batch(spark: SparkSession, feed: Feed, target_path: str, batch: DataFrame, seq_col: str | None = None) -> dict:
     """Apply one batch of a feed to its warehouse table on shared storage; only the partitions it touches are read.
 
-    Feeds whose key holds the capture time are partitioned by its date, all others by parts of their key, so that
-    a row that is imported again always meets its older self. Without ``seq_col`` the last row of a key wins."""
+    Feeds whose key holds the capture time are partitioned by its date. Event feeds are too, with an index of their keys beside the
+    files, so that an event that is imported again meets its older self whatever day it lies in. The others are partitioned
+    by parts of their key. Without ``seq_col`` the last row of a key wins."""
+    if feed.merge == "dated":
+        batch = batch.withColumn("capture_date", F.date_format(feed.time_col, "yyyy-MM-dd"))
+        return upsert_dated(spark, target_path, f"{target_path}/{KEY_INDEX}", batch, list(feed.keys), "capture_date", seq_col)
     if "capture_date" in feed.partition_cols:
         if feed.time_col not in feed.keys:
             raise ValueError(f"{feed.name}: a date partition needs the capture time in the key")

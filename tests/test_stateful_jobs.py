@@ -235,3 +235,18 @@ def test_object_files_and_sorted_manifest(spark, tmp_path):
     back = cp.read_sorted(script_lines(spark, path, "part-*")).collect()
     assert [r.line for r in sorted(back)] == [f"{a},{b}" for a, b in sorted((i % 7, i) for i in range(5000))]
     assert sorted(r.line_no for r in back) == list(range(1, 5001))
+
+
+def test_last_file_of_a_batch_wins_however_files_are_packed(spark, tmp_path):
+    """Spark packs large files first; the order of a load is that of the names."""
+    from opsward.operators.upsert import upsert_into_path
+    from opsward.sources.listing import write_named
+    drop = str(tmp_path / "drop")
+    for name, n in (("b_first", 20_000), ("c_last", 10), ("a_zero", 500)):
+        write_named(spark.range(n).selectExpr("cast(id % 10 as int) k", f"'{name}' v", "rand() pad"), drop, F.lit(name))
+    read = spark.read.parquet(drop).select("k", "v")
+    path, dated, index = str(tmp_path / "t"), str(tmp_path / "d"), str(tmp_path / "i")
+    upsert_into_path(spark, path, read.withColumn("part", F.lit(1)), ["k"], None, ["part"])
+    assert rows(spark.read.parquet(path).select("k", "v")) == [(k, "c_last") for k in range(10)]
+    upsert_dated(spark, dated, index, read.withColumn("part", F.substring("v", 1, 1)), ["k"], "part", None)
+    assert rows(spark.read.parquet(dated).select("k", "v")) == [(k, "c_last") for k in range(10)]
