@@ -28,7 +28,7 @@ class Feed:
     time_col: str = "capture_timestamp"
     level: str = "database"            # "database" feeds carry dbname, "instance" feeds do not
     merge: str = "upsert"              # "upsert", "last_seen", or "dated" (by date, though the date is no key)
-    partition_cols: tuple[str, ...] = field(default=("hostname", "capture_date"))  # must follow from the keys
+    partition_cols: tuple[str, ...] = field(default=("hostname", "capture_date"))  # must follow from the keys; "dated" feeds lie by date instead
 
 
 KEY_INDEX = "_key_index"  # readers of the table skip folders that begin with an underscore
@@ -48,11 +48,11 @@ FEEDS: dict[str, Feed] = {f.name: f for f in [
     Feed("reg_variables", ("hostname", "instancename", "capture_timestamp", "reg_var_name", "dbpartitionnum"),
          level="instance"),
     Feed("dbsize_info", ("hostname", "instancename", "dbname", "capture_timestamp")),
-    Feed("thr_viol_ev", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=("capture_date",)),
-    Feed("thr_activi_ev", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=("capture_date",)),
-    Feed("thr_activi_ev_metrics", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=("capture_date",)),
-    Feed("thr_activi_ev_stmt", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=("capture_date",)),
-    Feed("thr_activi_ev_vals", ("dbname", "hostname", *EVENT_KEY, "stmt_value_index"), merge="dated", partition_cols=("capture_date",)),
+    Feed("thr_viol_ev", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=()),
+    Feed("thr_activi_ev", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=()),
+    Feed("thr_activi_ev_metrics", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=()),
+    Feed("thr_activi_ev_stmt", ("dbname", "hostname", *EVENT_KEY), merge="dated", partition_cols=()),
+    Feed("thr_activi_ev_vals", ("dbname", "hostname", *EVENT_KEY, "stmt_value_index"), merge="dated", partition_cols=()),
 ]}
 
 def scan_slice(df: DataFrame, feed: Feed, hostname: str | None = None, dbname: str | None = None,
