@@ -23,8 +23,9 @@ the sizes and computed in blocks:
 
 Defined cases: null or empty texts have an empty set and are linked with nothing; a text of one to four words is one
 shingle; rows without an id are classed like all, but link nothing and get a null component; rows that share an
-id share a component, each text with its own links; an empty table gives no rows. Two different shingles share a hash,
-and two different sets a digest, with probability 2**-64.
+id share a component, each text with its own links; an empty table gives no rows. Two different shingles share a hash
+with probability 2**-64. A class is named by 64 bits of its set's digest, and 30 further bits and the size go with every
+document: should one name stand for two sets, the job starts again with digests under another key.
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ SIGN_BITS = 1024
 PAIRS_HELD = 200_000
 BROADCAST_IDS = 200_000
 COLD, SET, HOT, PAIR, MEETS = 0, 1, 2, 3, 4
+CHECK = (1 << 30) - 1
 FREQUENT_HELD = 1 << 60  # in np: the document holds frequent n-grams in its prefix
 MET = "kind byte, token long, a long, b long, np long, mq long, lo long"
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -96,9 +98,10 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def digest_of(s: np.ndarray) -> int:
-    """The name of the class of documents with this set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest_of(s: np.ndarray, key: int = 0) -> tuple[int, int]:
+    """The name of the class of documents with this set, and 30 further bits that tell sets of one name apart."""
+    raw = hashlib.blake2b(s.tobytes(), digest_size=12, key=key.to_bytes(4, "little")).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little") & CHECK
 
 
 def prefix_length(n: int) -> int:
@@ -128,9 +131,9 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
     return sketch
 
 
-def _prefixes(sketch: np.ndarray):
+def _prefixes(sketch: np.ndarray, key: int = 0):
     """Rows (token, doc, np): a class's prefix n-grams with its size and their place, and for each document, by id, its
-    class. The top bits of np are the kind. Copies inside a task emit their prefix once."""
+    class, with its size and check bits. The top bits of np are the kind. Copies inside a task emit their prefix once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -139,10 +142,10 @@ def _prefixes(sketch: np.ndarray):
                 token, doc, place, masks = [], [], [], []
                 for doc_id, s in zip(ids, shingle_sets(rows.column(1))):
                     n = len(s)
-                    digest = digest_of(s)
+                    digest, check = digest_of(s, key)
                     token.append(np.array([digest], np.int64))
                     doc.append(doc_id)
-                    place.append(np.array([SET << 61 | n << 30], np.int64))
+                    place.append(np.array([SET << 61 | n << 30 | check], np.int64))
                     masks.append(1)
                     if not n or doc_id is None or digest in seen:
                         continue
@@ -244,12 +247,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from groups(*held, True)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows in byte_slices(batch):
-            sets = shingle_sets(rows.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                             names=["doc", "grams"])
+def _sets(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in byte_slices(batch):
+                sets = shingle_sets(rows.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(s, key)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                 names=["doc", "grams"])
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,15 +465,19 @@ def hinted(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(doc, n, class) of every row, and the components of the classes."""
+def classes(docs: DataFrame, key: int = 0) -> tuple[DataFrame, DataFrame | None, int]:
+    """(doc, n, class) of every row, the components of the classes, and the key under which digests name them."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = F.shiftright("np", 61)
     n, p = F.shiftright("np", 30).bitwiseAND((1 << 30) - 1), F.col("np").bitwiseAND((1 << 30) - 1)
     slot = F.when(kind == HOT, F.xxhash64("token", "doc")).when(kind == SET, F.xxhash64("doc")).otherwise(F.col("token"))
-    met = stored(d.mapInArrow(lean(_prefixes(frequency_sketch(d))), "token long, doc long, np long")
+    met = stored(d.mapInArrow(lean(_prefixes(frequency_sketch(d), key)), "token long, doc long, np long")
                  .repartition(slot).sortWithinPartitions("token").mapInArrow(lean(_shared), MET), "join-prefix")
-    whole = met.where(F.col("kind") == SET).select(F.col("a").alias("doc"), n.alias("n"), F.col("token").alias("class"))
+    named = met.where(F.col("kind") == SET)
+    of = F.struct(n, p)
+    if not named.groupBy("token").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low <> high").isEmpty():
+        return classes(docs, key + 1)
+    whole = named.select(F.col("a").alias("doc"), n.alias("n"), F.col("token").alias("class"))
     rows = (met.where(F.col("kind") == HOT).select("token", F.col("a").alias("doc"), n.alias("n"), p.alias("p"), F.col("np").bitwiseAND(FREQUENT_HELD).alias("f"))
             .groupBy("token", "doc").agg(F.min("n").alias("n"), F.min("p").alias("p"), F.max("f").alias("f")))
     # u: how many n-grams a class shares in small groups at most
@@ -480,36 +489,36 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     def sets_of(ids: DataFrame) -> DataFrame:
         needed = stored(ids.distinct().join(first, F.col("needed") == F.col("class")).select("needed", "id"), "join-needed")
         texts = d.join(hinted(needed.select("id").distinct()), F.col("doc_id") == F.col("id"), "left_semi").select("text")
-        sets = stored(texts.mapInArrow(lean(_sets), "doc long, grams binary"), "join-sets", "none")
+        sets = stored(texts.mapInArrow(lean(_sets(key)), "doc long, grams binary"), "join-sets", "none")
         return sets.join(hinted(needed.select("needed")), F.col("doc") == F.col("needed"), "left_semi")  # an id may have further texts
 
-    return whole, link(stored(rows, "join-rows"), pairs, meets, whole.count(), sets_of)
+    return whole, link(stored(rows, "join-rows"), pairs, meets, whole.count(), sets_of), key
 
 
-def classed(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with each row's class (null: no words) appended under ``name``."""
+def classed(docs: DataFrame, name: str, key: int) -> DataFrame:
+    """``docs`` with each row's class under ``key`` (null: no words) appended as ``name``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in byte_slices(batch):
-                of = [digest_of(s) if len(s) else None for s in shingle_sets(rows.column(rows.schema.get_field_index("text")))]
+                of = [digest_of(s, key)[0] if len(s) else None for s in shingle_sets(rows.column(rows.schema.get_field_index("text")))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(of, pa.int64())], names=[*rows.schema.names, name])
 
     return docs.mapInArrow(lean(run), docs.limit(0).withColumn(name, F.lit(None).cast("long")).schema)
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc, n, class, group) of every row; rows without an id or a word have no group."""
-    whole, comp = classes(docs)
+def grouped(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc, n, class, group) of every row, and the key of the classes; rows without an id or a word have no group."""
+    whole, comp, key = classes(docs)
     whole = whole.withColumn("class", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("class")))
     if comp is None:
-        return stored(whole.withColumn("group", F.col("class")), "join-groups")
+        return stored(whole.withColumn("group", F.col("class")), "join-groups"), key
     return stored(whole.join(comp.withColumnRenamed("v", "class"), "class", "left")
-                  .select("doc", "n", "class", F.coalesce("component", "class").alias("group")), "join-groups")
+                  .select("doc", "n", "class", F.coalesce("component", "class").alias("group")), "join-groups"), key
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows = grouped(docs)
+    rows, _ = grouped(docs)
     at = rows.where("group is not null").groupBy("doc").agg(F.min("group").alias("group"), F.max("group").alias("other"))
     at = stored(at, "join-ids")
     if not at.where("group <> other").isEmpty():  # ids with several texts: their groups are one component

@@ -211,3 +211,25 @@ def test_language_stage_drops_languages_that_were_not_learnt(spark):
     extra = spark.createDataFrame([(80_000 + i, t, None, "src1", 7) for i, t in enumerate(other)] + [(80_100, "12 34", None, "src1", 5)], docs.schema)
     kept = corpus_pipeline.language_id(spark, docs.union(extra), SF)
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in docs.where("text rlike '\\\\p{L}'").select("doc_id").collect())
+
+
+def test_one_name_for_two_sets_starts_again(spark, monkeypatch):
+    """Names of three bits: the job goes on to another key until no name stands for two sets."""
+    real = ngram_join.digest_of
+    monkeypatch.setattr(ngram_join, "digest_of", lambda s, key=0: (real(s, key)[0] % 8 if key < 2 else real(s, key)[0], real(s, key)[1]))
+    docs = spark.createDataFrame([(i, f"a{i // 2} b{i // 2} c d e f{i // 2}") for i in range(60)], "doc_id long, text string").repartition(3)
+    key = 0
+    while True:
+        names = {}
+        for r in docs.collect():
+            s = ngram_join.shingle_sets(__import__("pyarrow").array([r.text]))[0]
+            names.setdefault(ngram_join.digest_of(s, key)[0], set()).add(s.tobytes())
+        if all(len(v) == 1 for v in names.values()):
+            break
+        key += 1
+    rows, used = ngram_join.grouped(docs)
+    assert used == key >= 2
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.group, []).append(r.doc)
+    assert sorted(map(sorted, groups.values())) == [[2 * i, 2 * i + 1] for i in range(30)]
