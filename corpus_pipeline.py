@@ -32,7 +32,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Further columns of any name stay as they are."""
     small_batches(spark)
     docs, back = neutral(docs, ("doc_id", "text"))
-    rows = ngram_join.grouped(docs)
+    rows, key = ngram_join.grouped(docs)
     low = rows.where("group is not null").groupBy("group").agg(F.min("doc").alias("low"))
     got = stored(rows.join(low, "group", "left").select("doc", "class", "group", (F.col("low") < F.col("doc")).alias("copy")), "pipeline-components")
     ids = got.where("doc is not null").groupBy(F.col("doc").alias("id")).agg(
@@ -43,7 +43,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if again.isEmpty():
         return back(out)
     # ids of several rows: each row by its text
-    texts = ngram_join.classed(docs.join(ngram_join.hinted(again.select("id")), F.col("doc_id") == F.col("id"), "left_semi"), "__class")
+    texts = ngram_join.classed(docs.join(ngram_join.hinted(again.select("id")), F.col("doc_id") == F.col("id"), "left_semi"), "__class", key)
     fate = got.join(again, F.col("doc") == F.col("id"), "left_semi").select("doc", F.col("class").alias("__of"), "group", F.col("copy").alias("__copy")).distinct()
     texts = texts.join(fate, (F.col("doc_id") == F.col("doc")) & F.col("__class").eqNullSafe(F.col("__of"))).where(~F.coalesce("__copy", F.lit(False)))
     first = Window.partitionBy("doc_id", "group").orderBy(F.xxhash64("text"), "text")
