@@ -28,10 +28,14 @@ def key_id(keys: list[str]) -> Column:
     return F.md5(F.concat(*[F.coalesce(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("n")) for k in keys]))
 
 
-def upsert_dated(spark: SparkSession, path: str, index_path: str, batch: DataFrame, keys: list[str], part: str, seq_col: str | None) -> dict:
+def upsert_dated(spark: SparkSession, path: str, index_path: str, batch: DataFrame, keys: list[str], part: str, seq_col: str | None,
+                 guard: str = "source_wins") -> dict:
     """Applies a batch to the table at ``path``, partitioned by the text column ``part``; the last row of a key wins, by ``seq_col``
-    or without it by file and row.
+    or without it by file and row. With ``guard="newest"`` a stored row with a higher ``seq_col`` stays, so batches may come late,
+    in any order or again.
     Returns the counters: rows written, dates rewritten and dates appended to."""
+    if guard == "newest" and not seq_col:
+        raise ValueError("guard='newest' needs seq_col")
     order = seq_col or "_order"
     batch = batch if seq_col else batch.withColumn(order, load_order())
     batch = dedupe_latest(batch, keys, order)
@@ -40,12 +44,17 @@ def upsert_dated(spark: SparkSession, path: str, index_path: str, batch: DataFra
     last = index.agg(F.max("seq")).first()[0]
     met = durable(batch.select(F.col("_key").alias("key_id")).join(index, "key_id").select("key_id", F.col("part").alias("_part")).distinct())
     dates = durable(met.select(F.col("_part")).distinct())
-    batch.select(F.col("_key").alias("key_id"), F.col(part).alias("part"), F.lit((last or 0) + 1).cast("long").alias("seq")).write.mode("append").parquet(index_path)
     same = F.col(part).eqNullSafe(F.col("_part"))
-    inside, outside = batch.join(dates, same, "left_semi"), batch.join(dates, same, "left_anti")
     existing = optional_source(spark, path, batch.drop("_key").schema)
     source = dates.select(F.col("_part").alias(part))
-    old = touched_rows(existing, source, [part]).withColumn("_key", key_id(keys)).join(batch.select("_key"), "_key", "left_anti")
+    stored = touched_rows(existing, source, [part]).withColumn("_key", key_id(keys))
+    if guard == "newest":
+        again = stored.join(batch.select("_key"), "_key", "left_semi").select(*batch.columns)
+        batch = durable(dedupe_latest(batch.unionByName(again), keys, seq_col))
+    # a row that stays where it lies is entered again, so that the last entry of a key is its date
+    batch.select(F.col("_key").alias("key_id"), F.col(part).alias("part"), F.lit((last or 0) + 1).cast("long").alias("seq")).write.mode("append").parquet(index_path)
+    inside, outside = batch.join(dates, same, "left_semi"), batch.join(dates, same, "left_anti")
+    old = stored.join(batch.select("_key"), "_key", "left_anti")
     rewritten = durable(old.unionByName(inside).drop("_key"))
     # a date that loses its last row has nothing to be overwritten by
     left = rewritten.select(F.col(part).alias("_left")).distinct()

@@ -291,6 +291,22 @@ def q_quiesce_status(spark, sf):
                     st.quiesce_text(code).alias("message"))
 
 
+@register("state_lines")
+def q_state_lines(spark, sf):
+    """The monitoring lines of both state checks; a database whose thresholds are 0 and 0 has none for its activation."""
+    e = entities(spark, sf).select("entity_id", "host", "instance", "dbname")
+    out = None
+    # fixed forms of the two checks: service, measure and its limits
+    for query, service, perf in ((q_state_status, "Activation_status", ("activation_status=", ";;2")), (q_quiesce_status, "Quiesce_status", ("quiesce_status=", ";1;2"))):
+        j = query(spark, sf).select("entity_id", "status_code", "message").join(e, "entity_id")
+        code = F.col("status_code")
+        line = st.status_line(code, F.concat_ws("_", F.lit(service), F.regexp_replace("host", " ", ""), "instance", "dbname"),
+                              F.concat(F.lit(perf[0]), code.cast("string"), F.lit(perf[1])), F.concat_ws(" ", "dbname", "message"))
+        one = j.select("entity_id", F.lit(service).alias("service"), "status_code", line.alias("line"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("decision_table")
 def q_decision_table(spark, sf):
     e = entities(spark, sf)
@@ -543,6 +559,11 @@ FROM (SELECT e.entity_id,
         CASE WHEN le.last_event IS NULL OR le.last_event = 'error' THEN 3 WHEN le.last_event = 'view' THEN 2
              WHEN le.last_event = 'purchase' THEN 1 ELSE 0 END AS status_code
       FROM entities e LEFT JOIN last_event le ON e.entity_id = le.entity_id)"""
+    both = ((ORACLE["state_status"], "Activation_status", "activation_status=", ";;2"), (ORACLE["quiesce_status"], "Quiesce_status", "quiesce_status=", ";1;2"))
+    ORACLE["state_lines"] = " UNION ALL ".join(f"""
+SELECT s.entity_id, '{service}' AS service, s.status_code, s.status_code || ' {service}_' || replace(i.host, ' ', '') || '_' || i.instance || '_' || i.dbname
+       || ' {name}' || s.status_code || '{limits} ' || s.status_text || ' - ' || i.dbname || ' ' || s.message AS line
+FROM ({sql}) s JOIN (SELECT * FROM ({with_sql(ENTITIES_SQL)} SELECT * FROM entities)) i USING (entity_id)""" for sql, service, name, limits in both)
     ORACLE["decision_table"] = with_sql(ENTITIES_SQL, last_event) + f"""
 , d AS (
   SELECT e.entity_id,

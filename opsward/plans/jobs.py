@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.time import lit_ts
 from ..operators import exports as ex
+from ..operators import publish as pb
 from ..operators import rounds as ir
 from ..operators import sketches as sk
 from ..operators.dated import upsert_dated
 from ..operators.rules import resolve
 from ..session import scratch_path
 from ..sources.tables import table
+from ..streaming.ingest import ingest_dated
 from . import freshness as fr
 from .bindings import ENTITIES_SQL, with_sql
 from .registry import register
@@ -76,6 +78,45 @@ def q_upsert_dated(spark, sf):
     return spark.read.schema(day(ev).schema).parquet(path).select("event_id", "user_id", "kind", "ts", "part")
 
 
+@register("stream_ingest_dated", """
+WITH again AS (SELECT event_id, user_id, upper(event_type) AS kind, ts + INTERVAL 1 DAY AS ts FROM events WHERE event_id % 70 = 0)
+SELECT event_id, user_id, kind, ts, strftime(ts, '%Y-%m-%d') AS part FROM again
+UNION ALL SELECT event_id, user_id, event_type, ts, strftime(ts, '%Y-%m-%d') FROM events WHERE event_id % 70 <> 0""")
+def q_stream_ingest_dated(spark, sf):
+    """Events drained from a drop folder as they come, by day with a key index. Some come again a day later and move there, some
+    again with an older time and change nothing. All values are compared."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("kind"), "ts")
+    day = lambda df: df.withColumn("part", F.date_format("ts", "yyyy-MM-dd"))
+    later = ev.where("event_id % 70 = 0").withColumns({"kind": F.upper("kind"), "ts": F.col("ts") + F.expr("INTERVAL 1 DAY")})
+    stale = ev.where("event_id % 50 = 0").withColumns({"kind": F.lit("stale"), "ts": F.col("ts") - F.expr("INTERVAL 1 DAY")})
+    drop, target = scratch_path(spark, "drop-dated"), scratch_path(spark, "stream-dated")
+    day(ev).repartitionByRange(4, "ts").write.parquet(drop)
+    day(later.unionByName(stale)).coalesce(1).write.mode("append").parquet(drop)
+    ingest_dated(spark, drop, day(ev).schema, target, scratch_path(spark, "stream-dated-index"), scratch_path(spark, "stream-dated-ckpt"),
+                 ["event_id"], "part", "ts", max_files_per_trigger=2)
+    return spark.read.schema(day(ev).schema).parquet(target).select("event_id", "user_id", "kind", "ts", "part")
+
+
+PUBLISHED = {"orders": "o_orderkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "events": "event_id"}
+
+
+@register("publish_feeds", " UNION ALL ".join(f"SELECT '{t}' AS feed, count(*) AS rows_moved, 0 AS code, CAST(NULL AS VARCHAR) AS reason, count(*) AS n_docs, "
+                                              f"CAST(sum({k}) AS BIGINT) AS key_sum FROM {t}" for t, k in PUBLISHED.items())
+          + " UNION ALL SELECT 'absent', 0, 1, 'PATH_NOT_FOUND', 0, 0 UNION ALL SELECT 'unknown', 0, 1, 'NO_SUCH_FEED', 0, 0")
+def q_publish_feeds(spark, sf):
+    """Five feeds, one whose files are gone and a name that is none, published side by side; what the documents hold is read back."""
+    base = scratch_path(spark, "publish-feeds")
+    feeds = {t: (lambda t=t: spark.read.parquet(f"{sf.rstrip('/')}/{t}.parquet")) for t in (*PUBLISHED, "absent")}
+    report = pb.publish_feeds(spark, feeds, base, only=[*feeds, "unknown"])
+    back = None
+    for t, key in PUBLISHED.items():
+        one = spark.read.text(f"{base}/{t}").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.get_json_object("value", f"$.{key}").cast("long")).alias("key_sum"))
+        one = one.select(F.lit(t).alias("feed"), "n_docs", "key_sum")
+        back = one if back is None else back.unionByName(one)
+    return report.join(back, "feed", "left").select("feed", "rows_moved", "code", "reason", F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
+                                                    F.coalesce("key_sum", F.lit(0)).alias("key_sum"))
+
+
 STAT_COLUMNS = ["l_quantity", "l_extendedprice", "l_partkey", "l_returnflag"]
 STAT_CUT = "1998-01-01 00:00:00"
 

@@ -85,6 +85,35 @@ def q_scan_eav_config(spark, sf):
                      F.explode(pairs).alias("p")).select("entity_id", "capture_timestamp", "p.*")
 
 
+@register("scan_config_stamped", """
+WITH c AS (SELECT event_id, 'host' || n_regionkey AS hostname, lower(n_name) AS instancename, upper(c_mktsegment) AS dbname, ts AS capture_timestamp,
+                  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type
+           FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+l AS (SELECT event_id, hostname, instancename, dbname, capture_timestamp, 'k' AS name, CAST(k AS VARCHAR) AS value,
+             CASE WHEN k % 2 = 0 THEN 'AUTOMATIC' ELSE 'NONE' END AS value_flags, CAST(CASE WHEN k % 5 = 0 THEN k + 1 ELSE k END AS VARCHAR) AS deferred_value,
+             CASE WHEN k % 3 = 0 THEN 'AUTOMATIC' ELSE 'NONE' END AS deferred_value_flags, 'BIGINT' AS datatype FROM c
+      UNION ALL SELECT event_id, hostname, instancename, dbname, capture_timestamp, 'event_type', event_type, 'NONE', event_type, 'NONE', 'VARCHAR' FROM c)
+SELECT *, TRY_CAST(CASE WHEN datatype = 'BIGINT' THEN value END AS BIGINT) AS number,
+       value IS DISTINCT FROM deferred_value OR value_flags <> deferred_value_flags AS pending FROM l""")
+def q_scan_config_stamped(spark, sf):
+    """Config rows with host, instance, database and time, the flags of each value, the deferred value that a restart brings, the
+    number by the row's own type, and whether a change is pending."""
+    ev, c, n = table(spark, sf, "events"), table(spark, sf, "customer"), table(spark, sf, "nation")
+    k = F.get_json_object("props", "$.k").cast("long")
+    flag = lambda every: F.when(k % every == 0, F.lit("AUTOMATIC")).otherwise(F.lit("NONE"))
+    pair = lambda name, value, flags, later, later_flags, kind: F.struct(
+        F.lit(name).alias("name"), value.alias("value"), flags.alias("value_flags"), later.alias("deferred_value"),
+        later_flags.alias("deferred_value_flags"), F.lit(kind).alias("datatype"))
+    none, kind = F.lit("NONE"), F.col("event_type")
+    pairs = F.array(pair("k", k.cast("string"), flag(2), F.when(k % 5 == 0, k + 1).otherwise(k).cast("string"), flag(3), "BIGINT"),
+                    pair("event_type", kind, none, kind, none, "VARCHAR"))
+    long = (ev.join(c, ev.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+            .select("event_id", F.concat(F.lit("host"), F.col("n_regionkey").cast("string")).alias("hostname"), F.lower("n_name").alias("instancename"),
+                    F.upper("c_mktsegment").alias("dbname"), F.col("ts").alias("capture_timestamp"), F.explode(pairs).alias("p")).select("*", "p.*").drop("p"))
+    return long.select("*", F.when(F.col("datatype") == "BIGINT", F.col("value")).try_cast("long").alias("number"),
+                       (~F.col("value").eqNullSafe(F.col("deferred_value")) | (F.col("value_flags") != F.col("deferred_value_flags"))).alias("pending"))
+
+
 # ------------------------------------------------------------------ file sources / sinks
 @register("scan_typed_csv", "SELECT * FROM orders")
 def q_scan_typed_csv(spark, sf):

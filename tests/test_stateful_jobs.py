@@ -6,14 +6,18 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SF_SMALL, rows
 from opsward.operators import exports as ex
+from opsward.operators import publish as pb
 from opsward.operators import rounds as ir
 from opsward.operators import sketches as sk
+from opsward.operators.catalog import ordered_lists
 from opsward.operators.dated import compact_index, upsert_dated
 from opsward.operators.rules import resolve
+from opsward.plans.registry import QUERIES, load_all
 from opsward.session import scratch_path
 from opsward.sources.listing import list_files
+from opsward.streaming.ingest import ingest_dated
 
 
 def plain_rounds(row_ok, refs):
@@ -109,6 +113,59 @@ def test_reimported_events_touch_only_the_dates_they_lie_in(spark):
     assert "part=2024-02-01" not in _files(path) and table() == want | {(3, "s0"): ("gone on", "2024-03-01")}
 
 
+def test_late_batches_never_move_a_key_back(spark):
+    path, index = scratch_path(spark, "dated-late"), scratch_path(spark, "dated-late-i")
+    schema = "k int, v string, seq int, part string"
+    apply = lambda *r: upsert_dated(spark, path, index, spark.createDataFrame(list(r), schema), ["k"], "part", "seq", guard="newest")
+    held = lambda at=path: rows(spark.read.schema(schema).parquet(at))
+    apply((1, "a", 5, "d1"), (2, "b", 5, "d1"), (3, "c", 5, "d2"))
+    before = _files(path)
+    apply((1, "late", 4, "d0"), (4, "d", 1, "d0"))  # the row of key 1 stays in d1; d0 is new
+    assert held() == [(1, "a", 5, "d1"), (2, "b", 5, "d1"), (3, "c", 5, "d2"), (4, "d", 1, "d0")]
+    assert _files(path)["part=d2"] == before["part=d2"]
+    small = scratch_path(spark, "dated-late-c")
+    assert compact_index(spark, index, small) == 4
+    index = small  # the last entry of key 1 is the date in which it lies
+    apply((1, "new", 9, "d2"), (1, "newest", 10, "d3"))
+    assert held() == [(1, "newest", 10, "d3"), (2, "b", 5, "d1"), (3, "c", 5, "d2"), (4, "d", 1, "d0")]
+    with pytest.raises(ValueError):
+        upsert_dated(spark, path, index, spark.createDataFrame([(1, "a", 5, "d1")], schema), ["k"], "part", None, guard="newest")
+
+
+def test_stream_of_new_events_rewrites_no_date(spark):
+    """Files as they come: those of new events only add, one that comes again touches the dates of its keys, a lost epoch is run again."""
+    schema = "k int, v string, seq int, part string"
+    drop, target, index, check = (scratch_path(spark, f"dated-stream-{x}") for x in ("drop", "target", "index", "check"))
+    make = lambda r: spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(drop)
+    run = lambda c=check: ingest_dated(spark, drop, spark.createDataFrame([], schema).schema, target, index, c, ["k"], "part", "seq", max_files_per_trigger=1)
+    for d in range(3):
+        make([(10 * d + i, "v", d, f"d{d}") for i in range(10)])
+    assert [(c["dates_rewritten"], c["dates_appended"]) for c in run()] == [(0, 1)] * 3
+    before = _files(target)
+    make([(4, "again", 7, "d0"), (30, "v", 7, "d3")])
+    assert [(c["dates_rewritten"], c["dates_appended"]) for c in run()] == [(1, 1)]
+    after = _files(target)
+    assert {d for d in after if after[d] != before.get(d)} == {"part=d0", "part=d3"}
+    want = sorted([(10 * d + i, "again" if 10 * d + i == 4 else "v", 7 if 10 * d + i == 4 else d, f"d{d}") for d in range(3) for i in range(10)] + [(30, "v", 7, "d3")])
+    assert rows(spark.read.schema(schema).parquet(target)) == want
+    run(scratch_path(spark, "dated-stream-check-2"))  # all files once more, in any order
+    assert rows(spark.read.schema(schema).parquet(target)) == want
+
+
+def test_publishing_goes_on_after_a_failing_feed(spark):
+    base = scratch_path(spark, "published")
+    feeds = {"good": lambda: spark.range(5).withColumn("v", F.lit(None).cast("string")), "empty": lambda: spark.range(0),
+             "gone": lambda: spark.read.parquet("/no/such/place"), "broken": lambda: spark.range(3).select(F.raise_error(F.lit("x")).alias("id"))}
+    report = pb.publish_feeds(spark, feeds, base)
+    got = {r.feed: (r.rows_moved, r.code) for r in report.collect()}
+    assert got == {"good": (5, 0), "empty": (0, 0), "gone": (0, 1), "broken": (0, 1)}
+    assert rows(pb.overall_code(report)) == [(4, 5, 2)]
+    assert sorted(r.value for r in spark.read.text(f"{base}/good").collect()) == [f'{{"id":{i}}}' for i in range(5)]
+    one = pb.publish_feeds(spark, feeds, scratch_path(spark, "published-one"), only=["good", "nothing"])
+    assert rows(one) == [("good", 5, 0, None), ("nothing", 0, 1, "NO_SUCH_FEED")]
+    assert rows(pb.overall_code(report.limit(0))) == [(0, 0, 0)]
+
+
 def test_statistics_are_merged_and_read_new_partitions_only(spark):
     path, stats = scratch_path(spark, "sk-t"), scratch_path(spark, "sk-s")
     df = spark.range(40_000).selectExpr("cast(id % 9000 as int) a", "if(id % 10 = 0, null, id / 4d) b", "concat('w', id % 50) c", "concat('p', id % 8) part")
@@ -250,3 +307,25 @@ def test_last_file_of_a_batch_wins_however_files_are_packed(spark, tmp_path):
     assert rows(spark.read.parquet(path).select("k", "v")) == [(k, "c_last") for k in range(10)]
     upsert_dated(spark, dated, index, read.withColumn("part", F.substring("v", 1, 1)), ["k"], "part", None)
     assert rows(spark.read.parquet(dated).select("k", "v")) == [(k, "c_last") for k in range(10)]
+
+
+def test_lists_of_more_names_than_a_row_holds(spark):
+    names = [("A", f"t{i:05d}") for i in range(2500)] + [("B", "only")] + [("C", f"t{i:04d}") for i in range(1000)]
+    random.Random(2).shuffle(names)
+    got = ordered_lists(spark, spark.createDataFrame(names, "s string, t string").repartition(7), ["s"], "t", 1000)
+    got = {(r.s, r.chunk): (r.item_list.split(","), r.n_items) for r in got.collect()}
+    assert {k: n for k, (_, n) in got.items()} == {("A", 0): 1000, ("A", 1): 1000, ("A", 2): 500, ("B", 0): 1, ("C", 0): 1000}
+    assert [x for i in range(3) for x in got["A", i][0]] == [f"t{i:05d}" for i in range(2500)]
+
+
+def test_state_lines(spark):
+    """A line of each service and state, written by hand."""
+    load_all()
+    lines = {(r.service, r.status_code): r.line for r in QUERIES["state_lines"](spark, SF_SMALL).collect()}
+    assert all(line.startswith(f"{code} {service}_") and f"={code};" in line for (service, code), line in lines.items())
+    texts = {("Activation_status", 0): "OK - ", ("Quiesce_status", 0): "OK - ", ("Quiesce_status", 1): "WARNING - ", ("Quiesce_status", 2): "CRITICAL - ", ("Quiesce_status", 3): "UNKNOWN - "}
+    for key, text in texts.items():
+        assert key in lines and text in lines[key]
+    line = lines["Quiesce_status", 2]
+    db = line.split()[1].rsplit("_", 1)[1]
+    assert line.endswith(f" quiesce_status=2;1;2 CRITICAL - {db} is QUIESCEd.")
