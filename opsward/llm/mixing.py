@@ -41,6 +41,7 @@ KEY_DIGITS = 15
 DIGIT_BITS = 10
 SHARDS = 64
 LEAF_ROWS = 4096
+LEAST_PARTS, PART_WORDS = 16, 8_000_000
 BROADCAST_ROWS = 200_000
 SEED = 20
 
@@ -165,6 +166,8 @@ class Mix:
             total[index[r.source]] += r.words
             by_source.append(type("Row", (), {"s": index[r.source], "digit": r.digit, "words": r.words, "n": r.n}))
         goal = targets(total, [weights[i % len(weights)] for i in range(len(names))], share, max_epochs)
+        # a shard is sorted in as many tasks as its share of the counted words asks for
+        self.parts = max(LEAST_PARTS, -(-int(sum(goal)) // (PART_WORDS * shards)))
         passes = [int(g // t) if t else 0 for g, t in zip(goal, total)]
         wanted = {i: g - p * t for i, (g, p, t) in enumerate(zip(goal, passes, total)) if p * t < g}
         lookup = _hinted(spark.createDataFrame([(i, x) for i, x in enumerate(names)], "s int, src string"), len(names))
@@ -189,7 +192,7 @@ class Mix:
             placed += [(i, u[k][0], u[k][1], int(owner[j])) for j, k in enumerate(order)]
         self.placements = _hinted(spark.createDataFrame(placed, "s int, pass int, block int, shard int"), len(placed))
 
-    def _dealt(self, got: DataFrame, columns: list[str], tasks_per_shard: int) -> DataFrame:
+    def _dealt(self, got: DataFrame, columns: list[str], tasks_per_shard: int | None) -> DataFrame:
         """The draw: a row for each copy of ``got`` (with source and __key), its shard and place there, dealt and shuffled."""
         src = self.sources.select(F.col("s").alias("__s"), F.col("src").alias("__src"), F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
         at = self.placements.select(F.col("s").alias("__s"), F.col("pass").alias("__pass"), F.col("block").alias("__block"), F.col("shard").alias("__shard"))
@@ -198,10 +201,10 @@ class Mix:
         got = got.where(copies > 0).withColumn("__pass", F.explode(F.sequence(F.lit(0), copies - 1)))
         got = got.withColumn("__block", F.shiftright("__key", 60 - DIGIT_BITS).cast("int")).join(at, ["__s", "__pass", "__block"])
         got = got.withColumn("__order", F.xxhash64("__key", "__pass", F.lit(self.seed)))
-        got = got.select(*columns, "__shard", "__order", F.pmod("__order", F.lit(tasks_per_shard)).alias("__part"))
+        got = got.select(*columns, "__shard", "__order", F.pmod("__order", F.lit(tasks_per_shard or self.parts)).alias("__part"))
         return got.repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__order")
 
-    def per_document(self, tasks_per_shard: int = 16) -> DataFrame:
+    def per_document(self, tasks_per_shard: int | None = None) -> DataFrame:
         """One row per document: size, its source's size and target, copies and words taken, counted on the draw
         (without the texts)."""
         drawn = stored(self._dealt(self.base.withColumnRenamed("key", "__key"), ["row", "size"], tasks_per_shard), "mix-drawn")
@@ -210,7 +213,7 @@ class Mix:
                 .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
                         F.coalesce("copies", F.lit(0)).cast("int").alias("copies")))
 
-    def rows(self, docs: DataFrame, tasks_per_shard: int = 16, names: tuple[str, str] = ("shard", "order_key")) -> DataFrame:
+    def rows(self, docs: DataFrame, tasks_per_shard: int | None = None, names: tuple[str, str] = ("shard", "order_key")) -> DataFrame:
         """``docs`` as the mix has them, a row per copy, shuffled inside the shards. Shard and order are appended under
         ``names`` (and replace columns of those names). Text rows move once, to their shard's tasks."""
         plain, back = neutral(docs.drop(*names), ("doc_id", "text", "source"))

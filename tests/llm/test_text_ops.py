@@ -280,6 +280,64 @@ def test_grammar_scales_matched_clauses():
     assert weight("Not so. A fool") == [2.0] and weight("") == []
 
 
+def plain_toxicity(text, lexicon, target, negated, reported):
+    """What the five transducers emit for each clause of a whole text, said word by word: no automaton, no composition."""
+    words = []
+    for token in (text or "").lower().replace("\n", " . ").split():
+        kind, weight = "other", 0.0
+        for w in (w.replace("’", "'") for w in toxicity.WORD.findall(token)):
+            entries = [w] + [w[:n] + "*" for n in toxicity.PREFIXES if len(w) > n]
+            hit = max([lexicon[e] for e in entries if e in lexicon], default=0.0)
+            roles = [k for k, names in (("threat", toxicity.THREAT), ("say", toxicity.REPORT), ("not", toxicity.NEGATION), ("target", toxicity.TARGET)) if w in names]
+            if hit > weight:
+                kind, weight = "insult", hit
+            elif kind == "other" and roles:
+                kind, weight = roles[0], 4.0 if roles[0] == "threat" else 0.0
+        if kind == "other" and token[0] in "\"«“„":
+            kind = "quote"
+        words.append((kind, weight, token[-1] in ".!?;:"))
+    clauses, now = [], []
+    for kind, weight, last in words:
+        now.append((kind, weight))
+        if last:
+            clauses, now = clauses + [now], []
+    out = []
+    for clause in clauses + ([now] if now else []):
+        if not any(k in ("insult", "threat") for k, _ in clause):
+            continue
+        total, armed, open_, carried = 0.0, None, False, 0.0
+        for i, (kind, weight) in enumerate(clause):
+            before = [k for k, _ in clause[:i]]
+            scale = (target if kind != "target" and "target" in before[-4:] else 1.0) * (negated if "not" in before[-3:] else 1.0) * (reported if open_ else 1.0)
+            if kind == "threat":
+                armed, carried = i, weight
+            elif kind == "target":
+                if armed is not None and i - armed <= 4:
+                    total += scale * carried
+                    armed = None
+            elif kind == "insult":
+                total += scale * weight
+            open_ = kind == "say" or (not open_ if kind == "quote" else open_)
+        out.append(total)
+    return out
+
+
+def test_toxicity_equals_a_plain_interpreter(docs):
+    rnd = random.Random(6)
+    lexicon = {"fool": 2.0, "idio*": 3.5, "stupid": 1.25}
+    pool = (["fool", "idiots", "IDIOT!", "stupid,", "fool.", '"fool', 'idiot"', "you", "your", "du", "not", "isn't", "isn’t", "said", "says:", "kill", "Murder", "beat;",
+             '"', "«", "«ja", "“you", "„", "...", "!", "kill-you", "table", "and\n", "x", "\n", "é", "12"])
+    texts = [" ".join(rnd.choice(pool) for _ in range(rnd.randrange(40))) for _ in range(1500)] + [None, "", "\n", "fool " * 3000]
+    texts += [r.text for r in docs.limit(100).collect()]
+    m = toxicity.Matcher(lexicon)
+    for scales in ((1.5, 0.25, 0.5), (1.0, 1.0, 1.0), (1.7, 0.3, 0.75)):
+        g = toxicity.grammar(*scales)
+        got = [[toxicity.weigh(c, g) for c in cs] for cs in m.clauses(texts)]
+        want = [plain_toxicity(t, lexicon, *scales) for t in texts]
+        for t, a, b in zip(texts, got, want):
+            assert a == pytest.approx(b), t
+
+
 def test_toxicity_held_out_and_edge_rows(spark, docs, odd, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.fit(docs, labels)
