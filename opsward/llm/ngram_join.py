@@ -53,6 +53,7 @@ LARGE_GROUP = 512
 BLOCK_PARTNERS = 512
 BLOCK_ROWS = 200_000
 HELD_GROUP = 20_000
+WIDE_BLOCK = 4096
 SIGN_BITS = 1024
 PAIRS_HELD = 200_000
 BROADCAST_IDS = 200_000
@@ -404,10 +405,11 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _every(now: DataFrame, meets: DataFrame, sets_of) -> DataFrame:
     """All pairs between two components that meet in these rows and that the bounds leave, with overlaps: blocks of
-    n-grams that a task can hold are multiplied there, n-grams of still larger groups by a join. ``meets`` (doc, u) tells how many n-grams a document
+    n-grams that a task can hold are multiplied there; the documents of a still larger group are cut into blocks that meet
+    two by two, so no task sees more than two of them. ``meets`` (doc, u) tells how many n-grams a document
     shares in small groups at most (where its rows are marked, f)."""
     keys = "a long, b long, n long, m long, shared long, near boolean"
-    huge = now.groupBy("token").count().where(F.col("count") > HELD_GROUP).select("token")
+    huge = now.groupBy("token").count().where(F.col("count") > HELD_GROUP).select("token", F.ceil(F.col("count") / WIDE_BLOCK).cast("int").alias("parts"))
     blocks = max(1, -(-now.count() // BLOCK_ROWS))
     # n-grams of a document that any other component can share
     spare = now.groupBy("doc").agg(F.count("*").alias("k"), F.max("f").alias("f")).join(meets, "doc", "left").select(
@@ -419,11 +421,13 @@ def _every(now: DataFrame, meets: DataFrame, sets_of) -> DataFrame:
     out = held.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_product), keys)
     if huge.isEmpty():
         return out
-    wide = now.join(huge, "token", "left_semi")
-    x, y = wide.alias("x"), wide.alias("y")
+    wide = now.join(huge, "token").withColumn("at", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = wide.withColumn("row", F.col("at")).withColumn("column", others).alias("x")
+    y = wide.withColumn("row", others).withColumn("column", F.col("at")).alias("y")
     n, p, m, q = (F.col(c) for c in ("x.n", "x.p", "y.n", "y.p"))
     aligned = 7 * (F.least(p, q) + F.least(n - p, m - q)) >= 3 * (n + m)
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & aligned
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.column") == F.col("y.column")) & (F.col("x.c") < F.col("y.c")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & aligned
     return out.union(x.join(y, meet).select(F.least("x.doc", "y.doc"), F.greatest("x.doc", "y.doc"), F.least(n, m), F.greatest(n, m),
                                             F.lit(1).cast("long"), _possible(n, p, m, q)))
 

@@ -67,6 +67,7 @@ def test_join_equals_all_pairs(spark, monkeypatch, seed, limit):
         monkeypatch.setattr(ngram_join, "SAMPLE_SHARE", 2)
         monkeypatch.setattr(ngram_join, "HELD_GROUP", [20_000, 20][seed - 2])
         monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 500)
+        monkeypatch.setattr(ngram_join, "WIDE_BLOCK", 7)
         monkeypatch.setattr(ngram_join, "MAX_ROUNDS", 2)
     rows = near_copies(seed, 400)
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
