@@ -60,21 +60,24 @@ def _with_parents(listed: DataFrame, pending: DataFrame, fks: DataFrame) -> Data
         batch = durable(batch.unionByName(more))
 
 
-def _violations(batch: DataFrame, rows: DataFrame, refs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(tab, id, reason) of rows of the batch that are no exceptions yet and fail now."""
-    first, again = batch.where(~F.col("checked")).select("tab"), batch.where("checked").select("tab")
-    own = rows.join(first, "tab", "left_semi").where(~F.coalesce("ok", F.lit(True))).select("tab", "id", F.lit("CHECK").alias("reason"))
+def _violations(batch: DataFrame, rows: DataFrame, refs: DataFrame, gone: DataFrame, parents: DataFrame) -> DataFrame:
+    """(tab, id, reason) of rows of the batch that are no exceptions yet and fail now. ``parents``: the tables that references name;
+    only their rows can be missed."""
     fk = F.lit("FK").alias("reason")
-    lost = gone.select(F.col("tab").alias("parent"), F.col("id").alias("parent_id"))
-    dead = refs.join(batch.select("tab"), "tab", "left_semi").join(lost, ["parent", "parent_id"], "left_semi").select("tab", "id", fk)
-    present = rows.select(F.col("tab").alias("parent"), F.col("id").alias("parent_id"))
-    absent = refs.join(first, "tab", "left_semi").join(present, ["parent", "parent_id"], "left_anti").select("tab", "id", fk)
+    lost = gone.join(parents, "tab", "left_semi").select(F.col("tab").alias("parent"), F.col("id").alias("parent_id")).distinct()
+    found = refs.join(F.broadcast(batch.select("tab")), "tab", "left_semi").join(lost, ["parent", "parent_id"], "left_semi").select("tab", "id", fk)
+    first = batch.where(~F.col("checked")).select("tab")
+    if not first.isEmpty():  # else no table is read whole
+        first = F.broadcast(first)
+        own = rows.join(first, "tab", "left_semi").where(~F.coalesce("ok", F.lit(True))).select("tab", "id", F.lit("CHECK").alias("reason"))
+        present = rows.join(F.broadcast(parents), "tab", "left_semi").select(F.col("tab").alias("parent"), F.col("id").alias("parent_id"))
+        absent = refs.join(first, "tab", "left_semi").join(present, ["parent", "parent_id"], "left_anti").select("tab", "id", fk)
+        found = found.unionByName(own).unionByName(absent)
     # a check of the row itself comes before its references
-    found = own.unionByName(dead).unionByName(absent).groupBy("tab", "id").agg(F.min("reason").alias("reason"))
-    return found.join(gone, ["tab", "id"], "left_anti")
+    return found.groupBy("tab", "id").agg(F.min("reason").alias("reason")).join(gone, ["tab", "id"], "left_anti")
 
 
-def step(spark: SparkSession, path: str, n: int, state: DataFrame, fks: DataFrame, rows: DataFrame, refs: DataFrame, per_round: int) -> bool:
+def step(spark: SparkSession, path: str, n: int, state: DataFrame, fks: DataFrame, rows: DataFrame, refs: DataFrame, parents: DataFrame, per_round: int) -> bool:
     """Round n; False if nothing was pending."""
     pending = state.where("pending").select("tab")
     listed = durable(pending.orderBy("tab").limit(per_round))  # the feature: so many tables in a round
@@ -82,7 +85,7 @@ def step(spark: SparkSession, path: str, n: int, state: DataFrame, fks: DataFram
         return False
     batch = durable(_with_parents(listed, pending, fks).join(state.select("tab", "checked"), "tab"))
     gone = exceptions_of(spark, path, n)
-    _violations(batch, rows, refs, gone).write.mode("overwrite").parquet(f"{path}/round={n}/exceptions")
+    _violations(batch, rows, refs, gone, parents).write.mode("overwrite").parquet(f"{path}/round={n}/exceptions")
     counts = spark.read.schema(EXCEPTIONS).parquet(f"{path}/round={n}/exceptions").groupBy("tab").agg(F.count(F.lit(1)).alias("diverted"))
     counts = durable(counts)
     reopened = fks.join(counts.select(F.col("tab").alias("parent")), "parent", "left_semi").select(F.col("child").alias("tab")).distinct().withColumn("reopened", F.lit(True))
@@ -102,11 +105,11 @@ def resolve_pending(spark: SparkSession, path: str, tables: DataFrame, fks: Data
     """Runs rounds until nothing is pending, or at most ``most_rounds`` of them in this call: (state, exceptions)."""
     done = last_round(spark, path)
     start = tables.select("tab", "pending", F.lit(False).alias("checked"), F.lit("").alias("code"), F.lit("").alias("action"), F.lit(0).cast("long").alias("diverted"))
-    fks = durable(fks.distinct())
+    fks, parents = durable(fks.distinct()), durable(refs.select(F.col("parent").alias("tab")).distinct())
     ran = 0
     while most_rounds is None or ran < most_rounds:
         state = spark.read.schema(STATE).parquet(f"{path}/round={done}/state") if done >= 0 else start
-        if not step(spark, path, done + 1, state, fks, rows, refs, per_round):
+        if not step(spark, path, done + 1, state, fks, rows, refs, parents, per_round):
             break
         done, ran = done + 1, ran + 1
     state = spark.read.schema(STATE).parquet(f"{path}/round={done}/state") if done >= 0 else start

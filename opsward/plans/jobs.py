@@ -22,10 +22,17 @@ N = 25  # tables of each kind
 MAX_PRICE, MIN_BALANCE, MAX_QUANTITY = 450_000, -900, 49
 
 
+def _stored(spark, df, name):
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _integrity_tables(spark, sf):
     """75 tables: customers, orders and lines, each cut by key; every order table refers to its customer table, lines to any order table."""
     c, o, li = (table(spark, sf, t) for t in ("customer", "orders", "lineitem"))
-    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))  # a row is known by its id
+    # a row is known by its id; lines and references are stored once, all rounds read them
+    li = _stored(spark, li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity")), "integrity-lines")
     name = lambda kind, col: F.concat(F.lit(kind), (F.col(col) % N).cast("string"))
     line_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     rows = (c.select(name("C", "c_custkey").alias("tab"), F.col("c_custkey").cast("long").alias("id"), (F.col("c_acctbal") >= MIN_BALANCE).alias("ok"))
@@ -35,6 +42,7 @@ def _integrity_tables(spark, sf):
     refs = (o.select(name("O", "o_custkey").alias("tab"), F.col("o_orderkey").cast("long").alias("id"), name("C", "o_custkey").alias("parent"), F.col("o_custkey").cast("long").alias("parent_id"))
             .unionByName(li.join(at, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
                 name("L", "l_orderkey").alias("tab"), line_id.cast("long").alias("id"), F.coalesce("parent", F.lit("O?")).alias("parent"), F.col("l_orderkey").cast("long").alias("parent_id"))))
+    refs = _stored(spark, refs, "integrity-refs")
     ids = spark.range(N).select(F.col("id").cast("string").alias("i"))
     tables = ids.select(F.explode(F.array(*[F.concat(F.lit(k), "i") for k in "COL"])).alias("tab")).withColumn("pending", F.lit(True))
     fks = ids.select(F.concat(F.lit("O"), "i").alias("child"), F.concat(F.lit("C"), "i").alias("parent")).unionByName(
