@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.time import whole_days
+from ..session import scratch_path
 from .lineage import durable
 from .upsert import touched_rows, write_partitions
 
@@ -90,40 +91,44 @@ def apply_purge(spark, path: str, ts_col: str, as_of: Column, days: int, partiti
     rows are rewritten, and those that nothing stays in are removed, whatever their value (NULL and escaped ones too).
     Returns the rows purged from each path."""
     parent = spark.read.format(fmt).load(path)
-    kept, expired = purge_by_age(parent, ts_col, as_of, days)
+    _, expired = purge_by_age(parent, ts_col, as_of, days)
     counts: dict[str, int] = {}
 
     def cascade(rows: DataFrame, below: list[tuple] | None) -> None:
         for child_path, ck, pk, parts, *lower in below or []:
-            child = spark.read.format(fmt).load(child_path)
             gone = rows.select(F.col(pk).alias("_gone")).where("_gone is not null").distinct()
-            hit = child.join(gone, F.col(ck) == F.col("_gone"), "left_semi")
-            cascade(hit, lower[0] if lower else None)
-            counts[child_path] = hit.count()
-            if counts[child_path]:
-                stay = touched_rows(child, hit, parts).join(gone, F.col(ck) == F.col("_gone"), "left_anti")
-                _replace(spark, child_path, durable(stay), hit, parts, fmt)
+            child = spark.read.format(fmt).load(child_path)
+            marked = child.join(gone, F.col(ck) == F.col("_gone"), "left").withColumn("_hit", F.col("_gone").isNotNull()).drop("_gone")
+            held = scratch_path(spark, "purge-marked")  # one join; what follows reads its result
+            marked.write.parquet(held)
+            marked = spark.read.schema(marked.schema).parquet(held)
+            cascade(marked.where("_hit").drop("_hit"), lower[0] if lower else None)
+            counts[child_path] = _replace(spark, child_path, marked, parts, fmt, stored=True)
 
     cascade(expired, children)
-    counts[path] = expired.count()
-    if counts[path]:
-        stay = durable(touched_rows(kept, expired, [partition_col]))
-        _replace(spark, path, stay, expired, [partition_col], fmt)
+    hit = F.coalesce(F.col(ts_col) < (as_of - F.expr(f"INTERVAL {int(days)} DAYS")), F.lit(False))
+    counts[path] = _replace(spark, path, parent.withColumn("_hit", hit), [partition_col], fmt)
     return counts
 
 
-def _replace(spark, path: str, stay: DataFrame, gone: DataFrame, parts: list[str], fmt: str) -> None:
-    """Rewrites the partitions of ``gone`` with what stays. Partitions that nothing stays in are removed; their folders are named
-    by the files in them, so no value has to be written as a folder name again."""
-    touched = durable(gone.select(*parts).distinct())
-    left = stay.select(*[F.col(c).alias(f"_s_{c}") for c in parts]).distinct()
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in parts])
-    empty = touched.join(left, same, "left_anti").select(*[F.col(c).alias(f"_e_{c}") for c in parts])
-    files = spark.read.format(fmt).load(path).select(*parts, F.regexp_replace("_metadata.file_path", "/[^/]+$", "").alias("_folder"))
+def _replace(spark, path: str, marked: DataFrame, parts: list[str], fmt: str, stored: bool = False) -> int:
+    """Rewrites the partitions that hold rows marked ``_hit`` without these; how many rows those are. Partitions that nothing stays
+    in are removed; their folders are named by the files in them, so no value has to be written as a folder name again.
+    ``stored``: ``marked`` is not read from ``path``, so it can be written there as it is."""
+    tally = marked.groupBy(*parts).agg(F.count(F.when(F.col("_hit"), 1)).alias("_gone"), F.count(F.lit(1)).alias("_all")).where("_gone > 0")
+    tally = durable(tally)  # a row per partition that is touched
+    n = tally.agg(F.coalesce(F.sum("_gone"), F.lit(0))).first()[0]
+    if not n:
+        return 0
+    empty = tally.where("_gone = _all").select(*[F.col(c).alias(f"_e_{c}") for c in parts])
+    files = spark.read.format(fmt).load(path).select(*parts, F.col("_metadata.file_path").alias("_file"))
     in_empty = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in parts])
-    folders = [r[0] for r in durable(files.join(empty, in_empty, "left_semi").select("_folder").distinct()).toLocalIterator()]
-    write_partitions(stay, path, parts, fmt)
+    of_empty = files.join(empty, in_empty, "left_semi").select("_file").distinct()
+    folders = [r[0] for r in durable(of_empty.select(F.regexp_replace("_file", "/[^/]+$", "").alias("_folder")).distinct()).toLocalIterator()]
+    stay = touched_rows(marked, tally.where("_gone < _all"), parts).where("not _hit").drop("_hit")
+    write_partitions(stay if stored else durable(stay), path, parts, fmt)
     remove_paths(spark, folders)
+    return n
 
 
 def remove_paths(spark, paths: list[str], threads: int = 16) -> int:

@@ -21,3 +21,23 @@ def test_rounds_read_no_rows_of_tables_that_were_checked(spark, tmp_path):
     assert not any("/facts/" in f for f in found.inputFiles())
     first = ir._violations(batch.withColumn("checked", F.lit(False)), facts_df, links_df, gone, parents)
     assert rows(first) == [("K", 7, "FK"), ("K", 9, "FK")]
+
+
+def test_purge_joins_a_child_once(spark, tmp_path):
+    from opsward import session
+    from opsward.functions.time import lit_ts
+    from opsward.operators import retention as rt
+    op, lp, sp = (str(tmp_path / x) for x in "ols")
+    spark.sql("select id o, timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(int(id)) ts, concat('d', id div 3) part from range(12)").write.partitionBy("part").parquet(op)
+    spark.sql("select id k, nullif(id % 13, 12) o, if(id % 4 = 0, null, concat('a b', id % 13)) part from range(52)").write.partitionBy("part").parquet(lp)
+    spark.sql("select id % 60 k, id n, nullif(id % 3, 1) part from range(120)").write.partitionBy("part").parquet(sp)
+    lines, ships = rows(spark.read.parquet(lp)), rows(spark.read.parquet(sp))
+    app = spark.sparkContext.applicationId
+    before = len([p for p in session._SCRATCH.get(app, []) if "/purge-marked-" in p])
+    counts = rt.apply_purge(spark, op, "ts", lit_ts("2024-01-10 00:00:00"), 5, "part", children=[(lp, "o", "o", ["part"], [(sp, "k", "k", ["part"])])])
+    gone = {k for k, o, _ in lines if o is not None and o < 4}
+    left = [r for r in ships if r[0] not in gone]
+    assert counts == {op: 4, lp: len(gone), sp: len(ships) - len(left)}
+    assert rows(spark.read.parquet(lp)) == [r for r in lines if r[0] not in gone]
+    assert rows(spark.read.parquet(sp)) == left
+    assert len([p for p in session._SCRATCH[app] if "/purge-marked-" in p]) - before == 2
