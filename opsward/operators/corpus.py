@@ -15,7 +15,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.listing import write_named
+from ..sources.listing import write_texts
 
 # Fixed block-begin patterns per object kind (first match wins).
 BLOCK_KINDS = [
@@ -169,7 +169,7 @@ def write_object_files(lines: DataFrame, base: str, chunk_lines: int = 4096) ->
     b = block_lines(lines, chunk_lines)
     schema, name = object_name(F.col("begin.b_text"))
     rows = b.select(F.concat_ws("/", F.col("begin.b_kind"), schema, name).alias("_object"), "file", "line_no", F.col("line").alias("value"))
-    return write_named(rows.select("value", "_object", "file", "line_no"), base, F.col("_object"), "ddl", "text", ["_object", "file", "line_no"])
+    return write_texts(rows, base, "_object", "value", ["file", "line_no"], "ddl")
 
 
 def write_sorted(df: DataFrame, path: str, keys: list[str], line: Column) -> str:

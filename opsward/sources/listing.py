@@ -81,3 +81,58 @@ def write_named(df: DataFrame, base: str, name: Column, ext: str = "parquet", fm
     files = list_files(spark, out, "part-*").select("path", F.regexp_extract("uri", "_at=([0-9a-f]+)/", 1).alias("at")).collect()
     with ThreadPoolExecutor(THREADS) as pool:
         return sum(pool.map(move, files))
+
+
+def write_texts(df: DataFrame, base: str, name: str, value: str, order: list[str], ext: str) -> int:
+    """One text file per value of the column ``name``, ``<base>/<name>.<ext>`` (a name may hold folders): its lines ``value`` in the
+    order of ``order``. The tasks write the files under their names, each beside its place first, so many small files cost the driver
+    nothing. A file of that name is replaced. Returns the files written. On storage that Python has no file system for, as
+    ``write_named``."""
+    from pyarrow import fs as pafs
+
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    at = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    where = at.getPath() if at.getScheme() == "file" else at.toString()
+    rows = df.select(F.col(name).alias("_named"), F.col(value).alias("value"), *order)
+    try:
+        pafs.FileSystem.from_uri(where)
+    except (ValueError, OSError):
+        return write_named(rows.select("value", "_named", *order), base, F.col("_named"), ext, "text", ["_named", *order])
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        store, root = pafs.FileSystem.from_uri(where)
+        local, made, now, out, held, n = store.type_name == "local", set(), None, None, None, 0
+
+        def close() -> None:
+            out.close()
+            to = f"{root}/{now}.{ext}"
+            if local:  # a checksum of a file that Spark wrote there before
+                folder, last = to.rsplit("/", 1)
+                if store.get_file_info(f"{folder}/.{last}.crc").type != pafs.FileType.NotFound:
+                    store.delete_file(f"{folder}/.{last}.crc")
+            store.move(held, to)
+
+        for batch in batches:
+            for at, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if at != now:
+                    if out is not None:
+                        close()
+                    folder = f"{root}/{at}".rsplit("/", 1)[0]
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    now, held, n = at, f"{folder}/.{uuid.uuid4().hex}.tmp", n + 1
+                    out = store.open_output_stream(held)
+                out.write(((line or "") + "\n").encode())
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    dealt = rows.repartition("_named").sortWithinPartitions("_named", *order).select("_named", "value")
+    return dealt.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

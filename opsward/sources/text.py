@@ -37,7 +37,13 @@ def script_lines(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     raw = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start"),
                                    F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "\r$", "").alias("line"))
     held = scratch_path(spark, "script-lines")
-    raw.write.parquet(held)
+    # many small files share a task: a file's opening counts 4 MB otherwise, so a task would take 32 of them
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "65536")
+    try:
+        raw.write.parquet(held)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
     lines = spark.read.schema(raw.schema).parquet(held)
     splits = lines.groupBy("file", "split_start").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)

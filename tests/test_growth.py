@@ -41,3 +41,24 @@ def test_purge_joins_a_child_once(spark, tmp_path):
     assert rows(spark.read.parquet(lp)) == [r for r in lines if r[0] not in gone]
     assert rows(spark.read.parquet(sp)) == left
     assert len([p for p in session._SCRATCH[app] if "/purge-marked-" in p]) - before == 2
+
+
+def test_object_files_are_not_moved_by_the_driver(spark, tmp_path, monkeypatch):
+    from opsward.operators import corpus as cp
+    from opsward.sources import listing
+    monkeypatch.setattr(listing, "list_files", lambda *_: pytest.fail("files are listed and moved one by one"))
+    text = [("f", 2 * i + k, s) for i in range(200) for k, s in enumerate([f'CREATE TABLE "S{i % 3}"."T{i % 150}" (' if i % 2 else f"CREATE TABLE T{i} (", "  Ä INT );"])]
+    lines = spark.createDataFrame(text, "file string, line_no int, line string")
+    base = str(tmp_path / "o o%")
+    # a file that Spark wrote, with its checksum beside it, is replaced
+    spark.createDataFrame([("old",)], "value string").coalesce(1).write.text(str(tmp_path / "w"))
+    (tmp_path / "o o%" / "TABLE" / "UNQUAL").mkdir(parents=True)
+    old = next((tmp_path / "w").glob("part-*"))
+    old.rename(tmp_path / "o o%" / "TABLE" / "UNQUAL" / "T0.ddl")
+    next((tmp_path / "w").glob(".part-*.crc")).rename(tmp_path / "o o%" / "TABLE" / "UNQUAL" / ".T0.ddl.crc")
+    n = cp.write_object_files(lines, base)
+    files = {str(p.relative_to(base)): p.read_text() for p in (tmp_path / "o o%").rglob("*") if p.is_file()}
+    assert len(files) == n and all(f.endswith(".ddl") for f in files)
+    assert files["TABLE/UNQUAL/T0.ddl"] == "CREATE TABLE T0 (\n  Ä INT );\n"
+    assert sorted(x for f in files.values() for x in f.splitlines()) == sorted(s for _, _, s in text)
+    assert spark.read.option("recursiveFileLookup", True).text(base).count() == len(text)
