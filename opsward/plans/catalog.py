@@ -72,6 +72,9 @@ def _parts(spark, sf):
         "p_partkey", "p_size", "p_retailprice", "p_type")
 
 
+PARTS_A_TASK = 50_000
+
+
 @register("maintenance_worklist", """
 WITH t AS (SELECT p_brand AS tabschema, 'PART_' || CAST(p_partkey AS VARCHAR) AS tabname, p_partkey, p_size, p_retailprice FROM part),
      ix AS (SELECT tabschema, tabname, 'IX_' || tabname AS indname FROM t
@@ -90,23 +93,29 @@ FROM ix LEFT JOIN parts p ON p.tabschema = ix.tabschema AND p.tabname = ix.tabna
         LEFT JOIN space s ON s.tabschema = ix.tabschema AND s.tabname = ix.tabname
         JOIN t ON t.tabschema = ix.tabschema AND t.tabname = ix.tabname""")
 def q_maintenance_worklist(spark, sf):
-    """Indexes ⟕ data partitions ⟕ space info ⋈ tables -> one REORG action per (index, partition)."""
+    """Indexes ⟕ data partitions ⟕ space info ⋈ tables -> one REORG action per (index, partition).
+
+    All sides are dealt by their key into as many tasks as the tables ask for, so a task's rows do not grow with the
+    catalog. The action follows from the rest of the row: it is worded once the rows are distinct."""
     t = _parts(spark, sf)
     k = ["tabschema", "tabname"]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-t.count() // PARTS_A_TASK))
+    dealt = lambda df: df.repartition(tasks, *k)
     ix = (t.select(*k, F.concat(F.lit("IX_"), F.col("tabname")).alias("indname"))
           .unionByName(t.where(F.col("p_size") < 10).select(*k, F.concat(F.lit("IX2_"), F.col("tabname")).alias("indname"))))
     parts = t.where(F.col("p_size") > 25).select(*k, F.explode(F.array(F.lit("P0"), F.lit("P1"))).alias("datapartition"))
     space = t.where(F.col("p_retailprice") > 950).select(*k, F.floor(F.col("p_retailprice") - 950).cast("long").alias("reclaimable"))
-    j = ix.join(parts, k, "left").join(space, k, "left").join(t.select(*k), k, "inner")
+    j = dealt(ix).join(dealt(parts), k, "left").join(dealt(space), k, "left").join(dealt(t.select(*k)), k, "inner")
+    j = j.select(*k, "indname", "datapartition", F.col("reclaimable").isNotNull().alias("recl")).distinct()
     qt = F.concat(F.lit('"'), F.col("tabschema"), F.lit('"."'), F.col("tabname"), F.lit('"'))
     base = F.concat(F.lit("REORG INDEXES ALL FOR TABLE "), qt, F.lit(" ALLOW WRITE ACCESS"))
-    part, recl = F.col("datapartition").isNotNull(), F.col("reclaimable").isNotNull()
+    part, recl = F.col("datapartition").isNotNull(), F.col("recl")
     action = (F.when(part & recl, F.concat(base, F.lit(" ON DATA PARTITION "), F.col("datapartition"), F.lit(" CLEANUP ALL")))
               .when(part, F.concat(base, F.lit(" ON DATA PARTITION "), F.col("datapartition")))
               .when(recl, F.concat(base, F.lit(" CLEANUP ALL")))
               .otherwise(F.concat(F.lit('REORG INDEX "'), F.col("tabschema"), F.lit('"."'), F.col("indname"),
                                   F.lit('" FOR TABLE '), qt, F.lit(" ALLOW WRITE ACCESS"))))
-    return j.select("tabschema", "tabname", "indname", "datapartition", action.alias("action")).distinct()
+    return j.select("tabschema", "tabname", "indname", "datapartition", action.alias("action"))
 
 
 @register("dependents_latest", """

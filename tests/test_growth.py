@@ -43,6 +43,24 @@ def test_purge_joins_a_child_once(spark, tmp_path):
     assert len([p for p in session._SCRATCH[app] if "/purge-marked-" in p]) - before == 2
 
 
+def test_worklist_tasks_follow_from_the_catalog(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from opsward.plans import catalog, registry
+    registry.load_all()
+    part = [(i, f"B{i % 3}" if i % 7 else None, "T", i % 40 if i % 5 else None, 930.0 + i if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(part + part[:20], "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double")
+    df.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(catalog, "PARTS_A_TASK", 3, raising=False)
+    got = registry.QUERIES["maintenance_worklist"](spark, str(tmp_path))
+    # the rows are spread before they are joined and made distinct, without the text of the action
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 4
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(registry.ORACLE["maintenance_worklist"]).fetchall()
+    assert {tuple(r) for r in got.collect()} == set(want) and got.count() == len(want)
+
+
 def test_object_files_are_not_moved_by_the_driver(spark, tmp_path, monkeypatch):
     from opsward.operators import corpus as cp
     from opsward.sources import listing
