@@ -22,16 +22,49 @@ def _padded(text, width: int, pad):
     return pad(text, F.greatest(F.length(text), F.lit(width)), F.lit(" "))
 
 
+VALUES_A_TASK = 1_000_000
+
+
 def quantiles(df: DataFrame, cols: list[str], points: tuple[float, ...] = (0.25, 0.5, 0.75), approximate: bool = False) -> DataFrame:
-    """Per column its quantiles in one pass: interpolated ones from value counts (``percentile`` combines equal values
-    on the map side), or ``approximate`` ones of bounded size."""
-    f = F.percentile_approx if approximate else F.percentile
-    one = df.agg(*[f(c, list(points)).alias(f"_q{i}") for i, c in enumerate(cols)])
+    """Per column its quantiles: interpolated ones as ``percentile`` gives them, or ``approximate`` ones of bounded size in one pass."""
+    if not approximate:
+        return _exact_quantiles(df, cols, points)
+    one = df.agg(*[F.percentile_approx(c, list(points)).alias(f"_q{i}") for i, c in enumerate(cols)])
     return one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), *[F.col(f"_q{i}")[j].cast("double").alias(f"q{round(100 * q)}") for j, q in enumerate(points)])
         for i, c in enumerate(cols)])).alias("s")).select("s.*")
 
 
+def _exact_quantiles(df: DataFrame, cols: list[str], points: tuple[float, ...]) -> DataFrame:
+    """Values are counted, then cut into ranges of bounded size; the rows of all earlier ranges say which ranges hold a wanted
+    rank, and only those are numbered. No task holds a column's values, however many differ."""
+    counts = None
+    for i, c in enumerate(cols):
+        vc = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).select(F.lit(i).alias("_i"), "_v", "_n")
+        counts = vc if counts is None else counts.unionByName(vc)
+    counts = durable(counts)
+    n_ranges = max(1, -(-counts.count() // VALUES_A_TASK))
+    # stored, so the ranges (sampled) are the same for values and sizes
+    held = durable(counts.repartitionByRange(n_ranges, "_i", "_v").withColumn("_pid", F.spark_partition_id()))
+    per = Window.partitionBy("_i")
+    sizes = held.groupBy("_i", "_pid").agg(F.sum("_n").alias("_size"))
+    sizes = sizes.select("_i", "_pid", "_size", F.sum("_size").over(per).alias("_total"),
+                         F.coalesce(F.sum("_size").over(per.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    at = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), ((F.col("_total") - 1) * F.lit(float(p))).alias("_pos")) for j, p in enumerate(points)])).alias("_at")
+    wanted = sizes.select("*", at).select("_i", "_pid", "_off", "_size", "_at.*")
+    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+    wanted = durable(wanted.where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_size"))))  # two rows a point at most
+    near = held.join(F.broadcast(wanted.select("_i", "_pid", "_off").distinct()), ["_i", "_pid"])
+    run = near.withColumn("_end", F.col("_off") + F.sum("_n").over(Window.partitionBy("_i", "_pid").orderBy("_v"))).drop("_off")
+    hit = run.join(F.broadcast(wanted), ["_i", "_pid"]).where((F.col("_end") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_end")))
+    pair = hit.groupBy("_i", "_j", "_pos").agg(F.min_by("_v", "_rank").alias("_lo"), F.max_by("_v", "_rank").alias("_hi"))
+    pos, lo, hi = F.col("_pos"), F.col("_lo"), F.col("_hi")
+    pair = pair.withColumn("_q", F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi))
+    found = pair.groupBy("_i").agg(*[F.max(F.when(F.col("_j") == j, F.col("_q"))).alias(f"q{round(100 * q)}") for j, q in enumerate(points)])
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "_i int, column_name string")
+    return names.join(found, "_i", "left").drop("_i")
+
+
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value, n) for every column value.
 

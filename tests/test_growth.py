@@ -61,6 +61,25 @@ def test_worklist_tasks_follow_from_the_catalog(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in got.collect()} == set(want) and got.count() == len(want)
 
 
+def test_exact_quantiles_without_one_buffer(spark, monkeypatch):
+    from opsward.operators import catalog as ct
+    rng = random.Random(3)
+    data = [(rng.choice([None, rng.gauss(0, 9), float(rng.randrange(4))]), rng.randrange(5), None, rng.random() * 1e9, rng.randrange(10**6)) for _ in range(2503)]
+    df = spark.createDataFrame(data, "a double, b int, c double, d double, e long").repartition(5)
+    points = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    want = df.agg(*[F.percentile(c, list(points)).alias(c) for c in "abcde"]).first()
+
+    def refused(*_):
+        raise AssertionError("a single buffer holds every value")
+    monkeypatch.setattr(F, "percentile", refused)
+    monkeypatch.setattr(ct, "VALUES_A_TASK", 100, raising=False)
+    got = {r[0]: list(r[1:]) for r in ct.quantiles(df, list("abcde"), points).collect()}
+    for c in "abcde":
+        assert got[c] == (list(want[c]) if want[c] is not None else [None] * len(points))
+    empty = ct.quantiles(df.where("e < 0"), ["a", "e"]).collect()
+    assert sorted(map(tuple, empty)) == [("a", None, None, None), ("e", None, None, None)]
+
+
 def test_object_files_are_not_moved_by_the_driver(spark, tmp_path, monkeypatch):
     from opsward.operators import corpus as cp
     from opsward.sources import listing
