@@ -97,7 +97,7 @@ def write_texts(df: DataFrame, base: str, name: str, value: str, order: list[str
     rows = df.select(F.col(name).alias("_named"), F.col(value).alias("value"), *order)
     try:
         pafs.FileSystem.from_uri(where)
-    except (ValueError, OSError):
+    except (ValueError, OSError, NotImplementedError):
         return write_named(rows.select("value", "_named", *order), base, F.col("_named"), ext, "text", ["_named", *order])
 
     def write(batches):
